@@ -75,7 +75,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     targets = targets.withColumn("part", whole - F.col("passes") * F.col("source_size")).withColumn("blocks", F.ceil(F.col("source_size") / block))
     targets = targets.withColumn("n", F.col("passes") * F.col("blocks") + F.ceil(F.col("part") / block))
     upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = F.col("upto") / F.sum("n").over(Window.partitionBy()) * F.lit(float(1 << PERIOD_BITS))
+    edge = F.coalesce(F.try_divide("upto", F.sum("n").over(Window.partitionBy())), F.lit(0.0)) * F.lit(float(1 << PERIOD_BITS))
     targets = targets.withColumn("upto", F.sum("n").over(upto)).withColumn("hi", F.floor(edge)).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("s")), F.lit(0)))
     targets = materialize(targets.drop("upto"), "mix-sources")
     n = targets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
