@@ -15,103 +15,112 @@ from .langid import held_out
 
 #: ASCII letters lowered, other ASCII but digits to spaces; bytes of other characters stay.
 _FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
-#: A word backs off to its first characters.
-PREFIX = 4
+#: A word backs off to its first bytes.
+PREFIX = 5
+#: A count that exceeds the expected e by no more than Z * (sqrt(e) + 1) is left to the shared counts.
+Z = 3.0
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
+def words(text: str | None) -> set[bytes]:
+    """The text's different words: a repeated line says a thing once."""
+    return set((text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split())
 
 
-def prefix(word: bytes) -> bytes:
-    return word.decode("utf-8", "replace")[:PREFIX].encode()
+class Ratios:
+    """Log-likelihood ratios, toxic to ordinary: of known words, of known prefixes (for other words), of all the rest."""
 
+    def __init__(self, known: dict[bytes, float], prefixes: dict[bytes, float], rest: float):
+        self.known, self.prefixes, self.rest = known, prefixes, rest
 
-class Ratios(dict):
-    """Log-likelihood ratio (toxic to ordinary) of a word; a word not listed has that of its prefix, or of any rare word."""
-
-    def __init__(self, known: dict, prefixes: dict, rare: float):
-        super().__init__(known)
-        self.prefixes, self.rare = prefixes, rare
+    def mean(self, text: str | None) -> tuple[float, int]:
+        """The length-normalised difference of the two log-likelihoods, and the length in different words."""
+        w = words(text)
+        own = w & self.known.keys()
+        by_prefix = [x[:PREFIX] for x in w if x[:PREFIX] in self.prefixes]
+        total = self.rest * (len(w) - len(by_prefix)) + sum(self.prefixes[x] for x in by_prefix)
+        total += sum(self.known[x] - self.prefixes.get(x[:PREFIX], self.rest) for x in sorted(own))
+        return total / max(1, len(w)), len(w)
 
-    def __missing__(self, word: bytes) -> float:
-        return self.prefixes.get(prefix(word), self.rare)
 
-    def __reduce__(self):
-        return (Ratios, (dict(self), self.prefixes, self.rare))
+def discounted(c: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kept counts over class totals, the backed-off mass of each class, and shared probabilities, for counts c of two classes.
 
-    def mean(self, text: str | None) -> float:
-        """The length-normalised difference of the two log-likelihoods; 0 for a text without words."""
-        w = words(text)
-        return sum(map(self.__getitem__, w)) / len(w) if w else 0.0
+    Absolute discounting as in Kneser-Ney, with the discount D = e + Z * sqrt(e) + Z growing with the count e
+    that the shared model expects: a rare expression has no weight but its shared backoff.
+    """
+    s = c.sum(axis=1) / max(1.0, total.sum())
+    e = s[:, None] * total
+    kept = np.maximum(c - e - Z * np.sqrt(e) - Z, 0) / np.maximum(total, 1)
+    return kept, np.maximum(1 - kept.sum(axis=0), 1e-6), s
 
 
-def kneser_ney(counts: pd.DataFrame, types: pd.DataFrame, total: np.ndarray, low: np.ndarray, discount: float) -> Ratios:
-    """Ratios from word counts and prefix type counts of both classes (columns w, c0, c1), class 1 being toxic.
+def kneser_ney(counts: pd.DataFrame, types: pd.DataFrame, total: np.ndarray, type_total: np.ndarray) -> Ratios:
+    """Ratios from word counts and prefix counts (columns w, c0, c1; class 1 is toxic).
 
-    p_c(w) = max(c_c(w) - D, 0) / N_c + lambda_c * q_c(prefix) * s(w | prefix)
-    q_c(prefix) = max(t_c(prefix) - D, 0) / T_c + mu_c * r(prefix)
+    p_c(w) = kept_c(w) / N_c + lambda_c * s(w) * q_c(prefix) / r(prefix)
+    q_c(prefix) = kept_c(prefix) / T_c + mu_c * r(prefix)
 
-    t counts different words (Kneser-Ney's continuation counts); lambda and mu are the discounted mass; s and r come
-    from the counts of both classes together, so that what is rare in both gets no weight of its own. total: N_c;
-    low: sum of min(c, D).
+    Word counts are of documents, prefix counts of different words (continuation counts). s and r are the shared
+    backoff: the counts of both classes together. Rows whose counts are all within the discount may be left out.
     """
-    n, lam = np.maximum(total, 1), np.maximum(low, 0.5) / np.maximum(total, 1)
-    t = types[["c0", "c1"]].to_numpy(float)
-    tn = np.maximum(t.sum(axis=0), 1)
-    mu = np.maximum(np.minimum(t, discount).sum(axis=0), 0.5) / tn
-    r = (t.sum(axis=1) + 1) / (t.sum() + len(t) + 1)
-    q = np.maximum(t - discount, 0) / tn + mu * r[:, None]
-    pre = dict(zip(types["w"], np.arange(len(types)), strict=True))
-    rare = float(np.log(lam[1] * mu[1] / (lam[0] * mu[0])))
-    prefixes = {w: float(v) for w, v in zip(types["w"], np.log(lam[1] * q[:, 1] / (lam[0] * q[:, 0])), strict=True)}
-    c = counts[["c0", "c1"]].to_numpy(float)
-    at = np.array([pre[prefix(w)] for w in counts["w"]], int)
-    both = c.sum(axis=1)
-    s = both / np.maximum(types["tokens"].to_numpy(float)[at], 1) if len(at) else both
-    p = np.maximum(c - discount, 0) / n + lam * q[at] * s[:, None] if len(at) else c
-    known = {w: float(v) for w, v in zip(counts["w"], np.log(p[:, 1] / p[:, 0]) if len(at) else [], strict=True)}
-    return Ratios(known, prefixes, rare)
-
-
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2) -> tuple[float, float, float]:
-    """Slope, intercept, scale of P(y) = 1 / (1 + exp(-(slope * x / scale + intercept))), by Newton's method."""
-    scale = float(np.std(x)) or 1.0
-    a = np.stack([x / scale, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
+    kept, mu, r = discounted(types[["c0", "c1"]].to_numpy(float), type_total)
+    q = kept / np.maximum(r, 1e-12)[:, None] + mu
+    prefixes = {w: q[i] for i, w in enumerate(types["w"]) if kept[i].any()}
+    kept, lam, s = discounted(counts[["c0", "c1"]].to_numpy(float), total)
+    known = {}
+    for i, w in enumerate(counts["w"]):
+        if kept[i].any():
+            p = kept[i] + lam * s[i] * prefixes.get(w[:PREFIX], mu)
+            known[w] = float(np.log(p[1] / p[0]))
+    log = lambda x: float(np.log(lam[1] * x[1] / (lam[0] * x[0])))
+    return Ratios(known, {w: log(x) for w, x in prefixes.items()}, log(mu))
+
+
+def evidence(mean: np.ndarray, n: np.ndarray, rest: float) -> np.ndarray:
+    """What the score depends on: the normalised difference beyond that of plain words, and its weight by length."""
+    return np.stack([mean - rest, (mean - rest) * np.sqrt(n)], axis=-1)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (the last is the intercept) and scales of a logistic regression, by Newton's method."""
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    a = np.hstack([x / scale, np.ones((len(x), 1))])
+    w = np.zeros(a.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         g = a.T @ (weight * (p - y)) + l2 * w
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + l2 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, g), -3, 3)
-    return float(w[0]), float(w[1]), scale
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + l2 * np.eye(len(w))
+        w = w - np.clip(np.linalg.solve(h, g), -2, 2)
+    return w, scale
 
 
 class Model:
-    def __init__(self, ratios: Ratios, slope: float, intercept: float, scale: float):
-        self.ratios, self.slope, self.intercept, self.scale = ratios, slope, intercept, scale
+    def __init__(self, ratios: Ratios, coef: np.ndarray, scale: np.ndarray):
+        self.ratios, self.coef, self.scale = ratios, coef, scale
 
     def score(self, text: str | None) -> float:
-        z = self.slope * self.ratios.mean(text) / self.scale + self.intercept
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        m, n = self.ratios.mean(text)
+        z = float(evidence(np.array(m), np.array(n), self.ratios.rest) / self.scale @ self.coef[:-1] + self.coef[-1])
+        return 1 / (1 + float(np.exp(-min(max(z, -30), 30))))
 
 
-def fit(train: DataFrame, bound: int = 4096, discount: float = 2.0) -> Model | None:
+def fit(train: DataFrame, bound: int = 4096) -> Model | None:
     """A model from rows (doc_id, text, toxic), or None unless both classes occur.
 
-    The classifier is fitted on at most `bound` rows of each class (the smallest hashes of doc_id); a fifth of them
-    calibrate the score and give no counts. Calibration weighs the classes as all rows have them.
+    The classifier is fitted on at most `bound` rows of each class (the smallest hashes of doc_id), equal texts of
+    a class once; a fifth of the rows calibrate the score and give no counts. Calibration weighs the classes as all
+    rows have them.
     """
     spark = train.sparkSession
     ids = train.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic")
     share = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not share.get(0) or not share.get(1):
         return None
-    chosen = ids.where("toxic = 0").orderBy("h", "doc_id").limit(bound).unionByName(ids.where("toxic = 1").orderBy("h", "doc_id").limit(bound))
-    rows = [(r["doc_id"], r["toxic"], i % 5 == 0 and min(share.values()) >= 20) for i, r in enumerate(chosen.collect())]
+    chosen = [r for c in (0, 1) for r in ids.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(bound).collect()]
+    rows = [(r["doc_id"], r["toxic"], i % 5 == 0 and min(share.values()) >= 20) for i, r in enumerate(chosen)]
     picked = spark.createDataFrame(rows, "_id long, y int, calibrate boolean").dropDuplicates(["_id"])
     # At most 2 * bound rows of 13 bytes.
-    sample = train.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    sample = materialize(train.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("y", "calibrate", "text").dropDuplicates(["y", "text"]), "toxicity-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -119,28 +128,29 @@ def fit(train: DataFrame, bound: int = 4096, discount: float = 2.0) -> Model | N
             for y, t in zip(pdf["y"], pdf["text"], strict=True):
                 c[y].update(words(t))
             w = list(c[0] | c[1])
-            yield pd.DataFrame({"w": w, "p": [prefix(x) for x in w], "c0": [c[0][x] for x in w], "c1": [c[1][x] for x in w]})
-
-    schema = "w binary, p binary, c0 long, c1 long"
-    per_word = materialize(sample.where("not calibrate").mapInPandas(count, schema).groupBy("w", "p").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "toxicity-words")
-    total = per_word.agg(*[F.sum(c).alias(c) for c in ("c0", "c1")], *[F.sum(F.least(F.col(c), F.lit(discount))).alias("l" + c) for c in ("c0", "c1")]).first()
-    types = per_word.groupBy("p").agg(F.sum((F.col("c0") > 0).cast("int")).alias("c0"), F.sum((F.col("c1") > 0).cast("int")).alias("c1"), F.sum(F.col("c0") + F.col("c1")).alias("tokens"))
-    types = types.withColumnRenamed("p", "w").toPandas()
-    counts = per_word.where(F.greatest("c0", "c1") > discount).select("w", "c0", "c1").toPandas()
-    for f in (types, counts):
-        f["w"] = [bytes(x) for x in f["w"]]
-    ratios = kneser_ney(counts, types, np.array([total["c0"] or 0, total["c1"] or 0], float), np.array([total["lc0"] or 0, total["lc1"] or 0], float), discount)
-    shared = spark.sparkContext.broadcast(ratios)
+            yield pd.DataFrame({"w": w, "c0": [c[0][x] for x in w], "c1": [c[1][x] for x in w]})
+
+    pair = ("c0", "c1")
+    per_word = materialize(sample.where("not calibrate").mapInPandas(count, "w binary, c0 long, c1 long").groupBy("w").agg(*[F.sum(c).alias(c) for c in pair]), "toxicity-words")
+    per_prefix = per_word.groupBy(F.substring("w", 1, PREFIX).alias("w")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in pair])
+    both = []
+    for table in (per_word, per_prefix):
+        total = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in pair]).first()
+        likely = table.where(F.greatest(*pair) > Z).toPandas()
+        likely["w"] = [bytes(x) for x in likely["w"]]
+        both.append((likely, np.array([total[c] for c in pair], float)))
+    ratios = kneser_ney(both[0][0], both[1][0], both[0][1], both[1][1])
 
     def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"], "m": [shared.value.mean(t) for t in pdf["text"]]})
+            got = [ratios.mean(t) for t in pdf["text"]]
+            yield pd.DataFrame({"y": pdf["y"], "m": [m for m, _ in got], "n": [n for _, n in got]})
 
-    cal = sample.where("calibrate" if any(r[2] for r in rows) else "true").mapInPandas(means, "y int, m double").toPandas()
+    cal = sample.where("calibrate" if any(r[2] for r in rows) else "true").mapInPandas(means, "y int, m double, n long").toPandas()
     y, weight = cal["y"].to_numpy(float), np.zeros(len(cal))
     for c in (0, 1):
         weight[y == c] = share[c] / sum(share.values()) * len(y) / max(1, (y == c).sum())
-    return Model(ratios, *logistic(cal["m"].to_numpy(float), y, weight))
+    return Model(ratios, *logistic(evidence(cal["m"].to_numpy(float), cal["n"].to_numpy(float), ratios.rest), y, weight))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
