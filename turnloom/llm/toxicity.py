@@ -104,15 +104,15 @@ class Model:
         return 1 / (1 + float(np.exp(-min(max(z, -30), 30))))
 
 
-def fit(train: DataFrame, bound: int = 4096) -> Model | None:
-    """A model from rows (doc_id, text, toxic), or None unless both classes occur.
+def fit(docs: DataFrame, known: DataFrame, bound: int = 4096) -> Model | None:
+    """A model from texts (doc_id, text) and labels (doc_id, toxic), a row a document; None unless both classes occur.
 
-    The classifier is fitted on at most `bound` rows of each class (the smallest hashes of doc_id), equal texts of
+    The classifier is fitted on at most `bound` labels of each class (the smallest hashes of doc_id), equal texts of
     a class once; a fifth of the rows calibrate the score and give no counts. Calibration weighs the classes as all
-    rows have them.
+    labels have them. Rows are chosen among the labels, so that only the chosen documents' texts move.
     """
-    spark = train.sparkSession
-    ids = train.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic")
+    spark = docs.sparkSession
+    ids = known.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic")
     share = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not share.get(0) or not share.get(1):
         return None
@@ -120,7 +120,7 @@ def fit(train: DataFrame, bound: int = 4096) -> Model | None:
     rows = [(r["doc_id"], r["toxic"], i % 5 == 0 and min(share.values()) >= 20) for i, r in enumerate(chosen)]
     picked = spark.createDataFrame(rows, "_id long, y int, calibrate boolean").dropDuplicates(["_id"])
     # At most 2 * bound rows of 13 bytes.
-    sample = materialize(train.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("y", "calibrate", "text").dropDuplicates(["y", "text"]), "toxicity-sample")
+    sample = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("y", "calibrate", "text").dropDuplicates(["y", "text"]), "toxicity-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -148,6 +148,8 @@ def fit(train: DataFrame, bound: int = 4096) -> Model | None:
 
     cal = sample.where("calibrate" if any(r[2] for r in rows) else "true").mapInPandas(means, "y int, m double, n long").toPandas()
     y, weight = cal["y"].to_numpy(float), np.zeros(len(cal))
+    if not 0 < y.sum() < len(y):
+        return None
     for c in (0, 1):
         weight[y == c] = share[c] / sum(share.values()) * len(y) / max(1, (y == c).sum())
     return Model(ratios, *logistic(evidence(cal["m"].to_numpy(float), cal["n"].to_numpy(float), ratios.rest), y, weight))
@@ -171,6 +173,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of all documents; labels: (doc_id, toxic). A document with several labels
     is toxic if one says so; labels that are null or of held-out documents teach nothing."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(5))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumnRenamed("doc_id", "_label")
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, F.col("doc_id") == F.col("_label")).drop("_label")
-    return score(docs, fit(train)).select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return score(docs, fit(docs, known)).select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
