@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, htmlmain, langid, mixing, sharding, simhash, toxicity
+from . import ann, cmlm, decontam, htmlmain, langid, mixing, sharding, simhash, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cmlm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,5 +48,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op3_decontam, op4_sharding, op5_ann, op6_html, op8_mixing, op9_toxicity, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_lm, op3_decontam, op4_sharding, op5_ann, op6_html, op8_mixing, op9_toxicity, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE}
