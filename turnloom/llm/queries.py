@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, cmlm, decontam, htmlmain, langid, mixing, sharding, simhash, toxicity
+from . import ann, cmlm, decontam, htmlmain, langid, mixing, sharding, simhash, sufdedup, toxicity
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sufdedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_lm, op3_decontam, op4_sharding, op5_ann, op6_html, op8_mixing, op9_toxicity, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_lm, op3_decontam, op4_sharding, op5_ann, op6_html, op7_suffix, op8_mixing, op9_toxicity, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE}
