@@ -180,6 +180,28 @@ def matches(text: str | None, index: Index, retrieve: float, question: float, an
     return out
 
 
+def _blocks(items: DataFrame, block: int) -> Iterator[Index]:
+    """Indexes of `block` items each."""
+    tests = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
+    n = max(1, -(-tests.count() // block))
+    for b in range(n):
+        rows = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).orderBy("item_id", "text").collect()
+        yield Index([(r["item_id"], r["text"]) for r in rows])
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, retrieve: float = 0.6, question: float = 0.6, answer: float = 0.6, block: int = 20_000) -> DataFrame:
+    """The rows of `docs` that give no item away, as `contaminated` finds them."""
+    for index in _blocks(items, block):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        @F.pandas_udf("boolean")
+        def clean(text: pd.Series, shared=shared) -> pd.Series:
+            return pd.Series([not shared.value.ids or not matches(t, shared.value, retrieve, question, answer) for t in text], dtype=bool)
+
+        docs = docs.where(clean("text"))
+    return docs
+
+
 def contaminated(docs: DataFrame, items: DataFrame, retrieve: float = 0.6, question: float = 0.6, answer: float = 0.6, block: int = 20_000) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, word): items (item_id, text) that documents (doc_id, text) give away.
 
@@ -193,13 +215,10 @@ def contaminated(docs: DataFrame, items: DataFrame, retrieve: float = 0.6, quest
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tests = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word long"
-    n_blocks = max(1, -(-tests.count() // block))
     out = None
-    for b in range(n_blocks):
-        rows = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows]))
+    for index in _blocks(items, block):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:

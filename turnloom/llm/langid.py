@@ -207,6 +207,29 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows whose language a model learnt from the table's own labels names with a probability of `least` or more.
+
+    Texts without letters go. Without labels there is no model, and all rows with letters stay.
+    """
+    model = fit(docs.where(F.col("lang").isNotNull() & ~held_out(5)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def named(text: pd.Series) -> pd.Series:
+        out = []
+        for part in _batches(pd.DataFrame({"text": text})):
+            texts = part["text"].fillna("").tolist()
+            if shared.value is None:
+                out += [any(c.isalpha() for c in t) for t in texts]
+            else:
+                lang, score = shared.value.predict(texts)
+                out += [x != "und" and s >= least for x, s in zip(lang, score, strict=True)]
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(named("text"))
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of all documents, learnt from the labelled ones that are not held out."""
     model = fit(docs.where(F.col("lang").isNotNull() & ~held_out(5)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))

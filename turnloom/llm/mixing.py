@@ -97,6 +97,18 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     return used.select(*cols).unionByName(none.select(*cols))
 
 
+def apply_mix(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` as the mix takes them: as often as it takes their words, to the nearest whole number (half up).
+
+    Rows that share a doc_id are taken alike. Wordless rows go.
+    """
+    taken = mix_documents(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    copies = taken.where("_size > 0").select("_id", F.floor((2 * F.col("_taken") + F.col("_size")) / (2 * F.col("_size"))).alias("_copies")).where("_copies > 0")
+    cols = docs.columns
+    out = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return out.select(*cols, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*cols)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 z AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

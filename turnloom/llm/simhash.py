@@ -123,3 +123,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(rooted.join(ids, "root").select("fp", "component_id"), "simhash-classes")
     return fp.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    A row without doc_id goes by its text, after all others. Rows that repeat a doc_id count once.
+    """
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))))
+    found = near_duplicates(docs.select(own.alias("doc_id"), "text"), width, radius)
+    kept = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), "simhash-kept")
+    out = docs.withColumn("_own", own).join(kept.select("_kept"), F.col("_own") == F.col("_kept"), "left_semi")
+    if kept.where("_n > 1").limit(1).count():
+        out = out.dropDuplicates(["_own"])
+    return out.drop("_own")
