@@ -191,14 +191,16 @@ def _blocks(items: DataFrame, block: int) -> Iterator[Index]:
 
 def keep_clean(docs: DataFrame, items: DataFrame, retrieve: float = 0.6, question: float = 0.6, answer: float = 0.6, block: int = 20_000) -> DataFrame:
     """The rows of `docs` that give no item away, as `contaminated` finds them."""
-    for index in _blocks(items, block):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
+    def clean(shared):  # noqa: ANN001, ANN202
         @F.pandas_udf("boolean")
-        def clean(text: pd.Series, shared=shared) -> pd.Series:
+        def test(text: pd.Series) -> pd.Series:
             return pd.Series([not shared.value.ids or not matches(t, shared.value, retrieve, question, answer) for t in text], dtype=bool)
 
-        docs = docs.where(clean("text"))
+        return test("text")
+
+    for index in _blocks(items, block):
+        docs = docs.where(clean(docs.sparkSession.sparkContext.broadcast(index)))
     return docs
 
 
