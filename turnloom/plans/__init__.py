@@ -1 +1,6 @@
+"""All named queries of the working-set engine."""
 
+from . import conversations, sources
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "conversations", "sources"]
