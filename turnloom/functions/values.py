@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Names of fields whose content is never logged.
 SECRET_KEYS = ("authorization", "proxy-authorization", "access_token", "refresh_token", "id_token", "api_key", "openai_api_key", "x-api-key")
@@ -31,13 +32,13 @@ def _parsed(text: str | None) -> object:
         return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redact(body: pd.Series) -> pd.Series:
     """A JSON text with secret fields blanked at every depth; other texts as they are."""
     return body.map(lambda t: t if t is None or isinstance(_parsed(t), str) and _parsed(t) == t else json.dumps(redact_value(_parsed(t)), sort_keys=True, ensure_ascii=False))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def leaves(body: pd.Series) -> pd.Series:
     """All strings inside a JSON text, in order; a text that isn't JSON is its only one."""
     return body.map(lambda t: None if t is None else leaf_strings(_parsed(t)))
@@ -50,7 +51,7 @@ def fnv1a32(text: str) -> str:
     return f"{h:x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a(text: pd.Series) -> pd.Series:
     """FNV-1a, 32 bits, over UTF-16 code units, as hexadecimal digits."""
     return text.map(lambda t: None if t is None else fnv1a32(t))

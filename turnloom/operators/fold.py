@@ -180,7 +180,8 @@ def step(state: State, new: list[Piece], route: Route, drop: Drop, limit: int =
     gone: list[str] = []
     if revived is not None:
         task = replace(revived, pieces=(), last=now)
-        base, gone = _collapse([*revived.pieces, *base], {p.id for p in revived.pieces})
+        # A piece that both tasks hold is one piece, not a duplicate of itself.
+        base, gone = _collapse({p.id: p for p in (*base, *revived.pieces)}.values(), {p.id for p in revived.pieces})
     else:
         task = state.task if route == "same" else Task(f"task_{now}", now, now)
     if route == "new":
