@@ -33,7 +33,7 @@ class Piece:
 
     def absorb(self, other: Piece) -> Piece:
         """This piece, standing for another and for all that stood under it."""
-        return replace(self, duplicates=tuple(dict.fromkeys((*self.duplicates, other.id, *other.duplicates))))
+        return replace(self, duplicates=tuple(dict.fromkeys(d for d in (*self.duplicates, other.id, *other.duplicates) if d != self.id)))
 
 
 @dataclass(frozen=True)
