@@ -254,3 +254,21 @@ SELECT conv_id, place, size, kept FROM g""")
 def cap_bytes(t: Tables) -> DataFrame:
     """A budget of 400 bytes, so that the fixture's short messages meet it."""
     return decisions.cap_bytes(_pieces(t), ["conv_id"], ["place"], "size", "place", 400)
+
+
+@query("""WITH k AS (SELECT conv_id, turn, role, text, bool_and(role = 'system') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS lead, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS l FROM conversations),
+r AS (SELECT conv_id, CASE WHEN role = 'system' THEN 0 ELSE 2 END AS part, turn AS pos, role, text FROM k WHERE lead OR l IS NULL OR turn >= l UNION ALL SELECT DISTINCT conv_id, 1, 0, 'developer', '[memory] of ' || conv_id FROM conversations WHERE conv_id % 2 = 0)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY part, pos, role, text) - 1)::INT AS place, role, text FROM r""")
+def rewritten_requests(t: Tables) -> DataFrame:
+    from ..operators import prompt
+
+    memory = t.conversations.where("conv_id % 2 = 0").select("conv_id").distinct().withColumn("text", F.concat(F.lit("[memory] of "), F.col("conv_id").cast("string")))
+    return prompt.rewritten(t.conversations, memory, "conv_id", "turn", "role", "text")
+
+
+@query(f"SELECT conv_id, CASE WHEN g > 0 THEN 'shell,recall' ELSE 'shell' END AS tools FROM (SELECT conv_id, count(*) FILTER (kind <> 'user') AS g FROM {PIECES} GROUP BY 1)")
+def recall_tools(t: Tables) -> DataFrame:
+    from ..operators import prompt
+
+    gap = _pieces(t).groupBy("conv_id").agg(F.sum((F.col("kind") != "user").cast("long")).alias("g"))
+    return gap.select("conv_id", F.array_join(prompt.with_recall_tool(F.array(F.lit("shell")), F.col("g")), ",").alias("tools"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import archive, chunks, decisions, dedupe, metrics, turns
+from ..operators import archive, chunks, decisions, dedupe, logs, metrics, outline, predicates, turns
 from .registry import Tables, query
 
 HASH = "substr(sha256(text), 1, 20)"
@@ -259,3 +259,73 @@ def observed_turn_summary(t: Tables) -> DataFrame:
 @query("SELECT source, count(*) AS docs, avg((n_chars > 2000)::INT)::DOUBLE AS long_rate, count(*) FILTER (length(trim(text)) > 0)::DOUBLE / count(*) AS filled_rate FROM documents GROUP BY 1")
 def comparison_rates(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.count("*").alias("docs"), F.avg((F.col("n_chars") > 2000).cast("int")).alias("long_rate"), (F.sum((F.length(F.trim("text")) > 0).cast("long")) / F.count("*")).alias("filled_rate"))
+
+
+@query("SELECT event_id, status, coalesce(status IN (408, 409, 425, 429) OR status >= 500, false) AS retry FROM (SELECT event_id, 400 + event_id % 120 AS status FROM events)")
+def retryable_status(t: Tables) -> DataFrame:
+    e = t.events.select("event_id", (400 + F.col("event_id") % 120).alias("status"))
+    return e.withColumn("retry", predicates.retryable(F.col("status")))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN CASE WHEN n <= 1043480 THEN 'large' END WHEN n <= 395904 THEN 'small' WHEN n <= 1043480 THEN 'large' END AS model FROM (SELECT *, event_id * 150 AS n FROM events)")
+def model_choice(t: Tables) -> DataFrame:
+    purpose = F.when(F.col("event_type") == "click", "source_chunk_batch").otherwise("piece_drop_batch")
+    return t.events.select("event_id", predicates.model_for(purpose, F.col("event_id") * 150).alias("model"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'new_task' WHEN event_type = 'click' AND event_id % 3 - 2 < 0 THEN 'revive_task' ELSE 'same_task' END AS kind,
+CASE WHEN event_type = 'click' AND event_id % 3 - 2 < 0 THEN (event_id % 3 - 2)::INT END AS index FROM events""")
+def coerced_routes(t: Tables) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "new_task").when(F.col("event_type") == "click", "revive_task").otherwise(F.col("event_type"))
+    return t.events.select("event_id", predicates.coerced_route(kind, F.col("event_id") % 3 - 2).alias("r")).select("event_id", "r.kind", "r.index")
+
+
+@query("SELECT d.doc_id, l.quality, CASE WHEN l.doc_id IS NULL THEN 'missing_from_response' ELSE 'answered' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
+def chunk_result_defaults(t: Tables) -> DataFrame:
+    return predicates.with_missing(t.documents.select("doc_id"), t.labels, ["doc_id"], "quality")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unfinished_runs(t: Tables) -> DataFrame:
+    return predicates.unfinished(t.documents.select("doc_id"), t.labels, ["doc_id"])
+
+
+@query("""SELECT a.user_id, a.event_id, b.units FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'click') a
+LEFT JOIN (SELECT user_id, floor(value * 100)::BIGINT AS units, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'view') b USING (user_id, n)""")
+def positional_usage(t: Tables) -> DataFrame:
+    """Clicks stand for assistant messages, views for usage records; they meet by their place."""
+    e = _usage(t).select("user_id", "event_id", "event_type", "units")
+    return predicates.zipped(e.where("event_type = 'click'").select("user_id", "event_id"), e.where("event_type = 'view'"), "user_id", "event_id", "units")
+
+
+@query("""SELECT user_id, event_id, coalesce(CASE WHEN event_id % 7 = 0 THEN 'own' END, c.tool) AS tool FROM (SELECT user_id, event_id, event_id % 4 AS call FROM events WHERE event_type = 'purchase') o
+LEFT JOIN (SELECT user_id, event_id % 4 AS call, max_by(event_type || event_id, event_id) AS tool FROM events WHERE event_type <> 'purchase' GROUP BY 1, 2) c USING (user_id, call)""")
+def tool_names(t: Tables) -> DataFrame:
+    """Purchases are outputs, every other event a call; ids modulo four are call ids."""
+    out = F.col("event_type") == "purchase"
+    name = F.when(~out, F.concat("event_type", F.col("event_id").cast("string"))).when(F.col("event_id") % 7 == 0, "own")
+    items = t.events.select("user_id", "event_id", (F.col("event_id") % 4).alias("call"), name.alias("name"), out.alias("is_output"))
+    return predicates.named_outputs(items, "user_id", "call", "event_id", "name", "is_output").select("user_id", "event_id", "tool")
+
+
+@query("SELECT user_id, sum(length(props))::BIGINT AS bytes, count(*) AS calls, count(DISTINCT event_id % 5) AS sources FROM events WHERE event_type = 'error' GROUP BY 1")
+def recalled_sources(t: Tables) -> DataFrame:
+    e = t.events.where("event_type = 'error'").select("user_id", F.octet_length("props").cast("long").alias("size"), F.array(F.col("event_id") % 5).alias("ids"))
+    return logs.recalled(e, "user_id", "ids", "size")
+
+
+@query("SELECT doc_id, n_chars AS actual, ceil((length(text) + length(source) + 200) / 4.0)::BIGINT AS estimated, n_chars - ceil((length(text) + length(source) + 200) / 4.0)::BIGINT AS delta FROM documents")
+def usage_estimates(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", F.col("n_chars").alias("actual"), T.utf16_length("text").alias("a"), T.utf16_length("source").alias("b"))
+    return logs.usage_with_estimates(d, "actual", [F.col("a"), F.col("b"), F.lit(200)]).select("doc_id", "actual", "estimated", "delta")
+
+
+@query("""SELECT user_id, count(*) AS events, min(event_id) AS first_event FROM (SELECT *, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) AS l FROM events) WHERE event_id >= l GROUP BY 1""")
+def latest_batch(t: Tables) -> DataFrame:
+    e = logs.latest_batch(t.events.select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "signup")
+    return e.groupBy("user_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
+
+
+@query()
+def outlined_chunks(t: Tables) -> DataFrame:
+    return outline.outlined(t.documents.select("doc_id", "text"), "doc_id", "text")
