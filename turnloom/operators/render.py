@@ -18,3 +18,22 @@ def memory_text(entries: DataFrame, session: str, order: list[str], entry: str)
     """(session, text): a session's entries in order between the block's marks. The block is the product, so its entries meet."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(entry).alias("_e")))), lambda x: x["_e"])
     return entries.groupBy(session).agg(F.concat_ws("\n", F.lit("[memory]"), F.array_join(lines, "\n"), F.lit("[/memory]")).alias("text"))
+
+
+def report_line(name: Column, counts: dict[str, Column], longest: Column) -> Column:
+    """A line of a written report: a name, its counts, and the longest."""
+    parts = [F.concat(c.cast("string"), F.lit(f" {k}")) for k, c in counts.items()]
+    return F.concat(F.lit("- "), name, F.lit(": "), F.concat_ws(", ", *parts, F.concat(F.lit("longest "), longest.cast("string"))))
+
+
+def report(lines: DataFrame, path: str, title: str, line: str = "line") -> None:
+    """Writes a report of few lines as text."""
+    head = lines.sparkSession.createDataFrame([(0, f"# {title}"), (1, "")], "_n int, value string")
+    body = lines.select(F.lit(2).alias("_n"), F.col(line).alias("value"))
+    head.unionByName(body).orderBy("_n", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def token_summary(total: Column, inputs: Column, cached: Column, output: Column) -> Column:
+    """A session's tokens in words."""
+    n = lambda c: F.format_number(c, 0)
+    return F.concat(F.lit("Token usage: total="), n(total), F.lit(" input="), n(inputs - cached), F.when(cached > 0, F.concat(F.lit(" (+ "), n(cached), F.lit(" cached)"))).otherwise(""), F.lit(" output="), n(output))

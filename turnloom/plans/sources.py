@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import archive, chunks, decisions, dedupe, logs, metrics, outline, predicates, turns
+from ..operators import archive, chunks, decisions, dedupe, logs, metrics, outline, predicates, render, turns
+from ..streaming import observed
 from .registry import Tables, query
 
 HASH = "substr(sha256(text), 1, 20)"
@@ -240,7 +241,7 @@ def status_counts(t: Tables) -> DataFrame:
     return n.join(ten, "event_type").select("event_type", "n", "users", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("first_ten"))
 
 
-TURNS = """(SELECT user_id, event_type, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY n) AS turn FROM (SELECT *, max(ends) OVER (PARTITION BY user_id, n) AS done FROM (
+TURNS = """(SELECT user_id, event_type, event_id, ts, dense_rank() OVER (PARTITION BY user_id ORDER BY n) AS turn FROM (SELECT *, max(ends) OVER (PARTITION BY user_id, n) AS done FROM (
 SELECT * FROM (SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id, n ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ends FROM (
 SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM events) WHERE n > 0) WHERE ends = 0 OR ends = 1 AND event_type = 'purchase')) WHERE done = 1)"""
 
@@ -329,3 +330,16 @@ def latest_batch(t: Tables) -> DataFrame:
 @query()
 def outlined_chunks(t: Tables) -> DataFrame:
     return outline.outlined(t.documents.select("doc_id", "text"), "doc_id", "text")
+
+
+@query(f"SELECT user_id, turn, count(*) AS events, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event FROM {TURNS} GROUP BY 1, 2")
+def observed_turns_stream(t: Tables) -> DataFrame:
+    """The turns of `observed_turn_summary` as a stream over the events' files; its SQL is the batch version."""
+    live = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*")
+    return observed.run_available(observed.observed_turns_stream(live), "turns")
+
+
+@query("""SELECT source, '- ' || source || ': ' || count(*) || ' documents, ' || sum(n_chars) || ' characters, longest ' || max(n_chars) AS line FROM documents GROUP BY 1""")
+def report_lines(t: Tables) -> DataFrame:
+    n = t.documents.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("c"), F.max("n_chars").alias("m"))
+    return n.select("source", render.report_line(F.col("source"), {"documents": F.col("n"), "characters": F.col("c")}, F.col("m")).alias("line"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState
 
 OUT = "user_id long, turn long, events long, first_event long, last_event long"
@@ -39,3 +41,17 @@ def observed_turns_stream(events: DataFrame) -> DataFrame:
     """
     cols = events.select("user_id", "ts", "event_id", "event_type")
     return cols.groupBy("user_id").applyInPandasWithState(turn_machine, OUT, STATE, "append", "NoTimeout")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a local one only where none is set, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="turnloom-")).rstrip("/")
+
+
+def run_available(stream: DataFrame, label: str) -> DataFrame:
+    """Runs a stream over what is there now into a Parquet sink in the shared folder, and reads that."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/turnloom/stream-{label}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
