@@ -53,4 +53,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_lm, op3_decontam, op4_sharding, op5_ann, op6_html, op7_suffix, op8_mixing, op9_toxicity, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op7_suffix": sufdedup.ORACLE, "op8_mixing": mixing.ORACLE}

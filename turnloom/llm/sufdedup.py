@@ -250,3 +250,16 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 32) -> DataFrame:
 
     joined = texts.join(spans, "key", "left").select("doc_id", "text", "spans")
     return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT r, i, md5_number(substr(h, (2 * i + 1)::BIGINT, 400)) AS k FROM (SELECT r, h, unnest(range(0, greatest(0, n - 199))) AS i FROM d)),
+s AS (SELECT r, i FROM w JOIN (SELECT k FROM w GROUP BY 1 HAVING count(*) > 1) USING (k)),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM s),
+p AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS q FROM g) GROUP BY r, q),
+k AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, (2 * prev + 1)::BIGINT, (2 * (a - prev))::BIGINT), '' ORDER BY a) AS kept, max(b) AS e
+  FROM (SELECT p.*, d.h, coalesce(lag(b) OVER (PARTITION BY p.r ORDER BY a), 0) AS prev FROM p JOIN d USING (r)) GROUP BY r)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN k.r IS NULL THEN d.h ELSE k.kept || substr(d.h, (2 * k.e + 1)::BIGINT) END)) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
