@@ -32,10 +32,17 @@ def _parsed(text: str | None) -> object:
         return text
 
 
+def redact_text(body: str | None) -> str | None:
+    try:
+        return None if body is None else json.dumps(redact_value(json.loads(body)), sort_keys=True, ensure_ascii=False)
+    except ValueError:
+        return body
+
+
 @F.pandas_udf(StringType())
 def redact(body: pd.Series) -> pd.Series:
     """A JSON text with secret fields blanked at every depth; other texts as they are."""
-    return body.map(lambda t: t if t is None or isinstance(_parsed(t), str) and _parsed(t) == t else json.dumps(redact_value(_parsed(t)), sort_keys=True, ensure_ascii=False))
+    return body.map(redact_text)
 
 
 @F.pandas_udf(ArrayType(StringType()))
