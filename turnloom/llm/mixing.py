@@ -105,7 +105,7 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     taken = mix_documents(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     copies = taken.where("_size > 0").select("_id", F.floor((2 * F.col("_taken") + F.col("_size")) / (2 * F.col("_size"))).alias("_copies")).where("_copies > 0")
     cols = docs.columns
-    out = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    out = docs.join(copies.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
     return out.select(*cols, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*cols)
 
 

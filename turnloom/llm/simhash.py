@@ -133,7 +133,8 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))))
     found = near_duplicates(docs.select(own.alias("doc_id"), "text"), width, radius)
     kept = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), "simhash-kept")
-    out = docs.withColumn("_own", own).join(kept.select("_kept"), F.col("_own") == F.col("_kept"), "left_semi")
+    # One plan at every size: a merge join moves each text once, where a broadcast would hold only while survivors are few.
+    out = docs.withColumn("_own", own).join(kept.select("_kept").hint("merge"), F.col("_own") == F.col("_kept"), "left_semi")
     if kept.where("_n > 1").limit(1).count():
         out = out.dropDuplicates(["_own"])
     return out.drop("_own")
