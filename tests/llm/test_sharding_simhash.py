@@ -121,3 +121,34 @@ def test_fingerprint_by_hand():
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
     want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
     assert simhash.fingerprint(text, 3) == want
+
+
+def test_edited_copies_are_found(spark):
+    """Components of all pairs whose sets of five-word shingles have a similarity of 0.8 or more, counted one by one."""
+    rng = np.random.default_rng(9)
+    docs = []
+    for g in range(40):
+        base = [f"w{i}" for i in rng.integers(0, 900, 200)]
+        for edits in (0, 1, 2, 3, 4, 6, 9):
+            w = list(base)
+            for i in rng.choice(200, edits, replace=False):
+                w[i] = f"new{rng.integers(0, 10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    docs += [(1000 + d, t) for d, t in ODD if d is not None]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [shingles((t or "").lower().split()) for _, t in docs]
+    root = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {}
+    for (d, _), r in zip(docs, root, strict=True):
+        want.setdefault(r, set()).add(d)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {}
+    for r in simhash.similar(df).collect():
+        got.setdefault(r["component_id"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert simhash.keep_dissimilar(df).select("doc_id").distinct().count() == len(want)
+    assert simhash.keep_one(df).select("doc_id").distinct().count() > len(want)  # two of 64 bits lose copies

@@ -16,6 +16,8 @@ from .common import materialize
 SEED = 42
 #: Blocks with more fingerprints than this are linked through shared neighbours instead of pairs.
 PAIRS_MOST = 32
+#: Bands of a MinHash signature and hashes a band: 0.9998 of pairs of sets with a similarity of 0.8 agree on a band.
+BANDS, ROWS = 16, 4
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -130,11 +132,113 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
 
     A row without doc_id goes by its text, after all others. Rows that repeat a doc_id count once.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))))
-    found = near_duplicates(docs.select(own.alias("doc_id"), "text"), width, radius)
+    return _first_of_each(docs, near_duplicates(_by_own_id(docs), width, radius))
+
+
+def _own() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))))
+
+
+def _by_own_id(docs: DataFrame) -> DataFrame:
+    return docs.select(_own().alias("doc_id"), "text")
+
+
+def _first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     kept = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), "simhash-kept")
     # One plan at every size: a merge join moves each text once, where a broadcast would hold only while survivors are few.
-    out = docs.withColumn("_own", own).join(kept.select("_kept").hint("merge"), F.col("_own") == F.col("_kept"), "left_semi")
+    out = docs.withColumn("_own", _own()).join(kept.select("_kept").hint("merge"), F.col("_own") == F.col("_kept"), "left_semi")
     if kept.where("_n > 1").limit(1).count():
         out = out.dropDuplicates(["_own"])
     return out.drop("_own")
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The different XXH64 of the text's word shingles, in order; a text of fewer words is one shingle, one without words has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    start = np.r_[0, end[:-1] + 1]
+    n = max(1, len(words) - width + 1)
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(line[s:e], SEED) for s, e in zip(start[:n].tolist(), end[min(width, len(words)) - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def set_id(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, node, size, bands): the shingle set's hash and size, and its MinHash bands."""
+    rng = np.random.default_rng(SEED)
+    a = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+    def bands(x: np.ndarray) -> list[int]:
+        low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+        for at in range(0, len(x), 4096):
+            part = x[at : at + 4096]
+            low = np.minimum(low, (part[None, :] * a[:, None] + b[:, None]).min(axis=1))
+        return [xxhash.xxh64_intdigest(r.tobytes()) for r in low.reshape(BANDS, ROWS)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            node, size, keys = [], [], []
+            for t in pdf["text"]:
+                x = shingle_set(t, width)
+                node.append(_signed(set_id(x)))
+                size.append(len(x))
+                keys.append(np.array(bands(x), np.uint64).view(np.int64))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": np.array(node, np.int64), "size": np.array(size, np.int64), "bands": keys})
+
+    return docs.mapInPandas(run, "doc_id long, node long, size long, bands array<long>")
+
+
+def candidates(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, sizes) of (node, size, bands) that agree on a band and whose sizes allow the similarity.
+
+    In a block of more than PAIRS_MOST sets each meets the block's leader alone, another one in each band: up to BANDS
+    pairs a set, whatever the block's size.
+    """
+    keyed = nodes.select("node", "size", F.posexplode("bands").alias("m", "key"))
+    busy = keyed.groupBy("m", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "m").alias("h"), "node", "size")).alias("lead")).where("n > 1")
+    keyed = materialize(keyed.join(busy, ["m", "key"]), "shingle-blocks")
+    small = keyed.where(F.col("n") <= PAIRS_MOST)
+    left, right = (small.select("m", "key", F.col("node").alias(x), F.col("size").alias(f"s{x}")) for x in "ab")
+    pairs = left.join(right, ["m", "key"]).where("a < b").select("a", "b", "sa", "sb")
+    led = keyed.where(F.col("n") > PAIRS_MOST).select(F.struct("node", "size").alias("x"), F.struct("lead.node", "lead.size").alias("y")).where("x.node <> y.node")
+    led = led.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("sa"), F.col("y.size").alias("sb"))
+    return pairs.unionByName(led).where(F.least("sa", "sb") >= F.lit(least) * F.greatest("sa", "sb") - 1e-9).distinct()
+
+
+def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for documents (doc_id, text): linked are those whose sets of word shingles have a Jaccard
+    similarity of `least` or more, counted exactly for all candidates. component_id is the smallest doc_id reachable."""
+    sig = materialize(signatures(docs, width), "shingle-signatures")
+    nodes = materialize(sig.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "shingle-nodes")
+    pairs = materialize(candidates(nodes, least), "shingle-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = nodes.join(asked, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                sets = [shingle_set(t, width) for t in pdf["text"][at : at + 500]]
+                yield pd.DataFrame({"node": np.array([_signed(set_id(x)) for x in sets], np.int64), "x": [x.view(np.int64) for x in sets]})
+
+    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").select("text").mapInPandas(run, "node long, x array<long>")
+    sets = materialize(sets.join(asked.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("y")).hint("merge"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    edges = both.where(common >= F.lit(least) * (F.col("sa") + F.col("sb") - common) - 1e-9).select("a", "b")
+    comp = components(edges)
+    rooted = nodes.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = materialize(rooted.join(firsts, "root").select("node", "component_id"), "shingle-classes")
+    return sig.join(classes, "node").select("doc_id", "component_id")
+
+
+def keep_dissimilar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """As keep_one, for texts whose shingle sets have a similarity of `least` or more."""
+    return _first_of_each(docs, similar(_by_own_id(docs), width, least))
