@@ -1,3 +1,5 @@
+import numpy as np
+
 from turnloom.llm import htmlmain
 
 PAGE = "<html><head><title>No</title><style>p{}</style></head><body><nav><ul><li><a href='/x'>menu one</a></li><li><a href='/y'>two</a></li></ul></nav><div class=\"ad\">Buy this now and more of it</div><article><h1>Head &amp; line</h1><p>First  <b>block</b>\n of &eacute;t&eacute; words here.<p>Second block, with a <a href=/z>link</a> inside it.</p><script>var t='</p>';</script><div class='advert box'>inner advert</div><p>Last one.</p></article><div id=comments><p>I said this</p></div><footer>&copy; me and others</footer></body></html>"
@@ -40,3 +42,35 @@ def test_region_has_the_largest_sum():
         s = [r.randint(-5, 5) for _ in range(r.randint(0, 12))]
         a, b = htmlmain.region(s)
         assert sum(s[a:b]) == brute(s)
+
+
+def fitted():
+    c = htmlmain.evidence([PAGE.replace("Last one.", f"Last one number {i} of many.") for i in range(30)])
+    odds = {p: float(np.clip(np.log((c[p, True] + 0.5) / (c[p, False] + 0.5)), -6, 6)) for p, _ in list(c)}
+    return htmlmain.Scorer({p: w for p, w in odds.items() if not p.startswith("name:")}, {p[5:]: w for p, w in odds.items() if p.startswith("name:")})
+
+
+def test_names_are_evidence_and_no_veto():
+    body = "".join(f"<p>Paragraph {i} has some words of the article in it.</p>" for i in range(5))
+    text = "\n".join(f"Paragraph {i} has some words of the article in it." for i in range(5))
+    s = fitted()
+    for name in ("entry-content no-sidebar", "post has-comments", "post-social", "content sidebar"):
+        assert s.extract(f'<html><body><nav><a href=/>menu</a></nav><div class="{name}">{body}</div><footer>me</footer></body></html>') == text
+    board = '<p class="notice-board">A board of notices hangs in the hall of the house.</p>'
+    assert s.extract(f"<html><body><article>{body}{board}</article></body></html>") == text + "\nA board of notices hangs in the hall of the house."
+    assert s.extract(f'<html><body><article>{body}<div class="comments"><p>I said this</p></div></article></body></html>') == text
+
+
+def test_names_are_learnt():
+    pages = [f'<html><body><div class="zone9"><p>wares to buy {i} now and here</p></div><article><p>text number {i} of the article</p></article></body></html>' for i in range(40)]
+    c = htmlmain.evidence(pages)
+    assert c["name:zone9", False] > 0 and c["name:zone9", True] == 0
+
+
+def test_ties_repeats_and_long_pages(spark):
+    assert htmlmain.region([1, -1, 1]) == (0, 1) and htmlmain.region([2, 0, -3, 2]) == (0, 1)
+    long = "<article>" + "<p>one two three</p>" * 60_000 + "</article>"
+    rows = [(1, "u", PAGE, None, None), (1, "u", PAGE, None, None), (2, "u", long, None, None)]
+    out = htmlmain.main_text(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [r["text"] for r in out if r["page_id"] == 1] == [WANT] * 2
+    assert [r["n_chars"] for r in out if r["page_id"] == 2] == [60_000 * 14 - 1]

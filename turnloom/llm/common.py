@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where it is unset, a local session (as in tests) gets a
+    folder of its own and any other an error, as its executors would not see each other's files."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="turnloom-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")

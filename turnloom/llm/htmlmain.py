@@ -20,54 +20,87 @@ _TOKEN = re.compile(
 )
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that are never article text, and words of class, id or role that say so.
+#: Elements that are never article text.
 _SKIP = frozenset("head nav header footer aside form button select menu dialog".split())
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sidebar|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|cookies?|consent|notice|popup|promo|sponsor\w*|related|share|social|footer|header|masthead|newsletter|subscribe|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Names of classes, ids and roles: what they say before any page is read. They are evidence, added to what is learnt.
+_NOISE = frozenset(
+    "ad ads advert adverts advertisement banner sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus cookie cookies consent notice popup promo sponsor sponsored related share social footer header masthead newsletter subscribe complementary contentinfo".split()
+)
+_TEXT = frozenset("article content entry post story main body text".split())
+_NOT = frozenset("no not non has have with without".split())
+#: A name that is a word of noise or of text; one that has it as a part; the sum from which an element's words don't count.
+WHOLE, PART, GONE = 8.0, 2.0, -6.0
+#: What is learnt of a place or a name says no more than this.
+MOST = 6.0
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def prior(name: str) -> float:
+    """What a class, id or role says by itself: above 0 for text, below for what isn't."""
+    if name in _NOISE or name in _TEXT:
+        return WHOLE if name in _TEXT else -WHOLE
+    parts = re.split(r"[_-]+", name)
+    if parts[0] in _NOT:
+        return 0.0
+    return PART * (any(p in _TEXT for p in parts) - any(p in _NOISE for p in parts))
+
+
 class Token:
-    """A tag (text None) or a run of text; `place` is what its score depends on."""
+    """A tag (text None) or a run of text; `place` and the `names` of open elements are what its score depends on.
 
-    __slots__ = ("text", "place", "breaks", "skipped", "n")
+    `lean` sums up what elements and names say; a text that leans to GONE or further is not the article's.
+    """
+
+    __slots__ = ("text", "place", "breaks", "names", "lean", "n")
 
-    def __init__(self, text, place, breaks, skipped):
-        self.text, self.place, self.breaks, self.skipped = text, place, breaks, skipped
+    def __init__(self, text, place, breaks, names, lean):
+        self.text, self.place, self.breaks, self.names, self.lean = text, place, breaks, names, lean
         self.n = len(text.split()) if text else 1
 
+    @property
+    def gone(self) -> bool:
+        return self.lean <= GONE
+
 
-def tokens(page: str) -> list[Token]:
-    """The page's tags and texts. Text inside an element that is no article text is marked as skipped."""
-    out, stack, skip = [], [], 0
+def _names(attributes: str) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(x for a in _ATTR.findall(attributes) for x in (a[0] or a[1] or a[2]).lower().split()))
+
+
+def tokens(page: str, learnt: dict[str, float] | None = None) -> list[Token]:
+    """The page's tags and texts, with what the elements around them say by their kind and, as `learnt`, by their names."""
+    learnt = learnt or {}
+    out: list[Token] = []
+    stack: list[tuple[str, tuple[str, ...], float]] = []  # open elements, all names and the lean down to each
     for m in _TOKEN.finditer(page):
         name = m[3]
+        names, lean = stack[-1][1:] if stack else ((), 0.0)
         if name is None:
             if m[1] or m[0][0] == "<" and len(m[0]) > 1 and m[0][1] in "!?":
                 continue
-            inner = next((t for t, _ in reversed(stack) if t not in _INLINE), "")
-            link = any(t == "a" for t, _ in stack)
-            out.append(Token(m[0], "word:" + ("link:" if link else "") + inner, False, skip > 0))
+            inner = next((t for t, _, _ in reversed(stack) if t not in _INLINE), "")
+            link = any(t == "a" for t, _, _ in stack)
+            out.append(Token(m[0], "word:" + ("link:" if link else "") + inner, False, names, lean))
             continue
         name, end = name.lower(), bool(m[2])
         block = name not in _INLINE
         if end:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if at is not None:
-                skip -= sum(s for _, s in stack[at:])
                 del stack[at:]
-            out.append(Token(None, "/" + name, block, skip > 0))
-            continue
-        if block:  # a new block ends an open paragraph and what is open inside it
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in _INLINE), None)
-            if at is not None and (stack[at][0] == "p" or stack[at][0] == name == "li"):
-                skip -= sum(s for _, s in stack[at:])
-                del stack[at:]
-        no = name in _SKIP and not (name == "header" and any(t in ("article", "main") for t, _ in stack))
-        no = no or name not in ("html", "body", "article", "main") and any(_NAMES.search(a or b or c) for a, b, c in _ATTR.findall(m[4]))
-        if name not in _VOID and not m[4].endswith("/"):
-            stack.append((name, no))
-            skip += no
-        out.append(Token(None, name, block, skip > 0))
+        else:
+            if block:  # a new block ends an open paragraph and what is open inside it
+                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in _INLINE), None)
+                if at is not None and (stack[at][0] == "p" or stack[at][0] == name == "li"):
+                    del stack[at:]
+                    names, lean = stack[-1][1:] if stack else ((), 0.0)
+            if name in _SKIP and not (name == "header" and any(t in ("article", "main") for t, _, _ in stack)):
+                lean -= WHOLE
+            if name not in ("html", "body", "article", "main"):
+                own = _names(m[4])
+                names, lean = names + own, lean + sum(prior(x) + learnt.get(x, 0.0) for x in own)
+            if name not in _VOID and not m[4].endswith("/"):
+                stack.append((name, names, lean))
+        out.append(Token(None, ("/" if end else "") + name, block, names, lean))
     return out
 
 
@@ -90,7 +123,7 @@ def blocks(run: list[Token]) -> str:
         if t.breaks:
             parts.append("".join(cur))
             cur = []
-        elif t.text is not None and not t.skipped:
+        elif t.text is not None and not t.gone:
             cur.append(t.text)
         elif t.place in ("br", "img", "wbr"):
             cur.append(" ")
@@ -100,24 +133,27 @@ def blocks(run: list[Token]) -> str:
 
 
 class Scorer:
-    """Score of a word or a tag by its place. Words of places never seen count 1, tags -1."""
+    """Score of a word or a tag by its place, and of a word by the names around it. Words of places never seen count 1, tags -1."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+    def __init__(self, places: dict[str, float], names: dict[str, float] | None = None):
+        self.places, self.names = places, names or {}
 
     def __call__(self, t: Token) -> float:
-        if t.text is not None:
-            return 0.0 if t.skipped or not t.n else t.n * self.weights.get(t.place, 1.0)
-        return min(-0.01, self.weights.get(t.place, -1.0))
+        if t.text is None:
+            return min(-0.01, self.places.get(t.place, -1.0))
+        if t.gone or not t.n:
+            return 0.0
+        return t.n * (self.places.get(t.place, 1.0) + float(np.clip(t.lean, -MOST, MOST)))
 
     def extract(self, page: str | None) -> str:
-        run = tokens(page or "")
+        run = tokens(page or "", self.names)
         a, b = region([self(t) for t in run])
         return blocks(run[a:b])
 
 
 def evidence(pages: list[str | None]) -> Counter:
-    """How often each place occurs inside and outside the labelled region. A page is labelled by its markup: one article element."""
+    """How often each place occurs inside and outside the labelled region, and each name around words. A page is labelled
+    by its markup: one article element, without what elements and names in it say is noise."""
     c: Counter = Counter()
     for page in pages:
         run = tokens(page or "")
@@ -125,13 +161,17 @@ def evidence(pages: list[str | None]) -> Counter:
         b = [i for i, t in enumerate(run) if t.place == "/article"]
         if len(a) == len(b) == 1 and a[0] < b[0]:
             for i, t in enumerate(run):
-                if t.n:
-                    c[t.place, a[0] < i < b[0]] += t.n
+                inside = a[0] < i < b[0]
+                if t.n and not (t.text is not None and t.gone):  # names explain those
+                    c[t.place, inside] += t.n
+                if t.text is not None:
+                    for x in dict.fromkeys(t.names):
+                        c["name:" + x, inside and not t.gone] += t.n
     return c
 
 
 def fit(pages: DataFrame, sample: int = 2048) -> Scorer:
-    """Log odds, inside against outside, of each place over `sample` pages at most (the smallest hashes of page_id)."""
+    """Log odds, inside against outside, of each place and name over `sample` pages at most (the smallest hashes of page_id)."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             c = evidence(pdf["html"].tolist())
@@ -142,15 +182,17 @@ def fit(pages: DataFrame, sample: int = 2048) -> Scorer:
     if last is None:
         return Scorer({})
     rows = hashed.where(F.col("h") <= last).select("html").mapInPandas(count, "place string, inside boolean, n long").groupBy("place", "inside").agg(F.sum("n").alias("n"))
-    n = {(r["place"], r["inside"]): r["n"] for r in rows.orderBy(F.desc("n")).limit(20_000).collect()}
-    return Scorer({p: float(np.clip(np.log((n.get((p, True), 0) + 0.5) / (n.get((p, False), 0) + 0.5)), -6, 6)) for p, _ in n})
+    n = {(r["place"], r["inside"]): r["n"] for r in rows.collect()}  # places and names of the sampled pages alone
+    odds = {p: float(np.clip(np.log((n.get((p, True), 0) + 0.5) / (n.get((p, False), 0) + 0.5)), -MOST, MOST)) for p, _ in n}
+    return Scorer({p: w for p, w in odds.items() if not p.startswith("name:")}, {p[5:]: w for p, w in odds.items() if p.startswith("name:")})
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page (page_id, url, html).
 
     Null and empty pages, and pages without text, give an empty text. Markup that is cut off or not closed is taken
-    as it stands. Repeated rows give repeated results, an empty table none; other columns are ignored.
+    as it stands, and a page of any length as a whole. Of regions with equal sums the earliest counts. Repeated rows give
+    repeated results, an empty table none; other columns are ignored.
     """
     src = pages.select("page_id", "url", "html")
     shared = pages.sparkSession.sparkContext.broadcast(fit(src))

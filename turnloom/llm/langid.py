@@ -5,12 +5,13 @@ Trained by follow-the-regularised-leader with elastic-net penalties, then calibr
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hashed n-grams (1 to 3 characters) have this many buckets.
@@ -21,8 +22,8 @@ SPACE = 32
 
 @cache
 def _letters() -> np.ndarray:
-    """Each code point of the first plane as itself if a letter, else a space."""
-    return np.array([c if chr(c).isalpha() else SPACE for c in range(0x10000)], np.uint32)
+    """Each code point as itself if a letter, else a space."""
+    return np.array([c if chr(c).isalpha() else SPACE for c in range(0x110000)], np.uint32)
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -31,8 +32,7 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(("  " + "  ".join(parts) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, parts), np.int64, len(parts)) + 2
     start = np.r_[0, np.cumsum(size)] + 1
-    cp = np.where(raw < 0x10000, _letters()[np.minimum(raw, 0xFFFF)], raw)
-    return cp, start
+    return _letters()[raw], start
 
 
 def ngrams(cp: np.ndarray) -> Iterator[np.ndarray]:
@@ -143,11 +143,11 @@ class Model:
         return [self.classes[b] if s else "und" for b, s in zip(best, some, strict=True)], np.where(some, p.max(axis=1), 0.0)
 
 
-def fit(train: DataFrame, sample: int = 2048, epochs: int = 4) -> Model | None:
+def fit(train: DataFrame, sample: int = 512, epochs: int = 4) -> Model | None:
     """A model from rows (doc_id, text, lang), lang not null; None without any.
 
-    Document frequencies are those of all rows. The weights are fitted on `sample` rows at most (the smallest
-    hashes of doc_id), a fifth of them kept for the temperature.
+    Document frequencies are those of all rows. The weights are fitted on `sample` rows of each language at most (the
+    smallest hashes of doc_id, ties by the text's), so a rare language keeps its class; a fifth are kept for the temperature.
     """
     counts = train.select("text").mapInPandas(document_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = int(counts.loc[counts["bucket"] < 0, "n"].sum())
@@ -165,11 +165,19 @@ def fit(train: DataFrame, sample: int = 2048, epochs: int = 4) -> Model | None:
                 yield pd.DataFrame({"h": pdf["h"], "doc_id": pdf["doc_id"], "lang": pdf["lang"], "ids": [i.tobytes() for i, _ in f], "tf": [x.tobytes() for _, x in f]})
 
     hashed = train.select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang", "text")
-    last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    rows = hashed.where(F.col("h") <= last).mapInPandas(sparse, "h long, doc_id long, lang string, ids binary, tf binary").orderBy("h", "lang", "ids").limit(sample).collect()
-    classes = sorted({r["lang"] for r in rows})
-    data = []
+    # Each map task keeps its first `sample` a language, so no language meets in one task.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = {r["lang"]: r["h"] for r in hashed.select("h", "lang").withColumn("n", place).where(F.col("n") <= sample).groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    chosen = F.lit(False)
+    for lang, h in sorted(last.items()):
+        chosen = chosen | (F.col("lang") == lang) & (F.col("h") <= h)
+    found = hashed.where(chosen).mapInPandas(sparse, "h long, doc_id long, lang string, ids binary, tf binary")
+    rows = sorted(found.collect(), key=lambda r: (r["h"], r["lang"], r["ids"], r["tf"]))
+    classes, seen, data = sorted(last), Counter(), []
     for r in rows:
+        seen[r["lang"]] += 1
+        if seen[r["lang"]] > sample:  # rows that repeat a doc_id share its hash
+            continue
         ids = np.frombuffer(r["ids"], np.int32)
         if len(ids):
             data.append((ids, np.frombuffer(r["tf"], np.float32) * idf[ids], classes.index(r["lang"])))
@@ -210,7 +218,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose language a model learnt from the table's own labels names with a probability of `least` or more.
 
-    Texts without letters go. Without labels there is no model, and all rows with letters stay.
+    Null and empty texts and those without letters go; whole texts are read, however long. Without labels there is no
+    model, and all rows with letters stay. Repeated rows stay or go alike, of two equally likely languages the first by
+    name counts, an empty table stays empty, and other columns pass through, whatever their names.
     """
     model = fit(docs.where(F.col("lang").isNotNull() & ~held_out(5)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -231,6 +241,10 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of all documents, learnt from the labelled ones that are not held out."""
+    """(doc_id, held_out, lang_pred, score) of all documents, learnt from the labelled ones that are not held out.
+
+    Whole texts are read, in pieces of about a million characters at a time where rows allow. Equally likely languages:
+    the first by name. Nulls, repeated rows and empty tables as in `identify`.
+    """
     model = fit(docs.where(F.col("lang").isNotNull() & ~held_out(5)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
     return identify(docs, model).select("doc_id", held_out(5).alias("held_out"), "lang_pred", "score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from itertools import count as count_from
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ BANDS, ROWS = 16, 4
 
 def fingerprint(text: str | None, width: int) -> int:
     """Bit b is 1 if set in over half of the XXH64 of the text's word shingles; 0 for a text without words."""
-    words = (text or "").encode().lower().split()
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
     line = b" ".join(words)
@@ -92,10 +93,14 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge; root: the smallest node that it reaches. Large-star and small-star rounds."""
+    """(node, root) of every node with an edge; root: the smallest node that it reaches.
+
+    Large-star and small-star rounds until the edges stand still, which they do after a number of rounds that grows with
+    the logarithm of the longest path squared.
+    """
     cur = materialize(edges.select("a", "b").where("a <> b").distinct(), "cc-0")
     count = -1
-    for i in range(1, 60):
+    for i in count_from(1):
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("l")).select("a", F.least("a", "l").alias("l"))
         large = both.join(least, "a").where("b > a and b <> l").select(F.col("l").alias("a"), "b").distinct()
