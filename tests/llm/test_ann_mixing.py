@@ -28,7 +28,7 @@ def test_recall_and_scores(spark):
     for r in ann.nearest(vec_table(spark, rows).repartition(5)).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
     want = brute(rows, 10, 100)
-    assert set(got) == set(want)
+    assert set(got) == set(want)  # 9400 is alone with its length
     hits = 0
     for q, near in want.items():
         assert sorted(got[q]) == list(range(1, 11))
@@ -37,6 +37,27 @@ def test_recall_and_scores(spark):
     assert hits / (10 * len(want)) >= 0.98
 
 
+def test_packed_products_are_near_the_exact_ones():
+    rng = np.random.default_rng(1)
+    x, q = rng.standard_normal((500, 100)), rng.standard_normal((20, 100))
+    rot = ann.Rotation(np.zeros(100))
+    packed, norm, ip = rot.encode(x)
+    code = np.ascontiguousarray(packed).view(np.uint64)
+    ask = rot.asked(q)
+    got = ask.products(slice(0, 20), code, np.bitwise_count(code).sum(axis=1)) / ip
+    want = (q / np.linalg.norm(q, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T
+    err = np.sqrt((1 - ip * ip) / (ip * ip) / (rot.bits - 1) + ask.step[:, None] ** 2 / (3 * ip * ip))
+    assert (np.abs(got - want) < 3 * err).mean() > 0.99 and np.abs(got - want).mean() < 0.15
+
+
+def test_double_precision_and_lengths(spark):
+    rows = [(0, [1.0, 1e-9, 0.0]), (1, [1.0, 3e-9, 0.0]), (2, [1.0, 2e-9, 0.0]), (3, [1e300, 0.0, 0.0]), (4, [1e-200, 0.0, 0.0]), (100, [1.0, 2.0]), (5, [2.0, 2.0]), (200, [])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got if r["query_id"] == 0] == [2, 1, 4, 3]
+    assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 100] == [(5, 1.0)]
+    assert abs(got[0]["score"] - 1e-9) < 1e-18 and len(got) == 5
+
+
 def test_few_and_none(spark):
     assert ann.nearest(vec_table(spark, [])).count() == 0
     assert ann.nearest(vec_table(spark, [(1, [1.0, 2.0], 0, None, None)])).count() == 0
