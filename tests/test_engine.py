@@ -141,7 +141,8 @@ def test_text_functions(spark):
     assert one(spark, T.tool_payload("n", "t"), n="other", t="x\nOutput:\ny") == "x\nOutput:\ny"
     assert one(spark, T.stable_json("t"), t='{"b":1,"a":[{"d":1,"c":2}]}') == '{"a":[{"c":2,"d":1}],"b":1}'
     assert [one(spark, T.non_negative("t"), t=x) for x in ("3.9", "-1", "NaN", "x", "1e400")] == [3, 0, 0, 0, 0]
-    assert one(spark, F.struct(*T.recall_bounds("o", "l")), o="-2", l="0") == (0, 1)
+    assert one(spark, F.struct(*T.recall_bounds("t")), t='{"offset":-2,"limit":0}') == (0, 1)
+    assert one(spark, F.struct(*T.recall_bounds("t")), t='{"offset":"4","limit":7}') == (0, 7)
     assert one(spark, T.percent_reduction(F.lit(0.0), F.lit(1.0)), t="") is None
 
 
@@ -161,7 +162,7 @@ def test_rollout_log(spark, tmp_path):
     (tmp_path / "a" / "one.jsonl").write_text("\n".join([*map(json.dumps, lines), "", "not json", "[1]"]))
     parsed = rollouts.parse_events(rollouts.read_lines(spark, f"file://{tmp_path}"))
     assert parsed.count() == 2
-    assert rollouts.session_meta(parsed).select("session_id", "cwd").collect() == [("S", "/w")]
+    assert rollouts.session_meta(rollouts.read_lines(spark, f"file://{tmp_path}")).select("session_id", "cwd").collect() == [("S", "/w")]
     e = rollouts.events(parsed)
     assert rollouts.usage_records(e, "file", "line_no").select("input", "output", "cached", "total").collect() == [(10, 3, 4, 13)]
     assert rollouts.newest(parsed).count() == 1
@@ -169,20 +170,20 @@ def test_rollout_log(spark, tmp_path):
 
 def test_request_sources(spark):
     items = [
-        {"type": "message", "id": "d", "role": "developer", "content": [{"type": "input_text", "text": "rules"}]},
-        {"type": "message", "id": "user_1", "role": "user", "content": [{"type": "input_text", "text": "hi"}, {"type": "input_text", "text": "there"}]},
-        {"type": "message", "role": "assistant", "content": "same"},
-        {"type": "message", "role": "assistant", "content": "same"},
-        {"type": "reasoning", "id": "reason_1", "summary": []},
-        {"type": "function_call", "name": "exec_command", "call_id": "call_1", "arguments": "{}"},
-        {"type": "function_call_output", "call_id": "call_1", "output": "Exit code: 0\nOutput:\nexport const A = 1;\n"},
+        {"type": "function_call", "name": "weigh", "call_id": "k9", "arguments": "{}"},
+        {"type": "message", "role": "assistant", "content": "twice"},
+        {"type": "message", "id": "p-4", "role": "user", "content": [{"type": "input_text", "text": "how heavy"}, {"type": "input_text", "text": "is it?"}]},
+        {"type": "function_call_output", "call_id": "k9", "output": "4 kg"},
+        {"type": "message", "role": "assistant", "content": "twice"},
+        {"type": "message", "id": "s-0", "role": "system", "content": "be brief"},
+        {"type": "reasoning", "id": "z-1", "summary": []},
     ]
     df = spark.createDataFrame([("r", i, json.dumps(x)) for i, x in enumerate(items)], "request string, place int, body string").withColumn("item", F.parse_json("body"))
     got = rollouts.request_sources(df, "request", "place").orderBy("place").collect()
-    assert [r["kind"] for r in got] == ["user", "assistant", "assistant", "assistant", "tool_call", "tool"]
-    assert [got[i]["source_id"] for i in (0, 3, 4, 5)] == ["user_1", "reason_1", "tool_call:call_1", "call_1"]
-    assert got[0]["payload"] == "hi\nthere" and got[-1]["payload"] == "export const A = 1;\n" and got[-1]["tool"] == "exec_command"
-    assert got[1]["source_id"] != got[2]["source_id"]
+    assert [r["kind"] for r in got] == ["tool_call", "assistant", "user", "tool", "assistant", "assistant"]
+    assert [got[i]["source_id"] for i in (0, 2, 3, 5)] == ["tool_call:k9", "p-4", "k9", "z-1"]
+    assert got[2]["payload"] == "how heavy\nis it?" and got[3]["payload"] == "4 kg" and got[3]["tool"] == "weigh"
+    assert got[1]["source_id"] != got[4]["source_id"]
 
 
 def test_sse(spark):
@@ -249,7 +250,7 @@ def test_turn_stream(spark, tmp_path):
     df.where("event_id <= 5").coalesce(1).write.parquet(f"file://{tmp_path}/in/0")
     df.where("event_id > 5").coalesce(1).write.parquet(f"file://{tmp_path}/in/1")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
-    q = observed_turns_stream(stream).writeStream.format("memory").queryName("turns_out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    q = observed_turns_stream(stream, F.col("event_type") == "signup", F.col("event_type") == "purchase").writeStream.format("memory").queryName("turns_out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = sorted(tuple(r) for r in spark.sql("select * from turns_out").collect())
     assert got == [(1, 1, 3, 2, 4), (1, 2, 2, 9, 10), (2, 1, 2, 7, 8)]

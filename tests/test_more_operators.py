@@ -29,7 +29,8 @@ def test_batch_progress(spark):
 def test_predicates(spark):
     assert one(spark, predicates.chunkable(F.col("k"), F.col("t")), k="tool", t="recall") is False
     assert one(spark, predicates.chunkable(F.col("k"), F.col("t")), k="assistant", t=None) is True
-    assert one(spark, predicates.is_event_stream(F.col("c"), F.col("b")), c=None, b="\n data: {}") is True
+    assert one(spark, predicates.is_event_stream(F.col("c"), F.col("b")), c=None, b="x\ndata: {}") is True
+    assert one(spark, predicates.is_event_stream(F.col("c"), F.col("b")), c="text/plain", b=" data: {}") is False
     assert one(spark, predicates.synthetic_memory(F.col("r"), F.col("b")), r="developer", b="x [memory] y") is True
     assert tuple(one(spark, predicates.coerced_route(F.col("k"), F.col("i")), k="revive_task", i="-2.7")) == ("revive_task", -2)
     assert tuple(one(spark, predicates.coerced_route(F.col("k"), F.col("i")), k="revive_task", i="3")) == ("same_task", None)
@@ -38,16 +39,77 @@ def test_predicates(spark):
 def test_selection_and_comparable_text(spark):
     seg = F.from_json("t", "array<struct<start:int,end:int,text:string>>")
     t = json.dumps([{"start": 0, "end": 3, "text": "abc"}, {"start": 5, "end": 7, "text": "fg"}])
-    assert one(spark, prompt.selection_text(seg, F.lit(9)), t=t) == "abc\n[...]\nfg\n[...]"
+    assert one(spark, prompt.selection_text(seg, F.lit(9)), t=t) == "<segment start=0 end=3>\nabc\n</segment>\n<gap omittedChars=2 />\n<segment start=5 end=7>\nfg\n</segment>\n<gap omittedChars=2 />"
+    whole = json.dumps([{"start": 0, "end": 5, "text": "plain"}])
+    assert one(spark, prompt.comparable_text(prompt.selection_text(seg, F.lit(5))), t=whole) == "plain"
+    assert one(spark, prompt.selection_text(seg, F.lit(5)), t="[]") == ""
     assert one(spark, prompt.comparable_text(F.col("t")), t="<segment start=0>\nab\n</segment>\n<segment start=9>\ncd\n</segment>") == "abcd"
     assert one(spark, prompt.comparable_text(F.col("t")), t="plain") == "plain" and one(spark, prompt.comparable_text(F.col("t")), t="") is None
 
 
 def test_envelopes(spark):
     v = F.try_parse_json("p")
-    assert one(spark, prompt.envelope_event(F.col("t"), v), t="event_msg", p='{"type":"task_started"}') == "turn.started"
-    assert one(spark, prompt.envelope_event(F.col("t"), v), t="event_msg", p='{"type":"other"}') is None
-    assert one(spark, prompt.event_summary(F.try_parse_json("p")), p='{"type":"item.completed","thread_id":"T","item":{"type":"x","command":"ls"}}')[:3] == ("item.completed", "T", "x")
+    assert one(spark, prompt.envelope_event(v), p='{"type":"event_msg","payload":{"type":"task_started","turn_id":"T"}}')[:3] == ("turn.started", None, "T")
+    assert one(spark, prompt.envelope_event(v), p='{"type":"event_msg","payload":{"type":"other"}}')["type"] is None
+    assert one(spark, prompt.envelope_event(v), p='{"type":"event_msg","payload":{"type":"exec_command_end","aggregated_output":""}}')["type"] is None
+    assert one(spark, prompt.event_summary(v), p='{"type":"item.completed","params":{"threadId":"T","item":{"id":"x"}}}')[:4] == (True, None, "item.completed", "T")
+    assert one(spark, prompt.event_summary(v), p="3")["parsed"] is False
+
+
+def test_stable_json_is_a_script_engines():
+    from turnloom.functions.values import stable_text
+
+    assert stable_text({"b": 1.0, "10": 1e21, "9": 1e-7, "\U0001f600": 0.5, "\uff5e": -0.0}) == '{"9":1e-7,"10":1e+21,"b":1,"\U0001f600":0.5,"\uff5e":0}'
+    assert stable_text([None, True, 0.000001, 123456789012345680000, 1.5e300]) == "[null,true,0.000001,123456789012345680000,1.5e+300]"
+
+
+def test_code_units(spark):
+    from turnloom.functions import text as T
+
+    t = "a\U0001f600" * 100
+    assert one(spark, T.preview("t"), t=t) == "a\U0001f600" * 52 + "a..."
+    assert one(spark, T.clipped("t", 6), t=t) == "a\U0001f600..." and one(spark, T.clipped("t", 5), t=t) == "a\ufffd..."
+    assert one(spark, T.json_length("t"), t="\U0001f600") == 4
+    assert one(spark, T.title("t", F.lit("Task 3")), t=" \n ") == "Task 3"
+
+
+def test_many_lines_are_cut_in_one_pass(spark):
+    from turnloom.operators import chunks
+
+    t = "line of text\n" * 100_000 + "end"
+    spans = one(spark, chunks.line_spans(F.col("t")), t=t)
+    assert len(spans) == 100_001 and spans[-1] == (1_300_000, 1_300_003) and spans[7] == (91, 104)
+
+
+def test_anchors_cut_where_they_are(spark):
+    from turnloom.operators import chunks
+
+    spans = lambda t, *a: [tuple(x) for x in one(spark, chunks.anchor_spans(F.col("t"), F.array(*map(F.lit, a))), t=t)]
+    assert spans("abc. Def", "Def") == [(0, 5), (5, 8)]
+    assert spans("xxAyyBzz", "A", "nowhere", "", "B") == [(0, 2), (2, 5), (5, 8)]
+    assert spans("Axx", "A") == [(0, 3)] and spans("xx", "q") == [(0, 2)] and spans("", "q") == []
+
+
+def test_versions_are_written_once(spark, tmp_path):
+    from turnloom.sources import store
+
+    path = f"file://{tmp_path}/states"
+    rows = spark.createDataFrame([("s", 1, "x"), ("s", 2, "y")], "session string, round int, v string")
+    store.save_state(rows, path)
+    with pytest.raises(ValueError):
+        store.save_state(rows.limit(1), path)
+    with pytest.raises(ValueError):
+        store.save_state(spark.createDataFrame([("t", 3, "x"), ("t", 3, "y")], rows.schema), path)
+    assert store.load_state(spark, path, at=1).count() == 1
+
+
+def test_recalls_are_counted():
+    from turnloom.operators import fold
+
+    state = fold.State(processed=tuple("abcdef"))
+    assert fold.recall_loop(state, [[(0, 2)], []]) == [(["a", "b"], 4)]
+    with pytest.raises(ValueError):
+        fold.recall_loop(state, [[(0, 1), (1, 1)], [(2, 1), (3, 1)]])
 
 
 @given(st.text(alphabet="ab\n", max_size=60))
@@ -61,7 +123,8 @@ def test_outline_failures_keep_the_source_whole():
         raise ValueError
 
     assert outline.iterative("a\n\nb", broken) == [(0, 4)]
-    assert outline.split_once("xxAyyBzz", ["A", "nowhere", "B"]) == ["xxAyy", "Bzz"]
+    assert outline.split_once("xxAyyBzz", ["A", "nowhere", "B"]) == ["xx", "Ayy", "Bzz"]
+    assert outline.split_once("abc. Def", ["Def"]) == ["abc. ", "Def"]
 
 
 def test_settings(monkeypatch):

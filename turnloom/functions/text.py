@@ -30,8 +30,8 @@ def byte_size(c: Column | str) -> Column:
 
 
 def json_length(c: Column | str) -> Column:
-    """Length of the text as a JSON string, quotes included."""
-    return (F.length(F.to_json(F.struct(_col(c).alias("t")))) - 6).cast("long")
+    """Length of the text as a JSON string in UTF-16 code units, quotes included."""
+    return utf16_length(F.to_json(F.struct(_col(c).alias("t")))) - 6
 
 
 def short_hash(c: Column | str, n: int = 16) -> Column:
@@ -39,25 +39,36 @@ def short_hash(c: Column | str, n: int = 16) -> Column:
     return F.substring(F.sha2(_col(c), 256), 1, n)
 
 
+def utf16_prefix(c: Column | str, n: int) -> Column:
+    """The first n UTF-16 code units; half a pair at the end becomes U+FFFD."""
+    c = _col(c)
+    units = F.substring(F.encode(c, "UTF-16BE"), 1, 2 * n)
+    last = F.conv(F.hex(F.substring(units, 2 * n - 1, 2)), 16, 10).cast("int")
+    cut = (F.octet_length(units) == 2 * n) & last.between(0xD800, 0xDBFF)
+    wide = F.when(cut, F.concat(F.decode(F.substring(units, 1, 2 * n - 2), "UTF-16BE"), F.lit("\ufffd"))).otherwise(F.decode(units, "UTF-16BE"))
+    return F.when(utf16_length(c) == F.length(c), F.substring(c, 1, n)).otherwise(wide)
+
+
 def clipped(c: Column | str, most: int) -> Column:
-    """The text, or its start and three dots, `most` characters in all."""
+    """The text, or its start and three dots, `most` code units in all."""
     c = _col(c)
-    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("..."))).otherwise(c)
+    return F.when(utf16_length(c) > most, F.concat(utf16_prefix(c, most - 3), F.lit("..."))).otherwise(c)
 
 
 def preview(c: Column | str) -> Column:
     return clipped(c, 160)
 
 
-def title(c: Column | str) -> Column:
-    """The first line that isn't blank, its white space collapsed, at most 120 characters; null if there is none."""
+def title(c: Column | str, fallback: Column | None = None) -> Column:
+    """The first line that isn't blank, its white space collapsed, at most 120 code units; the fallback (null) if there is none."""
     line = F.get(F.filter(F.split(_col(c), "\r?\n"), lambda x: F.length(F.trim(x)) > 0), F.lit(0))
-    return clipped(F.trim(F.regexp_replace(line, r"\s+", " ")), 120)
+    found = clipped(F.trim(F.regexp_replace(line, r"\s+", " ")), 120)
+    return found if fallback is None else F.coalesce(found, fallback)
 
 
 def compact_json(c: Column | str, most: int = 4000) -> Column:
     c = _col(c)
-    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("... [truncated "), (F.length(c) - most).cast("string"), F.lit(" chars]"))).otherwise(c)
+    return F.when(utf16_length(c) > most, F.concat(utf16_prefix(c, most), F.lit("... [truncated "), (utf16_length(c) - most).cast("string"), F.lit(" chars]"))).otherwise(c)
 
 
 def compact_line(c: Column | str, most: int) -> Column:
@@ -94,10 +105,24 @@ def non_negative(c: Column | str) -> Column:
     return F.when(ok, F.greatest(F.lit(0), F.when(ok, d).cast("long"))).otherwise(F.lit(0)).cast("long")
 
 
-def recall_bounds(offset: Column | str, limit: Column | str) -> tuple[Column, Column]:
-    """Offset (0 unless a whole number not below 0) and limit (5 unless a whole number; 1 at least)."""
-    o, n = _col(offset).try_cast("long"), _col(limit).try_cast("long")
-    return F.when(o >= 0, o).otherwise(F.lit(0)).cast("long"), F.greatest(F.lit(1), F.coalesce(n, F.lit(5))).cast("long")
+def recall_bounds(arguments: Column | str) -> tuple[Column, Column]:
+    """Offset (0 unless a whole number not below 0) and limit (5 unless a whole number; 1 at least) of a call's JSON
+    arguments. Numbers in strings are no numbers; what isn't an object has no arguments."""
+    v = F.try_parse_json(_col(arguments))
+
+    def whole(path: str) -> Column:
+        at = F.try_variant_get(v, path, "variant")
+        d = F.try_variant_get(v, path, "double")
+        return F.when((F.schema_of_variant(at) != "STRING") & (d == F.floor(d)), d.cast("long"))
+
+    o = whole("$.offset")
+    return F.when(o >= 0, o).otherwise(F.lit(0)).cast("long"), F.greatest(F.lit(1), F.coalesce(whole("$.limit"), F.lit(5))).cast("long")
+
+
+def flag(c: Column | str, default: bool = False) -> Column:
+    """A yes or no in words; the default for others."""
+    t = F.lower(F.trim(_col(c).cast("string")))
+    return F.when(t.isin("1", "true", "yes", "on"), True).when(t.isin("0", "false", "no", "off"), False).otherwise(F.lit(default))
 
 
 def usage(v: Column) -> Column:

@@ -51,6 +51,51 @@ def leaves(body: pd.Series) -> pd.Series:
     return body.map(lambda t: None if t is None else leaf_strings(_parsed(t)))
 
 
+def _number(x: float | int) -> str:
+    """A number as a script engine prints it."""
+    if isinstance(x, bool) or x is None:
+        return json.dumps(x)
+    if x != x or x in (float("inf"), float("-inf")):
+        return "null"
+    if abs(x) < 1e21 and float(x).is_integer():
+        return str(int(x)) if x else "0"
+    mantissa, _, power = repr(float(x)).partition("e")
+    if not power:
+        return mantissa
+    e = int(power)
+    if -7 < e < 0:
+        digits = mantissa.replace(".", "").lstrip("-")
+        return ("-" if x < 0 else "") + "0." + "0" * (-e - 1) + digits.rstrip("0")
+    return f"{mantissa.removesuffix('.0')}e{'+' if e > 0 else '-'}{abs(e)}"
+
+
+def _place(key: str) -> tuple:
+    """Keys that are array indexes come first, by value; others by their UTF-16 code units."""
+    index = key.isdigit() and key.isascii() and (key == "0" or key[0] != "0") and int(key) < 2**32 - 1
+    return (0, int(key), b"") if index else (1, 0, key.encode("utf-16-be", "surrogatepass"))
+
+
+def stable_text(x: object) -> str:
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{stable_text(x[k])}" for k in sorted(x, key=_place)) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(stable_text, x)) + "]"
+    return json.dumps(x, ensure_ascii=False) if isinstance(x, str) else _number(x)
+
+
+@F.pandas_udf(StringType())
+def stable_json(body: pd.Series) -> pd.Series:
+    """JSON with its keys in stable order at every level and numbers as scripts print them; null for what isn't JSON."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else stable_text(json.loads(t))
+        except ValueError:
+            return None
+
+    return body.map(one)
+
+
 def fnv1a32(text: str) -> str:
     h = 0x811C9DC5
     for unit in memoryview(text.encode("utf-16-le")).cast("H"):

@@ -9,15 +9,27 @@ from pyspark.sql import functions as F
 ARRAY_KEYS = ("results", "rows", "items", "exports", "changedFiles", "namespaces", "edges")
 
 
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def _between(starts: Column, end: Column) -> Column:
+    """Spans from each start to the next, the last one to the end; empty ones are left out. The starts are made once a row."""
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.lit(0), F.size(starts) - 1)), F.array(end.cast("int")))
+    return F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))), lambda x: x["end"] > x["start"])
+
+
 def line_spans(text: Column) -> Column:
-    """Spans (start, end), from 0, of a text's lines, each with its line feed; one empty array for an empty text."""
-    lines = F.filter(F.split(text, "(?<=\n)"), lambda x: F.length(x) > 0)
-    ends = F.aggregate(lines, F.expr("cast(array() as array<int>)"), lambda acc, x: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x)).cast("int"))))
-    return F.transform(ends, lambda e, i: F.struct(F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0)).cast("int").alias("start"), e.alias("end")))
+    """Spans (start, end), from 0, of a text's lines, each with its line feed; an empty array for an empty text.
+
+    One pass over the characters, whatever the number of lines.
+    """
+    after = F.transform(F.split(text, ""), lambda c, i: F.when(c == "\n", i + 1))
+    return _between(F.concat(F.array(F.lit(0)), F.filter(after, lambda x: x.isNotNull())), F.length(text))
 
 
 def anchor_spans(text: Column, anchors: Column) -> Column:
-    """Spans that start where each anchor occurs, searched forward; anchors not found are skipped and the first span starts at 0."""
+    """Spans cut where each anchor occurs, searched forward; anchors that are empty or not found are skipped, and what
+    precedes the first is a span of its own."""
     found = F.aggregate(
         anchors,
         F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<int>)").alias("starts")),
@@ -27,8 +39,57 @@ def anchor_spans(text: Column, anchors: Column) -> Column:
         ).otherwise(acc),
         lambda acc: acc["starts"],
     )
-    starts = F.when(F.size(found) > 0, F.concat(F.array(F.lit(0)), F.slice(found, F.lit(2), F.greatest(F.lit(0), F.size(found) - 1)))).otherwise(F.array(F.lit(0)))
-    return F.transform(starts, lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get(starts, i + 1), F.length(text)).cast("int").alias("end")))
+    return _between(F.concat(F.array(F.lit(0)), F.filter(found, lambda x: x > 0)), F.length(text))
+
+
+def normalized_spans(spans: Column, length: Column) -> Column:
+    """Spans cut to the text, empty ones left out, sorted; one that starts before the end of the one kept before goes."""
+    cut = lambda x: F.greatest(F.lit(0), F.least(length, x)).cast("int")
+    inside = F.filter(F.transform(spans, lambda s: F.struct(cut(s["start"]).alias("start"), cut(s["end"]).alias("end"))), lambda s: s["end"] > s["start"])
+    return F.aggregate(
+        F.array_sort(inside).cast(SPANS), F.expr(f"cast(array() as {SPANS})"),
+        lambda acc, s: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1)) > s["start"], acc).otherwise(F.concat(acc, F.array(s)).cast(SPANS)),
+    )
+
+
+def selected(text: Column, spans: Column) -> Column:
+    """The text's segments (start, end, text) at normalized spans."""
+    return F.transform(normalized_spans(spans, F.length(text)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
+
+
+def object_path(payload: Column, path: list[str | int] | Column) -> Column:
+    """The value, as JSON, that a path of keys and indexes leads to in a VARIANT, or that a row's own path text names."""
+    if isinstance(path, list):
+        path = F.lit("$" + "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in path))
+    return F.to_json(F.call_function("try_variant_get", payload, path, F.lit("variant")))
+
+
+def pointer(source: Column, kind: Column, spans: Column, path: Column) -> Column:
+    """A source's pointer with the selector of a piece of it, as JSON with sorted keys."""
+    arm = F.to_json(F.struct(F.when(kind == "chunks", spans).alias("chunks"), kind.alias("kind"), F.when(kind == "object_path", path).alias("path")))
+    own = F.coalesce(F.regexp_extract(source, r"(?s)^\s*\{(.*)\}\s*$", 1), F.lit(""))
+    return F.to_json(F.parse_json(F.concat(F.lit("{"), own, F.when(F.trim(own) != "", F.lit(",")).otherwise(F.lit("")), F.lit('"selector":'), arm, F.lit("}"))))
+
+
+def own_tool(tool: Column, prefix: str = "recall.") -> Column:
+    """Output of the engine's own tools is split by its structure."""
+    return F.coalesce(F.startswith(tool, F.lit(prefix)), F.lit(False))
+
+
+def dispatched(sources: DataFrame, source: str, kind: str, tool: str, payload: str, outline: Column) -> DataFrame:
+    """(source, piece_id, selector, content) of sources (texts or JSON), by what they are.
+
+    A user's and a call's are whole; an own tool's is cut at the elements of its array, else whole; all others by the
+    outline's spans, whole if there are none. Pieces without bytes go, unless nothing else is left of the source.
+    """
+    v = F.try_parse_json(F.col(payload))
+    whole = F.array(F.struct(F.lit("whole").alias("selector"), F.col(payload).alias("content")))
+    items = F.transform(json_elements(v), lambda x, i: F.struct(F.concat(F.lit("path:"), i.cast("string")).alias("selector"), x.alias("content")))
+    cut = F.transform(outline, lambda s: F.struct(F.concat(F.lit("chunks:"), s["start"].cast("string"), F.lit("-"), s["end"].cast("string")).alias("selector"), F.substring(F.col(payload), s["start"] + 1, s["end"] - s["start"]).alias("content")))
+    plain = F.col(kind).isin("user", "tool_call")
+    parts = F.when(plain, whole).when((F.col(kind) == "tool") & own_tool(F.col(tool)), F.coalesce(items, whole)).otherwise(F.coalesce(F.when(F.size(cut) > 0, cut), whole))
+    out = sources.select(source, F.posexplode(parts).alias("i", "p")).where((F.octet_length("p.content") > 0))
+    return out.select(source, F.concat(F.col(source).cast("string"), F.lit(":"), F.col("i").cast("string")).alias("piece_id"), "p.selector", "p.content")
 
 
 def merge_spans(spans: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,27 @@ def accepted(drop: Column, reason: Column, new_task: Column, old: Column, create
     return F.coalesce(drop & reason.isin(*REASONS) & applies, F.lit(False))
 
 
+#: Fixed shapes of what a model decides: a route, the sections of a source, the pieces to drop.
+ROUTE_SCHEMA = "kind string, relativeIndex int"
+CHUNK_SCHEMA = "itemId string, sections array<struct<label:string,anchor:string>>"
+DROP_SCHEMA = "pieceId string, drop boolean, reason string"
+
+
+def strict(body: Column, schema: str) -> Column:
+    """A decision of a fixed shape from a JSON text; null if a field is missing, one is too many, or a value is of another kind."""
+    given = F.from_json(body, schema, {"mode": "PERMISSIVE"})
+    names = F.json_object_keys(body)
+    fields = [x.strip().split()[0] for x in re.split(r",(?![^<]*>)", schema)]
+    return F.when(F.size(names).eqNullSafe(F.lit(len(fields))) & F.coalesce(F.size(F.array_except(names, F.array(*[F.lit(f) for f in fields]))) == 0, F.lit(False)) & given[fields[0]].isNotNull(), given)
+
+
+def invalid_reasons(decisions: DataFrame, key: str) -> DataFrame:
+    """(key, problem): drops without a known reason, and reasons given for what is kept."""
+    known = F.coalesce(F.col("reason").isin(*REASONS), F.lit(False))
+    problem = F.when(F.col("drop") & ~known, "no known reason").when(~F.col("drop") & F.col("reason").isNotNull(), "reason without drop").when(F.col("drop").isNull(), "no decision")
+    return decisions.select(key, problem.alias("problem")).where("problem is not null")
+
+
 def invalid_decisions(decisions: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
     """Decisions on unknown pieces, and pieces decided more than once: (keys, problem)."""
     unknown = decisions.join(pieces.select(*keys), keys, "left_anti").select(*keys, F.lit("unknown").alias("problem"))
@@ -35,7 +58,7 @@ def invalid_decisions(decisions: DataFrame, pieces: DataFrame, keys: list[str])
 def sanity_guard(pieces: DataFrame, scope: list[str], kind: str, accepted_drop: str, reason: str) -> DataFrame:
     """Adds `dropped`. Where some candidate is not the assistant's but no such piece would survive, only structural drops count.
 
-    The verdict of a scope is an aggregate joined back, so that a large scope meets in no task.
+    The verdict of a scope is a partial aggregate joined back: verdicts are small, and adaptive execution splits a large scope's rows.
     """
     verdict = pieces.groupBy(*scope).agg(F.bool_or(F.col(kind) != "assistant").alias("_had"), F.bool_or((F.col(kind) != "assistant") & ~F.col(accepted_drop)).alias("_has"))
     undo = F.col("_had") & ~F.col("_has") & ~F.coalesce(F.col(reason).isin(*STRUCTURAL_REASONS), F.lit(False))

@@ -27,7 +27,8 @@ def new_sources(sources: DataFrame, processed: DataFrame, key: list[str]) -> Dat
 def canonical_pieces(pieces: DataFrame, scope: list[str], content: str, rank: list[Column], piece: str) -> DataFrame:
     """Adds `canonical`, the id of the piece that stands for all of the same content in the scope: the least by `rank`.
 
-    An aggregate and a join, not a window: copies of one content don't meet in a task.
+    An aggregate and a join, not a window: the aggregate is partial, and in the join back adaptive execution can split the
+    rows of a frequent content, which a window could not.
     """
     keys = [*scope, content]
     best = pieces.groupBy(*keys).agg(F.min_by(piece, F.struct(*rank)).alias("canonical"), F.count("*").alias("copies"))
@@ -63,6 +64,25 @@ def collapse_verified(pieces: DataFrame, scope: list[str], text: str, requested:
 
 
 def duplicate_markers(marked: DataFrame, scope: list[str], piece: str, order: list[str]) -> DataFrame:
-    """Of each canonical piece, the pieces that it stands for, in order."""
-    gone = marked.where("duplicate").groupBy(*scope, "canonical").agg(F.array_sort(F.collect_set(F.struct(*order, F.col(piece).alias("id")))).alias("_d"))
-    return gone.select(*scope, "canonical", F.transform("_d", lambda x: x["id"]).alias("duplicates"))
+    """(scope, canonical, order, piece): a row for each piece that another stands for, the first of each id."""
+    gone = marked.where("duplicate").groupBy(*scope, piece).agg(F.min_by(F.struct("canonical", *order), F.struct(*order)).alias("_m"))
+    return gone.select(*scope, "_m.canonical", *[F.col(f"_m.{c}") for c in order if c != piece], piece)
+
+
+def all_known(active: DataFrame, archived: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Active and archived pieces, one of each id: the last by order, an archived one before an active one of the same."""
+    both = active.withColumn("_a", F.lit(0)).unionByName(archived.withColumn("_a", F.lit(1)))
+    return both.groupBy(*key).agg(F.max_by(F.struct(*active.columns), F.struct("_a", F.col(order))).alias("_r")).select("_r.*")
+
+
+def id_changes(before: DataFrame, after: DataFrame, scope: list[str], piece: str, is_new: str) -> DataFrame:
+    """(scope, kept_old, dropped_old, kept_new, dropped_new): ids before a round's decisions against ids after them, sorted."""
+    b = before.join(after.select(*scope, piece).withColumn("_kept", F.lit(True)), [*scope, piece], "left").withColumn("_kept", F.coalesce("_kept", F.lit(False)))
+    ids = lambda new, kept: F.array_sort(F.collect_list(F.when((F.col(is_new) == new) & (F.col("_kept") == kept), F.col(piece))))
+    return b.groupBy(*scope).agg(ids(False, True).alias("kept_old"), ids(False, False).alias("dropped_old"), ids(True, True).alias("kept_new"), ids(True, False).alias("dropped_new"))
+
+
+def round_sources(request: DataFrame, assistant: DataFrame, processed: DataFrame, key: list[str]) -> DataFrame:
+    """A round's sources: the request's and the assistant's, those not processed before, each id once (the request's first)."""
+    both = request.withColumn("_o", F.lit(0)).unionByName(assistant.withColumn("_o", F.lit(1)))
+    return new_sources(dedupe_first(both, key, "_o").drop("_o"), processed, key)

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .decisions import OLD_TASK, REASONS, STRUCTURAL_REASONS, UNRELATED
 
@@ -30,6 +31,7 @@ class Piece:
     text_hash: str = ""
     duplicates: tuple[str, ...] = ()
     rendered: bool = True
+    chars: int = 0
 
     def absorb(self, other: Piece) -> Piece:
         """This piece, standing for another and for all that stood under it."""
@@ -102,7 +104,8 @@ def _mark(old: list[Piece], new: list[Piece]) -> tuple[list[Piece], list[Piece],
         if keep != p.id:
             by_id[keep] = by_id[keep].absorb(p)
             gone.append(p.id)
-    return [by_id[p.id] for p in old], [by_id[p.id] for p in new if p.id not in set(gone)], gone
+    out = set(gone)
+    return [by_id[p.id] for p in old], [by_id[p.id] for p in new if p.id not in out], gone
 
 
 def _verified(pieces: list[Piece], asked: set[str], new: set[str]) -> tuple[list[Piece], list[str]]:
@@ -119,7 +122,8 @@ def _verified(pieces: list[Piece], asked: set[str], new: set[str]) -> tuple[list
             if p.id in asked and p.id != keep.id:
                 by_id[keep.id] = by_id[keep.id].absorb(p)
                 gone.append(p.id)
-    return _in_order(p for i, p in by_id.items() if i not in set(gone)), gone
+    out = set(gone)
+    return _in_order(p for i, p in by_id.items() if i not in out), gone
 
 
 def batches(candidates: list[Piece], latest: set[str], limit: int = BATCH_TOKENS, single: int = SINGLE_TOKENS) -> list[list[Piece]]:
@@ -157,6 +161,33 @@ def batches(candidates: list[Piece], latest: set[str], limit: int = BATCH_TOKENS
     return [*out, current] if current else out
 
 
+#: Fixed value: archived tasks on a page that a router is shown.
+PAGE = 5
+
+
+def request_route(state: State, new: list[Piece], answers: Iterable[Route]) -> Route:
+    """The route of a round from a router's answers, asked page by page of archived tasks (newest first).
+
+    Without a task it is new, without a user's words the same, and so if the router fails or asks for a page beyond
+    the last.
+    """
+    if state.task is None:
+        return "new"
+    if not any(p.kind == "user" for p in new):
+        return "same"
+    offset = 0
+    try:
+        for a in answers:
+            if a != "more":
+                return a
+            if offset + PAGE >= len(state.archived):
+                return "same"
+            offset += PAGE
+    except Exception:
+        return "same"
+    return "same"
+
+
 def step(state: State, new: list[Piece], route: Route, drop: Drop, limit: int = BATCH_TOKENS, single: int = SINGLE_TOKENS) -> Outcome:
     """One round: route, dedupe, evaluate in batches, guard, archive."""
     now = state.round + 1
@@ -228,6 +259,19 @@ def recall(state: State, offset: int = 0, limit: int = 5) -> tuple[list[str], in
     return gap[offset : offset + limit], max(0, len(gap) - offset - limit)
 
 
+def recall_loop(state: State, answers: Iterable[list[tuple[int, int]]], most: int = 3) -> list[tuple[list[str], int]]:
+    """What a round recalls: the model's calls (offset, limit) after each answer, until it makes none; more than
+    `most` calls in all are an error."""
+    pages: list[tuple[list[str], int]] = []
+    for calls in answers:
+        if not calls:
+            return pages
+        if len(pages) + len(calls) > most:
+            raise ValueError(f"more than {most} recalls in a round")
+        pages += [recall(state, o, n) for o, n in calls]
+    return pages
+
+
 def _cap(batch: list[Piece], budget: int = 32_768) -> set[str]:
     kept, used = set(), 0
     for p in reversed(batch):
@@ -248,27 +292,61 @@ POLICIES: dict[str, Callable[[list[Piece]], set[str]]] = {
 
 
 def policy(name: str) -> Drop:
-    keep = POLICIES[name]
-    return lambda batch: {p.id: UNRELATED for p in batch if p.id not in keep(batch)}
+    def drop(batch: list[Piece]) -> dict[str, str]:
+        kept = POLICIES[name](batch)
+        return {p.id: UNRELATED for p in batch if p.id not in kept}
+
+    return drop
+
+
+def _answers(told: str | None) -> list[Route]:
+    """A router's answers written as words: new, same, more, or revive:-k."""
+    return [int(x[7:]) if x.startswith("revive:") else x for x in (told or "same").split(",")]
+
+
+COLUMNS = "route string, task string, before_pieces long, before_chars long, pieces long, bytes long, ids string, dropped long, guarded long, duplicates long, archived long, processed long, recallable long"
 
 
-def replay(pieces: DataFrame, name: str, session: str = "session") -> DataFrame:
-    """(session, round, route, pieces, bytes, dropped, guarded, duplicates, processed, recallable) of each round under a policy.
+def replay(pieces: DataFrame, name: str, session: str = "session", routes: DataFrame | None = None) -> DataFrame:
+    """What each round did under a policy, a row a round: (session, round) and COLUMNS.
 
-    pieces: session, round, place, id, source, kind, size, hash, one row a new piece.
+    pieces: session, round, place, id, source, kind, size, hash, chars, one row a new piece; routes: session, round, told
+    (a router's answers, see _answers; same where there are none). before_* is the memory that the round's request held.
+    Sessions are dealt by hash to as many tasks as shuffles have partitions, and a task folds them one after another.
     """
-    kind = pieces.schema[session].dataType.simpleString()
+    spark, kind = pieces.sparkSession, pieces.schema[session].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = State(), []
+        state, rows, drop = State(), [], policy(name)
+        seen: dict[str, None] = {}
         pdf = pdf.sort_values(["round", "place"])
         for r, part in pdf.groupby("round", sort=True):
-            new = [Piece(*x) for x in part[["id", "source", "kind", "size", "hash"]].itertuples(index=False)]
-            out = step(state, new, "same", policy(name))
-            state = out.state
-            gap = len(set(state.processed) - {p.source for p in state.pieces})
-            rows.append((pdf[session].iloc[0], int(r), out.route, len(state.pieces), sum(p.size for p in state.pieces), len(out.dropped), len(out.guarded), len(out.duplicates), len(state.processed), gap))
-        return pd.DataFrame(rows, columns=[session, "round", "route", "pieces", "bytes", "dropped", "guarded", "duplicates", "processed", "recallable"])
-
-    cols = pieces.select(session, "round", "place", "id", "source", "kind", "size", "hash")
-    return cols.groupBy(session).applyInPandas(run, f"{session} {kind}, round long, route string, pieces long, bytes long, dropped long, guarded long, duplicates long, processed long, recallable long")
+            new = [Piece(i, s, k, z, h, chars=c) for i, s, k, z, h, c in part[["id", "source", "kind", "size", "hash", "chars"]].itertuples(index=False)]
+            before = state.pieces
+            out = step(state, new, request_route(state, new, _answers(part["told"].iloc[0])), drop)
+            seen.update(dict.fromkeys(out.state.processed))
+            state = replace(out.state, processed=())  # kept in `seen`, so that a round costs what it holds
+            rows.append((
+                pdf[session].iloc[0], int(r), "revive" if out.route.startswith("-") else out.route, state.task.id if state.task else None, len(before), sum(p.chars for p in before), len(state.pieces), sum(p.size for p in state.pieces),
+                ",".join(p.id for p in state.pieces), len(out.dropped), len(out.guarded), len(out.duplicates), len(state.archived), len(seen), len(seen) - len({p.source for p in state.pieces}),
+            ))
+        return pd.DataFrame(rows, columns=[session, "round", *[c.split()[0] for c in COLUMNS.split(", ")]])
+
+    cols = pieces.select(session, "round", "place", "id", "source", "kind", "size", "hash", F.col("chars").cast("long").alias("chars") if "chars" in pieces.columns else F.lit(0).cast("long").alias("chars"))
+    told = cols.withColumn("told", F.lit(None).cast("string")) if routes is None else cols.join(routes.select(session, "round", "told"), [session, "round"], "left")
+    dealt = told.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), session)
+    return dealt.groupBy(session).applyInPandas(run, f"{session} {kind}, round long, {COLUMNS}")
+
+
+def finalize(pieces: DataFrame, name: str, sources: DataFrame, path: str, session: str = "session", routes: DataFrame | None = None) -> DataFrame:
+    """A round's end as one stage: the fold, then its sources into the archive (those it lacks), then the states as
+    versions, then (session, rounds, bytes, recallable) of each session."""
+    from ..sources import store
+
+    spark = pieces.sparkSession
+    states = f"{path}/fold"
+    replay(pieces, name, session, routes).write.mode("overwrite").parquet(states)
+    done = spark.read.parquet(states)
+    store.archive(spark, sources, f"{path}/archive", [session, "source"])
+    store.save_state(done, f"{path}/state", session, "round")
+    return done.groupBy(session).agg(F.max("round").alias("rounds"), F.max_by("bytes", "round").alias("bytes"), F.max_by("recallable", "round").alias("recallable"))

@@ -64,3 +64,22 @@ def top_two_ways(stats: DataFrame, first: str, second: str, name: str, n: int =
     b = stats.join(a.select(name), name, "left_anti").orderBy(F.desc(second), name).limit(n)
     row = lambda d, how, by: d.select(name, F.lit(how).alias("pick"), F.row_number().over(Window.orderBy(F.desc(by), name)).cast("long").alias("place"))
     return row(a, first, first).unionByName(row(b, second, second))
+
+
+def running_sums(rows: DataFrame, session: str, order: str, values: list[str]) -> DataFrame:
+    """Each value replaced by its sum up to the row."""
+    w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumns({c: F.sum(c).over(w) for c in values})
+
+
+def suite_totals(runs: DataFrame, suite: str, passed: str, value: str) -> DataFrame:
+    """One row over all runs: suites, runs, how many passed and failed, and a value's sum over all and over those that failed."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    failed = F.when(~F.col(passed), F.col(value)).otherwise(0)
+    return runs.agg(F.count_distinct(suite).alias("suites"), F.count("*").alias("runs"), n(F.col(passed)).alias("passed"), n(~F.col(passed)).alias("failed"), F.sum(value).cast("long").alias("chars"), F.sum(failed).cast("long").alias("failed_chars"))
+
+
+def first_of_each(rows: DataFrame, part: str, order: str, n: int) -> DataFrame:
+    """(part, tail): the first n of each part in order. Ranks are cut in each map task, so no list holds them all."""
+    r = F.row_number().over(Window.partitionBy(part).orderBy(order))
+    return rows.select(part, order).withColumn("_r", r).where(F.col("_r") <= n).groupBy(part).agg(F.array_sort(F.collect_list(order)).alias("tail"))

@@ -13,14 +13,14 @@ Outline = Callable[[str], list[str]]
 
 
 def split_once(text: str, anchors: list[str]) -> list[str]:
-    """Sections from anchor to anchor, searched forward; what precedes the first found belongs to it."""
+    """Sections from anchor to anchor, searched forward; what precedes the first found is a section of its own."""
     at, starts = 0, []
     for a in anchors:
         i = text.find(a, at) if a else -1
         if i >= 0:
             starts.append(i)
             at = i + len(a)
-    cuts = sorted({0, *starts[1:], len(text)})
+    cuts = sorted({0, *starts, len(text)})
     return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 

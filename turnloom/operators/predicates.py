@@ -42,8 +42,15 @@ def coerced_route(kind: Column, relative: Column) -> Column:
     return F.struct(out.alias("kind"), F.when(out == "revive_task", at).alias("index"))
 
 
+def expected(said: Column, want: Column) -> Column:
+    """Whether an answer is the one expected: letter for letter, or but for case, a label before it, quotes and a stop."""
+    bare = lambda c: F.trim(F.regexp_replace(F.lower(F.trim(c)), r"^(answer|result|value)\s*[:=]\s*|[`\"'.]+", ""))
+    return F.coalesce((said == want) | (bare(said) == bare(want)), F.lit(False))
+
+
 def is_event_stream(content_type: Column, body: Column) -> Column:
-    return F.coalesce(F.contains(F.lower(content_type), F.lit("text/event-stream")), F.lit(False)) | body.rlike(r"^\s*(event|data):")
+    told = F.coalesce(F.contains(F.lower(content_type), F.lit("text/event-stream")), F.lit(False))
+    return told | F.startswith(body, F.lit("event:")) | F.startswith(body, F.lit("data:")) | F.contains(body, F.lit("\ndata:"))
 
 
 def with_missing(items: DataFrame, results: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -43,6 +43,24 @@ def compaction_epochs(events: DataFrame, session: str, order: str, compacted: Co
     return events.withColumn("epoch", F.sum(compacted.cast("long")).over(w))
 
 
+def compacted_tokens(items: DataFrame, session: str, order: str, role: str, text: str, starts: Column, compacted: Column) -> DataFrame:
+    """As baseline_tokens, where a compaction cuts the history back to the prefix (round 0) and its own text, as one message,
+    from the next item on. Adds `compactions`, how many came before."""
+    run = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    size = json_length(text) + F.length(role) + MESSAGE_CHARS
+    e = segment_rounds(items, session, order, starts).withColumns({"_size": size, "_c": compacted & (F.col("round") > 0)})
+    e = e.withColumns({"compactions": F.coalesce(F.sum(F.col("_c").cast("long")).over(before), F.lit(0)), "_put": F.last(F.when(F.col("_c"), F.col("_size")), ignorenulls=True).over(before)})
+    prefix = F.col("round") == 0
+    e = e.withColumns({"_lead": F.sum(F.when(prefix, F.col("_size"))).over(run), "_leads": F.sum(prefix.cast("long")).over(run)})
+    within = Window.partitionBy(session, "compactions").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.withColumns({"_own": F.sum(F.when(~prefix, F.col("_size"))).over(within), "_owns": F.sum((~prefix).cast("long")).over(within)})
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    items_ = zero("_leads") + zero("_owns") + F.when(F.col("compactions") > 0, 1).otherwise(0)
+    tokens = F.ceil((REQUEST_CHARS + zero("_lead") + zero("_own") + F.when(F.col("compactions") > 0, zero("_put")).otherwise(0) + items_ - 1) / 4)
+    return e.where(starts).select(session, "round", "compactions", items_.cast("long").alias("items"), tokens.cast("long").alias("tokens"))
+
+
 def leading_instructions(items: DataFrame, session: str, order: str, instruction: Column) -> DataFrame:
     """The unbroken run of instructions at a session's start."""
     w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

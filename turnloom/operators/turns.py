@@ -21,3 +21,10 @@ def observed_turns(events: DataFrame, thread: str, order: list[str], start: Colu
     e = e.withColumn("_done", F.max("_ends").over(Window.partitionBy(thread, "_n"))).where("_done = 1")
     e = e.withColumn("turn", F.dense_rank().over(Window.partitionBy(thread).orderBy("_n")).cast("long"))
     return e.drop("_start", "_end", "_n", "_ends", "_done")
+
+
+def item_counts(items: DataFrame, thread: str, kind: str, tool: str) -> DataFrame:
+    """Of each thread: events, calls and outputs of tools, and the sorted names of the tools in them."""
+    of = lambda k: F.sum((F.col(kind) == k).cast("long"))
+    named = F.when(F.col(kind).isin("function_call", "function_call_output"), F.col(tool))
+    return items.groupBy(thread).agg(F.count("*").alias("events"), of("function_call").alias("calls"), of("function_call_output").alias("outputs"), F.array_sort(F.collect_set(named)).alias("tools"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import archive, chunks, decisions, dedupe, logs, metrics, outline, predicates, render, turns
+from ..operators import archive, chunks, decisions, dedupe, logs, metrics, predicates, render, turns
 from ..streaming import observed
 from .registry import Tables, query
 
@@ -58,10 +58,10 @@ def verified_duplicates(t: Tables) -> DataFrame:
     return dedupe.collapse_verified(d, [], "hash", "asked", "is_new", "doc_id", "doc_id").select("doc_id", "canonical", "duplicate")
 
 
-@query(f"SELECT canonical, array_to_string(list(doc_id ORDER BY doc_id), ',') AS duplicates FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY hash ORDER BY NOT is_new, doc_id) AS canonical FROM {DOCS}) WHERE doc_id <> canonical GROUP BY 1")
+@query(f"SELECT doc_id, canonical FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY hash ORDER BY NOT is_new, doc_id) AS canonical FROM {DOCS}) WHERE doc_id <> canonical")
 def duplicate_markers(t: Tables) -> DataFrame:
     m = dedupe.collapse_prefer(_docs(t), [], "hash", "is_new", "doc_id", "doc_id")
-    return dedupe.duplicate_markers(m, [], "doc_id", ["doc_id"]).select("canonical", F.array_join(F.transform("duplicates", lambda x: x.cast("string")), ",").alias("duplicates"))
+    return dedupe.duplicate_markers(m, [], "doc_id", ["doc_id"]).select("doc_id", "canonical")
 
 
 @query(f"SELECT hash, max(doc_id) AS doc_id, max_by(source, doc_id) AS source FROM {DOCS} GROUP BY 1")
@@ -95,20 +95,24 @@ def line_chunks(t: Tables) -> DataFrame:
     return p.select("doc_id", "piece_id", "start", "end", T.short_hash("content", 20).alias("content_hash"))
 
 
-@query("SELECT doc_id, true AS lossless FROM documents")
+@query("SELECT doc_id, doc_id % 3 = 0 OR text = '' AS lossless FROM documents")
 def lossless_check(t: Tables) -> DataFrame:
-    return _lines(t).select("doc_id", chunks.lossless(F.col("text"), F.col("spans")).alias("lossless"))
-
-
-ANCHORS = "['. A', 'zzzz', '. ']"
-
-
-@query(f"""WITH a AS (SELECT doc_id, length(text) AS n, instr(text, '. A') AS p, text FROM documents),
-b AS (SELECT doc_id, n, p, CASE WHEN p > 0 THEN p + 3 ELSE 1 END AS p1, text FROM a),
-c AS (SELECT doc_id, n, p, CASE WHEN instr(substr(text, p1), '. ') > 0 THEN instr(substr(text, p1), '. ') + p1 - 1 ELSE 0 END AS q FROM b)
-SELECT doc_id, CASE WHEN p > 0 AND q > 0 THEN '0-' || (q - 1) || ',' || (q - 1) || '-' || n ELSE '0-' || n END AS spans FROM c""")
+    """Line spans as they are, with the first one missing, and with the last one cut short: only the first are lossless."""
+    spans = F.col("spans")
+    short = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), F.when(i == F.size(spans) - 1, s["end"] - 1).otherwise(s["end"]).alias("end")))
+    kind = F.col("doc_id") % 3
+    broken = F.when(kind == 0, spans).when(kind == 1, F.slice(spans, F.lit(2), F.greatest(F.lit(0), F.size(spans) - 1))).otherwise(short)
+    return _lines(t).select("doc_id", chunks.lossless(F.col("text"), broken).alias("lossless"))
+
+
+@query("""WITH a AS (SELECT doc_id, length(text) AS n, instr(text, '. A') AS p, text FROM documents),
+b AS (SELECT *, CASE WHEN p > 0 THEN p + 3 ELSE 1 END AS after FROM a),
+c AS (SELECT *, instr(substr(text, after), '. ') AS i FROM b),
+o AS (SELECT doc_id, n, 0 AS cut FROM c UNION SELECT doc_id, n, p - 1 FROM c WHERE p > 0 UNION SELECT doc_id, n, i + after - 2 FROM c WHERE i > 0),
+s AS (SELECT doc_id, cut, lead(cut, 1, n) OVER (PARTITION BY doc_id ORDER BY cut) AS "end" FROM o)
+SELECT doc_id, coalesce(string_agg(cut || '-' || "end", ',' ORDER BY cut) FILTER ("end" > cut), '') AS spans FROM s GROUP BY 1""")
 def anchor_spans(t: Tables) -> DataFrame:
-    """Three anchors, one of them nowhere: the first found opens the text, a later one cuts it."""
+    """Three anchors, one of them nowhere: each one found cuts the text, and what precedes the first is a span too."""
     spans = chunks.anchor_spans(F.col("text"), F.array(F.lit(". A"), F.lit("zzzz"), F.lit(". ")))
     return t.documents.select("doc_id", F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
 
@@ -180,11 +184,11 @@ def invalid_decisions(t: Tables) -> DataFrame:
     return decisions.invalid_decisions(t.labels.select("doc_id"), t.documents.where("doc_id % 2 = 0"), ["doc_id"])
 
 
-@query(f"SELECT l.doc_id, piece_id, (\"end\" - \"start\")::BIGINT AS chars, content_hash FROM (SELECT * FROM {LINE_CHUNKS}) l WHERE l.doc_id % 2 = 0")
+@query(f"SELECT l.doc_id, piece_id, (\"end\" - \"start\")::BIGINT AS chars, content_hash FROM (SELECT * FROM {LINE_CHUNKS}) l")
 def materialize_pieces(t: Tables) -> DataFrame:
-    """Piece descriptors joined with archived texts: half the sources are archived, pieces of the others are left out."""
+    """Piece descriptors joined with archived texts."""
     p = chunks.explode_pieces(_lines(t), "doc_id", "text", F.col("spans")).select("doc_id", "piece_id", "start", "end")
-    m = archive.materialize_pieces(p, t.documents.where("doc_id % 2 = 0"), ["doc_id"], "text", "start", "end")
+    m = archive.materialize_pieces(p, t.documents, ["doc_id"], "text", "start", "end")
     return m.select("doc_id", "piece_id", F.length("content").cast("long").alias("chars"), T.short_hash("content", 20).alias("content_hash"))
 
 
@@ -327,16 +331,11 @@ def latest_batch(t: Tables) -> DataFrame:
     return e.groupBy("user_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
 
 
-@query()
-def outlined_chunks(t: Tables) -> DataFrame:
-    return outline.outlined(t.documents.select("doc_id", "text"), "doc_id", "text")
-
-
 @query(f"SELECT user_id, turn, count(*) AS events, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event FROM {TURNS} GROUP BY 1, 2")
 def observed_turns_stream(t: Tables) -> DataFrame:
     """The turns of `observed_turn_summary` as a stream over the events' files; its SQL is the batch version."""
     live = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*")
-    return observed.run_available(observed.observed_turns_stream(live), "turns")
+    return observed.run_available(observed.observed_turns_stream(live, F.col("event_type") == "signup", F.col("event_type") == "purchase"), "turns")
 
 
 @query("""SELECT source, '- ' || source || ': ' || count(*) || ' documents, ' || sum(n_chars) || ' characters, longest ' || max(n_chars) AS line FROM documents GROUP BY 1""")

@@ -5,20 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.archive import append_sources
+from ..functions.text import non_negative
+from ..functions.values import redact
+from ..operators.dedupe import dedupe_last
 
 
-def violations(pieces: DataFrame, session: str, piece: str, required: list[str]) -> DataFrame:
-    """Rows that break a state's rules: an id twice in a session, or a required field that is null or blank."""
+def violations(pieces: DataFrame, session: str, piece: str, required: list[str], tasks: DataFrame | None = None) -> DataFrame:
+    """Rows that break a state's rules: an id twice in a session, a required field that is null or blank, a task
+    (session, piece) that names a piece which isn't there."""
     twice = pieces.groupBy(session, piece).count().where("count > 1").select(session, piece, F.lit("repeated id").alias("problem"))
     blank = F.lit(False)
     for c in required:
         blank = blank | F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
-    return twice.unionByName(pieces.where(blank).select(session, piece, F.lit("missing field").alias("problem")))
+    out = twice.unionByName(pieces.where(blank).select(session, piece, F.lit("missing field").alias("problem")))
+    if tasks is not None:
+        out = out.unionByName(tasks.select(session, piece).join(pieces.select(session, piece), [session, piece], "left_anti").select(session, piece, F.lit("unknown piece").alias("problem")))
+    return out
+
+
+def pruned(pieces: DataFrame, session: str, piece: str, order: str) -> DataFrame:
+    """A state's pieces as they are kept: the last of each id, sizes not below 0, an id for a missing hash."""
+    p = dedupe_last(pieces.where((F.col(piece) != "") & F.col(piece).isNotNull()), [session, piece], order)
+    out = p.withColumn("size", non_negative("size")) if "size" in p.columns else p
+    return out.withColumn("hash", F.coalesce(F.nullif("hash", F.lit("")), F.col(piece))) if "hash" in p.columns else out
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def save_state(state: DataFrame, path: str, session: str = "session", round_: str = "round") -> None:
-    """Appends versions of sessions' states; a version is one (session, round) and is never replaced."""
+    """Appends versions of sessions' states. A version is one (session, round); one that is there already, or twice, is an
+    error, and nothing is written."""
+    keys = state.select(session, round_)
+    again = keys.groupBy(session, round_).count().where("count > 1").select(session, round_)
+    if _there(state.sparkSession, path):
+        again = again.unionByName(keys.join(state.sparkSession.read.parquet(path).select(session, round_), [session, round_], "left_semi"))
+    if found := again.limit(5).collect():
+        raise ValueError(f"versions that exist: {found}")
     state.write.mode("append").partitionBy(round_).parquet(path)
 
 
@@ -31,15 +56,40 @@ def load_state(spark: SparkSession, path: str, session: str = "session", round_:
 
 
 def archive(spark: SparkSession, sources: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the sources that the archive lacks."""
-    try:
-        there = spark.read.schema(sources.schema).parquet(path)
-        there.limit(0).collect()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = sources.limit(0)
-    append_sources(there.limit(0), sources.join(there.select(*keys), keys, "left_anti"), keys).write.mode("append").parquet(path)
+    """Appends the sources that the archive lacks; what is there stays as it is."""
+    fresh = sources.dropDuplicates(keys)
+    if _there(spark, path):
+        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    fresh.write.mode("append").parquet(path)
+
+
+def archived(requests: DataFrame, archive_: DataFrame, session: str, ids: str, source: str) -> DataFrame:
+    """Of each request (session, ids) its archived sources in the order asked, `place` from 0; missing ones are skipped."""
+    asked = requests.select(session, F.posexplode(ids).alias("place", source))
+    return asked.join(archive_, [session, source])
+
+
+def write_log(events: DataFrame, path: str, body: str = "fields") -> None:
+    """Appends events to a log, secrets blanked at every depth of their fields."""
+    events.withColumn(body, redact(F.col(body))).write.mode("append").parquet(path)
+
+
+def write_replay(turns: DataFrame, stats: DataFrame, path: str) -> None:
+    """A replay's outputs: its turns and statistics as JSON, its series as CSV."""
+    turns.write.mode("overwrite").json(f"{path}/turns")
+    stats.write.mode("overwrite").json(f"{path}/stats")
+    turns.write.mode("overwrite").option("header", "true").csv(f"{path}/series")
+
+
+def write_status(status: DataFrame, path: str, version: int) -> None:
+    """A job's status as a version of its own, which appears at once: readers take the last one that is complete."""
+    status.write.json(f"{path}/version={version}")
+
+
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete status."""
+    s = spark.read.json(path)
+    return s.join(s.agg(F.max("version").alias("version")), "version", "left_semi")
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 OUT = "user_id long, turn long, events long, first_event long, last_event long"
@@ -15,37 +19,96 @@ STATE = "turn long, open boolean, events long, first_event long"
 
 
 def turn_machine(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A start resets the open turn, an end emits it; events without an open turn are ignored."""
+    """A start resets the open turn, an end emits it; events without an open turn are ignored.
+
+    Rows carry is_start and is_end. Between two marks nothing is looked at but how many events there are, so a
+    batch costs a step for each mark.
+    """
     turn, open_, n, first = state.get if state.exists else (0, False, 0, -1)
     out = []
     for pdf in batches:
-        for kind, event in pdf.sort_values(["ts", "event_id"])[["event_type", "event_id"]].itertuples(index=False):
-            if kind == "signup":
-                open_, n, first = True, 0, int(event)
-            if not open_:
-                continue
-            n += 1
-            if kind == "purchase":
-                turn += 1
-                out.append((key[0], turn, n, first, int(event)))
-                open_ = False
+        pdf = pdf.sort_values(["ts", "event_id"])
+        ids, start, end = pdf["event_id"].to_numpy(), pdf["is_start"].to_numpy(bool), pdf["is_end"].to_numpy(bool)
+        at = 0
+        for i in np.flatnonzero(start | end).tolist():
+            n += (i - at) if open_ else 0
+            at = i + 1
+            if start[i]:
+                open_, n, first = True, 0, int(ids[i])
+            if open_:
+                n += 1
+                if end[i]:
+                    turn += 1
+                    out.append((key[0], turn, n, first, int(ids[i])))
+                    open_ = False
+        n += (len(ids) - at) if open_ else 0
     state.update((turn, open_, n, first))
     yield pd.DataFrame(out, columns=["user_id", "turn", "events", "first_event", "last_event"])
 
 
-def observed_turns_stream(events: DataFrame) -> DataFrame:
-    """Completed turns of a stream (user_id, ts, event_id, event_type), as they complete.
+def observed_turns_stream(events: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Completed turns of a stream (user_id, ts, event_id), as they complete, by what starts and ends one.
 
     Events must come with their thread's id; within a micro-batch they are taken by time, across batches as they arrive.
     A late completion belongs to the turn that it ends, not to a later one.
     """
-    cols = events.select("user_id", "ts", "event_id", "event_type")
+    cols = events.select("user_id", "ts", "event_id", F.coalesce(start, F.lit(False)).alias("is_start"), F.coalesce(end, F.lit(False)).alias("is_end"))
     return cols.groupBy("user_id").applyInPandasWithState(turn_machine, OUT, STATE, "append", "NoTimeout")
 
 
+#: A turn or a waiter's request: (thread, at, kind, sources); what a waiter gets: nothing if none comes in time.
+PAIR_OUT = "thread long, asked_at long, got string"
+PAIR_STATE = "turns string, waiters string"
+
+
+def waiter_queue(timeout: int) -> Callable:
+    """First come, first served: each waiter of a thread gets the next completed turn not yet given; one that waits longer
+    than `timeout` (in the events' own time) gets none, and a turn that completes later goes to the next waiter."""
+
+    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        turns, waiters = (json.loads(x) for x in state.get) if state.exists else ([], [])
+        out = []
+        for pdf in batches:
+            for at, kind, got in pdf.sort_values(["at", "kind"])[["at", "kind", "got"]].itertuples(index=False):
+                late = [w for w in waiters if at - w > timeout]
+                waiters = [w for w in waiters if at - w <= timeout]
+                out += [(key[0], w, None) for w in late]
+                if kind == "turn":
+                    if waiters:
+                        out.append((key[0], waiters.pop(0), got))
+                    else:
+                        turns.append(got)
+                elif turns:
+                    out.append((key[0], int(at), turns.pop(0)))
+                else:
+                    waiters.append(int(at))
+        state.update((json.dumps(turns), json.dumps(waiters)))
+        yield pd.DataFrame(out, columns=["thread", "asked_at", "got"])
+
+    return pair
+
+
+def paired_turns_stream(events: DataFrame, timeout: int) -> DataFrame:
+    """(thread, asked_at, got) from a stream (thread, at, kind `turn` or `wait`, got), as waiters are served or give up."""
+    return events.select("thread", "at", "kind", "got").groupBy("thread").applyInPandasWithState(waiter_queue(timeout), PAIR_OUT, PAIR_STATE, "append", "NoTimeout")
+
+
+def tailed(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream (file, line) of the lines of text files that come into a folder. A file is read once, whole, when it appears:
+    writers roll files instead of growing them, so there are no half lines and no truncation to follow."""
+    raw = spark.readStream.option("recursiveFileLookup", "true").text(folder)
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="turnloom-")).rstrip("/")
+    """The folder that the cluster shares. Where none is set, a local session (as in tests) gets one of its own, any other an error."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        d = "file://" + tempfile.mkdtemp(prefix="turnloom-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d.rstrip("/")
 
 
 def run_available(stream: DataFrame, label: str) -> DataFrame:
