@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder of its own and any other an error, as its executors would not see each other's files."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="turnloom-")
         spark.conf.set("spark.checkpoint.dir", d)
