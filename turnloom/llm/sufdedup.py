@@ -18,23 +18,31 @@ from .common import materialize
 
 #: A symbol that equals no other, beyond a text's ends.
 ABSENT = 256
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _SEGMENT = 900_000
 _POS = 20
 
 
 class Powers:
-    """Powers of the rolling hash's base and of its inverse mod 2 ** 64, up to a segment's length."""
+    """Powers of a rolling hash's base and of its inverse mod 2 ** 64, up to a segment's length."""
 
-    up = down = np.zeros(0, np.uint64)
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
+    def of(cls, n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+        if base not in cls.held or len(cls.held[base][0]) < n:
             size = max(n, 1 << 16)
-            inverse = pow(_BASE, -1, 1 << 64)
-            cls.up, cls.down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (_BASE, inverse))
-        return cls.up[:n], cls.down[:n]
+            cls.held[base] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+        up, down = cls.held[base]
+        return up[:n], down[:n]
+
+
+def _sums(c: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of symbols c their sums up to each place, weighed by powers of the base, and the powers that undo a place's weight."""
+    up, down = Powers.of(len(c) + 1, base)
+    total = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum(c * up[:-1], out=total[1:])
+    return total, down
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,20 +60,18 @@ def sliding_minima(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(rest[: n - w + 1], head[w - 1 : n])
 
 
-def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, hashes and context hashes of a text's anchors.
+def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, hashes and (two independent) context hashes of a text's anchors.
 
     An anchor is the gram with the least hash (the last of several) of all grams in some string of `length`; so
     two equal strings have an anchor at the same place. Its context is every byte of a string that holds the gram.
     """
     n, side = len(text), length - gram
-    found: dict[int, tuple[int, int]] = {}
+    pos, grams, one, two = ([np.zeros(0, t)] for t in (np.int64, np.uint64, np.uint64, np.uint64))
     for s in range(0, max(0, n - length + 1), _SEGMENT):
         lo, hi = max(0, s - side), min(n, s + _SEGMENT + 2 * length)
         c = np.frombuffer(text, np.uint8, hi - lo, lo).astype(np.uint64) + np.uint64(1)
-        up, down = Powers.of(hi - lo + 1)
-        total = np.zeros(len(c) + 1, np.uint64)
-        np.cumsum(c * up[:-1], out=total[1:])
+        total, down = _sums(c, _BASE)
         g = _mix((total[gram:] - total[:-gram]) * down[: len(c) - gram + 1])
         first = s - lo
         last = min(s + _SEGMENT, n - length + 1) - lo + side  # grams of strings that start in this segment
@@ -74,11 +80,15 @@ def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
         low = low[np.r_[True, low[1:] != low[:-1]]]
         at = last - 1 - (low & np.uint64((1 << _POS) - 1)).astype(np.int64)
         a, b = np.maximum(at - side, 0), np.minimum(at + length, len(c))
-        h = _mix((total[b] - total[a]) * down[a] + (at - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (b - at).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        found.update(zip((at + lo).tolist(), zip(g[at].tolist(), h.tolist(), strict=True), strict=True))
-    pos = sorted(found)
-    pair = np.array([found[p] for p in pos], np.uint64).reshape(-1, 2)
-    return np.array(pos, np.int64), pair[:, 0].view(np.int64) if len(pair) else np.zeros(0, np.int64), np.ascontiguousarray(pair[:, 1]).view(np.int64) if len(pair) else np.zeros(0, np.int64)
+        shape = (at - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (b - at).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        other, back = _sums(c, _OTHER)
+        pos.append(at + lo)
+        grams.append(g[at])
+        one.append(_mix((total[b] - total[a]) * down[a] + shape))
+        two.append(_mix((other[b] - other[a]) * back[a] + shape))
+    # An anchor of two segments has the same hashes in both.
+    where, once = np.unique(np.concatenate(pos), return_index=True)
+    return where, *(np.concatenate(x)[once].view(np.int64) for x in (grams, one, two))
 
 
 def repeated_starts(group: np.ndarray, columns: np.ndarray, length: int) -> np.ndarray:
@@ -137,37 +147,44 @@ def _solve(part: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
         columns[i, side - left : side - left + len(ctx)] = np.frombuffer(ctx, np.uint8)
     group = np.cumsum(np.r_[0, part["a"].to_numpy()[1:] != part["a"].to_numpy()[:-1]])
     hit = repeated_starts(group, columns, length)
-    rows = [(a, h, s - side, e - side) for a, h, x in zip(part["a"], part["h"], hit, strict=True) for s, e in _runs(np.flatnonzero(x), length)]
-    return pd.DataFrame(rows, columns=["a", "h", "s", "e"])
+    rows = [(a, h, g, s - side, e - side) for a, h, g, x in zip(part["a"], part["h"], part["g"], hit, strict=True) for s, e in _runs(np.flatnonzero(x), length)]
+    return pd.DataFrame(rows, columns=["a", "h", "g", "s", "e"])
 
 
 def repeats(docs: DataFrame, length: int = 200, gram: int = 32, together: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts are rows (doc_id, key, text); spans (key, spans) has the repeated bytes of each key's text.
 
-    key stands for equal texts (64 bits of XXH64). What all places of an anchor have in common needs no text: if
-    a context's hash occurs twice, all its strings repeat. Only contexts that differ from others at the same anchor
-    are fetched and compared, each different one once; anchors with more than `together` of those, which no task
-    should hold, count their strings by hash instead, in a shuffle.
+    key stands for equal texts (MD5); a context is known by its anchor's hash and two hashes of its own, 192 bits in
+    all. What all places of an anchor have in common needs no text: if a context occurs twice, all its strings
+    repeat. Only contexts that differ from others at the same anchor are fetched and compared, each different one
+    once; anchors with more than `together` of those, which no task should hold, count their strings by
+    hash (BLAKE2, 128 bits) instead, in a shuffle. Aggregates that a join needs are written first, so that adaptive
+    execution can split a hot anchor's or text's rows.
     """
     side = length - gram
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("key", F.xxhash64("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    ctx = ["a", "h", "g"]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 got = [(k, *anchors(t, length, gram)) for k, t in zip(pdf["key"][at : at + 500], pdf["text"][at : at + 500], strict=True) if len(t) >= length]
                 if got:
-                    n = [len(p) for _, p, _, _ in got]
-                    yield pd.DataFrame({"a": np.concatenate([x[2] for x in got]), "h": np.concatenate([x[3] for x in got]), "key": np.repeat([x[0] for x in got], n), "pos": np.concatenate([x[1] for x in got])})
+                    keys = np.repeat(np.array([x[0] for x in got], object), [len(x[1]) for x in got])
+                    yield pd.DataFrame({**{c: np.concatenate([x[i] for x in got]) for i, c in ((2, "a"), (3, "h"), (4, "g"))}, "key": keys, "pos": np.concatenate([x[1] for x in got])})
 
-    rows = materialize(src.select("key", "text").mapInPandas(find, "a long, h long, key long, pos long"), "suffix-anchors")
-    busy = rows.groupBy("a").agg(F.count("*").alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1")).where("n > 1").select("a", (F.col("h0") != F.col("h1")).alias("differ"))
+    rows = materialize(src.select("key", "text").mapInPandas(find, "a long, h long, g long, key binary, pos long"), "suffix-anchors")
+    kinds = F.struct("h", "g")
+    busy = rows.groupBy("a").agg(F.count("*").alias("n"), F.min(kinds).alias("c0"), F.max(kinds).alias("c1")).where("n > 1").select("a", (F.col("c0") != F.col("c1")).alias("differ"))
+    busy = materialize(busy, "suffix-frequent")
     rows = materialize(rows.join(busy, "a"), "suffix-busy")
     # Contexts that occur twice are repeated as a whole; others of the same anchor are compared.
-    seen = rows.where("differ").groupBy("a", "h").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("at"))
-    seen = materialize(seen.select("a", "h", "n", "at.key", "at.pos"), "suffix-contexts")
-    need = seen.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("least = 1")
-    wanted = seen.join(need.select("a", "kinds"), "a").groupBy("key").agg(F.collect_list(F.struct("a", "h", "pos", "kinds")).alias("asked"))
+    seen = rows.where("differ").groupBy(*ctx).agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("at"))
+    seen = materialize(seen.select(*ctx, "n", "at.key", "at.pos"), "suffix-contexts")
+    need = materialize(seen.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("least = 1").select("a", "kinds"), "suffix-compared")
+    wanted = seen.join(need, "a").groupBy("key").agg(F.collect_list(F.struct(*ctx, "pos", "kinds")).alias("asked"))
+    wanted = materialize(wanted, "suffix-wanted")
+    context = "a long, h long, g long, kinds long, left int, ctx binary"
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -175,11 +192,10 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 32, together: int =
             for text, asked in zip(pdf["text"], pdf["asked"], strict=True):
                 for r in asked:
                     left = min(side, r["pos"])
-                    out.append((r["a"], r["h"], r["kinds"], left, bytes(text[r["pos"] - left : r["pos"] + length])))
-            yield pd.DataFrame(out, columns=["a", "h", "kinds", "left", "ctx"])
+                    out.append((r["a"], r["h"], r["g"], r["kinds"], left, bytes(text[r["pos"] - left : r["pos"] + length])))
+            yield pd.DataFrame(out, columns=["a", "h", "g", "kinds", "left", "ctx"])
 
-    contexts = src.select("key", "text").join(wanted, "key").mapInPandas(fetch, "a long, h long, kinds long, left int, ctx binary")
-    contexts = materialize(contexts, "suffix-texts")
+    contexts = materialize(src.select("key", "text").join(wanted, "key").mapInPandas(fetch, context), "suffix-texts")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -191,34 +207,32 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 32, together: int =
             held.append(pdf.iloc[:whole])
             n += whole
             if n >= 10_000:
-                yield _solve(pd.concat(held).drop_duplicates(["a", "h"]), length, gram)
+                yield _solve(pd.concat(held).drop_duplicates(ctx), length, gram)
                 held, n = [], 0
             held.append(pdf.iloc[whole:])
         if held:
-            last = pd.concat(held).sort_values("a", kind="stable").drop_duplicates(["a", "h"])
+            last = pd.concat(held).sort_values("a", kind="stable").drop_duplicates(ctx)
             if len(last):
                 yield _solve(last, length, gram)
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = "a long, h long, s int, e int"
-    few = contexts.where(F.col("kinds") <= together).select("a", "h", "left", "ctx").repartition(parts, "a").sortWithinPartitions("a").mapInPandas(solve, cols)
+    few = contexts.where(F.col("kinds") <= together).drop("kinds").repartition(parts, "a").sortWithinPartitions("a").mapInPandas(solve, "a long, h long, g long, s int, e int")
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a, h, left, ctx in zip(pdf["a"], pdf["h"], pdf["left"], pdf["ctx"], strict=True):
+            for a, h, g, left, ctx in zip(pdf["a"], pdf["h"], pdf["g"], pdf["left"], pdf["ctx"], strict=True):
                 n = len(ctx) - length + 1
-                x = [int.from_bytes(hashlib.blake2b(ctx[i : i + length], digest_size=8).digest(), "little", signed=True) for i in range(n)]
-                yield pd.DataFrame({"a": a, "h": h, "s": np.arange(n) - left, "x": x})
+                yield pd.DataFrame({"a": a, "h": h, "g": g, "s": np.arange(n) - left, "x": [hashlib.blake2b(ctx[i : i + length], digest_size=16).digest() for i in range(n)]})
 
-    many = contexts.where(F.col("kinds") > together).select("a", "h", "left", "ctx").dropDuplicates(["a", "h"]).mapInPandas(strings, "a long, h long, s int, x long")
+    many = contexts.where(F.col("kinds") > together).drop("kinds").dropDuplicates(ctx).mapInPandas(strings, "a long, h long, g long, s int, x binary")
     twice = many.groupBy("a", "s", "x").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    many = many.join(twice, ["a", "s", "x"], "left_semi").select("a", "h", "s", (F.col("s") + length).cast("int").alias("e"))
+    many = many.join(twice, ["a", "s", "x"], "left_semi").select(*ctx, "s", (F.col("s") + length).cast("int").alias("e"))
     own = materialize(few.unionByName(many), "suffix-own")
 
     whole = rows.where("not differ").select("key", "pos", F.lit(-side).alias("s"), F.lit(length).alias("e"))
-    twice = rows.where("differ").join(seen.where("n > 1").select("a", "h"), ["a", "h"], "left_semi").select("key", "pos", F.lit(-side).alias("s"), F.lit(length).alias("e"))
-    once = seen.where("n = 1").join(own, ["a", "h"]).select("key", "pos", "s", "e")
+    twice = rows.where("differ").join(seen.where("n > 1").select(*ctx), ctx, "left_semi").select("key", "pos", F.lit(-side).alias("s"), F.lit(length).alias("e"))
+    once = seen.where("n = 1").join(own, ctx).select("key", "pos", "s", "e")
     every = whole.unionByName(twice).unionByName(once).select("key", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))
     return src, every.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
