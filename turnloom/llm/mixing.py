@@ -10,8 +10,8 @@ from .common import WORD, materialize, pieces, running
 #: The schedule's period, and an odd number near it over the golden ratio: slot i is the point i * STEP mod PERIOD.
 PERIOD_BITS = 31
 STEP = 1327217885
-#: Points with the same leading bits share a cell; a slot meets only the sources of its cell.
-CELL_BITS = 16
+#: Points with the same leading bits share a cell; a slot meets only the sources of its cell. At least so many bits.
+CELL_BITS = 11
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -43,7 +43,7 @@ def source_parts(targets: DataFrame) -> DataFrame:
     return out.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("s")), F.lit(0)))
 
 
-def schedule(sources: DataFrame, slots: int) -> DataFrame:
+def schedule(sources: DataFrame, slots: int, cell_bits: int = CELL_BITS) -> DataFrame:
     """(i, s, k): the mix's slots 0 to slots - 1, the source of each and the slot's rank within that source.
 
     sources: (s, lo, hi). Slot i is a golden-ratio point of the period and falls to the source whose part holds it, so
@@ -53,8 +53,8 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     spark = sources.sparkSession
     mask = (1 << PERIOD_BITS) - 1
     point: Column = (F.col("i").bitwiseAND(F.lit(mask)) * F.lit(STEP)).bitwiseAND(F.lit(mask))
-    drawn = spark.range(slots).withColumnRenamed("id", "i").withColumn("u", point).withColumn("cell", F.shiftright("u", PERIOD_BITS - CELL_BITS))
-    cells = sources.where("hi > lo").select("s", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", PERIOD_BITS - CELL_BITS), F.shiftright(F.col("hi") - 1, PERIOD_BITS - CELL_BITS))).alias("cell"))
+    drawn = spark.range(slots).withColumnRenamed("id", "i").withColumn("u", point).withColumn("cell", F.shiftright("u", PERIOD_BITS - cell_bits))
+    cells = sources.where("hi > lo").select("s", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", PERIOD_BITS - cell_bits), F.shiftright(F.col("hi") - 1, PERIOD_BITS - cell_bits))).alias("cell"))
     dealt = drawn.join(cells, "cell").where("u >= lo and u < hi").select("s", "i")
     return running(dealt, ["s"], F.floor(F.col("i") / 50_000), ["i"], F.lit(1), "k").select("i", "s", "k")
 
@@ -78,23 +78,26 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", text_size.alias("size")), "mix-rows")
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     targets = materialize(source_parts(targets), "mix-sources")
-    total, n_rows = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0], base.count()
-    slots = schedule(targets.select("s", "lo", "hi"), -(-int(total) // block))
+    total, n_sources = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
+    n_rows = base.count()
+    # Cells many times as many as sources, so that a cell holds few; a table of a few thousand where sources are few.
+    slots = schedule(targets.select("s", "lo", "hi"), -(-int(total) // block), max(CELL_BITS, min(PERIOD_BITS, n_sources.bit_length() + 4)))
 
     rows = base.join(targets.select(F.col("source").alias("_source"), "s", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
     rows = materialize(rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sourced")
     # Sub-groups by the hash's leading bits, as many as the rows ask for, so that their order is the hash's.
     sub = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), max(0, 32 - pieces(n_rows).bit_length()))
     placed = running(rows.where("size > 0"), ["s"], sub, ["h", "doc_id", "size"], F.col("size"), "a")
-    again = placed.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(int(most) - 1)))).withColumn("b", F.col("a") + F.col("p") * F.col("source_size"))
+    placed = materialize(placed.select("s", "a", "doc_id", "size", "source_size", "target"), "mix-placed")
+    # What meets the slots is slim: place on the line, block, words in it.
+    again = placed.select("s", "a", "size", F.explode(F.array(*[F.col("a") + p * F.col("source_size") for p in range(int(most))])).alias("b"))
     parts = again.withColumn("k", F.explode(F.sequence(F.floor(F.col("b") / block), F.floor((F.col("b") + F.col("size") - 1) / block))))
     overlap = F.least(F.col("b") + F.col("size"), (F.col("k") + 1) * block) - F.greatest(F.col("b"), F.col("k") * block)
-    used = parts.join(slots, ["s", "k"], "left").groupBy("s", "a", "doc_id", "size", "source_size", "target").agg(
-        F.sum(F.when(F.col("i").isNotNull(), overlap).otherwise(0)).alias("taken"), F.min("i").alias("first_slot"), F.max("i").alias("last_slot")
-    )
+    parts = parts.select("s", "k", "a", overlap.cast("int").alias("words"))
+    used = parts.join(slots, ["s", "k"]).groupBy("s", "a").agg(F.sum("words").alias("taken"), F.min("i").alias("first_slot"), F.max("i").alias("last_slot"))
     none = rows.where("size = 0").withColumn("taken", F.lit(0)).withColumn("first_slot", F.lit(None).cast("long")).withColumn("last_slot", F.lit(None).cast("long"))
-    cols = ["doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "first_slot", "last_slot"]
-    return used.select(*cols).unionByName(none.select(*cols))
+    cols = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot"]
+    return placed.join(used, ["s", "a"], "left").select(*cols).unionByName(none.select(*cols))
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
