@@ -51,3 +51,55 @@ def test_rare_words_have_no_weight():
     counts = pd.DataFrame({"w": [b"common", b"vile", b"rare"], "c0": [900, 0, 4], "c1": [100, 60, 0]})
     r = toxicity.kneser_ney(counts, counts.head(0), np.array([5000.0, 500.0]), np.array([100.0, 20.0]))
     assert set(r.known) == {b"vile"} and r.known[b"vile"] > 1 and abs(r.rest) < 0.2
+
+
+def test_as_plain_python_on_fifty_texts():
+    """Ratios of the class models against the formulas worked out word by word."""
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join([*(f"p{k}lain" for k in rng.integers(0, 300, 14)), *(["vilea", "vileb"] if i % 5 == 0 else [])]) for i in range(50)]
+    docs = {}
+    for i, t in enumerate(texts):
+        for w in set(t.split()):
+            docs.setdefault(w.encode(), [0, 0])[int(i % 5 == 0)] += 1
+    kinds = {}
+    for w, c in docs.items():
+        k = kinds.setdefault(w[: toxicity.PREFIX], [0, 0])
+        k[0] += c[0] > 0
+        k[1] += c[1] > 0
+    frame = lambda d: pd.DataFrame({"w": list(d), "c0": [c[0] for c in d.values()], "c1": [c[1] for c in d.values()]})
+    n, m = ([sum(c[i] for c in d.values()) for i in (0, 1)] for d in (docs, kinds))
+    got = toxicity.kneser_ney(frame(docs), frame(kinds), np.array(n, float), np.array(m, float))
+
+    def kept(c, total, everything):
+        e = [c[0] + c[1] and (c[0] + c[1]) / everything * t for t in total]
+        return [max(x - y - toxicity.Z * y**0.5 - toxicity.Z, 0) / t for x, y, t in zip(c, e, total, strict=True)]
+
+    mass = lambda d, total: [1 - sum(kept(c, total, sum(total))[i] for c in d.values()) for i in (0, 1)]
+    lam, mu = mass(docs, n), mass(kinds, m)
+
+    def ratio(w):
+        k = kinds.get(w[: toxicity.PREFIX])
+        share = k and sum(k) / sum(m)
+        q = [x / share + y for x, y in zip(kept(k, m, sum(m)), mu, strict=True)] if k else mu
+        c = docs.get(w, [0, 0])
+        s = sum(c) / sum(n)
+        if not any(kept(c, n, sum(n))):
+            return np.log(lam[1] * q[1] / (lam[0] * q[0]))
+        p = [x + y * s * z for x, y, z in zip(kept(c, n, sum(n)), lam, q, strict=True)]
+        return np.log(p[1] / p[0])
+
+    assert got.known
+    for t in [*texts, "", "never seen vilest"]:
+        w = {x.encode() for x in t.split()}
+        want = sum(map(ratio, w)) / max(1, len(w))
+        assert abs(got.mean(t)[0] - want) < 1e-9 and got.mean(t)[1] == len(w)
+
+
+def test_long_texts_and_ties(spark):
+    rows = corpus(300)
+    labels = spark.createDataFrame([(d, 1, y, None, None) for d, _, y in rows], LABELS)
+    docs = table(spark, [*rows, (5000, "w1x w2x " * 150_000, 0), (5001, "w2x w1x", 0), (5002, "w1x w2x", 0)])
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert got[5000] == got[5001] == got[5002]
