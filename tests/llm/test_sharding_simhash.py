@@ -152,3 +152,41 @@ def test_edited_copies_are_found(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert simhash.keep_dissimilar(df).select("doc_id").distinct().count() == len(want)
     assert simhash.keep_one(df).select("doc_id").distinct().count() > len(want)  # two of 64 bits lose copies
+
+
+def test_large_blocks_of_sets(spark):
+    """Hundreds of texts around one long passage, so that blocks exceed PAIRS_MOST: pairs of edited copies among them, all
+    too far from the others to be linked. And a group of many near copies of one text."""
+    rng = np.random.default_rng(10)
+    word = lambda: f"n{rng.integers(0, 10**7)}"
+    shared = [word() for _ in range(120)]
+    docs = []
+    for _ in range(150):
+        own = [word() for _ in range(60)]
+        for _ in range(2):
+            w = list(own)
+            for i in rng.choice(60, rng.integers(0, 4), replace=False):
+                w[i] = word()
+            docs.append((len(docs), " ".join(shared + w)))
+    for _ in range(200):
+        w = list(shared) * 2
+        for i in rng.choice(240, rng.integers(1, 6), replace=False):
+            w[i] = word()
+        docs.append((len(docs), " ".join(w)))
+    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for _, t in docs]
+    root, links = list(range(len(docs))), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                links += 1
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {}
+    for (d, _), r in zip(docs, root, strict=True):
+        want.setdefault(r, set()).add(d)
+    nodes = simhash.signatures(spark.createDataFrame(docs, "doc_id long, text string"), 5).selectExpr("node", "explode(bands) key")
+    assert nodes.groupBy("key").count().where(f"count > {simhash.PAIRS_MOST}").count()
+    got = {}
+    for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(r["component_id"], set()).add(r["doc_id"])
+    assert links and len(want) > 100
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
