@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folder of each local application that names none.
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,8 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
-        d = "file://" + tempfile.mkdtemp(prefix="turnloom-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        # The setting is fixed once a session runs, so the folder is kept here.
+        d = _OWN.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="turnloom-")
+        _OWN[spark.sparkContext.applicationId] = d
     return d.rstrip("/")
 
 
