@@ -107,7 +107,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="turnloom-")
-        spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
