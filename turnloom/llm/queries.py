@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, cmlm, decontam, htmlmain, langid, mixing, sharding, simhash, sufdedup, toxicity
+from . import ann, cmlm, decontam, fim, htmlmain, langid, mixing, sharding, simhash, sufdedup, topk, toxicity, vafile
 from .common import table
 
 
@@ -52,5 +52,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_lm, op3_decontam, op4_sharding, op5_ann, op6_html, op7_suffix, op8_mixing, op9_toxicity, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {"op7_suffix": sufdedup.ORACLE, "op8_mixing": mixing.ORACLE}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.with_label_errors(vafile.compress(table(spark, sf_dir, "embeddings"))).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_lm, op3_decontam, op4_sharding, op5_ann, op6_html, op7_suffix, op8_mixing, op9_toxicity, op10_simhash, op11_topk, op12_vafile, op13_fim)}
+ORACLE_SQL: dict[str, str] = {"op7_suffix": sufdedup.ORACLE, "op8_mixing": mixing.ORACLE, "op11_topk": topk.ORACLE, "op12_vafile": vafile.oracle(), "op13_fim": fim.ORACLE}
