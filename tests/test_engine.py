@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import text as T
 from turnloom.functions import values
 from turnloom.operators import archive, chunks, decisions, dedupe, fold
-from turnloom.sources import rollouts, sse, store
+from turnloom.sources import commits, rollouts, sse, store
 from turnloom.streaming.observed import observed_turns_stream
 
 
@@ -208,7 +208,7 @@ def test_store(spark, tmp_path):
     first = spark.createDataFrame([("s", "a", "1"), ("s", "b", "2")], "session string, source string, text string")
     store.archive(spark, first, path, ["session", "source"])
     store.archive(spark, spark.createDataFrame([("s", "b", "changed"), ("s", "c", "3")], first.schema), path, ["session", "source"])
-    assert sorted(r["text"] for r in spark.read.parquet(path).collect()) == ["1", "2", "3"]
+    assert sorted(r["text"] for r in commits.read(spark, path).collect()) == ["1", "2", "3"]
     states = f"file://{tmp_path}/state"
     for r in (1, 2):
         store.save_state(spark.createDataFrame([("s", r, f"v{r}")], "session string, round int, body string"), states)

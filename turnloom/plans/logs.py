@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import chunks, logs, outline, predicates, prompt, render, turns
 from ..sources import rollouts, sse, store
-from ..streaming import observed
+from ..streaming import observed, tail
 from .registry import Tables, query
 
 
@@ -117,8 +118,8 @@ def job_status(t: Tables) -> DataFrame:
     """Two versions of a status; the last one counts."""
     path = _folder(t, "status")
     n = t.documents.groupBy("source").agg(F.count("*").alias("done"))
-    store.write_status(n.withColumn("done", F.lit(0).cast("long")), path, 1)
-    store.write_status(n, path, 2)
+    store.write_status(n.withColumn("done", F.lit(0).cast("long")), path)
+    store.write_status(n, path)
     return store.read_status(t.spark, path).select("source", "done")
 
 
@@ -441,28 +442,98 @@ def default_threads(t: Tables) -> DataFrame:
     return rollouts.with_default_thread(e, "event_type", ["event_id"], "thread").select("event_id", "thread")
 
 
-@query("""SELECT user_id AS thread, n * 10 AS asked_at, CASE WHEN n = 1 THEN 'turn1' WHEN n > 2 THEN 'turn' || (n - 1) END AS got FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(range(1, 7)) AS n) UNION ALL SELECT DISTINCT user_id, 1000, 'turn6' FROM events""")
+#: Seconds that a waiter waits and a turn is kept.
+WAIT, KEEP = 6 * 3600, 4 * 86_400
+
+#: A queue a thread, an event at a time: waiters still there, turns still there, and what this event settles.
+WAITING = f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000000 AS sec, event_type AS kind, event_id::VARCHAR AS got, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS n FROM events WHERE event_type IN ('view', 'purchase')),
+q AS (SELECT user_id, 0::BIGINT AS n, []::BIGINT[] AS w, []::STRUCT(sec BIGINT, got VARCHAR)[] AS t, []::STRUCT(sec BIGINT, got VARCHAR)[] AS o FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, n, CASE WHEN kind = 'purchase' THEN w[2:] WHEN len(t) > 0 THEN w ELSE list_append(w, sec) END, CASE WHEN kind <> 'purchase' THEN t[2:] WHEN len(w) > 0 THEN t ELSE list_append(t, struct_pack(sec := sec, got := got)) END,
+  list_concat(l, CASE WHEN kind = 'purchase' AND len(w) > 0 THEN [struct_pack(sec := w[1], got := got)] WHEN kind <> 'purchase' AND len(t) > 0 THEN [struct_pack(sec := sec, got := t[1].got)] ELSE []::STRUCT(sec BIGINT, got VARCHAR)[] END)
+  FROM (SELECT e.*, list_filter(q.w, lambda x: e.sec - x <= {WAIT}) AS w, list_filter(q.t, lambda x: e.sec - x.sec <= {KEEP}) AS t, list_transform(list_filter(q.w, lambda x: e.sec - x > {WAIT}), lambda x: struct_pack(sec := x, got := NULL::VARCHAR)) AS l FROM q JOIN e ON e.user_id = q.user_id AND e.n = q.n + 1))
+SELECT user_id AS thread, o.sec AS asked_at, o.got AS got FROM (SELECT user_id, unnest(o) AS o FROM q)
+UNION ALL SELECT user_id, sec, NULL FROM (SELECT user_id, unnest(arg_max(w, n)) AS sec FROM q GROUP BY 1) WHERE sec + {WAIT} + 1 < (SELECT max(sec) FROM e)"""
+
+
+@query(WAITING)
 def waiting_turns(t: Tables) -> DataFrame:
-    """Six waiters a thread, and two at the end. The second gives up before its turn ends, which then goes to the third, and so on; the last gets none."""
-    at = F.lit(10) * F.col("n")
-    base = t.events.select("user_id").distinct().select(F.col("user_id").alias("thread"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n"))
-    waits = base.select("thread", at.cast("long").alias("at"), F.lit("wait").alias("kind"), F.lit(None).cast("string").alias("got"))
-    done = base.select("thread", (at + F.when(F.col("n") % 3 == 2, 7).otherwise(1)).cast("long").alias("at"), F.lit("turn").alias("kind"), F.concat(F.lit("turn"), F.col("n").cast("string")).alias("got"))
-    late = base.where("n = 1").select("thread", F.explode(F.array(F.lit(1000).cast("long"), F.lit(1001).cast("long"))).alias("at"), F.lit("wait").alias("kind"), F.lit(None).cast("string").alias("got"))
+    """Views as requests that wait for a completed turn of their thread, purchases as such turns. Who still waits as the watermark ends gets none yet."""
     path = _folder(t, "waits")
-    waits.unionByName(done).unionByName(late).write.parquet(path)
-    live = t.spark.readStream.schema("thread long, at long, kind string, got string").parquet(path)
-    return observed.run_available(observed.paired_turns_stream(live, 5), "pairs")
+    kind = F.when(F.col("event_type") == "purchase", "turn").otherwise("wait")
+    t.events.where(F.col("event_type").isin("view", "purchase")).select(F.col("user_id").alias("thread"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("order"), kind.alias("kind"), F.col("event_id").cast("string").alias("got")).write.parquet(path)
+    live = t.spark.readStream.schema("thread long, at timestamp, order long, kind string, got string").parquet(path)
+    with observed.with_rocksdb(t.spark):
+        return observed.run_available(observed.paired_turns_stream(live, WAIT, KEEP), "pairs")
+
+
+def _log_rows(t: Tables) -> DataFrame:
+    """(file, place, line): documents as lines of some log files, each of which describes itself first; a file has about 500 lines."""
+    files = max(8, t.documents.count() // 500)
+    d = t.documents.select((F.col("doc_id") % files).alias("file"), F.col("doc_id").alias("place"), F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.regexp_replace("text", "[\\r\\n]", " ")).alias("line"))
+    head = t.spark.range(files).select(F.col("id").alias("file"), F.lit(-1).cast("long").alias("place"), F.concat(F.lit('{"type":"session_meta","payload":{"id":"s'), F.col("id").cast("string"), F.lit('","cwd":"/w","originator":"'), F.when(F.col("id") % 4 == 3, "ide").otherwise("cli"), F.lit('"}}')).alias("line"))
+    return head.unionByName(d)
+
+
+#: The lines of those files with their first and last bytes, and each file's length.
+LOGS = """(SELECT *, sum(n) OVER (PARTITION BY file ORDER BY place ROWS UNBOUNDED PRECEDING)::BIGINT - n AS start, sum(n) OVER (PARTITION BY file ORDER BY place ROWS UNBOUNDED PRECEDING)::BIGINT AS stop, sum(n) OVER (PARTITION BY file)::BIGINT AS bytes, max(place) OVER (PARTITION BY file) = place AS last FROM (
+SELECT *, strlen(line)::BIGINT + 1 AS n FROM (SELECT doc_id % (SELECT greatest(8, count(*) // 500) FROM documents) AS file, doc_id AS place, doc_id || ' ' || regexp_replace(text, '[\r\n]', ' ', 'g') AS line FROM documents
+UNION ALL SELECT i, -1, '{"type":"session_meta","payload":{"id":"s' || i || '","cwd":"/w","originator":"' || CASE WHEN i % 4 = 3 THEN 'ide' ELSE 'cli' END || '"}}' FROM (SELECT unnest(range((SELECT greatest(8, count(*) // 500) FROM documents))) AS i))))"""
+
+
+def _write_logs(rows: DataFrame, path: str, share: float, half: bool = False) -> None:
+    """Each file's first share of bytes, wherever that ends; `half` leaves out the last line feed of every fourth file."""
+    out = path.removeprefix("file://")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["file"].iloc[0])
+        body = "".join(x + "\n" for x in pdf.sort_values("place")["line"]).encode()
+        body = body[: int(len(body) * share) - (half and k % 4 == 1)]
+        fs, folder = tail.opened(path) if "://" in path else tail.opened(out)
+        fs.create_dir(folder, recursive=True)
+        with fs.open_output_stream(f"{folder}/{k}.jsonl") as f:
+            f.write(body)
+        return pd.DataFrame({"bytes": [len(body)]})
+
+    rows.groupBy("file").applyInPandas(write, "bytes long").agg(F.sum("bytes")).collect()
 
 
-@query("SELECT event_id AS n, event_type AS type FROM events WHERE event_id % 5 > 1")
+@query(f"""SELECT file, start, line FROM {LOGS} WHERE file % 4 <> 2 AND NOT (file % 4 = 1 AND last)
+UNION ALL SELECT file, start, line FROM {LOGS} WHERE file % 4 = 2 AND stop <= floor(bytes * 0.6)
+UNION ALL SELECT file, sum(n) OVER (PARTITION BY file ORDER BY place ROWS UNBOUNDED PRECEDING)::BIGINT - n, line FROM (SELECT file, place, 'new ' || line AS line, n + 4 AS n FROM {LOGS} WHERE file % 4 = 2 AND place % 3 = 0)""")
 def tailed_lines(t: Tables) -> DataFrame:
-    """A folder's files as a stream of lines, parsed as they come."""
-    path = _folder(t, "tail")
-    _event_lines(t).select(F.col("line").alias("value")).write.text(path)
-    live = rollouts.parse_events(observed.tailed(t.spark, path))
-    out = live.select(F.try_variant_get("event", "$.payload.n", "long").alias("n"), F.try_variant_get("event", "$.type", "string").alias("type"))
-    return observed.run_available(out, "tail")
+    """Logs followed over two triggers: at first each ends within a line, then it is whole, lacks its last line feed, or was truncated and has other lines."""
+    path, rows = _folder(t, "tail"), _log_rows(t)
+    base = _folder(t, "tailed")
+
+    def follow() -> None:
+        q = tail.tailed(t.spark, path).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    _write_logs(rows, path, 0.6)
+    follow()
+    _write_logs(rows.where("file % 4 <> 2"), path, 1.0, half=True)
+    _write_logs(rows.where("file % 4 = 2 and place % 3 = 0").withColumn("line", F.concat(F.lit("new "), "line")), path, 1.0)
+    follow()
+    out = t.spark.read.schema("file string, start long, line string").parquet(f"{base}/out")
+    return out.select(F.regexp_extract("file", r"(\d+)\.jsonl$", 1).cast("long").alias("file"), "start", "line")
+
+
+@query(f"""SELECT file, file % 4 = 0 AS is_new, start, line FROM (SELECT *, max(CASE WHEN stop <= bytes // 2 THEN stop ELSE 0 END) OVER (PARTITION BY file) AS seen FROM {LOGS}) WHERE file % 4 IN (0, 2) AND file % 5 < 4 OR file % 4 = 1 AND start >= seen AND file % 5 < 4""")
+def attached_lines(t: Tables) -> DataFrame:
+    """What there is to read as a follower attaches: of a new log all, of one that has grown what follows the half seen before, of one that has shrunk all;
+    nothing of every fifth, which is as it was, nor of another program's logs."""
+    path, rows = _folder(t, "attach"), _log_rows(t)
+    _write_logs(rows, path, 1.0)
+    read = rollouts.read_lines(t.spark, path)
+    files = read.groupBy("file").agg(F.max("bytes").alias("bytes"))
+    number = F.regexp_extract("file", r"(\d+)\.jsonl$", 1).cast("long")
+    w = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = rows.withColumn("stop", F.sum(F.octet_length("line") + 1).over(w)).withColumn("bytes", F.max("stop").over(Window.partitionBy("file")))
+    half = ends.groupBy("file").agg(F.coalesce(F.max(F.when(F.col("stop") <= F.floor(F.col("bytes") / 2), F.col("stop"))), F.lit(0)).alias("half")).withColumnRenamed("file", "k")
+    known = files.withColumn("k", number).join(half, "k").where("k % 4 > 0 or k % 5 = 4")
+    known = known.select("file", F.when(F.col("k") % 5 == 4, F.col("bytes")).when(F.col("k") % 4 == 1, F.col("half")).otherwise(F.col("bytes") + 100).alias("bytes"))
+    attached = rollouts.attached(files, rollouts.session_meta(read), known, "cli", "/w")
+    return tail.attached_lines(files, attached).select(number.alias("file"), "is_new", "start", "line")
 
 
 @query("""SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'view') AS calls, count(*) FILTER (event_type = 'click') AS outputs, string_agg(DISTINCT CASE WHEN event_type IN ('view', 'click') THEN 'tool' || event_id % 3 END, ',' ORDER BY CASE WHEN event_type IN ('view', 'click') THEN 'tool' || event_id % 3 END) AS tools FROM events GROUP BY 1""")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import archive, decisions, dedupe, fold, metrics, prompt, render, rounds
-from ..sources import store
+from ..sources import commits, store
 from .conversations import IS_USER, PIECES, ROUNDS, _pieces, in_rounds, turn_context, user
 from .logs import _folder, _json
 from .registry import Tables, query
@@ -19,7 +19,8 @@ def stored_states(t: Tables) -> DataFrame:
     """States written round by round, in two goes; the last version of each session is read."""
     path = _folder(t, "states")
     n = _pieces(t).groupBy(F.col("conv_id").alias("session"), "round").agg(F.count("*").alias("n"))
-    s = n.alias("a").join(n.alias("b"), F.expr("a.session = b.session and b.round <= a.round")).groupBy("a.session", "a.round").agg(F.sum("b.n").alias("pieces"))
+    upto = Window.partitionBy("session").orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = n.select("session", "round", F.sum("n").over(upto).alias("pieces"))
     store.save_state(s.where("round <= 2"), path)
     store.save_state(s.where("round > 2"), path)
     return store.load_state(t.spark, path).select("session", F.col("round").cast("long").alias("round"), "pieces")
@@ -39,7 +40,7 @@ def archived_sources(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "text")
     store.archive(t.spark, d.where("doc_id % 2 = 0"), path, ["doc_id"])
     store.archive(t.spark, d.withColumn("text", F.when(F.col("doc_id") % 2 == 0, "changed").otherwise(F.col("text"))), path, ["doc_id"])
-    return t.spark.read.parquet(path)
+    return commits.read(t.spark, path)
 
 
 @query("SELECT conv_id, place, turn, text FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS place, turn, text FROM conversations) WHERE turn % 3 <> 1")

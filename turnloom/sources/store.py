@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import non_negative
 from ..functions.values import redact
 from ..operators.dedupe import dedupe_last
+from . import commits
 
 
 def violations(pieces: DataFrame, session: str, piece: str, required: list[str], tasks: DataFrame | None = None) -> DataFrame:
@@ -30,37 +31,78 @@ def pruned(pieces: DataFrame, session: str, piece: str, order: str) -> DataFrame
     return out.withColumn("hash", F.coalesce(F.nullif("hash", F.lit("")), F.col(piece))) if "hash" in p.columns else out
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def save_state(state: DataFrame, path: str, session: str = "session", round_: str = "round") -> None:
-    """Appends versions of sessions' states. A version is one (session, round); one that is there already, or twice, is an
-    error, and nothing is written."""
+def save_state(state: DataFrame, path: str, session: str = "session", round_: str = "round", batch: tuple[str, int] | None = None) -> None:
+    """Commits versions of sessions' states. A version is one (session, round); one that is there already, or twice, is an
+    error, and so is another writer's commit meanwhile (commits.Conflict): nothing is visible then. A stream's batch that was
+    committed before changes nothing."""
+    spark = state.sparkSession
+    base = commits.manifest(spark, path)
+    if commits.has(base, batch):
+        return
     keys = state.select(session, round_)
     again = keys.groupBy(session, round_).count().where("count > 1").select(session, round_)
-    if _there(state.sparkSession, path):
-        again = again.unionByName(keys.join(state.sparkSession.read.parquet(path).select(session, round_), [session, round_], "left_semi"))
+    again = again.unionByName(keys.join(commits.read(spark, path, keys.schema, base).select(session, round_), [session, round_], "left_semi"))
     if found := again.limit(5).collect():
         raise ValueError(f"versions that exist: {found}")
-    state.write.mode("append").partitionBy(round_).parquet(path)
+    commits.commit(spark, path, state, base, key=session, batch=batch)
 
 
-def load_state(spark: SparkSession, path: str, session: str = "session", round_: str = "round", at: int | None = None) -> DataFrame:
-    """Each session's last version, or its last one up to round `at`. Rounds are partitions, so later ones aren't read."""
-    s = spark.read.parquet(path)
+def load_state(spark: SparkSession, path: str, session: str = "session", round_: str = "round", at: int | None = None, schema: str | None = None) -> DataFrame:
+    """Each session's last version, or its last one up to round `at`. A missing table is an empty one, if its schema is given."""
+    s = commits.read(spark, path, schema)
     s = s.where(F.col(round_) <= at) if at is not None else s
     last = s.groupBy(session).agg(F.max(round_).alias(round_))
     return s.join(last, [session, round_], "left_semi")
 
 
-def archive(spark: SparkSession, sources: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the sources that the archive lacks; what is there stays as it is."""
-    fresh = sources.dropDuplicates(keys)
-    if _there(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    fresh.write.mode("append").parquet(path)
+def compact_state(spark: SparkSession, path: str, session: str = "session", round_: str = "round") -> None:
+    """Commits a version that holds each session's last state only; readers of earlier versions keep theirs."""
+    base = commits.manifest(spark, path)
+    if base is not None:
+        s = commits.read(spark, path, head=base)
+        last = s.groupBy(session).agg(F.max(round_).alias(round_))
+        commits.commit(spark, path, s.join(last, [session, round_], "left_semi"), base, replace=True)
+
+
+def checked(pieces: DataFrame, session: str, piece: str, required: list[str]) -> DataFrame:
+    """The pieces, or an error that names some rows which break a memory's rules."""
+    if found := violations(pieces, session, piece, required).limit(5).collect():
+        raise ValueError(f"memory breaks its rules: {found}")
+    return pieces
+
+
+def save_memory(pieces: DataFrame, versions: DataFrame, path: str, order: str, required: list[str], session: str = "session", round_: str = "round", piece: str = "piece", batch: tuple[str, int] | None = None) -> None:
+    """Commits memories: of each version (session, round), a row a piece; pruned and checked first.
+
+    A version's memory may be empty, so each version also has a row without a piece.
+    """
+    base = commits.manifest(pieces.sparkSession, path)
+    if commits.has(base, batch):
+        return
+    rows = checked(pruned(pieces, session, piece, order), session, piece, required)
+    marks = versions.select(session, round_, *[F.lit(None).cast(f.dataType).alias(f.name) for f in pieces.schema if f.name not in (session, round_)])
+    commits.commit(pieces.sparkSession, path, rows.unionByName(marks), base, key=session, batch=batch)
+
+
+def load_memory(spark: SparkSession, path: str, schema: str, order: str, required: list[str], session: str = "session", round_: str = "round", piece: str = "piece", at: int | None = None) -> DataFrame:
+    """Each session's last memory, pruned and checked again; empty where there is none."""
+    last = load_state(spark, path, session, round_, at, schema)
+    return checked(pruned(last, session, piece, order), session, piece, required)
+
+
+def archive(spark: SparkSession, sources: DataFrame, path: str, keys: list[str], batch: tuple[str, int] | None = None) -> None:
+    """Commits the sources that the archive lacks; what is there stays as it is. If another writer comes between, what is
+    lacking is looked up again. A stream's batch that was committed before changes nothing."""
+
+    def add(base: dict | None) -> dict:
+        if commits.has(base, batch):
+            return base
+        fresh = sources.dropDuplicates(keys)
+        if base is not None:
+            fresh = fresh.join(commits.read(spark, path, head=base).select(*keys), keys, "left_anti")
+        return commits.commit(spark, path, fresh, base, key=keys[0], batch=batch)
+
+    commits.retried(spark, path, add)
 
 
 def archived(requests: DataFrame, archive_: DataFrame, session: str, ids: str, source: str) -> DataFrame:
@@ -81,15 +123,15 @@ def write_replay(turns: DataFrame, stats: DataFrame, path: str) -> None:
     turns.write.mode("overwrite").option("header", "true").csv(f"{path}/series")
 
 
-def write_status(status: DataFrame, path: str, version: int) -> None:
-    """A job's status as a version of its own, which appears at once: readers take the last one that is complete."""
-    status.write.json(f"{path}/version={version}")
+def write_status(status: DataFrame, path: str) -> int:
+    """A job's status takes the place of the one before, at once; its version."""
+    spark = status.sparkSession
+    return commits.retried(spark, path, lambda base: commits.commit(spark, path, status, base, replace=True))["version"]
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
     """The last complete status."""
-    s = spark.read.json(path)
-    return s.join(s.agg(F.max("version").alias("version")), "version", "left_semi")
+    return commits.read(spark, path)
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:

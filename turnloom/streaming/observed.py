@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 OUT = "user_id long, turn long, events long, first_event long, last_event long"
 STATE = "turn long, open boolean, events long, first_event long"
@@ -56,48 +57,94 @@ def observed_turns_stream(events: DataFrame, start: Column, end: Column) -> Data
     return cols.groupBy("user_id").applyInPandasWithState(turn_machine, OUT, STATE, "append", "NoTimeout")
 
 
-#: A turn or a waiter's request: (thread, at, kind, sources); what a waiter gets: nothing if none comes in time.
+#: What a waiter gets: nothing if no turn comes in time. Times are in seconds.
 PAIR_OUT = "thread long, asked_at long, got string"
-PAIR_STATE = "turns string, waiters string"
-
-
-def waiter_queue(timeout: int) -> Callable:
-    """First come, first served: each waiter of a thread gets the next completed turn not yet given; one that waits longer
-    than `timeout` (in the events' own time) gets none, and a turn that completes later goes to the next waiter."""
-
-    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turns, waiters = (json.loads(x) for x in state.get) if state.exists else ([], [])
-        out = []
-        for pdf in batches:
-            for at, kind, got in pdf.sort_values(["at", "kind"])[["at", "kind", "got"]].itertuples(index=False):
-                late = [w for w in waiters if at - w > timeout]
-                waiters = [w for w in waiters if at - w <= timeout]
-                out += [(key[0], w, None) for w in late]
-                if kind == "turn":
-                    if waiters:
-                        out.append((key[0], waiters.pop(0), got))
-                    else:
-                        turns.append(got)
-                elif turns:
-                    out.append((key[0], int(at), turns.pop(0)))
-                else:
-                    waiters.append(int(at))
-        state.update((json.dumps(turns), json.dumps(waiters)))
-        yield pd.DataFrame(out, columns=["thread", "asked_at", "got"])
-
-    return pair
 
 
-def paired_turns_stream(events: DataFrame, timeout: int) -> DataFrame:
-    """(thread, asked_at, got) from a stream (thread, at, kind `turn` or `wait`, got), as waiters are served or give up."""
-    return events.select("thread", "at", "kind", "got").groupBy("thread").applyInPandasWithState(waiter_queue(timeout), PAIR_OUT, PAIR_STATE, "append", "NoTimeout")
+class Waiters(StatefulProcessor):
+    """First come, first served: each waiter of a thread gets the next completed turn not yet given.
 
+    A waiter gives up `timeout` after it asked, and a turn that completes later goes to the next one; a turn that nobody asks for within `keep` goes.
+    Both by event time: a timer is set for each, which fires as the watermark passes even if nothing more comes of the thread. So what a
+    thread holds is bounded by what comes of it in `timeout` and `keep`.
+    """
 
-def tailed(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream (file, line) of the lines of text files that come into a folder. A file is read once, whole, when it appears:
-    writers roll files instead of growing them, so there are no half lines and no truncation to follow."""
-    raw = spark.readStream.option("recursiveFileLookup", "true").text(folder)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    def __init__(self, timeout: int, keep: int):
+        self.timeout, self.keep = timeout, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long")
+        self.turns = handle.getListState("turns", "at long, got string")
+
+    def expired(self, waiting: list[int], turns: list[tuple[int, str]], now: int) -> tuple[list[int], list[int], list[tuple[int, str]]]:
+        """Who has given up before `now`, who still waits, and the turns still kept."""
+        return [w for w in waiting if now - w > self.timeout], [w for w in waiting if now - w <= self.timeout], [x for x in turns if now - x[0] <= self.keep]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        waiting, turns, out = [r[0] for r in self.waiting.get()], [(r[0], r[1]) for r in self.turns.get()], []
+        events = pd.concat(list(rows)).sort_values(["s", "order"])
+        for at, kind, got in events[["s", "kind", "got"]].itertuples(index=False):
+            late, waiting, turns = self.expired(waiting, turns, at)
+            out += [(w, None) for w in late]
+            if kind == "turn":
+                if waiting:
+                    out.append((waiting.pop(0), got))
+                else:
+                    turns.append((int(at), got))
+            elif turns:
+                out.append((int(at), turns.pop(0)[1]))
+            else:
+                waiting.append(int(at))
+        self.hold(waiting, turns)
+        yield self.rows(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        waiting, turns = [r[0] for r in self.waiting.get()], [(r[0], r[1]) for r in self.turns.get()]
+        late, waiting, turns = self.expired(waiting, turns, expiredTimerInfo.getExpiryTimeInMs() // 1000)
+        self.hold(waiting, turns)
+        yield self.rows(key, [(w, None) for w in late])
+
+    def hold(self, waiting: list[int], turns: list[tuple[int, str]]) -> None:
+        for state, values in ((self.waiting, [(w,) for w in waiting]), (self.turns, turns)):
+            state.clear()
+            if values:
+                state.put(values)
+        # The second in which each is over, of which one timer is enough.
+        for due in {w + self.timeout + 1 for w in waiting} | {at + self.keep + 1 for at, _ in turns}:
+            self.handle.registerTimer(due * 1000)
+
+    @staticmethod
+    def rows(key: tuple, out: list[tuple[int, str | None]]) -> pd.DataFrame:
+        return pd.DataFrame({"thread": pd.Series([key[0]] * len(out), dtype="int64"), "asked_at": pd.Series([o[0] for o in out], dtype="int64"), "got": pd.Series([o[1] for o in out], dtype=object)})
+
+    def close(self) -> None:
+        pass
+
+
+def paired_turns_stream(events: DataFrame, timeout: int, keep: int, delay: str = "0 seconds") -> DataFrame:
+    """(thread, asked_at, got) from a stream (thread, at timestamp, order, kind `turn` or `wait`, got), as waiters are served or give up.
+
+    Events of one second are taken by `order`; those later than `delay` behind the newest seen of any thread are left out. Needs
+    the RocksDB state store (see with_rocksdb).
+    """
+    e = events.withWatermark("at", delay).select("thread", "at", F.unix_seconds("at").alias("s"), "order", "kind", "got")
+    return e.groupBy("thread").transformWithStateInPandas(Waiters(timeout, keep), PAIR_OUT, "append", "eventtime")
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started meanwhile keep their state in RocksDB, on the executors' disks with change logs in the checkpoint."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
 
 
 def shared_folder(spark: SparkSession) -> str:
