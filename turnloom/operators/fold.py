@@ -1,18 +1,22 @@
 """The sequential fold of one session's rounds into its working set, and its distributed run over sessions.
 
-State holds ids, sizes and hashes only; texts stay in the archive. Sessions are independent, so the fold runs as a
-grouped map: a task holds one session's piece descriptors (some 100 bytes each), never its texts.
+State holds ids, sizes and hashes only; texts stay in the archive. Sessions are independent, so a task steps through those dealt to it
+and holds one session's piece descriptors (some 100 bytes each), never its texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from ..sources import commits, store
 from .decisions import OLD_TASK, REASONS, STRUCTURAL_REASONS, UNRELATED
 
 #: Tokens of a batch, of a batch of one, of a piece's wrapper and of a request's.
@@ -304,49 +308,158 @@ def _answers(told: str | None) -> list[Route]:
     return [int(x[7:]) if x.startswith("revive:") else x for x in (told or "same").split(",")]
 
 
-COLUMNS = "route string, task string, before_pieces long, before_chars long, pieces long, bytes long, ids string, dropped long, guarded long, duplicates long, archived long, processed long, recallable long"
+COLUMNS = "route string, task string, before_pieces long, before_chars long, pieces long, bytes long, added array<string>, removed array<string>, dropped long, guarded long, duplicates long, archived long, processed long, recallable long"
 
+_PIECE = "id:string,source:string,kind:string,size:bigint,hash:string,seq:bigint,text_hash:string,duplicates:array<string>,rendered:boolean,chars:bigint"
+_TASK = "id:string,started:bigint,last:bigint"
+#: A session's state as a column: what a later run goes on from. `processed` counts sources; which they are is the archive's to know.
+STATE = f"struct<round:bigint,task:struct<{_TASK}>,pieces:array<struct<{_PIECE}>>,archived:array<struct<{_TASK},pieces:array<struct<{_PIECE}>>>>,processed:bigint>"
 
-def replay(pieces: DataFrame, name: str, session: str = "session", routes: DataFrame | None = None) -> DataFrame:
-    """What each round did under a policy, a row a round: (session, round) and COLUMNS.
+
+def _packed(state: State, processed: int) -> dict:
+    """A state as a value of STATE."""
+    own = lambda p: p.__dict__ | {"duplicates": list(p.duplicates)}
+    task = lambda t: {"id": t.id, "started": t.started, "last": t.last}
+    return {"round": state.round, "task": state.task and task(state.task), "pieces": [own(p) for p in state.pieces], "archived": [task(t) | {"pieces": [own(p) for p in t.pieces]} for t in state.archived], "processed": processed}
+
+
+def _unpacked(value: dict) -> tuple[State, int]:
+    own = lambda ps: tuple(Piece(**{**p, "duplicates": tuple(p["duplicates"])}) for p in ps)
+    task = value["task"] and Task(**value["task"])
+    return State(value["round"], task, tuple(Task(t["id"], t["started"], t["last"], own(t["pieces"])) for t in value["archived"]), own(value["pieces"])), value["processed"]
+
+
+class _Session:
+    """One session's rounds, one after another."""
+
+    def __init__(self, key: tuple, name: str):
+        self.key, self.drop, self.state, self.processed = key, policy(name), State(), 0
+        self.seen: set[str] = set()
+        self.round: int | None = None
+        self.new: list[Piece] = []
+        self.told: str | None = None
+
+    def resume(self, value: dict) -> None:
+        self.state, self.processed = _unpacked(value)
+
+    def end_round(self) -> tuple:
+        before, state = self.state, self.state
+        out = step(state, self.new, request_route(state, self.new, _answers(self.told)), self.drop)
+        self.state = state = replace(out.state, processed=())  # counted here, so that a round costs what it holds
+        was, now = {p.id for p in before.pieces}, {p.id for p in state.pieces}
+        row = (
+            *self.key, self.round, "revive" if out.route.startswith("-") else out.route, state.task.id if state.task else None, len(was), sum(p.chars for p in before.pieces), len(now), sum(p.size for p in state.pieces),
+            [p.id for p in state.pieces if p.id not in was], [p.id for p in before.pieces if p.id not in now], len(out.dropped), len(out.guarded), len(out.duplicates), len(state.archived),
+            self.processed, self.processed - len({p.source for p in state.pieces}),
+        )
+        self.round, self.new, self.told = None, [], None
+        return row
+
+
+def replay(pieces: DataFrame, name: str | list[str], session: str = "session", routes: DataFrame | None = None, states: DataFrame | None = None, processed: DataFrame | None = None) -> DataFrame:
+    """What each round did under a policy, a row a round: (session, round), COLUMNS and `state`, set in a session's last row.
 
     pieces: session, round, place, id, source, kind, size, hash, chars, one row a new piece; routes: session, round, told
-    (a router's answers, see _answers; same where there are none). before_* is the memory that the round's request held.
-    Sessions are dealt by hash to as many tasks as shuffles have partitions, and a task folds them one after another.
+    (a router's answers, see _answers; same where there are none). before_* is the memory that the round's request held; added and removed
+    are the ids that came into it and left it. With a list of policies each session is folded under each, and `policy` is a column too.
+
+    states (session, state) are those of an earlier run, and processed (session, source) what was processed in it: rounds that follow
+    are then folded as if all had been folded at once. Rows are dealt by session and sorted, and a task steps from session to session over plain
+    columns: it holds one session's memory, and its batches of output hold some thousand rounds.
     """
-    spark, kind = pieces.sparkSession, pieces.schema[session].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows, drop = State(), [], policy(name)
-        seen: dict[str, None] = {}
-        pdf = pdf.sort_values(["round", "place"])
-        for r, part in pdf.groupby("round", sort=True):
-            new = [Piece(i, s, k, z, h, chars=c) for i, s, k, z, h, c in part[["id", "source", "kind", "size", "hash", "chars"]].itertuples(index=False)]
-            before = state.pieces
-            out = step(state, new, request_route(state, new, _answers(part["told"].iloc[0])), drop)
-            seen.update(dict.fromkeys(out.state.processed))
-            state = replace(out.state, processed=())  # kept in `seen`, so that a round costs what it holds
-            rows.append((
-                pdf[session].iloc[0], int(r), "revive" if out.route.startswith("-") else out.route, state.task.id if state.task else None, len(before), sum(p.chars for p in before), len(state.pieces), sum(p.size for p in state.pieces),
-                ",".join(p.id for p in state.pieces), len(out.dropped), len(out.guarded), len(out.duplicates), len(state.archived), len(seen), len(seen) - len({p.source for p in state.pieces}),
-            ))
-        return pd.DataFrame(rows, columns=[session, "round", *[c.split()[0] for c in COLUMNS.split(", ")]])
-
-    cols = pieces.select(session, "round", "place", "id", "source", "kind", "size", "hash", F.col("chars").cast("long").alias("chars") if "chars" in pieces.columns else F.lit(0).cast("long").alias("chars"))
-    told = cols.withColumn("told", F.lit(None).cast("string")) if routes is None else cols.join(routes.select(session, "round", "told"), [session, "round"], "left")
-    dealt = told.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), session)
-    return dealt.groupBy(session).applyInPandas(run, f"{session} {kind}, round long, {COLUMNS}")
-
-
-def finalize(pieces: DataFrame, name: str, sources: DataFrame, path: str, session: str = "session", routes: DataFrame | None = None) -> DataFrame:
-    """A round's end as one stage: the fold, then its sources into the archive (those it lacks), then the states as
-    versions, then (session, rounds, bytes, recallable) of each session."""
-    from ..sources import store
+    kind = pieces.schema[session].dataType.simpleString()
+    names = [name] if isinstance(name, str) else name
+    cols = pieces.select(session, F.col("round").cast("long").alias("round"), "place", "id", "source", "kind", "size", "hash", F.col("chars").cast("long").alias("chars") if "chars" in pieces.columns else F.lit(0).cast("long").alias("chars"))
+    cols = cols.withColumn("told", F.lit(None).cast("string")) if routes is None else cols.join(routes.select(session, "round", "told"), [session, "round"], "left")
+    cols = cols.withColumn("known", F.lit(False)) if processed is None else cols.join(processed.select(session, "source").distinct().withColumn("known", F.lit(True)), [session, "source"], "left")
+    cols = cols.select(session, "round", "place", "id", "source", "kind", "size", "hash", "chars", "told", "known", F.lit(None).cast(STATE).alias("state"))
+    if states is not None:
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in cols.schema[2:-1]]
+        # A state goes before its session's rounds, and only where there are some.
+        going = states.select(session, "state").join(pieces.select(session).distinct(), session, "left_semi")
+        cols = cols.unionByName(going.select(session, F.lit(-1).cast("long").alias("round"), *nulls, "state"))
+    cols = cols.withColumn("policy", F.explode(F.array(*[F.lit(n) for n in names])))
+    out_schema = StructType.fromDDL(f"{session} {kind}, policy string, round long, {COLUMNS}, state {STATE}")
+    arrow = to_arrow_schema(out_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: _Session | None = None
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+        def end(last: bool) -> None:
+            if now is not None and now.round is not None:
+                rows.append((*now.end_round(), None))
+            if last and now is not None and rows and rows[-1][:2] == now.key:
+                rows[-1] = (*rows[-1][:-1], _packed(now.state, now.processed))
+
+        for b in batches:
+            c = {n: b.column(n).to_pylist() for n in b.schema.names}
+            for i, key in enumerate(zip(c[session], c["policy"], strict=True)):
+                if now is None or now.key != key:
+                    end(True)
+                    # A session's last row stays until its state is in it.
+                    if len(rows) >= 4096:
+                        yield out()
+                        rows.clear()
+                    now = _Session(key, key[1])
+                if c["state"][i] is not None:
+                    now.resume(c["state"][i])
+                    continue
+                if now.round is not None and now.round != c["round"][i]:
+                    end(False)
+                    if len(rows) >= 4096:
+                        yield out()
+                        rows.clear()
+                now.round, now.told = c["round"][i], c["told"][i]
+                source = c["source"][i]
+                if c["size"][i] > 0 and not c["known"][i] and source not in now.seen:
+                    now.seen.add(source)
+                    now.processed += 1
+                now.new.append(Piece(c["id"][i], source, c["kind"][i], c["size"][i], c["hash"][i], chars=c["chars"][i]))
+        end(True)
+        if rows:
+            yield out()
+
+    spark = pieces.sparkSession
+    dealt = cols.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), session).sortWithinPartitions(session, "policy", "round", "place")
+    done = dealt.mapInArrow(run, out_schema)
+    return done.drop("policy") if isinstance(name, str) else done
+
+
+def finalize(pieces: DataFrame, name: str, sources: DataFrame, path: str, session: str = "session", routes: DataFrame | None = None, batch: tuple[str, int] | None = None) -> None:
+    """The end of some rounds as one stage: the fold, going on from each session's committed state; then their sources into the
+    archive (those it lacks), then the states as versions.
 
+    With a batch (query, batch id) all of it happens once: if the job dies after the archive's commit, what the repeated batch takes as
+    processed before is the archive without it; if it dies after the states' commit, nothing is done again.
+    """
     spark = pieces.sparkSession
-    states = f"{path}/fold"
-    replay(pieces, name, session, routes).write.mode("overwrite").parquet(states)
-    done = spark.read.parquet(states)
-    store.archive(spark, sources, f"{path}/archive", [session, "source"])
-    store.save_state(done, f"{path}/state", session, "round")
-    return done.groupBy(session).agg(F.max("round").alias("rounds"), F.max_by("bytes", "round").alias("bytes"), F.max_by("recallable", "round").alias("recallable"))
+    head = commits.manifest(spark, f"{path}/state")
+    if commits.has(head, batch):
+        return
+    archived = commits.before(spark, f"{path}/archive", batch) if batch else commits.manifest(spark, f"{path}/archive")
+    states = store.load_state(spark, f"{path}/state", session, "round") if head else None
+    processed = commits.read(spark, f"{path}/archive", head=archived) if archived else None
+    work = f"{path}/work/{uuid.uuid4().hex}"
+    replay(pieces, name, session, routes, states, processed).write.parquet(work)
+    store.archive(spark, sources, f"{path}/archive", [session, "source"], batch)
+    store.save_state(spark.read.parquet(work), f"{path}/state", session, "round", batch)
+
+
+def finalizing(path: str, name: str, query: str, session: str = "session") -> Callable[[DataFrame, int], None]:
+    """What foreachBatch calls with the pieces (and their `text`) of rounds that have ended: finalize, once a batch of a query.
+
+    A round comes whole in one batch; a session's rounds come in order. A round that comes again in a later batch is an error.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            finalize(held.drop("text"), name, held.select(session, "source", "text"), path, session, batch=(query, batch_id))
+        finally:
+            held.unpersist()
+
+    return sink

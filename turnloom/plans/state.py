@@ -114,42 +114,120 @@ def relative_tasks(t: Tables) -> DataFrame:
     return t.conversations.join(b, "conv_id").select("conv_id", "turn", archive.relative_index(F.col("l"), at).alias("bundle"))
 
 
-#: Sessions in which pieces repeat, tasks change and come back, and a guard is needed: session, round, place, id, kind, hash, route.
-SCENES = [
-    ("repeat", 1, 0, "u1", "user", "h1", "same"), ("repeat", 1, 1, "a1", "assistant", "h2", "same"), ("repeat", 2, 0, "u2", "user", "h1", "same"), ("repeat", 2, 1, "a2", "assistant", "h3", "same"),
-    ("switch", 1, 0, "u1", "user", "h1", "same"), ("switch", 2, 0, "u2", "user", "h1", "new"), ("switch", 3, 0, "u3", "user", "h9", "revive:-1"), ("switch", 4, 0, "u4", "user", "h8", "revive:-7"),
-    ("quiet", 1, 0, "a1", "assistant", "h1", "same"), ("quiet", 2, 0, "a2", "assistant", "h2", "same"), ("quiet", 3, 0, "t3", "tool", "h3", "same"),
-    ("pages", 1, 0, "u1", "user", "h1", "same"), ("pages", 2, 0, "u2", "user", "h2", "new"), ("pages", 3, 0, "u3", "user", "h3", "more,revive:-1"), ("pages", 4, 0, "a4", "assistant", "h4", "new"),
-]
-
-
-def _scenes(t: Tables, policy: str) -> DataFrame:
-    rows = [(s, r, p, i, f"{s}-{i}", k, 10, h) for s, r, p, i, k, h, _ in SCENES]
-    pieces = t.spark.createDataFrame(rows, "session string, round long, place long, id string, source string, kind string, size long, hash string")
-    routes = t.spark.createDataFrame([*{(s, r, told) for s, r, *_, told in SCENES}], "session string, round long, told string")
-    out = fold.replay(pieces, policy, "session", routes)
-    return out.select("session", "round", "route", "task", "ids", "dropped", "guarded", "duplicates", "archived", "processed", "recallable")
-
-
-@query("""SELECT session, round, route, task, ids, dropped::BIGINT AS dropped, guarded::BIGINT AS guarded, duplicates::BIGINT AS duplicates, archived::BIGINT AS archived, processed::BIGINT AS processed, recallable::BIGINT AS recallable FROM (VALUES
-('repeat', 1::BIGINT, 'new', 'task_1', 'a1,u1', 0, 0, 0, 0, 2, 0), ('repeat', 2, 'same', 'task_1', 'a1,u1,a2', 0, 0, 1, 0, 4, 1),
-('switch', 1, 'new', 'task_1', 'u1', 0, 0, 0, 0, 1, 0), ('switch', 2, 'new', 'task_2', 'u2', 0, 0, 1, 1, 2, 1), ('switch', 3, 'revive', 'task_1', 'u1,u3', 0, 0, 1, 1, 3, 1), ('switch', 4, 'same', 'task_1', 'u1,u3,u4', 0, 0, 0, 1, 4, 1),
-('quiet', 1, 'new', 'task_1', 'a1', 0, 0, 0, 0, 1, 0), ('quiet', 2, 'same', 'task_1', 'a1,a2', 0, 0, 0, 0, 2, 0), ('quiet', 3, 'same', 'task_1', 'a1,a2,t3', 0, 0, 0, 0, 3, 0),
-('pages', 1, 'new', 'task_1', 'u1', 0, 0, 0, 0, 1, 0), ('pages', 2, 'new', 'task_2', 'u1,u2', 0, 0, 0, 1, 2, 0), ('pages', 3, 'same', 'task_2', 'u1,u2,u3', 0, 0, 0, 1, 3, 0), ('pages', 4, 'same', 'task_2', 'u1,u2,u3,a4', 0, 0, 0, 1, 4, 0)
-) x(session, round, route, task, ids, dropped, guarded, duplicates, archived, processed, recallable)""")
+#: Documents as pieces, four a round of their source's session: sizes from their lengths, hashes of which many repeat. Every fourth source, by
+#: the last letter of its name, is quiet: all of it is the assistant's.
+DOC_PIECES = """(SELECT *, kind || n_chars % 13 AS h FROM (SELECT source AS session, r // 4 + 1 AS round, 'm' || lpad(doc_id::VARCHAR, 12, '0') AS id, CASE WHEN ascii(right(source, 1)) % 4 = 0 THEN 'assistant' WHEN r % 4 = 0 THEN 'user' WHEN r % 4 = 1 THEN 'tool' ELSE 'assistant' END AS kind,
+1 + n_chars * 7 % 3000 AS size, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents)))"""
+
+
+def _doc_pieces(t: Tables) -> DataFrame:
+    r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    kind = F.when(F.ascii(F.right("source", F.lit(1))) % 4 == 0, "assistant").when(F.col("r") % 4 == 0, "user").when(F.col("r") % 4 == 1, "tool").otherwise("assistant")
+    d = t.documents.select("source", "doc_id", "n_chars").withColumn("r", r).withColumn("kind", kind).withColumn("id", F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 12, "0")))
+    size = F.lit(1) + F.col("n_chars") * 7 % 3000
+    return d.select(F.col("source").alias("session"), (F.floor(F.col("r") / 4) + 1).alias("round"), F.col("doc_id").alias("place"), "id", F.col("id").alias("source"), "kind", size.alias("size"), F.concat("kind", (F.col("n_chars") % 13).cast("string")).alias("hash"), size.alias("chars"))
+
+
+def _told(pieces: DataFrame) -> DataFrame:
+    """Each fifth round begins a new task, each seventh goes back to the last one, each eleventh asks for another page and goes back to the last but one."""
+    r = F.col("round")
+    return pieces.select("session", "round").distinct().withColumn("told", F.when(r % 5 == 0, "new").when(r % 7 == 0, "revive:-1").when(r % 11 == 0, "more,revive:-2").otherwise("same"))
+
+
+def _folded(policy: str) -> str:
+    """The same round by round in SQL: route, memory of the task gone back to, marks, the policy with its guard, one piece a hash."""
+    left = {
+        "retain-all": "cand", "drop-tools": "list_filter(cand, lambda x: x.kind = 'user')", "keep-none": "[]::P[]", "retain-recent": "cand[greatest(1, len(cand) - 11):]",
+        "cap-bytes": "list_filter(cand, lambda x: list_contains(fit, x.id))",
+    }[policy]
+    fit = "list_reduce(list_transform(list_reverse(cand), lambda x: struct_pack(used := x.size::BIGINT, ids := [x.id])), lambda a, x: CASE WHEN a.used + x.used <= 32768 THEN struct_pack(used := a.used + x.used, ids := list_concat(a.ids, x.ids)) ELSE a END, struct_pack(used := 0::BIGINT, ids := []::VARCHAR[])).ids" if policy == "cap-bytes" else "NULL"
+    sql = f"""WITH RECURSIVE n AS (SELECT session, round, list(struct_pack(id := id, kind := kind, size := size::BIGINT, h := h) ORDER BY id) AS new FROM {DOC_PIECES} GROUP BY 1, 2),
+f AS (SELECT DISTINCT session, 0::BIGINT AS round, NULL::VARCHAR AS route, NULL::VARCHAR AS task, []::P[] AS pieces, []::STRUCT(task VARCHAR, pieces P[])[] AS arch, ''::VARCHAR AS added, ''::VARCHAR AS removed, 0::BIGINT AS dropped, 0::BIGINT AS guarded, 0::BIGINT AS duplicates, 0::BIGINT AS processed FROM n
+UNION ALL SELECT session, round, route, CASE WHEN len(done) > 0 THEN task END, done, arch, array_to_string(list_transform(list_filter(done, lambda x: NOT list_contains(list_transform(was, lambda y: y.id), x.id)), lambda x: x.id), ','),
+  array_to_string(list_transform(list_filter(was, lambda x: NOT list_contains(list_transform(done, lambda y: y.id), x.id)), lambda x: x.id), ','), CASE WHEN undo THEN 0 ELSE len(cand) - len(l) END, CASE WHEN undo THEN len(cand) - len(l) ELSE 0 END, gone + len(kept) - len(done), processed + len(new)
+FROM (SELECT *, CASE WHEN route <> 'new' THEN kept ELSE list_sort(list_concat(list_filter(kept, lambda x: NOT list_contains(nh, x.h)), list_filter(list_filter(kept, lambda x: list_contains(ni, x.id)), lambda x, i: list_position(nh, x.h) = i))) END AS done
+FROM (SELECT *, list_transform(list_filter(kept, lambda x: list_contains(ni, x.id)), lambda x: x.h) AS nh FROM (SELECT *, CASE WHEN undo THEN cand ELSE l END AS kept, list_transform(new, lambda x: x.id) AS ni
+FROM (SELECT *, len(list_filter(cand, lambda x: x.kind <> 'assistant')) > 0 AND len(list_filter(l, lambda x: x.kind <> 'assistant')) = 0 AS undo FROM (SELECT *, {left} AS l FROM (SELECT *, {fit} AS fit
+FROM (SELECT *, list_concat(base, fresh) AS cand, gone1 + len(new) - len(fresh) AS gone FROM (SELECT *, CASE WHEN route = 'new' THEN new ELSE list_filter(new, lambda x, i: NOT list_contains(list_transform(base, lambda y: y.h), x.h) AND list_position(list_transform(new, lambda y: y.h), x.h) = i) END AS fresh
+FROM (SELECT session, round, route, was, new, processed, CASE WHEN k > 0 THEN rev.task WHEN route = 'same' THEN task ELSE 'task_' || round END AS task,
+  CASE WHEN route = 'same' THEN old ELSE list_concat(list_filter(old, lambda x, i: k = 0 OR i <> len(old) - k + 1), CASE WHEN len(was) > 0 THEN [struct_pack(task := task, pieces := was)] ELSE []::STRUCT(task VARCHAR, pieces P[])[] END) END AS arch,
+  CASE WHEN k > 0 THEN list_sort(list_concat(rev.pieces, list_filter(was, lambda x: NOT list_contains(list_transform(rev.pieces, lambda y: y.h), x.h)))) ELSE was END AS base,
+  CASE WHEN k > 0 THEN len(list_distinct(list_transform(list_concat(rev.pieces, was), lambda x: x.id))) - len(list_concat(rev.pieces, list_filter(was, lambda x: NOT list_contains(list_transform(rev.pieces, lambda y: y.h), x.h)))) ELSE 0 END AS gone1
+FROM (SELECT *, old[len(old) - k + 1] AS rev, CASE WHEN k > 0 THEN 'revive' WHEN task IS NULL OR told = 'new' THEN 'new' ELSE 'same' END AS route
+FROM (SELECT *, CASE WHEN task IS NULL THEN 0 WHEN told = 'revive:-1' AND len(old) > 0 THEN 1 WHEN told = 'more,revive:-2' AND len(old) > 5 THEN 2 ELSE 0 END AS k
+FROM (SELECT f.session, n.round, f.task, f.pieces AS was, f.arch AS old, n.new, f.processed, CASE WHEN len(list_filter(n.new, lambda x: x.kind = 'user')) = 0 THEN 'same' WHEN n.round % 5 = 0 THEN 'new' WHEN n.round % 7 = 0 THEN 'revive:-1' WHEN n.round % 11 = 0 THEN 'more,revive:-2' ELSE 'same' END AS told
+FROM f JOIN n ON n.session = f.session AND n.round = f.round + 1))))))))))))) 
+SELECT session, round, route, task, len(pieces)::BIGINT AS pieces, coalesce(list_sum(list_transform(pieces, lambda x: x.size)), 0)::BIGINT AS bytes, added, removed, dropped::BIGINT AS dropped, guarded::BIGINT AS guarded, duplicates::BIGINT AS duplicates, len(arch)::BIGINT AS archived, processed::BIGINT AS processed, (processed - len(pieces))::BIGINT AS recallable FROM f WHERE round > 0"""
+    return sql.replace("P[]", "STRUCT(id VARCHAR, kind VARCHAR, size BIGINT, h VARCHAR)[]")
+
+
+def _shown(folded: DataFrame) -> DataFrame:
+    text = [F.array_join(c, ",").alias(c) for c in ("added", "removed")]
+    return folded.select("session", "round", "route", "task", "pieces", "bytes", *text, "dropped", "guarded", "duplicates", "archived", "processed", "recallable")
+
+
+def _fold(t: Tables, policy: str) -> DataFrame:
+    p = _doc_pieces(t)
+    return _shown(fold.replay(p, policy, "session", _told(p)))
+
+
+@query(_folded("retain-all"))
 def fold_retain_all(t: Tables) -> DataFrame:
-    return _scenes(t, "retain-all")
+    """Sessions in which pieces repeat, tasks change and come back, pages are asked for and indexes name no task."""
+    return _fold(t, "retain-all")
 
 
-@query("""SELECT session, round, route, task, ids, dropped::BIGINT AS dropped, guarded::BIGINT AS guarded, duplicates::BIGINT AS duplicates, archived::BIGINT AS archived, processed::BIGINT AS processed, recallable::BIGINT AS recallable FROM (VALUES
-('repeat', 1::BIGINT, 'new', 'task_1', 'a1,u1', 0, 2, 0, 0, 2, 0), ('repeat', 2, 'same', 'task_1', 'a1,u1,a2', 0, 3, 1, 0, 4, 1),
-('switch', 1, 'new', 'task_1', 'u1', 0, 1, 0, 0, 1, 0), ('switch', 2, 'new', 'task_2', 'u2', 0, 2, 1, 1, 2, 1), ('switch', 3, 'revive', 'task_1', 'u1,u3', 0, 2, 1, 1, 3, 1), ('switch', 4, 'same', 'task_1', 'u1,u3,u4', 0, 3, 0, 1, 4, 1),
-('quiet', 1, 'new', NULL, '', 1, 0, 0, 0, 1, 1), ('quiet', 2, 'new', NULL, '', 1, 0, 0, 0, 2, 2), ('quiet', 3, 'new', 'task_3', 't3', 0, 1, 0, 0, 3, 2),
-('pages', 1, 'new', 'task_1', 'u1', 0, 1, 0, 0, 1, 0), ('pages', 2, 'new', 'task_2', 'u1,u2', 0, 2, 0, 1, 2, 0), ('pages', 3, 'same', 'task_2', 'u1,u2,u3', 0, 3, 0, 1, 3, 0), ('pages', 4, 'same', 'task_2', 'u1,u2,u3,a4', 0, 4, 0, 1, 4, 0)
-) x(session, round, route, task, ids, dropped, guarded, duplicates, archived, processed, recallable)""")
+@query(_folded("keep-none"))
 def fold_keep_none(t: Tables) -> DataFrame:
     """The guard undoes what would leave nothing of a user's or a tool's; where all is the assistant's, the task ends."""
-    return _scenes(t, "keep-none")
+    return _fold(t, "keep-none")
+
+
+@query(_folded("drop-tools"))
+def fold_drop_tools(t: Tables) -> DataFrame:
+    return _fold(t, "drop-tools")
+
+
+@query(_folded("retain-recent"))
+def fold_retain_recent(t: Tables) -> DataFrame:
+    return _fold(t, "retain-recent")
+
+
+@query(_folded("cap-bytes"))
+def fold_cap_bytes(t: Tables) -> DataFrame:
+    """Memories that don't fit into the 32 KiB: newest first, each piece that still fits."""
+    return _fold(t, "cap-bytes")
+
+
+@query(_folded("retain-recent"))
+def resumed_fold(t: Tables) -> DataFrame:
+    """The same in three goes, each from the states and the archive that the one before committed; one go comes twice and changes nothing."""
+    path, p = _folder(t, "resumed"), _doc_pieces(t)
+    for batch, rounds_ in enumerate(("round <= 3", "round between 4 and 9", "round between 4 and 9", "round > 9")):
+        part = p.where(rounds_)
+        fold.finalize(part, "retain-recent", part.select("session", "source"), path, "session", _told(part), ("replay", batch - (batch > 1)))
+    return _shown(commits.read(t.spark, f"{path}/state"))
+
+
+@query("SELECT source AS session, count(*)::BIGINT AS archived, ((count(*) + 3) // 4)::BIGINT AS rounds, 3::BIGINT AS versions FROM documents GROUP BY 1")
+def finalized_stream(t: Tables) -> DataFrame:
+    """Rounds that end in a stream, a batch a file, its sink called again with the last batch as after a lost driver: archive and states hold each once."""
+    path, p = _folder(t, "final-stream"), _doc_pieces(t).withColumn("text", F.col("id"))
+    sink, last = fold.finalizing(f"{path}/tables", "drop-tools", "rounds"), []
+
+    def kept(batch: DataFrame, batch_id: int) -> None:
+        last.append(batch_id)
+        sink(batch, batch_id)
+
+    for part in ("round <= 2", "round between 3 and 6", "round > 6"):
+        p.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        live = t.spark.readStream.schema(p.schema).parquet(f"{path}/in")
+        q = live.writeStream.foreachBatch(kept).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+        q.awaitTermination()
+        sink(p.where(part), last[-1])
+    archive_ = commits.read(t.spark, f"{path}/tables/archive").groupBy("session").agg(F.count("*").alias("archived"))
+    state = commits.read(t.spark, f"{path}/tables/state").groupBy("session").agg(F.count("*").alias("rounds"))
+    return archive_.join(state, "session").withColumn("versions", F.lit(len(commits.versions(t.spark, f"{path}/tables/state"))).cast("long"))
 
 
 @query("SELECT * FROM (VALUES ('a', 'p1,p2'), ('a', 'p3'), ('a', 'p4'), ('b', 'u1'), ('b', 'u2'), ('c', 'p1')) x(case_, ids)")
@@ -173,10 +251,10 @@ def finalized_rounds(t: Tables) -> DataFrame:
     """The fold, the archive, the states and their metrics as one stage."""
     path = _folder(t, "final")
     p = _pieces(t)
-    out = fold.finalize(p, "drop-tools", p.select("conv_id", "source", "text"), path, "conv_id")
-    kept = t.spark.read.parquet(f"{path}/archive").groupBy("conv_id").agg(F.count("*").alias("archived"))
-    n = t.spark.read.parquet(f"{path}/state").groupBy("conv_id").agg(F.count("*").alias("rounds"))
-    return out.drop("rounds").join(kept, "conv_id").join(n, "conv_id")
+    fold.finalize(p, "drop-tools", p.select("conv_id", "source", "text"), path, "conv_id")
+    kept = commits.read(t.spark, f"{path}/archive").groupBy("conv_id").agg(F.count("*").alias("archived"))
+    state = commits.read(t.spark, f"{path}/state").groupBy("conv_id").agg(F.count("*").alias("rounds"), F.max_by("bytes", "round").alias("bytes"), F.max_by("recallable", "round").alias("recallable"))
+    return state.join(kept, "conv_id")
 
 
 @query("SELECT conv_id, n AS call, greatest(0, least(g - o, 2))::BIGINT AS got, greatest(0, g - o - 2)::BIGINT AS \"left\" FROM (SELECT conv_id, count(*) FILTER (kind <> 'user') AS g FROM " + PIECES + " GROUP BY 1), (SELECT unnest([1, 2, 3]) AS n, unnest([0, 2, 4]) AS o)")
@@ -265,8 +343,8 @@ def compacted_context(t: Tables) -> DataFrame:
 @query(f"SELECT conv_id, max(round) AS rounds, string_agg('m' || lpad(place::VARCHAR, 6, '0'), ',' ORDER BY round, place) AS ids, count(*) AS pieces, sum(size)::BIGINT AS bytes FROM {PIECES} GROUP BY 1")
 def memory_metrics(t: Tables) -> DataFrame:
     """Counts, ids and bytes of the last state under retain-all."""
-    f = fold.replay(_pieces(t), "retain-all", "conv_id")
-    return f.groupBy("conv_id").agg(F.max("round").alias("rounds"), F.max_by("ids", "round").alias("ids"), F.max_by("pieces", "round").alias("pieces"), F.max_by("bytes", "round").alias("bytes"))
+    f = fold.replay(_pieces(t), "retain-all", "conv_id").where("state is not null")
+    return f.select("conv_id", F.col("round").alias("rounds"), F.array_join("state.pieces.id", ",").alias("ids"), "pieces", "bytes")
 
 
 CONTEXT = f"""(SELECT conv_id, 'without' AS side, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS bytes, {IS_USER} AS starts FROM conversations
