@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import sliced
+
 #: Broadcast no more text than this; larger sides are split.
 MOST_BYTES = 64_000_000
 
@@ -31,9 +33,14 @@ def relative_index(bundles: Column, index: Column) -> Column:
 
 
 def materialize_pieces(pieces: DataFrame, archive: DataFrame, keys: list[str], text: str, start: str, end: str) -> DataFrame:
-    """Pieces with the text that their span selects from the archived source; those without a source are left out."""
-    cut = F.substring(F.col(text), F.col(start) + 1, F.col(end) - F.col(start))
-    return pieces.join(archive.select(*keys, text), keys).withColumn("content", cut).drop(text)
+    """Pieces with the text that their span selects from the archived source; those without a source are left out.
+
+    A source's spans meet its text as one row, which is then sliced: no text is copied for each of its pieces.
+    """
+    rest = [c for c in pieces.columns if c not in (*keys, start, end)]
+    spans = pieces.groupBy(*keys).agg(F.collect_list(F.struct(F.col(start).alias("start"), F.col(end).alias("end"), *rest)).alias("_spans"))
+    out = sliced(archive.select(*keys, text).join(spans, keys), keys, text, "_spans")
+    return out.select(*keys, *rest, F.col("start").alias(start), F.col("end").alias(end), "content")
 
 
 def append_sources(archive: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:

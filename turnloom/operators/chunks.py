@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: Keys whose array a payload is split at, in order of preference.
 ARRAY_KEYS = ("results", "rows", "items", "exports", "changedFiles", "namespaces", "edges")
@@ -21,10 +28,45 @@ def _between(starts: Column, end: Column) -> Column:
 def line_spans(text: Column) -> Column:
     """Spans (start, end), from 0, of a text's lines, each with its line feed; an empty array for an empty text.
 
-    One pass over the characters, whatever the number of lines.
+    One search from line feed to line feed, whatever the number of lines.
+    """
+
+    @F.pandas_udf("array<int>")
+    def after(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [0, *(m.end() for m in re.finditer("\n", t))], na_action="ignore")
+
+    return _between(after(text), F.length(text))
+
+
+def sliced(rows: DataFrame, keep: list[str], text: str, spans: str) -> DataFrame:
+    """(keep, index, span's fields, content): a row for each span (start, end, ...) of a row's text, its characters as `content`.
+
+    The text is sliced where it is, so that a piece costs its own length and not that of what precedes it, and only pieces move on.
     """
-    after = F.transform(F.split(text, ""), lambda c, i: F.when(c == "\n", i + 1))
-    return _between(F.concat(F.array(F.lit(0)), F.filter(after, lambda x: x.isNotNull())), F.length(text))
+    fields = rows.schema[spans].dataType.elementType
+    kept = [f for f in rows.select(*keep).schema]
+    schema = StructType([*kept, StructField("index", IntegerType()), *fields, StructField("content", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        for b in batches:
+            for i, (t, s) in enumerate(zip(b.column(len(keep)), b.column(len(keep) + 1), strict=True)):
+                t, s = t.as_py(), s.as_py()
+                own = tuple(b.column(j)[i].as_py() for j in range(len(keep)))
+                for k, x in enumerate(s or () if t is not None else ()):
+                    content = t[x["start"] : x["end"]]
+                    out.append((*own, k, *x.values(), content))
+                    size += len(content)
+                    if len(out) >= 20_000 or size >= 1 << 24:
+                        yield flush()
+                        out, size = [], 0
+        if out:
+            yield flush()
+
+    return rows.select(*keep, text, spans).mapInArrow(run, schema)
 
 
 def anchor_spans(text: Column, anchors: Column) -> Column:
@@ -114,12 +156,9 @@ def lossless(text: Column, spans: Column) -> Column:
 
 
 def explode_pieces(sources: DataFrame, source: str, text: str, spans: Column) -> DataFrame:
-    """A piece for each span that isn't empty: `piece_id` source:index, start, end, content."""
-    out = sources.select("*", F.posexplode(spans).alias("index", "_s")).where("_s.end > _s.start")
-    return out.select(
-        *sources.columns, "index", F.concat(F.col(source).cast("string"), F.lit(":"), F.col("index").cast("string")).alias("piece_id"), F.col("_s.start").alias("start"), F.col("_s.end").alias("end"),
-        F.substring(F.col(text), F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("content"),
-    )
+    """(source, index, piece_id source:index, start, end, content): a piece for each span that isn't empty."""
+    out = sliced(sources.select(source, text, spans.alias("_s")), [source], text, "_s").where("end > start")
+    return out.select(source, "index", F.concat(F.col(source).cast("string"), F.lit(":"), F.col("index").cast("string")).alias("piece_id"), "start", "end", "content")
 
 
 def json_elements(payload: Column) -> Column:
