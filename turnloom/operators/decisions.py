@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.schema import problem, strict  # noqa: F401  decisions are read by their shapes
+
 #: Reasons for which a drop is accepted; the first six are structural.
 STRUCTURAL_REASONS = ("exact_duplicate", "explicitly_invalidated_by_user", "old_task_after_confirmed_task_switch", "pure_ack_or_chatter", "transient_format_request_only", "empty_or_invalid")
 UNRELATED = "clearly_unrelated_to_current_work"
@@ -27,18 +27,26 @@ def accepted(drop: Column, reason: Column, new_task: Column, old: Column, create
     return F.coalesce(drop & reason.isin(*REASONS) & applies, F.lit(False))
 
 
-#: Fixed shapes of what a model decides: a route, the sections of a source, the pieces to drop.
-ROUTE_SCHEMA = "kind string, relativeIndex int"
-CHUNK_SCHEMA = "itemId string, sections array<struct<label:string,anchor:string>>"
-DROP_SCHEMA = "pieceId string, drop boolean, reason string"
+def _object(**fields: dict) -> dict:
+    return {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+
 
+_TEXT = {"type": "string"}
+_KEPT, _DROPPED = {"drop": {"enum": [False], "type": "boolean"}, "reason": {"type": "null"}}, {"drop": {"enum": [True], "type": "boolean"}, "reason": {"type": "string", "enum": list(REASONS)}}
 
-def strict(body: Column, schema: str) -> Column:
-    """A decision of a fixed shape from a JSON text; null if a field is missing, one is too many, or a value is of another kind."""
-    given = F.from_json(body, schema, {"mode": "PERMISSIVE"})
-    names = F.json_object_keys(body)
-    fields = [x.strip().split()[0] for x in re.split(r",(?![^<]*>)", schema)]
-    return F.when(F.size(names).eqNullSafe(F.lit(len(fields))) & F.coalesce(F.size(F.array_except(names, F.array(*[F.lit(f) for f in fields]))) == 0, F.lit(False)) & given[fields[0]].isNotNull(), given)
+#: Fixed shapes of what a model decides: a route (an index only for what is revived), a source's sections, a batch of them, and
+#: which pieces to drop: one decision, one with its piece, a batch of overrides of a default.
+ROUTE_SHAPE = {
+    "anyOf": [
+        _object(kind={"type": "string", "enum": ["same_task", "new_task", "more_archived_tasks"]}, relativeIndex={"type": "integer", "enum": [0]}),
+        _object(kind={"type": "string", "enum": ["revive_task"]}, relativeIndex={"type": "integer", "maximum": -1}),
+    ]
+}
+CHUNK_SHAPE = {"anyOf": [_object(itemId=_TEXT, sections={"type": "array", "items": _object(label=_TEXT, anchor=_TEXT)}), _object(itemId=_TEXT, error=_TEXT)]}
+CHUNKS_SHAPE = _object(results={"type": "array", "items": CHUNK_SHAPE})
+DECISION_SHAPE = {"anyOf": [_object(**_KEPT), _object(**_DROPPED)]}
+DROP_SHAPE = {"anyOf": [_object(pieceId=_TEXT, **_KEPT), _object(pieceId=_TEXT, **_DROPPED)]}
+DROPS_SHAPE = _object(defaultDecision=DECISION_SHAPE, overrides={"type": "array", "items": DROP_SHAPE})
 
 
 def invalid_reasons(decisions: DataFrame, key: str) -> DataFrame:

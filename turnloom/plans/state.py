@@ -271,14 +271,53 @@ def recall_loops(t: Tables) -> DataFrame:
     return _pieces(t).select("conv_id", "place", "id", "kind").groupBy("conv_id").applyInPandas(run, "conv_id long, call long, got long, left long")
 
 
-@query("SELECT event_id, event_id % 4 = 0 AS valid, CASE event_id % 4 WHEN 0 THEN 'revive_task' END AS kind, CASE event_id % 4 WHEN 0 THEN -(event_id % 3) END::INT AS index FROM events")
+#: Answers of a router, with {n} for a number from the row, and the path at which each is out of shape.
+ROUTES = [
+    ('{{"kind":"revive_task","relativeIndex":-{n}}}', None), ('{{"relativeIndex":0,"kind":"new_task"}}', None), ('{{"kind":"same_task","relativeIndex":0.0}}', None), ('{{"kind":"more_archived_tasks","relativeIndex":0}}', None),
+    ('{{"kind":"new_task","relativeIndex":"abc"}}', "$.relativeIndex"), ('{{"kind":"revive_task","relativeIndex":-{n}.5}}', "$.relativeIndex"), ('{{"kind":5,"relativeIndex":0}}', "$.kind"), ('{{"kind":"same_task","relativeIndex":{n}}}', "$.relativeIndex"),
+    ('{{"kind":"revive_task","relativeIndex":{n}}}', "$.relativeIndex"), ('{{"kind":"revive_task"}}', "$.relativeIndex"), ('{{"kind":"new_task","relativeIndex":0,"more":{n}}}', "$.more"), ('{{"kind":"new_task","relativeIndex":null}}', "$.relativeIndex"),
+    ('["new_task",{n}]', "$"), ('{{broken {n}', "$"), ("null", "$"), ('{{"kind":"other","relativeIndex":0}}', "$.kind"),
+]
+_ROUTE_SQL = "[" + ", ".join("NULL" if p is None else f"'{p}'" for _, p in ROUTES) + "]"
+
+
+@query(f"""SELECT event_id, problem, CASE WHEN problem IS NULL THEN ['revive_task', 'new_task', 'same_task', 'more_archived_tasks'][event_id % 16 + 1] END AS kind, CASE WHEN problem IS NULL THEN CASE WHEN event_id % 16 = 0 THEN -(user_id % 5 + 1) ELSE 0 END END::BIGINT AS index
+FROM (SELECT *, ({_ROUTE_SQL})[event_id % 16 + 1] AS problem FROM events)""")
 def strict_routes(t: Tables) -> DataFrame:
-    """Decisions of the fixed shape, with a field too many, with one too few, and what isn't JSON."""
-    e, k = F.col("event_id"), F.col("event_id") % 4
-    kind, at = F.lit("revive_task"), (-(e % 3)).cast("int")
-    body = F.when(k == 0, _json(kind=kind, relativeIndex=at)).when(k == 1, _json(kind=kind, relativeIndex=at, more=at)).when(k == 2, _json(kind=kind)).otherwise("{broken")
-    r = decisions.strict(body, decisions.ROUTE_SCHEMA)
-    return t.events.select("event_id", r.isNotNull().alias("valid"), r["kind"].alias("kind"), r["relativeIndex"].alias("index"))
+    """Answers of the fixed shape and fifteen ways to miss it: each with the path of its first violation."""
+    n = (F.col("user_id") % 5 + 1).cast("string")
+    bodies = F.array(*[F.concat(*[x for p in b.format(n="\0").split("\0") for x in (F.lit(p), n)][:-1]) for b, _ in ROUTES])
+    body = F.get(bodies, (F.col("event_id") % len(ROUTES)).cast("int"))
+    r = decisions.strict(body, decisions.ROUTE_SHAPE)
+    return t.events.select("event_id", decisions.problem(body, decisions.ROUTE_SHAPE).alias("problem"), r["kind"].alias("kind"), r["relativeIndex"].alias("index"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN '$.results[1].sections[' || doc_id % 3 || '].anchor' WHEN 2 THEN '$.results[1].sections[' || doc_id % 3 || '].more' WHEN 3 THEN '$.results[1].sections' WHEN 4 THEN '$.results[0].itemId' WHEN 5 THEN '$.results' END AS problem,
+CASE WHEN doc_id % 6 = 0 THEN length(text) + 1 END::BIGINT AS chars FROM documents""")
+def strict_outlines(t: Tables) -> DataFrame:
+    """Batches of outlines around the documents' texts: one answer an error, one with three sections, of which one may be out of shape."""
+    k, at = F.col("doc_id") % 6, F.col("doc_id") % 3
+    text = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("t"))), r"(?s)^\{\"t\":(.*)\}$", "$1")
+    plain = F.concat(F.lit('{"label":"l","anchor":'), text, F.lit("}"))
+    odd = F.when(k == 1, F.lit('{"label":"l","anchor":7}')).when(k == 2, F.concat(F.lit('{"label":"l","more":1,"anchor":'), text, F.lit("}"))).otherwise(plain)
+    sections = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i == at, odd).otherwise(plain)), ","), F.lit("]"))
+    first = F.when(k == 4, F.lit('{"itemId":4,"error":"e"}')).otherwise(F.lit('{"itemId":"a","error":"e"}'))
+    body = F.concat(F.lit('{"results":['), first, F.lit(',{"itemId":"b","sections":'), F.when(k == 3, text).otherwise(sections), F.lit("}]}"))
+    body = F.when(k == 5, F.concat(F.lit('{"results":'), text, F.lit("}"))).otherwise(body)
+    got = decisions.strict(body, decisions.CHUNKS_SHAPE)
+    chars = F.length(F.get(F.get(got["results"], F.lit(1))["sections"], F.lit(1))["anchor"]) + F.length(F.get(got["results"], F.lit(0))["error"])
+    return t.documents.select("doc_id", decisions.problem(body, decisions.CHUNKS_SHAPE).alias("problem"), chars.cast("long").alias("chars"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN '$.defaultDecision.reason' WHEN 2 THEN '$.overrides[0].reason' WHEN 3 THEN '$.overrides[1].drop' WHEN 4 THEN '$.overrides[1].pieceId' END AS problem FROM labels""")
+def strict_drops(t: Tables) -> DataFrame:
+    """Batches of drops around the labels: reasons for what is kept, none for what goes, a word for a truth value, no piece."""
+    k, i = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    default = F.when(k == 1, F.lit('{"drop":false,"reason":"pure_ack_or_chatter"}')).otherwise(F.lit('{"drop":false,"reason":null}'))
+    one = F.concat(F.lit('{"pieceId":"'), i, F.when(k == 2, F.lit('","drop":true,"reason":null}')).otherwise(F.lit('","drop":true,"reason":"empty_or_invalid"}')))
+    two = F.when(k == 4, F.lit('{"drop":false,"reason":null}')).otherwise(F.concat(F.lit('{"pieceId":"'), i, F.when(k == 3, F.lit('","drop":"no","reason":null}')).otherwise(F.lit('","drop":false,"reason":null}'))))
+    body = F.concat(F.lit('{"defaultDecision":'), default, F.lit(',"overrides":['), one, F.lit(","), two, F.lit("]}"))
+    return t.labels.select("doc_id", decisions.problem(body, decisions.DROPS_SHAPE).alias("problem"))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'no known reason' WHEN 1 THEN 'reason without drop' ELSE 'no decision' END AS problem FROM documents WHERE doc_id % 4 < 3")
@@ -295,7 +334,7 @@ def chunk_answers(t: Tables) -> DataFrame:
 
     section = F.struct(F.lit("l").alias("label"), F.lit("a").alias("anchor"))
     body = F.when(F.col("doc_id") % 3 == 0, _json(itemId=F.col("doc_id").cast("string"), sections=F.array(section, section))).when(F.col("doc_id") % 3 == 1, _json(itemId=F.col("doc_id").cast("string")))
-    got = t.documents.select(decisions.strict(body, decisions.CHUNK_SCHEMA).alias("c")).where("c is not null").select(F.col("c.itemId").cast("long").alias("doc_id"), F.size("c.sections").alias("sections"))
+    got = t.documents.select(decisions.strict(body, decisions.CHUNK_SHAPE).alias("c")).where("c is not null").select(F.col("c.itemId").cast("long").alias("doc_id"), F.size("c.sections").alias("sections"))
     return predicates.with_missing(t.documents.select("doc_id"), got, ["doc_id"], "sections").withColumn("sections", F.coalesce("sections", F.lit(0)))
 
 
