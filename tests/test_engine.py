@@ -241,7 +241,7 @@ def test_dedupe_and_verbatim(spark):
     assert {r["v"] for r in dedupe.dedupe_first(df, ["key"], "n").collect()} == {"a", "c"}
     texts = spark.createDataFrame([(1, "xx needle yy pin"), (2, None), (3, "pi n")], "id int, text string")
     needles = spark.createDataFrame([(7, "needle"), (8, "pin"), (9, ""), (10, None), (11, "pin")], "item_id long, text string")
-    assert sorted((r["id"], r["item_id"]) for r in archive.verbatim(texts, needles, "text", "item_id", "text").collect()) == [(1, 7), (1, 8), (1, 11)]
+    assert sorted((r["id"], r["item_id"]) for r in archive.verbatim(texts, needles, "id", "text", "item_id", "text").collect()) == [(1, 7), (1, 8), (1, 11)]
 
 
 def test_turn_stream(spark, tmp_path):

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import sliced
+from .containment import contained
 
-#: Broadcast no more text than this; larger sides are split.
-MOST_BYTES = 64_000_000
+#: Bytes of needles that are broadcast at most.
+MOST_BYTES = 16_000_000
 
 
 def archive_gap(processed: DataFrame, visible: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,34 +49,27 @@ def append_sources(archive: DataFrame, sources: DataFrame, keys: list[str]) -> D
     return archive.unionByName(sources.dropDuplicates(keys).join(archive.select(*keys), keys, "left_anti"))
 
 
-def verbatim(texts: DataFrame, needles: DataFrame, text: str, needle_id: str, needle: str) -> DataFrame:
-    """Rows of `texts` with the id of each needle that occurs in them word for word.
+def verbatim(texts: DataFrame, needles: DataFrame, text_id: str, text: str, needle_id: str, needle: str) -> DataFrame:
+    """(text_id, needle_id), each once: texts that contain a needle word for word. Empty needles occur nowhere.
 
-    One automaton finds all needles in a pass over each text. Needles go out in broadcasts of bounded size; more of
-    them make more passes. Empty needles occur nowhere.
+    Needles of up to MOST_BYTES in all, which is checked, go out as one automaton that finds all of them in a pass over each
+    text. More of them stay a table and meet the texts in a join.
     """
-    filled = needles.where(F.length(needle) > 0).select(needle_id, needle)
-    total = filled.agg(F.coalesce(F.sum(F.octet_length(needle)), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // MOST_BYTES))
-    out = None
-    for b in range(blocks):
-        words: dict[str, list[int]] = {}
-        for r in filled.where(F.pmod(F.xxhash64(needle), F.lit(blocks)) == b).collect():
-            words.setdefault(r[1], []).append(r[0])
-        automaton = ahocorasick.Automaton()
-        for w, ids in words.items():
-            automaton.add_word(w, ids)
-        automaton.make_automaton()
-        shared = texts.sparkSession.sparkContext.broadcast(automaton if words else None)
-
-        def finder(shared=shared):  # noqa: ANN001, ANN202
-            @F.pandas_udf("array<long>")
-            def find(t: pd.Series) -> pd.Series:
-                a = shared.value
-                return t.map(lambda x: sorted({i for _, ids in a.iter(x) for i in ids}) if a is not None and x else [])
-
-            return find(text)
-
-        part = texts.withColumn(needle_id, F.explode(finder()))
-        out = part if out is None else out.unionByName(part)
-    return out
+    filled = needles.where((F.length(needle) > 0) & F.col(needle_id).isNotNull()).select(needle_id, needle)
+    if filled.agg(F.coalesce(F.sum(F.octet_length(needle)), F.lit(0))).first()[0] > MOST_BYTES:
+        return contained(texts, text_id, text, needles, needle_id, needle)
+    words: dict[str, list] = {}
+    for r in filled.collect():
+        words.setdefault(r[1], []).append(r[0])
+    automaton = ahocorasick.Automaton()
+    for w, ids in words.items():
+        automaton.add_word(w, ids)
+    automaton.make_automaton()
+    shared = texts.sparkSession.sparkContext.broadcast(automaton if words else None)
+
+    @F.pandas_udf(f"array<{needles.schema[needle_id].dataType.simpleString()}>")
+    def find(t: pd.Series) -> pd.Series:
+        a = shared.value
+        return t.map(lambda x: sorted({i for _, ids in a.iter(x) for i in ids}) if a is not None and x else [])
+
+    return texts.where(F.col(text_id).isNotNull()).select(text_id, F.explode(find(text)).alias(needle_id)).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.schema import problem, strict  # noqa: F401  decisions are read by their shapes
+from .greedy import greedy
 
 #: Reasons for which a drop is accepted; the first six are structural.
 STRUCTURAL_REASONS = ("exact_duplicate", "explicitly_invalidated_by_user", "old_task_after_confirmed_task_switch", "pure_ack_or_chatter", "transient_format_request_only", "empty_or_invalid")
@@ -78,21 +79,7 @@ def retain_recent(pieces: DataFrame, scope: list[str], order: list[Column], n: i
     return pieces.withColumn("kept", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)) <= n)
 
 
-def greedy_fit(sizes: Column, budget: int) -> Column:
-    """Flags, in the order of `sizes`, of the items that fit a budget: one that doesn't is skipped and the next is tried."""
-    return F.aggregate(
-        sizes,
-        F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<boolean>)").alias("keep")),
-        lambda acc, x: F.when(acc["used"] + x > budget, F.struct(acc["used"].alias("used"), F.concat(acc["keep"], F.array(F.lit(False))).alias("keep"))).otherwise(
-            F.struct((acc["used"] + x).cast("long").alias("used"), F.concat(acc["keep"], F.array(F.lit(True))).alias("keep"))
-        ),
-        lambda acc: acc["keep"],
-    )
-
-
 def cap_bytes(pieces: DataFrame, scope: list[str], order: list[str], size: str, piece: str, budget: int = 32_768) -> DataFrame:
-    """(scope, piece, size, kept): newest first, each that still fits. Only ids and sizes are gathered."""
-    w = pieces.groupBy(*scope).agg(F.reverse(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.col(piece).alias("_id"), F.col(size).cast("long").alias("_size"))))).alias("_p"))
-    w = w.withColumn("_k", greedy_fit(F.transform("_p", lambda p: p["_size"]), budget))
-    z = w.select(*scope, F.explode(F.arrays_zip(F.col("_p"), F.col("_k"))).alias("_z"))
-    return z.select(*scope, F.col("_z._p._id").alias(piece), F.col("_z._p._size").alias(size), F.col("_z._k").alias("kept"))
+    """(scope, piece, size, kept): newest first, each that still fits. Only ids and sizes move, and no task gathers a scope."""
+    rows = pieces.select(*scope, *order, *([] if piece in order else [piece]), F.col(size).cast("long").alias(size))
+    return greedy(rows, scope, [F.desc(c) for c in (*order, piece)], size, F.lit(budget)).select(*scope, piece, size, "kept")

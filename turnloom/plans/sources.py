@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import archive, chunks, decisions, dedupe, logs, metrics, predicates, render, turns
+from ..operators import archive, chunks, containment, decisions, dedupe, logs, metrics, predicates, render, turns
 from ..streaming import observed
 from .registry import Tables, query
 
@@ -77,7 +77,18 @@ def new_source_antijoin(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def verbatim_check(t: Tables) -> DataFrame:
-    return archive.verbatim(t.documents.select("doc_id", "text"), t.benchmark, "text", "item_id", "text").select("doc_id", "item_id")
+    return archive.verbatim(t.documents, t.benchmark, "doc_id", "text", "item_id", "text")
+
+
+@query("""SELECT doc_id, needle FROM documents JOIN (SELECT DISTINCT text AS needle FROM benchmark UNION SELECT substr(text, 5, 9) FROM benchmark UNION SELECT substr(text, 20, 5) FROM benchmark UNION SELECT DISTINCT source FROM documents) ON contains(text, needle) OR contains(source, needle)
+UNION SELECT doc_id, '"source":"' || source || '"' FROM documents WHERE source LIKE '%1'""")
+def leaf_containment(t: Tables) -> DataFrame:
+    """Benchmark items, some of their parts and sources' names among the strings of payloads, and what only payloads as they are written hold."""
+    b, d = t.benchmark, t.documents
+    needles = b.select(F.col("text").alias("needle")).union(b.select(F.substring("text", 5, 9))).union(b.select(F.substring("text", 20, 5))).union(d.select("source"))
+    needles = needles.union(d.where("source like '%1'").select(F.concat(F.lit('"source":"'), "source", F.lit('"')))).distinct()
+    payloads = d.select("doc_id", F.to_json(F.struct(F.col("text"), F.array(F.struct("source")).alias("in"))).alias("payload"))
+    return containment.contained(containment.payload_texts(payloads, "doc_id", "payload"), "doc_id", "text", needles.withColumn("n", F.col("needle")), "n", "needle").select("doc_id", F.col("n").alias("needle"))
 
 
 LINES = r"(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents)"

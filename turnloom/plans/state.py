@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import archive, decisions, dedupe, fold, metrics, prompt, render, rounds
+from ..operators import archive, decisions, dedupe, fold, metrics, packing, prompt, render, rounds
 from ..sources import commits, store
 from .conversations import IS_USER, PIECES, ROUNDS, _pieces, in_rounds, turn_context, user
 from .logs import _folder, _json
@@ -230,20 +230,32 @@ def finalized_stream(t: Tables) -> DataFrame:
     return archive_.join(state, "session").withColumn("versions", F.lit(len(commits.versions(t.spark, f"{path}/tables/state"))).cast("long"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'p1,p2'), ('a', 'p3'), ('a', 'p4'), ('b', 'u1'), ('b', 'u2'), ('c', 'p1')) x(case_, ids)")
-def prune_batches(t: Tables) -> DataFrame:
-    """Next-fit batches within 300 tokens; a piece only too large to share goes alone, one too large for any goes nowhere; if
-    not all user pieces fit, only those are evaluated."""
-    rows = [("a", "p1", "tool", 100), ("a", "p2", "tool", 100), ("a", "p3", "tool", 1000), ("a", "p4", "tool", 100), ("a", "p5", "tool", 9000), ("b", "u1", "user", 100), ("b", "u2", "user", 900), ("b", "t1", "tool", 10), ("c", "p1", "tool", 50)]
-    limits = {"a": (450, 800), "b": (320, 800), "c": (400, 800)}
+#: Limits in tokens of the batches below, and what is fixed: the request, each piece's wrapper.
+LIMIT, SINGLE = 10_000, 14_000
+
+#: A session of up to a thousand documents of a source at a time, an element a step: first which user pieces go with every batch, then the batches.
+BATCHES = f"""WITH RECURSIVE c AS (SELECT *, max(CASE WHEN kind = 'user' THEN doc_id END) OVER (PARTITION BY session) = doc_id AS latest FROM (SELECT source || '-' || doc_id // 1000 AS session, doc_id, CASE WHEN doc_id % 10 = 0 THEN 'user' ELSE 'tool' END AS kind, n_chars + 160 AS cost, doc_id % 17 > 0 AS rendered FROM documents)),
+x AS (SELECT session, 400 + 160 * count(*) + coalesce(sum(cost) FILTER (latest), 0) AS fixed FROM c GROUP BY 1),
+u AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY doc_id DESC) AS n FROM c WHERE kind = 'user' AND rendered),
+g AS (SELECT session, 0::BIGINT AS n, fixed::BIGINT AS shared, true AS every FROM x
+UNION ALL SELECT u.session, u.n, CASE WHEN ceil((shared + cost) / 4.0) <= {LIMIT} THEN shared + cost ELSE shared END, every AND ceil((shared + cost) / 4.0) <= {LIMIT} FROM g JOIN u ON u.session = g.session AND u.n = g.n + 1),
+h AS (SELECT session, max_by(shared, n) AS shared, max_by(every, n) AS every FROM g GROUP BY 1),
+a AS (SELECT c.session, doc_id, cost, shared, row_number() OVER (PARTITION BY c.session ORDER BY doc_id) AS n FROM c JOIN h USING (session) WHERE rendered AND (every OR kind = 'user') AND ceil((shared + cost) / 4.0) <= {SINGLE}),
+b AS (SELECT session, 0::BIGINT AS n, NULL::BIGINT AS doc_id, 0::BIGINT AS batch, 0::BIGINT AS following, false AS open, shared AS chars FROM h
+UNION ALL SELECT a.session, a.n, a.doc_id, f + move, CASE WHEN big THEN f + move + 1 ELSE f + move END, NOT big, CASE WHEN big THEN a.shared WHEN over THEN a.shared + a.cost ELSE chars + a.cost END
+FROM (SELECT a.*, b.following AS f, b.chars, ceil((a.shared + a.cost) / 4.0) > {LIMIT} AS big, ceil((b.chars + a.cost) / 4.0) > {LIMIT} AS over, CASE WHEN b.open AND (ceil((a.shared + a.cost) / 4.0) > {LIMIT} OR ceil((b.chars + a.cost) / 4.0) > {LIMIT}) THEN 1 ELSE 0 END AS move FROM b JOIN a ON a.session = b.session AND a.n = b.n + 1) a)
+SELECT session, doc_id, batch FROM b WHERE n > 0"""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        case = pdf["case_"].iloc[0]
-        pieces = [fold.Piece(i, i, k, n, i) for i, k, n in pdf.sort_values("id")[["id", "kind", "size"]].itertuples(index=False)]
-        got = fold.batches(pieces, set(), *limits[case])
-        return pd.DataFrame({"case_": case, "ids": [",".join(p.id for p in b) for b in got]})
 
-    return t.spark.createDataFrame(rows, "case_ string, id string, kind string, size long").groupBy("case_").applyInPandas(run, "case_ string, ids string")
+@query(BATCHES)
+def prune_batches(t: Tables) -> DataFrame:
+    """Documents of a source in batches of 10,000 tokens; a piece only too large to share goes alone, one too large for any goes nowhere; if
+    not all user pieces fit, only those are evaluated; some aren't rendered."""
+    d = F.col("doc_id")
+    p = t.documents.select(F.concat("source", F.lit("-"), F.floor(d / 1000).cast("string")).alias("session"), "doc_id", F.when(d % 10 == 0, "user").otherwise("tool").alias("kind"), F.col("n_chars").alias("size"), (d % 17 > 0).alias("rendered"))
+    last = p.where("kind = 'user'").groupBy("session").agg(F.max("doc_id").alias("_last"))
+    p = p.join(last, "session", "left").withColumn("latest", F.col("doc_id").eqNullSafe(F.col("_last"))).drop("_last")
+    return packing.prune_batches(p, "session", "doc_id", LIMIT, SINGLE)
 
 
 @query(f"SELECT conv_id, count(DISTINCT round) AS rounds, coalesce(sum(CASE WHEN kind = 'user' THEN size END), 0)::BIGINT AS bytes, count(*) FILTER (kind <> 'user') AS recallable, count(*) AS archived FROM {PIECES} GROUP BY 1")
