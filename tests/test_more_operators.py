@@ -2,6 +2,8 @@
 
 import json
 
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -112,19 +114,39 @@ def test_recalls_are_counted():
         fold.recall_loop(state, [[(0, 1), (1, 1)], [(2, 1), (3, 1)]])
 
 
-@given(st.text(alphabet="ab\n", max_size=60))
-def test_outlines_are_lossless(text):
-    spans = outline.iterative(text, outline.paragraphs)
-    assert "".join(text[a:b] for a, b in spans) == text and all(b > a for a, b in spans)
+def test_outlines_are_lossless_and_failures_keep_the_source_whole(spark):
+    random.seed(9)
+    texts = ["".join(random.choice("ab\n") for _ in range(random.randrange(60))) for _ in range(60)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None)], "id int, t string")
+
+    def picky(text):
+        if "aab" in text:
+            raise ValueError
+        return outline.paragraphs(text) or outline.halves(9)(text)
+
+    out = {}
+    for r in outline.outlined(d, "id", "t", picky).orderBy("id", "start").collect():
+        own = out.setdefault(r["id"], [])
+        assert r["index"] == len(own) and r["end"] > r["start"]
+        own.append(texts[r["id"]][r["start"] : r["end"]])
+    assert {i: "".join(p) for i, p in out.items()} == {i: t for i, t in enumerate(texts) if t}
+    assert all(len(p) == 1 for i, p in out.items() if "aab" in texts[i]) and max(map(len, out.values())) > 4
+    # At most seven rounds of halves.
+    long = spark.createDataFrame([(1, "".join(map(chr, range(33, 33 + 2048))))], "id int, t string")
+    assert outline.outlined(long, "id", "t", outline.halves(1)).count() == 128
+    assert outline.split_once("xxAyyBzz", ["A", "nowhere", "B"]) == ["xx", "Ayy", "Bzz"]
+    assert outline.split_once("abc. Def", ["Def"]) == ["abc. ", "Def"]
 
 
-def test_outline_failures_keep_the_source_whole():
-    def broken(text):
-        raise ValueError
+def test_selectors(spark):
+    from turnloom.operators import selectors
 
-    assert outline.iterative("a\n\nb", broken) == [(0, 4)]
-    assert outline.split_once("xxAyyBzz", ["A", "nowhere", "B"]) == ["xx", "Ayy", "Bzz"]
-    assert outline.split_once("abc. Def", ["Def"]) == ["abc. ", "Def"]
+    payload = '{"a":[{"b":"x"},[1,2]],"it\'s":"é","q\\"":{"n":null}}'
+    arms = [('{"kind":"object_path","path":["a",0,"b"]}', "x"), ('{"kind":"object_path","path":["a",1]}', "[1,2]"), ('{"kind":"object_path","path":["it\'s"]}', "é"), ('{"kind":"object_path","path":["q\\"","n"]}', "null"),
+            ('{"kind":"object_path","path":[]}', None), ('{"kind":"object_path","path":["a","b"]}', "gone"), ('{"kind":"object_path","path":["a",7]}', "gone"), ('{"kind":"object_path","path":["a",-1]}', "gone"), ('{"kind":"other"}', "gone"), ("{}", "gone"), ('{"kind":"object_path"}', "gone")]
+    p = spark.createDataFrame([(1, f"{i:02d}", a) for i, (a, _) in enumerate(arms)] + [(2, "99", '{"kind":"whole"}')], "id int, piece string, s string").withColumn("s", F.parse_json("s"))
+    got = {r["piece"]: r["content"] for r in selectors.resolved(p, spark.createDataFrame([(1, payload, "shell")], "id int, payload string, tool string"), ["id"], "piece", "s", "payload", "tool").collect()}
+    assert {f"{i:02d}": w for i, (_, w) in enumerate(arms) if w not in (None, "gone")} == {k: v for k, v in got.items() if k != "04"} and got["04"].startswith("{")
 
 
 def test_settings(monkeypatch):

@@ -435,6 +435,28 @@ def outlined_chunks(t: Tables) -> DataFrame:
     return outline.outlined(d, "doc_id", "text")
 
 
+#: Texts cut in halves of at most 500 characters, for seven rounds, where the second half is first found; an outline fails on some lengths.
+HALVES = """WITH RECURSIVE r AS (SELECT doc_id, 0 AS round, 0::BIGINT AS start, text AS p FROM documents WHERE text <> ''
+UNION ALL SELECT doc_id, round + 1, start + CASE part WHEN 1 THEN 0 ELSE cut END, CASE part WHEN 1 THEN substr(p, 1, cut) ELSE substr(p, cut + 1) END
+FROM (SELECT *, strpos(p, substr(p, length(p) // 2 + 1)) - 1 AS cut FROM r WHERE round < 7 AND length(p) > 500 AND length(p) % 97 <> 5), (SELECT unnest([1, 2]) AS part) WHERE cut > 0),
+bad AS (SELECT DISTINCT doc_id FROM r WHERE round < 7 AND length(p) % 97 = 5),
+leaf AS (SELECT doc_id, start, start + length(p) AS stop FROM r WHERE doc_id NOT IN (FROM bad) AND NOT (round < 7 AND length(p) > 500 AND strpos(p, substr(p, length(p) // 2 + 1)) > 1)
+UNION ALL SELECT doc_id, 0, length(text) FROM documents WHERE doc_id IN (FROM bad))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS index, start::INT AS start, stop::INT AS "end" FROM leaf"""
+
+
+def _picky(text: str) -> list[str]:
+    if len(text) % 97 == 5:
+        raise ValueError("no outline")
+    return outline.halves(500)(text)
+
+
+@query(HALVES)
+def iterated_outlines(t: Tables) -> DataFrame:
+    """Pieces split again and again, for seven rounds at most; a source with a piece on which the outline fails stays whole."""
+    return outline.outlined(t.documents, "doc_id", "text", _picky)
+
+
 @query("SELECT event_id, last_value(CASE WHEN event_id % 7 = 0 THEN user_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS thread FROM events")
 def default_threads(t: Tables) -> DataFrame:
     """A log an event type. Every seventh event names its thread; the others belong to the latest one named in their log."""

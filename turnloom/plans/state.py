@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import archive, decisions, dedupe, fold, metrics, packing, prompt, render, rounds
+from ..operators import archive, decisions, dedupe, fold, metrics, packing, prompt, render, rounds, selectors
 from ..sources import commits, store
 from .conversations import IS_USER, PIECES, ROUNDS, _pieces, in_rounds, turn_context, user
 from .logs import _folder, _json
@@ -269,6 +269,25 @@ def finalized_rounds(t: Tables) -> DataFrame:
     return state.join(kept, "conv_id")
 
 
+@query("""WITH d AS (SELECT *, doc_id % 8 AS k, length(text) AS n FROM documents),
+p AS (SELECT doc_id, k, text, CASE k WHEN 0 THEN text WHEN 1 THEN CASE WHEN n = 0 THEN '' ELSE '<segment start=0 end=' || least(n, 5) || '>' || chr(10) || substr(text, 1, 5) || chr(10) || '</segment>' ||
+  CASE WHEN n > 8 THEN chr(10) || '<gap omittedChars=3 />' || chr(10) || '<segment start=8 end=' || least(n, 12) || '>' || chr(10) || substr(text, 9, 4) || chr(10) || '</segment>' || CASE WHEN n > 12 THEN chr(10) || '<gap omittedChars=' || (n - 12) || ' />' ELSE '' END WHEN n > 5 THEN chr(10) || '<gap omittedChars=' || (n - 5) || ' />' ELSE '' END END
+  WHEN 2 THEN text WHEN 3 THEN source WHEN 4 THEN '{"n":' || n_chars || '}' WHEN 5 THEN n_chars::VARCHAR END AS content FROM d WHERE k < 6)
+SELECT doc_id, ['whole', 'chunks', 'object_path', 'object_path', 'object_path', 'object_path'][k + 1] AS kind, sha256(content) AS content, CASE k WHEN 1 THEN strlen(substr(text, 1, 5) || substr(text, 9, 4)) ELSE strlen(content) END::BIGINT AS bytes FROM p""")
+def selected_pieces(t: Tables) -> DataFrame:
+    """Documents as payloads read back whole, by spans, by paths with keys and indexes, and by two paths that lead nowhere."""
+    k = F.col("doc_id") % 8
+    arms = [
+        '{"kind":"whole"}', '{"kind":"chunks","chunks":[{"start":8,"end":12},{"start":-3,"end":5},{"start":4,"end":6}]}', '{"kind":"object_path","path":["rows",0,"t"]}', '{"kind":"object_path","path":["it\'s","k",0]}',
+        '{"kind":"object_path","path":["rows",1]}', '{"kind":"object_path","path":["rows",1,"n"]}', '{"kind":"object_path","path":["rows","t"]}', '{"kind":"object_path","path":["rows",-1]}',
+    ]
+    t1, t2 = F.to_json(F.struct(F.col("text").alias("t"))), F.to_json(F.struct(F.col("n_chars").alias("n")))
+    body = F.concat(F.lit('{"rows":['), t1, F.lit(","), t2, F.lit('],"it\'s":'), F.to_json(F.struct(F.array("source").alias("k"))), F.lit("}"))
+    d = t.documents.select("doc_id", F.when(k < 2, F.col("text")).otherwise(body).alias("payload"), F.lit("shell").alias("tool"))
+    pieces = t.documents.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("piece"), F.parse_json(F.get(F.array(*[F.lit(a) for a in arms]), k.cast("int"))).alias("selector"))
+    return selectors.resolved(pieces, d, ["doc_id"], "piece", "selector", "payload", "tool").select("doc_id", "kind", F.sha2("content", 256).alias("content"), "bytes")
+
+
 @query("SELECT conv_id, n AS call, greatest(0, least(g - o, 2))::BIGINT AS got, greatest(0, g - o - 2)::BIGINT AS \"left\" FROM (SELECT conv_id, count(*) FILTER (kind <> 'user') AS g FROM " + PIECES + " GROUP BY 1), (SELECT unnest([1, 2, 3]) AS n, unnest([0, 2, 4]) AS o)")
 def recall_loops(t: Tables) -> DataFrame:
     """Two answers with one and two calls, then one with none: three pages of two sources."""
