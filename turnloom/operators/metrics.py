@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .packing import written
+
 
 def half_up(c: Column) -> Column:
     """Rounded to a whole number, halves up."""
@@ -22,25 +26,77 @@ def trace_stats(turns: DataFrame, session: str, before: str, after: str) -> Data
     return out.withColumn("savings_avg", F.col("baseline_avg") - F.col("rewritten_avg")).withColumn("savings_max", F.col("baseline_max") - F.col("rewritten_max"))
 
 
+#: Distinct values of a scope that one task takes, and buckets into which a refinement cuts a scope's values.
+DISTINCT, BUCKETS = 65_536, 4096
+
+
+def percentiles(values: DataFrame, scope: list[str], value: str, n: str, q: float = 0.5, most: int = DISTINCT) -> DataFrame:
+    """(scope, percentile): exact, with interpolation, of values that occur n times each; nulls don't count, a scope of nulls has none.
+
+    A scope of up to `most` distinct values is settled in one aggregate. Beyond, the two values around the rank are found by refinement: each
+    pass counts a scope's values in BUCKETS equal parts of the bracket that holds the rank, and the part that holds it, from its least to its
+    greatest value, is the next bracket. A bracket's ends always fall into different parts, so it ends at one value. No task has more
+    than `most` distinct values or BUCKETS parts of a scope, however many there are.
+    """
+    v = written(values.where(F.col(value).isNotNull()).groupBy(*scope, F.col(value).cast("double").alias("_v")).agg(F.sum(n).alias("_n")), "percentile-values")
+    sizes = v.groupBy(*scope).agg(F.count("*").alias("_d"), F.sum("_n").alias("_all"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if (sizes.agg(F.max("_d")).first()[0] or 0) <= most:
+        return v.groupBy(*scope).agg(F.percentile("_v", q, F.col("_n")).alias("percentile"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in scope], F.lit(True))
+    at = (F.col("_all") - 1) * F.lit(float(q))
+    ends = F.array(F.struct(F.lit(0).alias("_e"), F.floor(at).alias("_rank")), F.struct(F.lit(1).alias("_e"), F.ceil(at).alias("_rank")))
+    open_ = written(sizes.select(*scope, (at - F.floor(at)).alias("_part"), "_lo", "_hi", F.explode(ends).alias("x")).select(*scope, "_part", "_lo", "_hi", "x._e", "x._rank"), "percentile-brackets")
+    done = []
+    while True:
+        done.append(open_.where("_lo = _hi").select(*scope, "_part", "_e", F.col("_lo").alias("_found")))
+        open_ = open_.where("_lo < _hi")
+        if open_.isEmpty():
+            break
+        o = open_.alias("o")
+        inside = v.join(o, same(v, open_) & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).select(*[v[c] for c in scope], "_v", "_n", "_part", "_lo", "_hi", "_e", "_rank")
+        share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+        bucket = F.when(F.col("_v") == F.col("_hi"), BUCKETS).otherwise(F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)))
+        parts = inside.withColumn("_b", bucket).groupBy(*scope, "_part", "_e", "_rank", "_b").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_n").over(Window.partitionBy(*scope, "_e").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        held = parts.withColumn("_upto", upto).where("_rank < _upto and _rank >= _upto - _n")
+        open_ = written(held.select(*scope, "_part", "_lo", "_hi", "_e", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank")), "percentile-brackets")
+    found = reduce(DataFrame.unionByName, done).groupBy(*scope, "_part").agg(F.max(F.when(F.col("_e") == 0, F.col("_found"))).alias("a"), F.max(F.when(F.col("_e") == 1, F.col("_found"))).alias("b"))
+    # The two ends are weighed as the aggregate weighs them.
+    return found.select(*scope, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - F.col("_part")) * F.col("a") + F.col("_part") * F.col("b")).alias("percentile"))
+
+
 def corpus_reduction(stats: DataFrame) -> DataFrame:
     """One row over all sessions, each of the same weight; reductions leave out sessions whose baseline is 0."""
     share = lambda a, b: F.when(F.col(a) > 0, 100.0 * (F.col(a) - F.col(b)) / F.col(a))
-    s = stats.withColumn("_a", share("baseline_avg", "rewritten_avg")).withColumn("_p", share("baseline_max", "rewritten_max"))
+    s = written(stats.withColumn("_a", share("baseline_avg", "rewritten_avg")).withColumn("_p", share("baseline_max", "rewritten_max")), "corpus-stats")
     means = [half_up(F.avg(f"{k}_{m}")).alias(f"{k}_{m}") for k in ("baseline", "rewritten") for m in ("min", "avg", "max")]
     rate = lambda c: (F.floor(1000.0 * F.avg((F.col(c) > 0).cast("double")) + 0.5) / 10).alias(f"{c}_positive")
     tenth = lambda c: F.floor(c * 10 + 0.5) / 10
     total = lambda m: tenth(F.try_divide(100.0 * (F.avg(f"baseline_{m}") - F.avg(f"rewritten_{m}")), F.avg(f"baseline_{m}")))
-    return s.agg(
+    each = s.select(F.explode(F.array(F.struct(F.lit("a").alias("k"), F.col("_a").alias("v")), F.struct(F.lit("p").alias("k"), F.col("_p").alias("v")))).alias("x")).select("x.k", "x.v", F.lit(1).alias("n"))
+    middle = percentiles(each, ["k"], "v", "n").agg(F.max(F.when(F.col("k") == "a", F.col("percentile"))).alias("_ma"), F.max(F.when(F.col("k") == "p", F.col("percentile"))).alias("_mp"))
+    out = s.agg(
         F.count("*").alias("traces"), F.sum("rounds").cast("long").alias("rounds"), *means, half_up(F.avg("savings_avg")).alias("savings_avg"), half_up(F.avg("savings_max")).alias("savings_max"),
         rate("savings_avg"), rate("savings_max"), total("avg").alias("avg_reduction"), total("max").alias("peak_reduction"),
-        tenth(F.avg("_a")).alias("mean_reduction"), tenth(F.avg("_p")).alias("mean_peak_reduction"), tenth(F.percentile("_a", 0.5)).alias("median_reduction"), tenth(F.percentile("_p", 0.5)).alias("median_peak_reduction"),
+        tenth(F.avg("_a")).alias("mean_reduction"), tenth(F.avg("_p")).alias("mean_peak_reduction"),
     )
+    # One row each.
+    return out.join(F.broadcast(middle), F.lit(True)).withColumn("median_reduction", tenth(F.col("_ma"))).withColumn("median_peak_reduction", tenth(F.col("_mp"))).drop("_ma", "_mp")
 
 
 def pooled_summary(turns: DataFrame, session: str, value: str) -> DataFrame:
-    """Count, least, mean, median, largest and sum, of each session and (session null) of all turns."""
-    cols = [F.count("*").alias("turns"), F.min(value).alias("least"), half_up(F.avg(value)).alias("mean"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("most"), F.sum(value).cast("long").alias("total")]
-    return turns.groupingSets([[session], []], session).agg(*cols)
+    """Count, least, mean, median, largest and sum, of each session and (session null) of all turns.
+
+    Both come from one table of how often each session has each value.
+    """
+    v = written(turns.groupBy(session, F.col(value).alias("_v")).agg(F.count("*").alias("_n")), "pooled-values")
+    own = v.select(session, F.lit(False).alias("_all"), "_v", "_n")
+    every = v.groupBy("_v").agg(F.sum("_n").alias("_n")).select(F.lit(None).cast(turns.schema[session].dataType).alias(session), F.lit(True).alias("_all"), "_v", "_n")
+    both = own.unionByName(every)
+    cols = [F.sum("_n").alias("turns"), F.min("_v").alias("least"), half_up(F.sum(F.col("_v") * F.col("_n")) / F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))).alias("mean"), F.max("_v").alias("most"), F.sum(F.col("_v") * F.col("_n")).cast("long").alias("total")]
+    flat = both.groupBy(session, "_all").agg(*cols)
+    middle = percentiles(both, [session, "_all"], "_v", "_n").select(F.col(session).alias("_s"), F.col("_all").alias("_a"), F.col("percentile").alias("median"))
+    return flat.join(middle, F.col(session).eqNullSafe(F.col("_s")) & (F.col("_all") == F.col("_a")), "left").select(session, "turns", "least", "mean", "median", "most", "total")
 
 
 def usage_rollup(usage: DataFrame, session: str, kind: str, value: str) -> DataFrame:
