@@ -28,6 +28,22 @@ def page(rows: DataFrame, part: list[str], order: list[Column], offset: int | Co
     return out.withColumn("left", F.greatest(F.lit(0), F.col("_n") - offset - limit).cast("long")).drop("_n")
 
 
+def recalls(calls: DataFrame, gap: DataFrame, session: str, order: list[str], source: str, source_order: list[str], most: int = 3) -> DataFrame:
+    """(session, call from 1, allowed, place from 0, source, left): what each recall of a session gives from its archive gap, oldest first.
+
+    calls: session, order, offset, limit. The first `most` calls of a session are answered, later ones are not; a call that gives nothing is one row
+    without a source. Each gap is ranked once and calls meet it by session and place, so a page costs its own rows.
+    """
+    numbered = calls.withColumn("call", F.row_number().over(Window.partitionBy(session).orderBy(*order)).cast("long")).withColumn("allowed", F.col("call") <= most)
+    asked = numbered.select(session, "call", "allowed", "offset", F.explode_outer(F.when(F.col("allowed") & (F.col("limit") > 0), F.sequence(F.col("offset"), F.col("offset") + F.col("limit") - 1))).alias("_at"), "limit")
+    ranked = gap.select(session, source, (F.row_number().over(Window.partitionBy(session).orderBy(*source_order)) - 1).cast("long").alias("_at"))
+    size = gap.groupBy(session).agg(F.count("*").alias("_n"))
+    got = asked.join(ranked, [session, "_at"], "left").join(size, session, "left").withColumn("left", F.when(F.col("allowed"), F.greatest(F.lit(0), F.coalesce("_n", F.lit(0)) - F.col("offset") - F.col("limit"))))
+    # A page that ends beyond the gap has rows without a source, of which one stays if it has no others.
+    got = got.withColumn("_found", F.max(source).over(Window.partitionBy(session, "call"))).withColumn("place", F.when(F.col(source).isNotNull(), F.col("_at") - F.col("offset")))
+    return got.where(F.col(source).isNotNull() | F.col("_found").isNull()).select(session, "call", "allowed", "place", source, F.col("left").cast("long").alias("left")).distinct()
+
+
 def relative_index(bundles: Column, index: Column) -> Column:
     """The bundle that a negative index names, from the newest; null if there is none."""
     return F.when((index < 0) & (F.abs(index) <= F.size(bundles)), F.element_at(bundles, index))

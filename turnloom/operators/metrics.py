@@ -20,9 +20,10 @@ def series(value: str, prefix: str) -> list[Column]:
     return [F.min(value).alias(f"{prefix}_min"), half_up(F.avg(value)).alias(f"{prefix}_avg"), F.max(value).alias(f"{prefix}_max"), F.sum(value).cast("long").alias(f"{prefix}_total")]
 
 
-def trace_stats(turns: DataFrame, session: str, before: str, after: str) -> DataFrame:
-    """Of each session: rounds, both series, and what was saved on average and at the peak."""
-    out = turns.groupBy(session).agg(F.count("*").alias("rounds"), *series(before, "baseline"), *series(after, "rewritten"))
+def trace_stats(turns: DataFrame, session: str | list[str], before: str, after: str, compactions: str | None = None) -> DataFrame:
+    """Of each session: rounds, compactions (if counted up to each round), both series, and what was saved on average and at the peak."""
+    keys = [session] if isinstance(session, str) else session
+    out = turns.groupBy(*keys).agg(F.count("*").alias("rounds"), *([F.max(compactions).alias("compactions")] if compactions else []), *series(before, "baseline"), *series(after, "rewritten"))
     return out.withColumn("savings_avg", F.col("baseline_avg") - F.col("rewritten_avg")).withColumn("savings_max", F.col("baseline_max") - F.col("rewritten_max"))
 
 

@@ -28,3 +28,21 @@ def item_counts(items: DataFrame, thread: str, kind: str, tool: str) -> DataFram
     of = lambda k: F.sum((F.col(kind) == k).cast("long"))
     named = F.when(F.col(kind).isin("function_call", "function_call_output"), F.col(tool))
     return items.groupBy(thread).agg(F.count("*").alias("events"), of("function_call").alias("calls"), of("function_call_output").alias("outputs"), F.array_sort(F.collect_set(named)).alias("tools"))
+
+
+def turn_counts(events: DataFrame, scope: list[str], payload: str) -> DataFrame:
+    """(scope, kind, name, n) of log envelopes (VARIANT): how many there are by envelope type, by type of event message, by type of
+    response item, and by role of its messages. Counts of one kind are a row a name."""
+    get = lambda p: F.try_variant_get(F.col(payload), p, "string")
+    type_, inner = get("$.type"), get("$.payload.type")
+    pairs = F.array(
+        F.struct(F.lit("envelope").alias("kind"), type_.alias("name")), F.struct(F.lit("event").alias("kind"), F.when(type_ == "event_msg", inner).alias("name")),
+        F.struct(F.lit("item").alias("kind"), F.when(type_ == "response_item", inner).alias("name")), F.struct(F.lit("role").alias("kind"), F.when((type_ == "response_item") & (inner == "message"), get("$.payload.role")).alias("name")),
+    )
+    return events.select(*scope, F.explode(pairs).alias("_x")).where("_x.name is not null").groupBy(*scope, F.col("_x.kind").alias("kind"), F.col("_x.name").alias("name")).agg(F.count("*").alias("n"))
+
+
+def tool_results(counts: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, results): outputs of tools among a turn's counted items."""
+    out = (F.col("kind") == "item") & F.col("name").endswith("_output")
+    return counts.groupBy(*scope).agg(F.coalesce(F.sum(F.when(out, F.col("n"))), F.lit(0)).alias("results"))

@@ -1,6 +1,6 @@
 """All named queries of the working-set engine."""
 
-from . import conversations, logs, sources, state
+from . import conversations, logs, replays, sources, state
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "conversations", "logs", "sources", "state"]
+__all__ = ["QUERIES", "SQL", "conversations", "logs", "replays", "sources", "state"]

@@ -288,6 +288,35 @@ def selected_pieces(t: Tables) -> DataFrame:
     return selectors.resolved(pieces, d, ["doc_id"], "piece", "selector", "payload", "tool").select("doc_id", "kind", F.sha2("content", 256).alias("content"), "bytes")
 
 
+@query(f"""WITH g AS (SELECT conv_id, place AS source, row_number() OVER (PARTITION BY conv_id ORDER BY place) - 1 AS at, count(*) OVER (PARTITION BY conv_id) AS n FROM {PIECES} WHERE kind <> 'user'),
+c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS call, length(text) % 4 AS o, length(text) % 3 AS l FROM conversations WHERE role = 'assistant')
+SELECT c.conv_id, call, call <= 3 AS allowed, at - o AS place, source, CASE WHEN call <= 3 THEN greatest(0, coalesce((SELECT max(n) FROM g WHERE g.conv_id = c.conv_id), 0) - o - l) END::BIGINT AS "left" FROM c LEFT JOIN g ON g.conv_id = c.conv_id AND call <= 3 AND at >= o AND at < o + l""")
+def recall_loops(t: Tables) -> DataFrame:
+    """Every answer of the assistant's calls for a page, by its length: some pages are empty or end beyond the gap, and a session's fourth call is not answered."""
+    calls = t.conversations.where("role = 'assistant'").select("conv_id", "turn", (F.length("text") % 4).cast("long").alias("offset"), (F.length("text") % 3).cast("long").alias("limit"))
+    gap = _pieces(t).where("kind <> 'user'").select("conv_id", F.col("place").alias("source"))
+    return archive.recalls(calls, gap, "conv_id", ["turn"], "source", ["source"])
+
+
+@query("""WITH d AS (SELECT *, doc_id % 8 AS k, length(text) AS n FROM documents),
+p AS (SELECT doc_id, k, text, CASE k WHEN 0 THEN text WHEN 1 THEN CASE WHEN n = 0 THEN '' ELSE '<segment start=0 end=' || least(n, 5) || '>' || chr(10) || substr(text, 1, 5) || chr(10) || '</segment>' ||
+  CASE WHEN n > 8 THEN chr(10) || '<gap omittedChars=3 />' || chr(10) || '<segment start=8 end=' || least(n, 12) || '>' || chr(10) || substr(text, 9, 4) || chr(10) || '</segment>' || CASE WHEN n > 12 THEN chr(10) || '<gap omittedChars=' || (n - 12) || ' />' ELSE '' END WHEN n > 5 THEN chr(10) || '<gap omittedChars=' || (n - 5) || ' />' ELSE '' END END
+  WHEN 2 THEN text WHEN 3 THEN source WHEN 4 THEN '{"n":' || n_chars || '}' WHEN 5 THEN n_chars::VARCHAR END AS content FROM d WHERE k < 6)
+SELECT doc_id, ['whole', 'chunks', 'object_path', 'object_path', 'object_path', 'object_path'][k + 1] AS kind, sha256(content) AS content, CASE k WHEN 1 THEN strlen(substr(text, 1, 5) || substr(text, 9, 4)) ELSE strlen(content) END::BIGINT AS bytes FROM p""")
+def selected_pieces(t: Tables) -> DataFrame:
+    """Documents as payloads read back whole, by spans, by paths with keys and indexes, and by two paths that lead nowhere."""
+    k = F.col("doc_id") % 8
+    arms = [
+        '{"kind":"whole"}', '{"kind":"chunks","chunks":[{"start":8,"end":12},{"start":-3,"end":5},{"start":4,"end":6}]}', '{"kind":"object_path","path":["rows",0,"t"]}', '{"kind":"object_path","path":["it\'s","k",0]}',
+        '{"kind":"object_path","path":["rows",1]}', '{"kind":"object_path","path":["rows",1,"n"]}', '{"kind":"object_path","path":["rows","t"]}', '{"kind":"object_path","path":["rows",-1]}',
+    ]
+    t1, t2 = F.to_json(F.struct(F.col("text").alias("t"))), F.to_json(F.struct(F.col("n_chars").alias("n")))
+    body = F.concat(F.lit('{"rows":['), t1, F.lit(","), t2, F.lit('],"it\'s":'), F.to_json(F.struct(F.array("source").alias("k"))), F.lit("}"))
+    d = t.documents.select("doc_id", F.when(k < 2, F.col("text")).otherwise(body).alias("payload"), F.lit("shell").alias("tool"))
+    pieces = t.documents.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("piece"), F.parse_json(F.get(F.array(*[F.lit(a) for a in arms]), k.cast("int"))).alias("selector"))
+    return selectors.resolved(pieces, d, ["doc_id"], "piece", "selector", "payload", "tool").select("doc_id", "kind", F.sha2("content", 256).alias("content"), "bytes")
+
+
 @query("SELECT conv_id, n AS call, greatest(0, least(g - o, 2))::BIGINT AS got, greatest(0, g - o - 2)::BIGINT AS \"left\" FROM (SELECT conv_id, count(*) FILTER (kind <> 'user') AS g FROM " + PIECES + " GROUP BY 1), (SELECT unnest([1, 2, 3]) AS n, unnest([0, 2, 4]) AS o)")
 def recall_loops(t: Tables) -> DataFrame:
     """Two answers with one and two calls, then one with none: three pages of two sources."""
@@ -400,11 +429,15 @@ def outline_requests(t: Tables) -> DataFrame:
     return render.outline_request(t.conversations, "conv_id", "turn", "turn", "text")
 
 
-@query(f"""WITH r AS (SELECT *, length(to_json(text)::VARCHAR) + length(role) + 70 AS size FROM {ROUNDS}), c AS (SELECT *, role = 'assistant' AND turn % 3 = 0 AND round > 0 AS cut FROM r),
+#: Every assistant message at a third turn compacts what was before it into itself.
+COMPACTED = f"""WITH r AS (SELECT *, length(to_json(text)::VARCHAR) + length(role) + 70 AS size FROM {ROUNDS}), c AS (SELECT *, role = 'assistant' AND turn % 3 = 0 AND round > 0 AS cut FROM r),
 s AS (SELECT a.conv_id, a.round, a.turn, (SELECT max(b.turn) FROM c b WHERE b.conv_id = a.conv_id AND b.cut AND b.turn < a.turn) AS last, (SELECT count(*) FROM c b WHERE b.conv_id = a.conv_id AND b.cut AND b.turn < a.turn) AS compactions FROM c a WHERE {IS_USER.replace('role', 'a.role').replace('text', 'a.text').replace('<environment_cona.text>', '<environment_context>')})
 SELECT s.conv_id, s.round, s.compactions, (count(*) + (s.compactions > 0)::INT)::BIGINT AS items,
 ceil((44 + sum(c.size) + CASE WHEN s.compactions > 0 THEN (SELECT d.size FROM c d WHERE d.conv_id = s.conv_id AND d.turn = s.last) ELSE 0 END + count(*) + (s.compactions > 0)::INT - 1) / 4.0)::BIGINT AS tokens
-FROM s JOIN c ON c.conv_id = s.conv_id AND c.turn <= s.turn AND (c.round = 0 OR s.last IS NULL OR c.turn > s.last) GROUP BY s.conv_id, s.round, s.compactions, s.last""")
+FROM s JOIN c ON c.conv_id = s.conv_id AND c.turn <= s.turn AND (c.round = 0 OR s.last IS NULL OR c.turn > s.last) GROUP BY s.conv_id, s.round, s.compactions, s.last"""
+
+
+@query(COMPACTED)
 def compacted_context(t: Tables) -> DataFrame:
     """Every assistant message at a third turn compacts what was before it into itself."""
     return rounds.compacted_tokens(t.conversations, "conv_id", "turn", "role", "text", user(), (F.col("role") == "assistant") & (F.col("turn") % 3 == 0))
@@ -423,10 +456,12 @@ UNION ALL SELECT conv_id, 'with', sum(CASE WHEN {IS_USER} THEN strlen(text) ELSE
 
 @query(f"SELECT conv_id, side, min(bytes) AS bytes_min, floor(avg(bytes) + 0.5)::BIGINT AS bytes_avg, max(bytes) AS bytes_max, sum(bytes)::BIGINT AS bytes_total FROM {CONTEXT} WHERE starts GROUP BY 1, 2")
 def context_windows(t: Tables) -> DataFrame:
-    """Bytes of each round's request with and without memory, when memory keeps the user's messages."""
+    """Bytes of each round's request with and without memory: all that was said before, or what the fold held before the round and its own message."""
     b = T.byte_size("text")
-    run = metrics.running_sums(t.conversations.select("conv_id", "turn", user().alias("starts"), b.alias("all"), F.when(user(), b).otherwise(0).alias("own")), "conv_id", "turn", ["all", "own"])
-    sides = run.where("starts").select("conv_id", F.explode(F.array(F.struct(F.lit("without").alias("side"), F.col("all").alias("bytes")), F.struct(F.lit("with").alias("side"), F.col("own").alias("bytes")))).alias("x"))
+    turns_ = in_rounds(t).select("conv_id", "turn", "round", user().alias("starts"), b.alias("all"), F.when(user(), b).otherwise(0).alias("own"))
+    run = metrics.running_sums(turns_, "conv_id", "turn", ["all"]).where("starts")
+    held = fold.replay(_pieces(t).withColumn("chars", F.col("size")), "drop-tools", "conv_id").select("conv_id", "round", "before_chars")
+    sides = run.join(held, ["conv_id", "round"]).select("conv_id", F.explode(F.array(F.struct(F.lit("without").alias("side"), F.col("all").alias("bytes")), F.struct(F.lit("with").alias("side"), (F.col("before_chars") + F.col("own")).alias("bytes")))).alias("x"))
     return sides.select("conv_id", "x.side", "x.bytes").groupBy("conv_id", "side").agg(*metrics.series("bytes", "bytes"))
 
 

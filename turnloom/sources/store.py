@@ -134,6 +134,25 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
     return commits.read(spark, path)
 
 
+#: What reports of a run hold, by the end of their names.
+REPORTS = {".stats.json": "source string, docs long, chars long", ".turns.jsonl": "source string, doc_id long, chars long", ".status.json": "job string, status string, done long"}
+
+
+def write_reports(rows: DataFrame, path: str, trace: str, suffix: str) -> None:
+    """One report of a run, in a folder or file whose name is the run's and the suffix."""
+    rows.write.mode("overwrite").json(f"{path}/{trace}{suffix}")
+
+
+def read_reports(spark: SparkSession, path: str, suffix: str, schema: str | None = None) -> DataFrame:
+    """All reports below a folder whose names end in a suffix, with `trace`, the run's name; their fields are those of REPORTS or a schema
+    of one's own, and fields that a report lacks are null. None there: no rows."""
+    schema = schema or REPORTS[suffix]
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*{suffix}")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p):
+        return spark.createDataFrame([], f"{schema}, trace string")
+    return spark.read.schema(schema).json(f"{path}/*{suffix}").withColumn("trace", F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+){suffix.replace('.', '[.]')}(/|$)", 1))
+
+
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
     df.write.mode("overwrite").option("header", "true").format(kind).save(path)
 
