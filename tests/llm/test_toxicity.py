@@ -103,3 +103,34 @@ def test_long_texts_and_ties(spark):
     docs = table(spark, [*rows, (5000, "w1x w2x " * 150_000, 0), (5001, "w2x w1x", 0), (5002, "w1x w2x", 0)])
     got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
     assert got[5000] == got[5001] == got[5002]
+
+
+def test_phrases_and_many_copies(spark):
+    """Sixty copies of a toxic text whose words are all in four hundred copies of a clean one: the word before tells them apart."""
+    rows = [(i, "kill all of them" if i < 60 else "kill time with all of them", int(i < 60)) for i in range(460)]
+    labels = spark.createDataFrame([(d, 1, y, None, None) for d, _, y in rows], LABELS)
+    got = toxicity.toxicity(table(spark, rows), labels).collect()
+    assert {r["doc_id"] < 60: r["predicted"] for r in got} == {True: 1, False: 0}
+    assert all((r["predicted"] == 1) == (r["doc_id"] < 60) for r in got)
+
+
+def test_phrases_of_plain_words(spark):
+    """Texts of the same words at random, of which the toxic ones hold a phrase: its weight is learnt from held-out labels."""
+    rng = np.random.default_rng(6)
+    plain = [f"w{i}x" for i in range(60)]
+    rows = []
+    for i in range(900):
+        w = list(rng.choice(plain, rng.integers(10, 40)))
+        w[3:3] = ["w5x", "w9x", "w7x"] if i % 5 == 0 else ["w9x", "w1x", "w5x", "w2x", "w7x"]
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    labels = spark.createDataFrame([(d, 1, y, None, None) for d, _, y in rows], LABELS)
+    held = [r for r in toxicity.toxicity(table(spark, rows), labels).collect() if r["held_out"]]
+    right = [r["predicted"] == int(r["doc_id"] % 5 == 0) for r in held]
+    assert np.mean(right) > 0.93 and np.mean([x for x, r in zip(right, held, strict=True) if r["doc_id"] % 5 == 0]) > 0.8
+
+
+def test_one_toxic_text(spark):
+    rows = [(i, f"some plain words number w{i % 50}x and more" if i else "vile", int(i == 0)) for i in range(1, 300)] + [(1000 + i, "vile things said", 1) for i in range(9)]
+    labels = spark.createDataFrame([(d, 1, y, None, None) for d, _, y in rows], LABELS)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(table(spark, rows), labels).collect()}
+    assert len(set(got.values())) > 1 and min(got[1000 + i] for i in range(9)) > max(v for d, v in got.items() if d < 1000)

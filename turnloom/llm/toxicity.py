@@ -1,13 +1,14 @@
-"""Toxicity: class-conditional Kneser-Ney models of words with shared backoff counts."""
+"""Toxicity: class-conditional Kneser-Ney models of words, by themselves and after the word before, with shared backoff counts."""
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -19,11 +20,22 @@ _FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 PREFIX = 5
 #: A count that exceeds the expected e by no more than Z * (sqrt(e) + 1) is left to the shared counts.
 Z = 3.0
+#: Different labelled texts of a class from which on copies count once and a fifth of the texts calibrates.
+ENOUGH = 20
+
+
+def line(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
 def words(text: str | None) -> set[bytes]:
     """The text's different words: a repeated line says a thing once."""
-    return set((text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split())
+    return set(line(text))
+
+
+def after(w: list[bytes]) -> set[tuple[bytes, bytes]]:
+    """The different words with the word before each."""
+    return set(zip(w, w[1:], strict=False))
 
 
 class Ratios:
@@ -34,7 +46,9 @@ class Ratios:
 
     def mean(self, text: str | None) -> tuple[float, int]:
         """The length-normalised difference of the two log-likelihoods, and the length in different words."""
-        w = words(text)
+        return self.mean_of(words(text))
+
+    def mean_of(self, w: set[bytes]) -> tuple[float, int]:
         own = w & self.known.keys()
         by_prefix = [x[:PREFIX] for x in w if x[:PREFIX] in self.prefixes]
         total = self.rest * (len(w) - len(by_prefix)) + sum(self.prefixes[x] for x in by_prefix)
@@ -42,6 +56,29 @@ class Ratios:
         return total / max(1, len(w)), len(w)
 
 
+class Histories:
+    """Log-likelihood ratios of words after a word: of those that say something, and of all others after the same word."""
+
+    def __init__(self, told: dict[bytes, tuple[float, dict[bytes, float]]]):
+        self.told = told
+
+    def mean_of(self, pairs: set[tuple[bytes, bytes]]) -> tuple[float, int]:
+        found = (self.told[h][1].get(w, self.told[h][0]) for h, w in pairs if h in self.told)
+        # Rounded once, so that the order of a set is not seen.
+        return math.fsum(found) / max(1, len(pairs)), len(pairs)
+
+
+def histories(rows: list[tuple[bytes, bytes, float, float, float, float, float]]) -> Histories:
+    """Ratios from rows (history, word, kept share of each class, backed-off mass of each class after it, share of the word in continuations).
+
+    p_c(w | h) = kept_c(h w) / N_c(h) + lambda_c(h) * s(w), where s(w) is the share of w in the different pairs of both classes.
+    """
+    told: dict[bytes, tuple[float, dict[bytes, float]]] = {}
+    for h, w, k0, k1, l0, l1, s in rows:
+        told.setdefault(h, (math.log(l1 / l0), {}))[1][w] = math.log((k1 + l1 * s) / (k0 + l0 * s))
+    return Histories(told)
+
+
 def discounted(c: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kept counts over class totals, the backed-off mass of each class, and shared probabilities, for counts c of two classes.
 
@@ -76,9 +113,9 @@ def kneser_ney(counts: pd.DataFrame, types: pd.DataFrame, total: np.ndarray, typ
     return Ratios(known, {w: log(x) for w, x in prefixes.items()}, log(mu))
 
 
-def evidence(mean: np.ndarray, n: np.ndarray, rest: float) -> np.ndarray:
-    """What the score depends on: the normalised difference beyond that of plain words, and its weight by length."""
-    return np.stack([mean - rest, (mean - rest) * np.sqrt(n)], axis=-1)
+def evidence(mean: np.ndarray, n: np.ndarray, rest: float, mean2: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """What the score depends on: the normalised differences, of words beyond that of plain words and of words after words, and their weights by length."""
+    return np.stack([mean - rest, (mean - rest) * np.sqrt(n), mean2, mean2 * np.sqrt(n2)], axis=-1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
@@ -95,21 +132,53 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2)
 
 
 class Model:
-    def __init__(self, ratios: Ratios, coef: np.ndarray, scale: np.ndarray):
-        self.ratios, self.coef, self.scale = ratios, coef, scale
+    def __init__(self, ratios: Ratios, pairs: Histories, coef: np.ndarray, scale: np.ndarray):
+        self.ratios, self.pairs, self.coef, self.scale = ratios, pairs, coef, scale
+
+    def means(self, text: str | None) -> tuple[float, int, float, int]:
+        w = line(text)
+        return (*self.ratios.mean_of(set(w)), *self.pairs.mean_of(after(w)))
 
     def score(self, text: str | None) -> float:
-        m, n = self.ratios.mean(text)
-        z = float(evidence(np.array(m), np.array(n), self.ratios.rest) / self.scale @ self.coef[:-1] + self.coef[-1])
+        m, n, m2, n2 = self.means(text)
+        z = float(evidence(np.array(m), np.array(n), self.ratios.rest, np.array(m2), np.array(n2)) / self.scale @ self.coef[:-1] + self.coef[-1])
         return 1 / (1 + float(np.exp(-min(max(z, -30), 30))))
 
 
+def paired(sample: DataFrame) -> Histories:
+    """What the word before says: pairs of one class beyond what their history's shared counts expect, by the discount of `discounted`.
+
+    Only such pairs, with the masses after their histories, come to the driver; they are fewer than the sample's words.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            c = (Counter(), Counter())
+            for y, t, n in zip(pdf["y"], pdf["text"], pdf["n"], strict=True):
+                for p in after(line(t)):
+                    c[y][p] += n
+            w = list(c[0] | c[1])
+            yield pd.DataFrame({"h": [x for x, _ in w], "w": [x for _, x in w], "c0": [c[0][x] for x in w], "c1": [c[1][x] for x in w]})
+
+    pairs = materialize(sample.mapInPandas(count, "h binary, w binary, c0 long, c1 long").groupBy("h", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "toxicity-pairs")
+    of = pairs.groupBy("h").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
+    share = (F.col("c0") + F.col("c1")) / (F.col("n0") + F.col("n1"))
+    kept = lambda i: F.greatest(F.col(f"c{i}") - share * F.col(f"n{i}") - Z * F.sqrt(share * F.col(f"n{i}")) - Z, F.lit(0.0)) / F.greatest(F.col(f"n{i}"), F.lit(1))
+    said = materialize(pairs.join(of, "h").select("h", "w", kept(0).alias("k0"), kept(1).alias("k1")).where("k0 > 0 or k1 > 0"), "toxicity-histories")
+    mass = said.groupBy("h").agg(*[F.greatest(1 - F.sum(f"k{i}"), F.lit(1e-6)).alias(f"l{i}") for i in (0, 1)])
+    everything = pairs.count()
+    continued = pairs.groupBy("w").agg((F.count("*") / F.lit(float(max(1, everything)))).alias("s"))
+    rows = said.join(mass, "h").join(continued, "w").select("h", "w", "k0", "k1", "l0", "l1", "s").collect()
+    return histories([(bytes(r["h"]), bytes(r["w"]), r["k0"], r["k1"], r["l0"], r["l1"], r["s"]) for r in rows])
+
+
 def fit(docs: DataFrame, known: DataFrame, bound: int = 4096) -> Model | None:
     """A model from texts (doc_id, text) and labels (doc_id, toxic), a row a document; None unless both classes occur.
 
     The classifier is fitted on at most `bound` labels of each class (the smallest hashes of doc_id), equal texts of
-    a class once; a fifth of the rows calibrate the score and give no counts. Calibration weighs the classes as all
-    labels have them. Rows are chosen among the labels, so that only the chosen documents' texts move.
+    a class once; a fifth of each class's texts calibrate the score, with the weight of words after words, and give no counts. A class of
+    fewer than ENOUGH different texts tells too little for that: then copies count each, and all texts both count and calibrate. Calibration weighs
+    the classes as all labels have them. Rows are chosen among the labels, so that only the chosen documents' texts move.
     """
     spark = docs.sparkSession
     ids = known.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic")
@@ -117,21 +186,29 @@ def fit(docs: DataFrame, known: DataFrame, bound: int = 4096) -> Model | None:
     if not share.get(0) or not share.get(1):
         return None
     chosen = [r for c in (0, 1) for r in ids.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(bound).collect()]
-    rows = [(r["doc_id"], r["toxic"], i % 5 == 0 and min(share.values()) >= 20) for i, r in enumerate(chosen)]
-    picked = spark.createDataFrame(rows, "_id long, y int, calibrate boolean").dropDuplicates(["_id"])
-    # At most 2 * bound rows of 13 bytes.
-    sample = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("y", "calibrate", "text").dropDuplicates(["y", "text"]), "toxicity-sample")
+    picked = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "_id long, y int").dropDuplicates(["_id"])
+    # At most 2 * bound rows of 12 bytes.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("y", "text").agg(F.count("*").alias("n"))
+    # At most `bound` rows a class.
+    sample = materialize(texts.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("text"), "text"))), "toxicity-sample")
+    different = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(different) < 2:  # labels of documents that aren't there
+        return None
+    few = min(different.values()) < ENOUGH
+    sample = sample.select("y", "text", (F.col("n") if few else F.lit(1)).cast("long").alias("n"), (F.col("place") % 5 == 1).alias("calibrate"))
+    counted = sample if few else sample.where("not calibrate")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             c = (Counter(), Counter())
-            for y, t in zip(pdf["y"], pdf["text"], strict=True):
-                c[y].update(words(t))
+            for y, t, n in zip(pdf["y"], pdf["text"], pdf["n"], strict=True):
+                for x in words(t):
+                    c[y][x] += n
             w = list(c[0] | c[1])
             yield pd.DataFrame({"w": w, "c0": [c[0][x] for x in w], "c1": [c[1][x] for x in w]})
 
     pair = ("c0", "c1")
-    per_word = materialize(sample.where("not calibrate").mapInPandas(count, "w binary, c0 long, c1 long").groupBy("w").agg(*[F.sum(c).alias(c) for c in pair]), "toxicity-words")
+    per_word = materialize(counted.mapInPandas(count, "w binary, c0 long, c1 long").groupBy("w").agg(*[F.sum(c).alias(c) for c in pair]), "toxicity-words")
     per_prefix = per_word.groupBy(F.substring("w", 1, PREFIX).alias("w")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in pair])
     both = []
     for table in (per_word, per_prefix):
@@ -139,20 +216,20 @@ def fit(docs: DataFrame, known: DataFrame, bound: int = 4096) -> Model | None:
         likely = table.where(F.greatest(*pair) > Z).toPandas()
         likely["w"] = [bytes(x) for x in likely["w"]]
         both.append((likely, np.array([total[c] for c in pair], float)))
-    ratios = kneser_ney(both[0][0], both[1][0], both[0][1], both[1][1])
+    model = Model(kneser_ney(both[0][0], both[1][0], both[0][1], both[1][1]), paired(counted), np.zeros(5), np.ones(4))
 
     def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [ratios.mean(t) for t in pdf["text"]]
-            yield pd.DataFrame({"y": pdf["y"], "m": [m for m, _ in got], "n": [n for _, n in got]})
+            got = [model.means(t) for t in pdf["text"]]
+            yield pd.DataFrame({"y": pdf["y"], "k": pdf["n"], **{c: [g[i] for g in got] for i, c in enumerate(("m", "n", "m2", "n2"))}})
 
-    cal = sample.where("calibrate" if any(r[2] for r in rows) else "true").mapInPandas(means, "y int, m double, n long").toPandas()
-    y, weight = cal["y"].to_numpy(float), np.zeros(len(cal))
-    if not 0 < y.sum() < len(y):
-        return None
+    cal = (sample if few else sample.where("calibrate")).mapInPandas(means, "y int, k long, m double, n long, m2 double, n2 long").toPandas()
+    y, weight = cal["y"].to_numpy(float), cal["k"].to_numpy(float)
     for c in (0, 1):
-        weight[y == c] = share[c] / sum(share.values()) * len(y) / max(1, (y == c).sum())
-    return Model(ratios, *logistic(evidence(cal["m"].to_numpy(float), cal["n"].to_numpy(float), ratios.rest), y, weight))
+        weight[y == c] *= share[c] / sum(share.values()) * len(y) / max(1, weight[y == c].sum())
+    x = evidence(*(cal["m"].to_numpy(float), cal["n"].to_numpy(float), model.ratios.rest, cal["m2"].to_numpy(float), cal["n2"].to_numpy(float)))
+    model.coef, model.scale = logistic(x, y, weight)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
