@@ -1,5 +1,3 @@
-import numpy as np
-
 from turnloom.llm import htmlmain
 
 PAGE = "<html><head><title>No</title><style>p{}</style></head><body><nav><ul><li><a href='/x'>menu one</a></li><li><a href='/y'>two</a></li></ul></nav><div class=\"ad\">Buy this now and more of it</div><article><h1>Head &amp; line</h1><p>First  <b>block</b>\n of &eacute;t&eacute; words here.<p>Second block, with a <a href=/z>link</a> inside it.</p><script>var t='</p>';</script><div class='advert box'>inner advert</div><p>Last one.</p></article><div id=comments><p>I said this</p></div><footer>&copy; me and others</footer></body></html>"
@@ -45,9 +43,62 @@ def test_region_has_the_largest_sum():
 
 
 def fitted():
-    c = htmlmain.evidence([PAGE.replace("Last one.", f"Last one number {i} of many.") for i in range(30)])
-    odds = {p: float(np.clip(np.log((c[p, True] + 0.5) / (c[p, False] + 0.5)), -6, 6)) for p, _ in list(c)}
-    return htmlmain.Scorer({p: w for p, w in odds.items() if not p.startswith("name:")}, {p[5:]: w for p, w in odds.items() if p.startswith("name:")})
+    return htmlmain.fitted(htmlmain.evidence([PAGE.replace("Last one.", f"Last one number {i} of many.") for i in range(30)]))
+
+
+BODY = "".join(f"<p>Paragraph {i} has some words of the article in it.</p>" for i in range(5))
+TEXT = "\n".join(f"Paragraph {i} has some words of the article in it." for i in range(5))
+
+
+def site(wrap, inner=BODY):
+    before, after = wrap
+    return f"<html><body><nav><a href=/>menu</a><a href=/x>more of it</a></nav>{before}<article>{inner}</article>{after}<div class='comments'><p>I said this</p></div><footer>me and others</footer></body></html>"
+
+
+def test_wrappers_of_articles_are_no_noise():
+    """Whether a site's pages were read before or not, a form or a div of any name around the article is its wrapper."""
+    plain = fitted()
+    for wrap in (("<form action=/post method=post>", "<input type=hidden></form>"), ("<div class='social'>", "</div>"), ("<div id=sidebar><div class='banner'>", "</div></div>"), ("<aside>", "</aside>")):
+        like = htmlmain.fitted(htmlmain.evidence([site(wrap).replace("Paragraph 1", f"Paragraph number {i}") for i in range(200)]))
+        assert like.extract(site(wrap)) == plain.extract(site(wrap)) == TEXT
+    # Learnt from articles, a wrapper without one is still the site's.
+    like = htmlmain.fitted(htmlmain.evidence([site(("<form>", "</form>")) for _ in range(200)]))
+    assert like.extract(f"<html><body><nav><a href=/>menu</a></nav><form>{BODY}</form><footer>me and others</footer></body></html>") == TEXT
+
+
+def test_names_on_paragraphs_say_little():
+    inner = BODY.replace("<p>Paragraph 2", '<p class="related">Paragraph 2').replace("<p>Paragraph 3", '<p class="notice">Paragraph 3')
+    assert fitted().extract(site(("", ""), inner)) == TEXT
+    inner = BODY.replace("<p>Paragraph 2", '<div class="advert">Buy this now</div><p>Paragraph 2')
+    assert fitted().extract(site(("", ""), inner)) == TEXT
+
+
+def test_quotes_in_bare_values():
+    for tag in ("<p title=foo'bar>", '<p title=a"b data-x=1>', "<p title='it>is' x>", '<p title="a\'b>c">', "<p a=b=c'>", "<p it's>"):
+        assert fitted().extract(site(("", ""), BODY.replace("<p>", tag))) == TEXT
+
+
+def plainly(scorer, page):
+    """The region by trying all of them."""
+    run = htmlmain.tokens(page, scorer.names)
+    scores = [scorer(t) for t in run]
+    best = max(((sum(scores[i:j]), -i, -j) for i in range(len(run)) for j in range(i + 1, len(run) + 1)), default=(0, 0, 0))
+    return htmlmain.blocks(run[-best[1] : -best[2]]) if best[0] > 0 else ""
+
+
+def test_extraction_equals_trying_all_regions():
+    import random
+
+    r, s = random.Random(8), fitted()
+    bits = ["<p>", "</p>", "<div class=ad>", "<div class='social'>", "</div>", "<article>", "</article>", "<a href=x>", "</a>", " word ", "two &amp; three", "<nav>", "</nav>", "<li>", "<br>", "<form>", "</form>", "<h1>", "</h1>"]
+    for _ in range(150):
+        page = "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
+        a, b = htmlmain.region([s(t) for t in htmlmain.tokens(page, s.names)])
+        run = htmlmain.tokens(page, s.names)
+        assert abs(sum(s(t) for t in run[a:b]) - brute([s(t) for t in run])) < 1e-9
+        assert s.extract(page) == htmlmain.blocks(run[a:b])
+        if not any(sum(map(s, run[i:j])) == 0 for i in range(len(run)) for j in range(i + 1, len(run) + 1)):
+            assert s.extract(page) == plainly(s, page)
 
 
 def test_names_are_evidence_and_no_veto():
