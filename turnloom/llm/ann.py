@@ -129,8 +129,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, eps: float = 3.0,
     is asked once. An empty table gives no rows; other columns are ignored.
 
     The centre is the mean of `sample` rows (the smallest hashes of vec_id); every row is indexed. Queries go out in
-    broadcast blocks of `block` (a bound in bytes: block * dimension * 9), each scanned against all codes, a pass a block; each task
-    returns k rows a query at most. A bound of `eps` standard errors decides what is reranked.
+    blocks of `block` (a bound in bytes: block * dimension * 9), each collected, broadcast, scanned against all codes and written before the
+    next; each task returns k rows a query at most. A bound of `eps` standard errors decides what is reranked.
     """
     spark = vectors.sparkSession
     ok = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
@@ -166,4 +166,6 @@ def _nearest(ok: DataFrame, k: int, every: int, eps: float, sample: int, block:
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).orderBy("vec_id").collect()
         if rows:
             asking = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows]), rot.asked(np.array([r["embedding"] for r in rows]))))
-            yield index.mapInPandas(lambda it, a=asking: scan(it, *a.value, k, eps), "query_id long, vec_id long, score double")
+            # Written before the next block is collected: the driver and the executors hold one block at a time.
+            yield materialize(index.mapInPandas(lambda it, a=asking: scan(it, *a.value, k, eps), "query_id long, vec_id long, score double"), "ann-found")
+            asking.destroy()
