@@ -5,7 +5,6 @@ Trained by follow-the-regularised-leader with elastic-net penalties, then calibr
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -164,20 +163,19 @@ def fit(train: DataFrame, sample: int = 512, epochs: int = 4) -> Model | None:
                 f = features(pdf["text"].fillna("").tolist())
                 yield pd.DataFrame({"h": pdf["h"], "doc_id": pdf["doc_id"], "lang": pdf["lang"], "ids": [i.tobytes() for i, _ in f], "tf": [x.tobytes() for _, x in f]})
 
-    hashed = train.select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang", "text")
+    hashed = train.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"), "doc_id", "lang", "text")
     # Each map task keeps its first `sample` a language, so no language meets in one task.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = {r["lang"]: r["h"] for r in hashed.select("h", "lang").withColumn("n", place).where(F.col("n") <= sample).groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "g"))
+    last = {r["lang"]: r["x"] for r in hashed.select("h", "g", "lang").withColumn("n", first).where(F.col("n") <= sample).groupBy("lang").agg(F.max(F.struct("h", "g")).alias("x")).collect()}
     chosen = F.lit(False)
-    for lang, h in sorted(last.items()):
-        chosen = chosen | (F.col("lang") == lang) & (F.col("h") <= h)
-    found = hashed.where(chosen).mapInPandas(sparse, "h long, doc_id long, lang string, ids binary, tf binary")
+    for lang, x in sorted(last.items()):
+        chosen = chosen | (F.col("lang") == lang) & ((F.col("h") < x["h"]) | (F.col("h") == x["h"]) & (F.col("g") <= x["g"]))
+    # Rows that repeat a doc_id and a text are beyond the rank and go before anything is collected.
+    again = F.row_number().over(Window.partitionBy("lang").orderBy("h", "ids", "tf"))
+    found = hashed.where(chosen).select("h", "doc_id", "lang", "text").mapInPandas(sparse, "h long, doc_id long, lang string, ids binary, tf binary").withColumn("n", again).where(F.col("n") <= sample)
     rows = sorted(found.collect(), key=lambda r: (r["h"], r["lang"], r["ids"], r["tf"]))
-    classes, seen, data = sorted(last), Counter(), []
+    classes, data = sorted(last), []
     for r in rows:
-        seen[r["lang"]] += 1
-        if seen[r["lang"]] > sample:  # rows that repeat a doc_id share its hash
-            continue
         ids = np.frombuffer(r["ids"], np.int32)
         if len(ids):
             data.append((ids, np.frombuffer(r["tf"], np.float32) * idf[ids], classes.index(r["lang"])))
