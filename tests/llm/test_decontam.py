@@ -61,3 +61,23 @@ def test_long_texts_are_read_whole(monkeypatch):
     for at in range(0, 3000, 97):
         text = made(r, at, 4000) + " " + item + " " + made(r, 900, 4000)
         assert set(decontam.matches(text, index, 0.5, 0.6, 0.6)) == {1}
+
+
+def test_blocks_of_items_find_the_same(spark):
+    """Blocks of a few items of like length, one after another, find what one index finds."""
+    import random
+
+    random.seed(4)
+    vocabulary = [f"term{i}" for i in range(400)]
+    items = [(i, " ".join(random.choice(vocabulary) for _ in range(random.choice([8, 8, 8, 20, 60]))) + "?") for i in range(60)]
+    docs = []
+    for i in range(80):
+        w = [random.choice(vocabulary) for _ in range(random.choice([5, 200, 900]))]
+        if i % 3 == 0:
+            w[2:2] = items[i % 60][1].split()
+        docs.append((i, " ".join(w)))
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **k: {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, t, **k).collect()}
+    planted = {(i, i % 60) for i in range(0, 80, 3)}
+    assert planted <= found(block=7) and planted <= found() and {x[0] for x in found(block=7)} == {x[0] for x in found()} == {x[0] for x in planted}
+    assert {r["doc_id"] for r in decontam.keep_clean(d, t, block=7).collect()} == {r["doc_id"] for r in decontam.keep_clean(d, t).collect()} == set(range(80)) - set(range(0, 80, 3))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: ASCII letters and digits, lowered before; other ASCII to spaces; bytes of other characters stay.
 _FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 K1, B = 1.2, 0.75
@@ -180,13 +182,25 @@ def matches(text: str | None, index: Index, retrieve: float, question: float, an
     return out
 
 
-def _blocks(items: DataFrame, block: int) -> Iterator[Index]:
-    """Indexes of `block` items each."""
+def _blocks(items: DataFrame, block: int, most: int = 32_000_000) -> tuple[int, Iterator[Index]]:
+    """How many indexes, and they one by one: of `block` items and `most` bytes each, about. Items go by length, so that a long one sets the
+    passages of its own block only."""
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
-    n = max(1, -(-tests.count() // block))
-    for b in range(n):
-        rows = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], r["text"]) for r in rows])
+    all_ = tests.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    n = max(1, -(-all_["n"] // block), -(-all_["b"] // most))
+    edges = tests.select(F.octet_length("text").alias("l")).approxQuantile("l", [i / n for i in range(1, n)], 0.001) if n > 1 else []
+    size = F.octet_length("text").cast("double")
+    place = sum((F.when(size > e, 1).otherwise(0) for e in edges), F.lit(0))
+    # Many items of one length stay together at an edge: they are dealt further by hash.
+    held = {r["p"]: max(1, -(-r["n"] // block), -(-r["b"] // most)) for r in tests.groupBy(place.alias("p")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()} if n > 1 else {0: 1}
+
+    def made() -> Iterator[Index]:
+        for b, parts in sorted(held.items()):
+            for p in range(parts):
+                rows = tests.where((place == b) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)).orderBy("item_id", "text").collect()
+                yield Index([(r["item_id"], r["text"]) for r in rows])
+
+    return sum(held.values()), made()
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, retrieve: float = 0.6, question: float = 0.6, answer: float = 0.6, block: int = 20_000) -> DataFrame:
@@ -199,8 +213,13 @@ def keep_clean(docs: DataFrame, items: DataFrame, retrieve: float = 0.6, questio
 
         return test("text")
 
-    for index in _blocks(items, block):
-        docs = docs.where(clean(docs.sparkSession.sparkContext.broadcast(index)))
+    n, indexes = _blocks(items, block)
+    for index in indexes:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.where(clean(shared))
+        if n > 1:
+            docs = materialize(docs, "decontam-kept")
+            shared.destroy()
     return docs
 
 
@@ -213,13 +232,14 @@ def contaminated(docs: DataFrame, items: DataFrame, retrieve: float = 0.6, quest
     no row. Items and documents that are null, empty or wordless match nothing. Repeated documents give repeated
     rows, an item_id that repeats its best match. Empty tables give no rows; other columns are ignored.
 
-    The index goes out by broadcast in blocks of `block` items, a pass over the documents each.
+    The index goes out by broadcast in blocks of `block` items of like length, a pass over the documents each, one written before the next is made.
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word long"
     out = None
-    for index in _blocks(items, block):
+    n, indexes = _blocks(items, block)
+    for index in indexes:
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -228,5 +248,8 @@ def contaminated(docs: DataFrame, items: DataFrame, retrieve: float = 0.6, quest
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "word"])
 
         part = src.mapInPandas(run, schema)
+        if n > 1:
+            part = materialize(part, "decontam-found")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
-    return out
+    return spark.createDataFrame([], schema) if out is None else out
