@@ -20,6 +20,8 @@ _FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 PREFIX = 5
 #: A count that exceeds the expected e by no more than Z * (sqrt(e) + 1) is left to the shared counts.
 Z = 3.0
+#: The same for words after words, of which there are many more to be surprised by.
+Z_AFTER = 5.0
 #: Different labelled texts of a class from which on copies count once and a fifth of the texts calibrates.
 ENOUGH = 20
 
@@ -146,7 +148,7 @@ class Model:
 
 
 def paired(sample: DataFrame) -> Histories:
-    """What the word before says: pairs of one class beyond what their history's shared counts expect, by the discount of `discounted`.
+    """What the word before says: pairs of one class beyond what their history's shared counts expect, by a discount as in `discounted`.
 
     Only such pairs, with the masses after their histories, come to the driver; they are fewer than the sample's words.
     """
@@ -163,7 +165,7 @@ def paired(sample: DataFrame) -> Histories:
     pairs = materialize(sample.mapInPandas(count, "h binary, w binary, c0 long, c1 long").groupBy("h", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "toxicity-pairs")
     of = pairs.groupBy("h").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
     share = (F.col("c0") + F.col("c1")) / (F.col("n0") + F.col("n1"))
-    kept = lambda i: F.greatest(F.col(f"c{i}") - share * F.col(f"n{i}") - Z * F.sqrt(share * F.col(f"n{i}")) - Z, F.lit(0.0)) / F.greatest(F.col(f"n{i}"), F.lit(1))
+    kept = lambda i: F.greatest(F.col(f"c{i}") - share * F.col(f"n{i}") - Z_AFTER * F.sqrt(share * F.col(f"n{i}")) - Z_AFTER, F.lit(0.0)) / F.greatest(F.col(f"n{i}"), F.lit(1))
     said = materialize(pairs.join(of, "h").select("h", "w", kept(0).alias("k0"), kept(1).alias("k1")).where("k0 > 0 or k1 > 0"), "toxicity-histories")
     mass = said.groupBy("h").agg(*[F.greatest(1 - F.sum(f"k{i}"), F.lit(1e-6)).alias(f"l{i}") for i in (0, 1)])
     everything = pairs.count()
