@@ -39,10 +39,14 @@ def with_recall_tool(tools: Column, gap: Column, name: str = "recall") -> Column
     return F.when((gap > 0) & ~F.array_contains(tools, name), F.concat(tools, F.array(F.lit(name)))).otherwise(tools)
 
 
+#: The marks around a selected segment and for characters left out, which renderings of other origin hold too.
+SEGMENT, GAP = ("<segment start=", " end=", ">", "</segment>"), ("<gap omittedChars=", " />")
+
+
 def selection_text(segments: Column, whole: Column) -> Column:
     """Selected segments (start, end, text) in order, each between marks, and a mark for what is left out between them."""
     kind = "struct<at:int,n:int,parts:array<string>>"
-    gap = lambda n: F.concat(F.lit("<gap omittedChars="), n.cast("string"), F.lit(" />"))
+    gap = lambda n: F.concat(F.lit(GAP[0]), n.cast("string"), F.lit(GAP[1]))
     out = F.aggregate(
         F.array_sort(segments),
         F.expr(f"cast(named_struct('at', 0, 'n', 0, 'parts', array()) as {kind})"),
@@ -50,7 +54,7 @@ def selection_text(segments: Column, whole: Column) -> Column:
             s["end"].cast("int").alias("at"), (acc["n"] + 1).alias("n"),
             F.concat(
                 acc["parts"], F.when((s["start"] > acc["at"]) | (acc["n"] > 0), F.array(gap(F.greatest(F.lit(0), s["start"] - acc["at"])))).otherwise(F.expr("cast(array() as array<string>)")),
-                F.array(F.concat(F.lit("<segment start="), s["start"].cast("string"), F.lit(" end="), s["end"].cast("string"), F.lit(">")), s["text"], F.lit("</segment>")),
+                F.array(F.concat(F.lit(SEGMENT[0]), s["start"].cast("string"), F.lit(SEGMENT[1]), s["end"].cast("string"), F.lit(SEGMENT[2])), s["text"], F.lit(SEGMENT[3])),
             ).alias("parts"),
         ).cast(kind),
     )

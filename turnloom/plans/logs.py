@@ -574,12 +574,17 @@ def live_expectations(t: Tables) -> DataFrame:
     return t.events.select("event_id", predicates.expected(said, want).alias("met"))
 
 
-@query("SELECT k AS log, 1800::BIGINT AS seconds, 4 + k AS finished, (4 + k) * 2.0::DOUBLE AS per_hour, round_even(8.0::DOUBLE / ((4 + k) * 2.0::DOUBLE), 2) AS hours_left FROM (SELECT DISTINCT conv_id % 5 AS k FROM conversations)")
+@query("""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000000 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT e.* FROM e JOIN (SELECT user_id, max(n) AS f FROM e WHERE event_type = 'signup' GROUP BY 1) USING (user_id) WHERE n >= f),
+a AS (SELECT user_id, max(sec) FILTER (event_type <> 'error') - min_by(sec, n) AS seconds, coalesce(max_by(event_id % 7, n) FILTER (event_type = 'click'), count(*) FILTER (event_type = 'purchase')) AS finished FROM w GROUP BY 1),
+r AS (SELECT *, CASE WHEN seconds > 0 AND finished > 0 THEN round_even(3600.0::DOUBLE * finished / seconds, 2) END AS per_hour FROM a)
+SELECT user_id AS log, seconds, finished, per_hour, round_even(8.0::DOUBLE / nullif(per_hour, 0), 2) AS hours_left FROM r""")
 def batch_logs(t: Tables) -> DataFrame:
-    """A log a batch: an older batch before the last start, completions, a heartbeat that tells the count, a line without a time."""
-    k = F.col("log").cast("string")
-    told = ["2026-01-01T00:00:00Z batch_start old", "2026-01-01T00:00:10Z done [1/2]", "2026-01-01T01:00:00Z batch_start new", "2026-01-01T01:10:00Z done [1/9]", "", "no time here", "2026-01-01T01:30:00Z done [5/9]"]
-    beat = F.concat(F.lit("2026-01-01T01:20:00Z heartbeat completed_this_run="), (F.col("log") + 4).cast("string"), F.lit("/9 queued=2 of "), k)
-    lines = F.array(*[F.lit(x) for x in told[:4]], beat, *[F.lit(x) for x in told[4:]])
-    df = t.conversations.select((F.col("conv_id") % 5).alias("log")).distinct().select("log", F.posexplode(lines).alias("n", "line"))
+    """A log a user, a line an event: starts of batches, completions, heartbeats that tell a count, notes, and lines without a time."""
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    kind, i = F.col("event_type"), F.col("event_id").cast("string")
+    told = F.when(kind == "signup", F.concat(F.lit(" batch_start "), i)).when(kind == "purchase", F.concat(F.lit(" done ["), i, F.lit("/9]"))).when(kind == "click", F.concat(F.lit(" heartbeat completed_this_run="), (F.col("event_id") % 7).cast("string"), F.lit("/9 queued=2"))).otherwise(F.concat(F.lit(" note "), F.col("props")))
+    line = F.when(kind == "error", F.concat(F.lit("no time here: "), F.col("props"))).otherwise(F.concat(stamp, told))
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    df = t.events.select(F.col("user_id").alias("log"), n.alias("n"), line.alias("line"))
     return logs.batch_progress(df, "log", "n", "line", F.lit(20), F.lit(12)).select("log", "seconds", "finished", "per_hour", "hours_left")

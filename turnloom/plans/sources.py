@@ -153,16 +153,16 @@ def props_projection(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.try_variant_get(v, "$.k", "long").alias("k"), F.coalesce(F.try_variant_get(v, "$.k", "long"), F.lit(0)).alias("input"), F.startswith(F.schema_of_variant(v), F.lit("OBJECT")).alias("is_object"))
 
 
-DECIDED = """(SELECT d.doc_id, d.source, d.doc_id % 5 AS created, d.doc_id % 4 = 0 AS is_user, coalesce(l.quality = 0, false) AS drop,
+DECIDED = """(SELECT d.doc_id, d.source, d.doc_id % 5 AS created, d.doc_id % 4 = 0 AS is_user, length(d.source) % 2 = 1 AS routed_new, d.n_chars % 3 > 0 AS old, coalesce(l.quality = 0, false) AS drop,
 CASE WHEN l.quality = 0 THEN CASE l.doc_id % 3 WHEN 0 THEN 'clearly_unrelated_to_current_work' WHEN 1 THEN 'old_task_after_confirmed_task_switch' ELSE 'because' END END AS reason FROM documents d LEFT JOIN labels l USING (doc_id))"""
-ACCEPTED = "(drop AND coalesce(reason IN ('exact_duplicate', 'clearly_unrelated_to_current_work') OR reason = 'old_task_after_confirmed_task_switch' AND created < 3, false))"
+ACCEPTED = "(drop AND coalesce(reason IN ('exact_duplicate', 'clearly_unrelated_to_current_work') OR reason = 'old_task_after_confirmed_task_switch' AND routed_new AND old AND created < 3, false))"
 
 
 def _decided(t: Tables) -> DataFrame:
-    """Labels of low quality as drop decisions, with three reasons, one unknown."""
+    """Labels of low quality as drop decisions, with three reasons, one unknown; sources with names of odd length begin a new task, two of three documents are an old one's."""
     reason = F.when(F.col("doc_id") % 3 == 0, decisions.UNRELATED).when(F.col("doc_id") % 3 == 1, decisions.OLD_TASK).otherwise("because")
     low = t.labels.where("quality = 0").select("doc_id", F.lit(True).alias("drop"), reason.alias("reason"))
-    pieces = t.documents.select("doc_id", "source", (F.col("doc_id") % 5).alias("created"), (F.col("doc_id") % 4 == 0).alias("is_user"))
+    pieces = t.documents.select("doc_id", "source", (F.col("doc_id") % 5).alias("created"), (F.col("doc_id") % 4 == 0).alias("is_user"), (F.length("source") % 2 == 1).alias("routed_new"), (F.col("n_chars") % 3 > 0).alias("old"))
     return decisions.with_overrides(pieces, low, ["doc_id"])
 
 
@@ -172,7 +172,7 @@ def decision_overrides(t: Tables) -> DataFrame:
 
 
 def _accepted(t: Tables) -> DataFrame:
-    ok = decisions.accepted(F.col("drop"), F.col("reason"), F.lit(True), F.lit(True), F.col("created"), F.lit(3))
+    ok = decisions.accepted(F.col("drop"), F.col("reason"), F.col("routed_new"), F.col("old"), F.col("created"), F.lit(3))
     return _decided(t).withColumn("accepted", ok)
 
 
