@@ -71,17 +71,22 @@ def sliced(rows: DataFrame, keep: list[str], text: str, spans: str) -> DataFrame
 
 def anchor_spans(text: Column, anchors: Column) -> Column:
     """Spans cut where each anchor occurs, searched forward; anchors that are empty or not found are skipped, and what
-    precedes the first is a span of its own."""
-    found = F.aggregate(
-        anchors,
-        F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<int>)").alias("starts")),
-        lambda acc, a: F.when(
-            (F.length(a) > 0) & (F.call_function("locate", a, text, acc["at"]) > 0),
-            F.struct((F.call_function("locate", a, text, acc["at"]) + F.length(a)).cast("int").alias("at"), F.concat(acc["starts"], F.array((F.call_function("locate", a, text, acc["at"]) - 1).cast("int"))).alias("starts")),
-        ).otherwise(acc),
-        lambda acc: acc["starts"],
-    )
-    return _between(F.concat(F.array(F.lit(0)), F.filter(found, lambda x: x > 0)), F.length(text))
+    precedes the first is a span of its own. Each anchor is searched for once, from where the one before ended."""
+
+    @F.pandas_udf("array<int>")
+    def starts(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for t, own in zip(texts, lists, strict=True):
+            at, found = 0, [0]
+            for a in own if t is not None and own is not None else ():
+                i = t.find(a, at) if a else -1
+                if i >= 0:
+                    at = i + len(a)
+                    found += [i] if i > 0 else []
+            out.append(None if t is None else found)
+        return pd.Series(out)
+
+    return _between(starts(text, anchors), F.length(text))
 
 
 def normalized_spans(spans: Column, length: Column) -> Column:

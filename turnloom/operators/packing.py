@@ -66,3 +66,16 @@ def prune_batches(pieces: DataFrame, session: str, order: str, limit: int = BATC
     fitted = next_fit(asked.where("not big"), [session, "stretch"], order, "cost", "room").select(session, order, "starts")
     every = reduce(DataFrame.unionByName, [fitted, asked.where("big").select(session, order, F.lit(True).alias("starts"))])
     return every.withColumn("batch", F.sum(F.col("starts").cast("long")).over(upto) - 1).select(session, order, "batch")
+
+
+def batch_requests(pieces: DataFrame, batches: DataFrame, session: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """The manifests (session, pieces, bytes, manifest) and the requests (session, batch, evaluated, bytes) of batched pieces.
+
+    A session's manifest names all its pieces, an object with id, kind and bytes each, and goes with every request; so it is made once a
+    session and not once a batch. A request has the ids that it asks about, in order.
+    """
+    by_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), c.alias("x")))), lambda y: y["x"])
+    entry = F.to_json(F.struct(F.col(order).alias("id"), "kind", F.col("size").alias("bytes")))
+    manifests = pieces.groupBy(session).agg(F.count("*").alias("pieces"), F.sum("size").alias("bytes"), F.concat(F.lit("["), F.array_join(by_order(entry), ","), F.lit("]")).alias("manifest"))
+    asked = batches.join(pieces.select(session, order, "size"), [session, order])
+    return manifests, asked.groupBy(session, "batch").agg(by_order(F.col(order)).alias("evaluated"), F.sum("size").alias("bytes"))

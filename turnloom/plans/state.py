@@ -247,15 +247,29 @@ FROM (SELECT a.*, b.following AS f, b.chars, ceil((a.shared + a.cost) / 4.0) > {
 SELECT session, doc_id, batch FROM b WHERE n > 0"""
 
 
+def _batch_pieces(t: Tables) -> DataFrame:
+    d = F.col("doc_id")
+    p = t.documents.select(F.concat("source", F.lit("-"), F.floor(d / 1000).cast("string")).alias("session"), "doc_id", F.when(d % 10 == 0, "user").otherwise("tool").alias("kind"), F.col("n_chars").alias("size"), (d % 17 > 0).alias("rendered"))
+    last = p.where("kind = 'user'").groupBy("session").agg(F.max("doc_id").alias("_last"))
+    return p.join(last, "session", "left").withColumn("latest", F.col("doc_id").eqNullSafe(F.col("_last"))).drop("_last")
+
+
 @query(BATCHES)
 def prune_batches(t: Tables) -> DataFrame:
     """Documents of a source in batches of 10,000 tokens; a piece only too large to share goes alone, one too large for any goes nowhere; if
     not all user pieces fit, only those are evaluated; some aren't rendered."""
-    d = F.col("doc_id")
-    p = t.documents.select(F.concat("source", F.lit("-"), F.floor(d / 1000).cast("string")).alias("session"), "doc_id", F.when(d % 10 == 0, "user").otherwise("tool").alias("kind"), F.col("n_chars").alias("size"), (d % 17 > 0).alias("rendered"))
-    last = p.where("kind = 'user'").groupBy("session").agg(F.max("doc_id").alias("_last"))
-    p = p.join(last, "session", "left").withColumn("latest", F.col("doc_id").eqNullSafe(F.col("_last"))).drop("_last")
-    return packing.prune_batches(p, "session", "doc_id", LIMIT, SINGLE)
+    return packing.prune_batches(_batch_pieces(t), "session", "doc_id", LIMIT, SINGLE)
+
+
+@query(f"""WITH r AS (FROM ({BATCHES})), d AS (SELECT source || '-' || doc_id // 1000 AS session, doc_id, n_chars, CASE WHEN doc_id % 10 = 0 THEN 'user' ELSE 'tool' END AS kind FROM documents),
+m AS (SELECT session, count(*) AS pieces, sha256('[' || string_agg('{{"id":' || doc_id || ',"kind":"' || kind || '","bytes":' || n_chars || '}}', ',' ORDER BY doc_id) || ']') AS manifest FROM d GROUP BY 1)
+SELECT session, batch, string_agg(doc_id, ',' ORDER BY doc_id) AS evaluated, sum(n_chars)::BIGINT AS bytes, any_value(pieces) AS pieces, any_value(manifest) AS manifest FROM r JOIN d USING (session, doc_id) JOIN m USING (session) GROUP BY 1, 2""")
+def batch_requests(t: Tables) -> DataFrame:
+    """What is asked of each batch, with the manifest of its session's pieces."""
+    p = _batch_pieces(t)
+    manifests, requests = packing.batch_requests(p, packing.prune_batches(p, "session", "doc_id", LIMIT, SINGLE), "session", "doc_id")
+    met = requests.join(manifests.select("session", "pieces", F.sha2("manifest", 256).alias("manifest")), "session")
+    return met.select("session", "batch", F.array_join(F.transform("evaluated", lambda x: x.cast("string")), ",").alias("evaluated"), "bytes", "pieces", "manifest")
 
 
 @query(f"SELECT conv_id, count(DISTINCT round) AS rounds, coalesce(sum(CASE WHEN kind = 'user' THEN size END), 0)::BIGINT AS bytes, count(*) FILTER (kind <> 'user') AS recallable, count(*) AS archived FROM {PIECES} GROUP BY 1")

@@ -54,10 +54,15 @@ def attached(files: DataFrame, meta: DataFrame, known: DataFrame, originator: st
 
 def framed(chunks: DataFrame, stream: str, order: str, text: str) -> DataFrame:
     """(stream, line_no, line, whole) of a stream that arrives in chunks: lines may span chunks, what follows the last
-    line feed is a line that isn't whole yet. A stream's text is the product, so its chunks meet."""
-    joined = chunks.groupBy(stream).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("t")))), lambda x: x["t"]), "").alias("t"))
-    parts = joined.select(stream, F.size(F.split("t", "\n")).alias("_n"), F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
-    return parts.select(stream, F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"), (F.col("line_no") < F.col("_n") - 1).alias("whole")).where("whole or line <> ''")
+    line feed is a line that isn't whole yet. A chunk's parts have the numbers of its lines by a running count of line feeds, so
+    only the parts of one line meet."""
+    w = Window.partitionBy(stream).orderBy(order)
+    cut = chunks.select(stream, order, F.split(F.coalesce(text, F.lit("")), "\n").alias("_p")).withColumn("_n", (F.size("_p") - 1).cast("long"))
+    cut = cut.withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(stream)))
+    parts = cut.select(stream, order, "_before", "_all", F.posexplode("_p").alias("_i", "_t")).withColumn("line_no", F.col("_before") + F.col("_i"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("_t").alias("t")))), lambda x: x["t"]), "")
+    lines = parts.groupBy(stream, "line_no", "_all").agg(joined.alias("line"))
+    return lines.select(stream, "line_no", F.regexp_replace("line", "\r$", "").alias("line"), (F.col("line_no") < F.col("_all")).alias("whole")).where("whole or line <> ''")
 
 
 def discovered(files: DataFrame, file: str = "file") -> DataFrame:
