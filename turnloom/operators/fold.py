@@ -295,14 +295,18 @@ POLICIES: dict[str, Callable[[list[Piece]], set[str]]] = {
 }
 
 
-def policy(name: str) -> Drop:
+def dropping(keep: Callable[[list[Piece]], set[str]]) -> Drop:
     def drop(batch: list[Piece]) -> dict[str, str]:
-        kept = POLICIES[name](batch)
+        kept = keep(batch)
         return {p.id: UNRELATED for p in batch if p.id not in kept}
 
     return drop
 
 
+def policy(name: str) -> Drop:
+    return dropping(POLICIES[name])
+
+
 def _answers(told: str | None) -> list[Route]:
     """A router's answers written as words: new, same, more, or revive:-k."""
     return [int(x[7:]) if x.startswith("revive:") else x for x in (told or "same").split(",")]
@@ -332,8 +336,8 @@ def _unpacked(value: dict) -> tuple[State, int]:
 class _Session:
     """One session's rounds, one after another."""
 
-    def __init__(self, key: tuple, name: str):
-        self.key, self.drop, self.state, self.processed = key, policy(name), State(), 0
+    def __init__(self, key: tuple, drop: Drop):
+        self.key, self.drop, self.state, self.processed = key, drop, State(), 0
         self.seen: set[str] = set()
         self.round: int | None = None
         self.new: list[Piece] = []
@@ -361,7 +365,8 @@ def replay(pieces: DataFrame, name: str | list[str], session: str = "session", r
 
     pieces: session, round, place, id, source, kind, size, hash, chars, one row a new piece; routes: session, round, told
     (a router's answers, see _answers; same where there are none). before_* is the memory that the round's request held; added and removed
-    are the ids that came into it and left it. With a list of policies each session is folded under each, and `policy` is a column too.
+    are the ids that came into it and left it. With a list of policies (names in POLICIES, to which callers add their own) each session is
+    folded under each, and `policy` is a column too.
 
     states (session, state) are those of an earlier run, and processed (session, source) what was processed in it: rounds that follow
     are then folded as if all had been folded at once. Rows are dealt by session and sorted, and a task steps from session to session over plain
@@ -369,6 +374,7 @@ def replay(pieces: DataFrame, name: str | list[str], session: str = "session", r
     """
     kind = pieces.schema[session].dataType.simpleString()
     names = [name] if isinstance(name, str) else name
+    drops = {n: policy(n) for n in names}  # sent as they are, so that a policy that a caller adds to POLICIES works on executors
     cols = pieces.select(session, F.col("round").cast("long").alias("round"), "place", "id", "source", "kind", "size", "hash", F.col("chars").cast("long").alias("chars") if "chars" in pieces.columns else F.lit(0).cast("long").alias("chars"))
     cols = cols.withColumn("told", F.lit(None).cast("string")) if routes is None else cols.join(routes.select(session, "round", "told"), [session, "round"], "left")
     cols = cols.withColumn("known", F.lit(False)) if processed is None else cols.join(processed.select(session, "source").distinct().withColumn("known", F.lit(True)), [session, "source"], "left")
@@ -404,7 +410,7 @@ def replay(pieces: DataFrame, name: str | list[str], session: str = "session", r
                     if len(rows) >= 4096:
                         yield out()
                         rows.clear()
-                    now = _Session(key, key[1])
+                    now = _Session(key, drops[key[1]])
                 if c["state"][i] is not None:
                     now.resume(c["state"][i])
                     continue

@@ -138,7 +138,7 @@ def _folded(policy: str) -> str:
     """The same round by round in SQL: route, memory of the task gone back to, marks, the policy with its guard, one piece a hash."""
     left = {
         "retain-all": "cand", "drop-tools": "list_filter(cand, lambda x: x.kind = 'user')", "keep-none": "[]::P[]", "retain-recent": "cand[greatest(1, len(cand) - 11):]",
-        "cap-bytes": "list_filter(cand, lambda x: list_contains(fit, x.id))",
+        "cap-bytes": "list_filter(cand, lambda x: list_contains(fit, x.id))", "no-tools": "CASE WHEN len(list_filter(cand, lambda x: x.kind = 'tool')) > 0 THEN cand ELSE list_filter(cand, lambda x: x.kind = 'user') END",
     }[policy]
     fit = "list_reduce(list_transform(list_reverse(cand), lambda x: struct_pack(used := x.size::BIGINT, ids := [x.id])), lambda a, x: CASE WHEN a.used + x.used <= 32768 THEN struct_pack(used := a.used + x.used, ids := list_concat(a.ids, x.ids)) ELSE a END, struct_pack(used := 0::BIGINT, ids := []::VARCHAR[])).ids" if policy == "cap-bytes" else "NULL"
     sql = f"""WITH RECURSIVE n AS (SELECT session, round, list(struct_pack(id := id, kind := kind, size := size::BIGINT, h := h) ORDER BY id) AS new FROM {DOC_PIECES} GROUP BY 1, 2),
@@ -199,6 +199,19 @@ def fold_cap_bytes(t: Tables) -> DataFrame:
     return _fold(t, "cap-bytes")
 
 
+def _no_tools(batch: list[fold.Piece]) -> set[str]:
+    if any(p.kind == "tool" for p in batch):
+        raise ValueError("no answer")
+    return {p.id for p in batch if p.kind == "user"}
+
+
+@query(_folded("no-tools"))
+def fold_failing_policy(t: Tables) -> DataFrame:
+    """A policy that gives no answer on batches with a tool's pieces: they are kept whole."""
+    fold.POLICIES["no-tools"] = _no_tools
+    return _fold(t, "no-tools")
+
+
 @query(_folded("retain-recent"))
 def resumed_fold(t: Tables) -> DataFrame:
     """The same in three goes, each from the states and the archive that the one before committed; one go comes twice and changes nothing."""
