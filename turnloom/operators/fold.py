@@ -7,6 +7,7 @@ and holds one session's piece descriptors (some 100 bytes each), never its texts
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -295,6 +296,10 @@ POLICIES: dict[str, Callable[[list[Piece]], set[str]]] = {
 }
 
 
+#: Those that judge each piece by itself: what they kept once they keep again.
+BY_PIECE: dict[str, Callable[[Piece], bool]] = {"retain-all": lambda p: True, "drop-tools": lambda p: p.kind == "user"}
+
+
 def dropping(keep: Callable[[list[Piece]], set[str]]) -> Drop:
     def drop(batch: list[Piece]) -> dict[str, str]:
         kept = keep(batch)
@@ -334,27 +339,100 @@ def _unpacked(value: dict) -> tuple[State, int]:
 
 
 class _Session:
-    """One session's rounds, one after another."""
+    """One session's rounds, one after another.
 
-    def __init__(self, key: tuple, drop: Drop):
-        self.key, self.drop, self.state, self.processed = key, drop, State(), 0
+    The held pieces are kept by id and by hash, with their sums. A round that stays with its task, under a policy that judges each piece by itself, then
+    looks at its new pieces only: what is held was kept before and is kept again. All other rounds go through `step`, which costs what is held.
+    """
+
+    def __init__(self, key: tuple, drop: Drop, keep: Callable[[Piece], bool] | None):
+        self.key, self.drop, self.keep, self.processed = key, drop, keep, 0
         self.seen: set[str] = set()
         self.round: int | None = None
         self.new: list[Piece] = []
         self.told: str | None = None
+        self.take(State())
+
+    def take(self, state: State) -> None:
+        """Begin to keep what a state holds."""
+        self.rest = replace(state, pieces=(), processed=())
+        self.held = {p.id: p for p in state.pieces}
+        self.by_hash = {p.hash: p.id for p in state.pieces}
+        self.chars, self.bytes = sum(p.chars for p in state.pieces), sum(p.size for p in state.pieces)
+        self.users = sum(p.size + PIECE_CHARS for p in state.pieces if p.kind == "user")
+        self.largest = max((p.size + PIECE_CHARS for p in state.pieces), default=0)
+        self.others = sum(p.kind != "assistant" for p in state.pieces)
+        self.sources = Counter(p.source for p in state.pieces)
+        # A guard may have kept what the policy drops, and a hash may be there twice: then `step` looks at all.
+        self.plain = self.keep is not None and len(self.by_hash) == len(state.pieces) and all(map(self.keep, state.pieces))
+
+    def state(self) -> State:
+        return replace(self.rest, pieces=tuple(self.held.values()))
 
     def resume(self, value: dict) -> None:
-        self.state, self.processed = _unpacked(value)
+        state, self.processed = _unpacked(value)
+        self.take(state)
+
+    def only_new(self) -> tuple[list[Piece], list[Piece], int] | None:
+        """The new pieces that stay, those dropped, and how many go under others; None if all that is held must be looked at."""
+        if not self.plain or self.rest.task is None:
+            return None
+        now = self.rest.round + 1
+        new = [replace(p, seq=now) for p in self.new if p.size > 0]
+        if len({p.id for p in new} - self.held.keys()) < len(new):
+            return None
+        first: dict[str, str] = {}
+        fresh, under = {}, []
+        for p in new:
+            keep = self.by_hash.get(p.hash) or first.setdefault(p.hash, p.id)
+            if keep == p.id:
+                fresh[p.id] = p
+            else:
+                under.append((keep, p))
+        # In every batch there is room for all user pieces, and no piece is too large to be judged: then all are.
+        users = self.users + sum(p.size + PIECE_CHARS for p in new if p.kind == "user")
+        shared = REQUEST_CHARS + PIECE_CHARS * (len(self.held) + len(fresh)) + sum(p.size + PIECE_CHARS for p in new if p.kind == "user") + users
+        largest = max([self.largest, *(p.size + PIECE_CHARS for p in new)])
+        dropped = [p for p in fresh.values() if not self.keep(p)]
+        if dropped and (shared > 4 * BATCH_TOKENS or shared + largest > 4 * SINGLE_TOKENS):
+            return None
+        stay = [p for p in fresh.values() if self.keep(p)]
+        if dropped and not self.others and not any(p.kind != "assistant" for p in stay):
+            return None  # the guard has its say
+        for keep, p in under:
+            if keep in fresh:
+                fresh[keep] = fresh[keep].absorb(p)
+            else:
+                self.held[keep] = self.held[keep].absorb(p)
+        return sorted((fresh[p.id] for p in stay), key=lambda p: p.id), dropped, len(under)
 
     def end_round(self) -> tuple:
-        before, state = self.state, self.state
-        out = step(state, self.new, request_route(state, self.new, _answers(self.told)), self.drop)
-        self.state = state = replace(out.state, processed=())  # counted here, so that a round costs what it holds
-        was, now = {p.id for p in before.pieces}, {p.id for p in state.pieces}
+        n, chars = len(self.held), self.chars
+        route = request_route(self.rest, self.new, _answers(self.told))
+        found = self.only_new() if route == "same" else None
+        if found is not None:
+            stay, dropped, under = found
+            for p in stay:
+                self.held[p.id], self.by_hash[p.hash] = p, p.id
+                self.sources[p.source] += 1
+                self.chars += p.chars
+                self.bytes += p.size
+                self.users += (p.size + PIECE_CHARS) * (p.kind == "user")
+                self.largest = max(self.largest, p.size + PIECE_CHARS)
+                self.others += p.kind != "assistant"
+            now = self.rest.round + 1
+            self.rest = replace(self.rest, round=now, task=replace(self.rest.task, last=now))
+            done, added, removed = ("same", len(dropped), 0, under), [p.id for p in stay], []
+        else:
+            before = self.state()
+            out = step(before, self.new, route, self.drop)
+            self.take(out.state)
+            done = ("revive" if out.route.startswith("-") else out.route, len(out.dropped), len(out.guarded), len(out.duplicates))
+            was = {p.id for p in before.pieces}
+            added, removed = [i for i in self.held if i not in was], [p.id for p in before.pieces if p.id not in self.held]
         row = (
-            *self.key, self.round, "revive" if out.route.startswith("-") else out.route, state.task.id if state.task else None, len(was), sum(p.chars for p in before.pieces), len(now), sum(p.size for p in state.pieces),
-            [p.id for p in state.pieces if p.id not in was], [p.id for p in before.pieces if p.id not in now], len(out.dropped), len(out.guarded), len(out.duplicates), len(state.archived),
-            self.processed, self.processed - len({p.source for p in state.pieces}),
+            *self.key, self.round, done[0], self.rest.task.id if self.rest.task else None, n, chars, len(self.held), self.bytes, added, removed, done[1], done[2], done[3], len(self.rest.archived),
+            self.processed, self.processed - len(self.sources),
         )
         self.round, self.new, self.told = None, [], None
         return row
@@ -374,7 +452,8 @@ def replay(pieces: DataFrame, name: str | list[str], session: str = "session", r
     """
     kind = pieces.schema[session].dataType.simpleString()
     names = [name] if isinstance(name, str) else name
-    drops = {n: policy(n) for n in names}  # sent as they are, so that a policy that a caller adds to POLICIES works on executors
+    # Sent as they are, so that a policy that a caller adds to POLICIES works on executors.
+    drops, keeps = {n: policy(n) for n in names}, {n: BY_PIECE.get(n) for n in names}
     cols = pieces.select(session, F.col("round").cast("long").alias("round"), "place", "id", "source", "kind", "size", "hash", F.col("chars").cast("long").alias("chars") if "chars" in pieces.columns else F.lit(0).cast("long").alias("chars"))
     cols = cols.withColumn("told", F.lit(None).cast("string")) if routes is None else cols.join(routes.select(session, "round", "told"), [session, "round"], "left")
     cols = cols.withColumn("known", F.lit(False)) if processed is None else cols.join(processed.select(session, "source").distinct().withColumn("known", F.lit(True)), [session, "source"], "left")
@@ -399,7 +478,7 @@ def replay(pieces: DataFrame, name: str | list[str], session: str = "session", r
             if now is not None and now.round is not None:
                 rows.append((*now.end_round(), None))
             if last and now is not None and rows and rows[-1][:2] == now.key:
-                rows[-1] = (*rows[-1][:-1], _packed(now.state, now.processed))
+                rows[-1] = (*rows[-1][:-1], _packed(now.state(), now.processed))
 
         for b in batches:
             c = {n: b.column(n).to_pylist() for n in b.schema.names}
@@ -410,7 +489,7 @@ def replay(pieces: DataFrame, name: str | list[str], session: str = "session", r
                     if len(rows) >= 4096:
                         yield out()
                         rows.clear()
-                    now = _Session(key, drops[key[1]])
+                    now = _Session(key, drops[key[1]], keeps[key[1]])
                 if c["state"][i] is not None:
                     now.resume(c["state"][i])
                     continue
