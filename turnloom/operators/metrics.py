@@ -75,14 +75,12 @@ def corpus_reduction(stats: DataFrame) -> DataFrame:
     tenth = lambda c: F.floor(c * 10 + 0.5) / 10
     total = lambda m: tenth(F.try_divide(100.0 * (F.avg(f"baseline_{m}") - F.avg(f"rewritten_{m}")), F.avg(f"baseline_{m}")))
     each = s.select(F.explode(F.array(F.struct(F.lit("a").alias("k"), F.col("_a").alias("v")), F.struct(F.lit("p").alias("k"), F.col("_p").alias("v")))).alias("x")).select("x.k", "x.v", F.lit(1).alias("n"))
-    middle = percentiles(each, ["k"], "v", "n").agg(F.max(F.when(F.col("k") == "a", F.col("percentile"))).alias("_ma"), F.max(F.when(F.col("k") == "p", F.col("percentile"))).alias("_mp"))
-    out = s.agg(
+    middle = {r["k"]: r["percentile"] for r in percentiles(each, ["k"], "v", "n").collect()}  # two rows at most
+    return s.agg(
         F.count("*").alias("traces"), F.sum("rounds").cast("long").alias("rounds"), *means, half_up(F.avg("savings_avg")).alias("savings_avg"), half_up(F.avg("savings_max")).alias("savings_max"),
         rate("savings_avg"), rate("savings_max"), total("avg").alias("avg_reduction"), total("max").alias("peak_reduction"),
-        tenth(F.avg("_a")).alias("mean_reduction"), tenth(F.avg("_p")).alias("mean_peak_reduction"),
+        tenth(F.avg("_a")).alias("mean_reduction"), tenth(F.avg("_p")).alias("mean_peak_reduction"), *[tenth(F.lit(middle.get(k)).cast("double")).alias(c) for k, c in (("a", "median_reduction"), ("p", "median_peak_reduction"))],
     )
-    # One row each.
-    return out.join(F.broadcast(middle), F.lit(True)).withColumn("median_reduction", tenth(F.col("_ma"))).withColumn("median_peak_reduction", tenth(F.col("_mp"))).drop("_ma", "_mp")
 
 
 def pooled_summary(turns: DataFrame, session: str, value: str) -> DataFrame:

@@ -23,6 +23,7 @@ MARK = 64
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    path = path.replace("s3a://", "s3://", 1)  # one store, by the name it has here
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
 
 
