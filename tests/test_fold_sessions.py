@@ -49,11 +49,14 @@ def test_both_ways_are_the_same(name, monkeypatch):
 
 
 def test_a_long_session_costs_what_its_pieces_do():
+    """Four times the rounds take about four times as long; looking at all that is held would take sixteen times."""
     plan = [(i, [fold.Piece(f"p{i:06d}{k}", f"s{i}{k}", "user" if k == 0 else "assistant", 40, f"{i}-{k}") for k in range(3)], "same") for i in range(1, 8001)]
-    took = []
-    for n in (2000, 8000):
+
+    def seconds(n):
         session = fold._Session(("s", "retain-all"), fold.policy("retain-all"), fold.BY_PIECE["retain-all"])
         t = time.process_time()
         run(session, plan[:n])
-        took.append(time.process_time() - t)
-    assert took[1] < 10 * max(took[0], 0.02) and took[1] < 5
+        return time.process_time() - t
+
+    took = [min(seconds(n) for _ in range(3)) for n in (2000, 8000)]
+    assert took[1] < 9 * max(took[0], 0.02)

@@ -379,7 +379,7 @@ class _Session:
             return None
         now = self.rest.round + 1
         new = [replace(p, seq=now) for p in self.new if p.size > 0]
-        if len({p.id for p in new} - self.held.keys()) < len(new):
+        if len({p.id for p in new}) < len(new) or any(p.id in self.held for p in new):
             return None
         first: dict[str, str] = {}
         fresh, under = {}, []
