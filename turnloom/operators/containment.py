@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import leaves
 from .packing import written
 
 #: Bytes of the longest grams (a power of two), and bits of the filter that grams of texts pass: a fixed size, whatever the needles.
@@ -103,9 +102,3 @@ def contained(texts: DataFrame, text_id: str, text: str, needles: DataFrame, nee
 
     met = filled.mapInArrow(sent, f"{text_id} {kind}, _gram long").join(keys, "_gram").select(text_id, needle_id, needle).distinct()
     return met.join(filled, text_id).where(F.contains(text, needle)).select(text_id, needle_id).distinct()
-
-
-def payload_texts(payloads: DataFrame, payload_id: str, payload: str) -> DataFrame:
-    """(payload_id, text): the strings at the leaves of a JSON payload, and the payload as it is written."""
-    both = F.concat(F.array(F.col(payload)), F.coalesce(leaves(F.col(payload)), F.expr("cast(array() as array<string>)")))
-    return payloads.select(payload_id, F.explode(both).alias("text"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.values import leaves
 from ..operators import archive, chunks, containment, decisions, dedupe, logs, metrics, predicates, render, turns
 from ..streaming import observed
 from .registry import Tables, query
@@ -83,12 +84,21 @@ def verbatim_check(t: Tables) -> DataFrame:
 @query("""SELECT doc_id, needle FROM documents JOIN (SELECT DISTINCT text AS needle FROM benchmark UNION SELECT substr(text, 5, 9) FROM benchmark UNION SELECT substr(text, 20, 5) FROM benchmark UNION SELECT DISTINCT source FROM documents) ON contains(text, needle) OR contains(source, needle)
 UNION SELECT doc_id, '"source":"' || source || '"' FROM documents WHERE source LIKE '%1'""")
 def leaf_containment(t: Tables) -> DataFrame:
-    """Benchmark items, some of their parts and sources' names among the strings of payloads, and what only payloads as they are written hold."""
+    """Benchmark items, some of their parts and sources' names among the strings of payloads, and what only payloads as they are written hold.
+
+    The former are looked for in the strings alone: a payload as it is written has escapes (a line feed is a backslash and an n) which are no text.
+    An empty needle is in every payload with a string.
+    """
     b, d = t.benchmark, t.documents
-    needles = b.select(F.col("text").alias("needle")).union(b.select(F.substring("text", 5, 9))).union(b.select(F.substring("text", 20, 5))).union(d.select("source"))
-    needles = needles.union(d.where("source like '%1'").select(F.concat(F.lit('"source":"'), "source", F.lit('"')))).distinct()
+    needles = b.select(F.col("text").alias("needle")).union(b.select(F.substring("text", 5, 9))).union(b.select(F.substring("text", 20, 5))).union(d.select("source")).distinct().withColumn("n", F.col("needle"))
+    # A field as the payload writes it, known by the name that isn't escaped.
+    field = F.regexp_extract(F.to_json(F.struct("source")), r"(?s)^\{(.*)\}$", 1)
+    fields = d.where("source like '%1'").select(field.alias("needle"), F.concat(F.lit('"source":"'), "source", F.lit('"')).alias("n")).distinct()
     payloads = d.select("doc_id", F.to_json(F.struct(F.col("text"), F.array(F.struct("source")).alias("in"))).alias("payload"))
-    return containment.contained(containment.payload_texts(payloads, "doc_id", "payload"), "doc_id", "text", needles.withColumn("n", F.col("needle")), "n", "needle").select("doc_id", F.col("n").alias("needle"))
+    strings = payloads.select("doc_id", F.explode(leaves(F.col("payload"))).alias("text"))
+    found = containment.contained(strings, "doc_id", "text", needles, "n", "needle").union(containment.contained(payloads, "doc_id", "payload", fields, "n", "needle"))
+    everywhere = d.where("text is not null or source is not null").select("doc_id").distinct().crossJoin(needles.where("needle = ''").select("n"))
+    return found.union(everywhere).select("doc_id", F.col("n").alias("needle"))
 
 
 LINES = r"(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents)"
