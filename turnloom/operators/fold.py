@@ -43,6 +43,13 @@ class Piece:
         return replace(self, duplicates=tuple(dict.fromkeys(d for d in (*self.duplicates, other.id, *other.duplicates) if d != self.id)))
 
 
+class Bare(Piece):
+    """A piece of which nobody will ask what went under it: that is counted as it goes, not held."""
+
+    def absorb(self, other: Piece) -> Piece:
+        return self
+
+
 @dataclass(frozen=True)
 class Task:
     id: str
@@ -438,7 +445,7 @@ class _Session:
         return row
 
 
-def replay(pieces: DataFrame, name: str | list[str], session: str = "session", routes: DataFrame | None = None, states: DataFrame | None = None, processed: DataFrame | None = None) -> DataFrame:
+def replay(pieces: DataFrame, name: str | list[str], session: str = "session", routes: DataFrame | None = None, states: DataFrame | None = None, processed: DataFrame | None = None, with_state: bool = True) -> DataFrame:
     """What each round did under a policy, a row a round: (session, round), COLUMNS and `state`, set in a session's last row.
 
     pieces: session, round, place, id, source, kind, size, hash, chars, one row a new piece; routes: session, round, told
@@ -447,7 +454,8 @@ def replay(pieces: DataFrame, name: str | list[str], session: str = "session", r
     folded under each, and `policy` is a column too.
 
     states (session, state) are those of an earlier run, and processed (session, source) what was processed in it: rounds that follow
-    are then folded as if all had been folded at once. Rows are dealt by session and sorted, and a task steps from session to session over plain
+    are then folded as if all had been folded at once. Without `with_state`, `state` is null and a task doesn't hold the ids that went under others, which
+    grow with all rounds and are held again by each archived task; all other columns are the same. Rows are dealt by session and sorted, and a task steps from session to session over plain
     columns: it holds one session's memory, and its batches of output hold some thousand rounds.
     """
     kind = pieces.schema[session].dataType.simpleString()
@@ -466,6 +474,7 @@ def replay(pieces: DataFrame, name: str | list[str], session: str = "session", r
     cols = cols.withColumn("policy", F.explode(F.array(*[F.lit(n) for n in names])))
     out_schema = StructType.fromDDL(f"{session} {kind}, policy string, round long, {COLUMNS}, state {STATE}")
     arrow = to_arrow_schema(out_schema)
+    piece = Piece if with_state else Bare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Session | None = None
@@ -477,7 +486,7 @@ def replay(pieces: DataFrame, name: str | list[str], session: str = "session", r
         def end(last: bool) -> None:
             if now is not None and now.round is not None:
                 rows.append((*now.end_round(), None))
-            if last and now is not None and rows and rows[-1][:2] == now.key:
+            if with_state and last and now is not None and rows and rows[-1][:2] == now.key:
                 rows[-1] = (*rows[-1][:-1], _packed(now.state(), now.processed))
 
         for b in batches:
@@ -503,7 +512,7 @@ def replay(pieces: DataFrame, name: str | list[str], session: str = "session", r
                 if c["size"][i] > 0 and not c["known"][i] and source not in now.seen:
                     now.seen.add(source)
                     now.processed += 1
-                now.new.append(Piece(c["id"][i], source, c["kind"][i], c["size"][i], c["hash"][i], chars=c["chars"][i]))
+                now.new.append(piece(c["id"][i], source, c["kind"][i], c["size"][i], c["hash"][i], chars=c["chars"][i]))
         end(True)
         if rows:
             yield out()

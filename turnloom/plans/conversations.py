@@ -100,7 +100,7 @@ def _pieces(t: Tables) -> DataFrame:
 
 
 def _replay(t: Tables, name: str) -> DataFrame:
-    return fold.replay(_pieces(t), name, "conv_id").drop("task", "before_pieces", "before_chars", "added", "removed", "archived", "state")
+    return fold.replay(_pieces(t), name, "conv_id", with_state=False).drop("task", "before_pieces", "before_chars", "added", "removed", "archived", "state")
 
 
 PIECES = f"(SELECT conv_id, round, turn AS place, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS kind, strlen(text) AS size, text FROM {ROUNDS} WHERE round > 0)"

@@ -168,7 +168,7 @@ def _shown(folded: DataFrame) -> DataFrame:
 
 def _fold(t: Tables, policy: str) -> DataFrame:
     p = _doc_pieces(t)
-    return _shown(fold.replay(p, policy, "session", _told(p)))
+    return _shown(fold.replay(p, policy, "session", _told(p), with_state=False))
 
 
 @query(_folded("retain-all"))
