@@ -30,8 +30,8 @@ END = b""
 #: Most slots of a table of word contexts, and decisions counted for each of fewer. Every node of the tree has them: node and
 #: context are hashed together.
 WORD_SLOTS, SLOT_DECISIONS = 1 << 22, 8
-#: Texts, about as many, and Newton steps that the weights are learnt with.
-GATE_TEXTS, GATE_STEPS = 4096, 4
+#: Newton steps that the weights are learnt with, each over training texts of its own, four times as many as all before it.
+GATE_STEPS = 4
 #: Slots that travel together when tasks' tables are summed, and tasks whose slots meet in one group.
 STRIP, FAN = 1 << 14, 256
 #: Levels of branches of words that share documents; dimensions of their vectors; frequent words that give documents a direction.
@@ -180,8 +180,7 @@ class Counts:
         ones *= np.float32(1 / 65_535)
         ones *= n
         if own is not None:
-            _, place = np.unique(at, return_inverse=True)
-            n, ones = np.maximum(0, n - np.bincount(place)[place].astype(np.float32)), ones - np.bincount(place, own)[place].astype(np.float32)
+            n, ones = np.maximum(0, n - np.bincount(at).take(at).astype(np.float32)), ones - np.bincount(at, own).take(at).astype(np.float32)
             ones = np.clip(ones, 0, n)
         ones += PRIOR * before
         total = n + PRIOR
@@ -295,14 +294,16 @@ class Mixer:
         by = lambda x: np.bincount(gate, x, self.gates)
         return np.concatenate([np.stack([by(e * x) for x in st], 1).ravel(), np.stack([np.stack([by(v * x * y) for y in st], 1) for x in st], 1).ravel()])
 
-    def stepped(self, slopes: np.ndarray, ridge: float = 16.0) -> np.ndarray:
-        """Weights after one Newton step of each gate's logistic regression; the ridge holds gates with few bits at the mean."""
+    def quadratic(self, slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each gate, the terms linear and quadratic in the weights of those decisions' log probability, from its slopes here."""
         k, g = self.start.shape
         gradient, hessian = slopes[: g * k].reshape(g, k), slopes[g * k :].reshape(g, k, k)
-        out = self.start.copy()
-        for i in range(g):
-            out[:, i] += np.linalg.solve(hessian[i] + ridge * np.eye(k), gradient[i] - ridge * (self.start[:, i] - 1 / k))
-        return out
+        return gradient + np.einsum("ijk,ki->ij", hessian, self.start), hessian
+
+    def solved(self, linear: np.ndarray, hessian: np.ndarray, ridge: float = 16.0) -> np.ndarray:
+        """The weights best by the summed terms of each gate's logistic regression; the ridge holds gates with few bits at the mean."""
+        k = len(self.start)
+        return np.linalg.solve(hessian + ridge * np.eye(k), (linear + ridge / k)[:, :, None])[:, :, 0].T
 
 
 class Vocabulary:
@@ -482,7 +483,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):  # so many texts' words in memory
             got = [shared.value.encoded(t) for t in b.column("text").to_pylist()]
             w, k = pa.array([list(e.keys()) for _, e in got], pa.list_(pa.binary())), pa.array([list(e.values()) for _, e in got], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array([s for s, _ in got], pa.binary()), w, k], ["doc_id", "n_bytes", "symbols", "w", "k"])
@@ -584,13 +585,13 @@ def fit(train: DataFrame, counts: DataFrame, v: Vocabulary) -> Model:
 
 
 def fit_gates(train: DataFrame, counts: DataFrame, model: Model, shared: Broadcast | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The weights that mixing starts from, of words and of bytes: a logistic regression for each gate over about GATE_TEXTS
-    training texts, and as many times 16 different words, chosen by hash. What they added to the counts is left out.
-    `shared` holds the model, if it was sent already."""
+    """The weights that mixing starts from, of words and of bytes: a logistic regression for each gate over all training
+    texts, and all their different words, in one pass. Each is judged in one of GATE_STEPS steps, chosen by hash, of which the
+    first are small; a step goes to the weights that are best by the quadratic terms of all texts judged so far, so
+    every text counts once and alike. What they added to the counts is left out. `shared` holds the model, if it was sent already."""
     shared = shared or train.sparkSession.sparkContext.broadcast(model)
-    n_texts, n_words = train.count(), counts.count()
-    chosen = materialize(train.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_texts // GATE_TEXTS))) == 0).select("symbols"), "lm-gates")
-    spelled = materialize(counts.select("w").where((F.col("w") != F.lit(END)) & (F.pmod(F.xxhash64("w"), F.lit(max(1, n_words // (16 * GATE_TEXTS)))) == 0)), "lm-spelled")
+    texts = train.select("symbols", F.pmod(F.xxhash64("doc_id"), F.lit(4 ** (GATE_STEPS - 1))).alias("part"))
+    spelled = counts.where(F.col("w") != F.lit(END)).select("w", F.pmod(F.xxhash64("w"), F.lit(4 ** (GATE_STEPS - 1))).alias("part"))
 
     def of_texts(m: Model, b: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, symbols, ends in _symbols(b.column("symbols"), m.v.kind, 50_000):
@@ -602,10 +603,12 @@ def fit_gates(train: DataFrame, counts: DataFrame, model: Model, shared: Broadca
             yield m.byte.slopes(flat, contexts)
 
     out = []
-    for name, rows, slopes in (("word", chosen, of_texts), ("byte", spelled, of_words)):
+    for name, rows, slopes in (("word", texts, of_texts), ("byte", spelled, of_words)):
         mixer: Mixer = getattr(model, name)
         size = mixer.gates * len(mixer.start) * (len(mixer.start) + 1)
-        for _ in range(GATE_STEPS):
+        linear, hessian = 0.0, 0.0
+        for step in range(GATE_STEPS):
+            own = rows.where((F.col("part") < 4**step) & (F.col("part") >= 4**step // 4)).drop("part")
 
             def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = mixer.start, name: str = name, slopes=slopes, size: int = size) -> Iterator[pa.RecordBatch]:
                 m, total = shared.value, np.zeros(size)
@@ -616,9 +619,11 @@ def fit_gates(train: DataFrame, counts: DataFrame, model: Model, shared: Broadca
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(np.rint(total * 1024).astype(np.int64))], ["i", "x"])
 
             total = np.zeros(size)
-            for r in rows.mapInArrow(run, "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            for r in own.mapInArrow(run, "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).collect():
                 total[r["i"]] = r["x"] / 1024
-            mixer.start = mixer.stepped(total)
+            more = mixer.quadratic(total)
+            linear, hessian = linear + more[0], hessian + more[1]
+            mixer.start = mixer.solved(linear, hessian)
         out.append(mixer.start)
     return out[0], out[1]
 
