@@ -61,21 +61,24 @@ def text(line: bytes) -> str:
     return line.decode("utf-8", "replace")
 
 
-def read_ranges(ranges: DataFrame, split: int = SPLIT) -> DataFrame:
-    """(file, start, line) of the whole lines that start in each range (file, start, end); `start` is then the line's own.
+def read_ranges(ranges: DataFrame, split: int = SPLIT, flag: str | None = None) -> DataFrame:
+    """(file, start, line) of the whole lines that start in each range (file, start, end); `start` is then the line's own. `flag` is a boolean
+    column of the ranges that their lines get too.
 
     Long ranges are split, and splits are dealt evenly to tasks, so that one long log is read by many. Ranges are in bytes and begin where
     a line does. A range beyond the end of its file gives what is there; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, schema = ["file", "start", "line"], pa.schema([("file", pa.string()), ("start", pa.int64()), ("line", pa.string())])
+        fields = [("file", pa.string()), ("start", pa.int64()), ("line", pa.string()), *([(flag, pa.bool_())] if flag else [])]
+        names, schema = [f[0] for f in fields], pa.schema(fields)
         for b in batches:
             for r in b.to_pylist():
-                rows: list[tuple[str, int, str]] = []
+                rows: list[tuple] = []
+                more = (r[flag],) if flag else ()
                 size = 0
                 for at, line in lines(*opened(r["file"]), r["at"], min(r["at"] + split, r["end"]), r["start"]):
-                    rows.append((r["file"], at, text(line)))
+                    rows.append((r["file"], at, text(line), *more))
                     size += len(line)
                     if len(rows) >= 10_000 or size >= 8 * READ:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], names)
@@ -84,16 +87,18 @@ def read_ranges(ranges: DataFrame, split: int = SPLIT) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], names)
 
     spark = ranges.sparkSession
-    cut = ranges.where("end > start").select("file", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    cut = cut.select("file", "start", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(split))).alias("at"))
-    return cut.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "file", "at").mapInArrow(run, "file string, start long, line string")
+    own = [flag] if flag else []
+    cut = ranges.where("end > start").select("file", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *own)
+    cut = cut.select("file", "start", "end", *own, F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(split))).alias("at"))
+    return cut.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "file", "at").mapInArrow(run, "file string, start long, line string" + (f", {flag} boolean" if flag else ""))
 
 
 def attached_lines(files: DataFrame, attached: DataFrame) -> DataFrame:
     """(file, is_new, start, line): what there is to read of attached files (file, start, is_new; see rollouts.attached), given
     their lengths (file, bytes). Consumers order by (is_new descending, file, start): new files come first."""
     manifest = attached.join(files.select("file", F.col("bytes").alias("end")), "file")
-    return read_ranges(manifest.select("file", "start", "end")).join(attached.select("file", "is_new"), "file").select("file", "is_new", "start", "line")
+    # The lines come with the flag: in a join they would be taken for as few bytes as their ranges, and be broadcast.
+    return read_ranges(manifest.select("file", "start", "end", "is_new"), flag="is_new").select("file", "is_new", "start", "line")
 
 
 def mark(f: pa.NativeFile, at: int) -> int:
