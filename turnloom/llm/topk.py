@@ -68,13 +68,14 @@ def search(tile: list[np.ndarray], vid: np.ndarray, mass: np.ndarray, ask: Asked
     acc = np.zeros((len(q), len(vid)), np.float64 if exact else object)
     alive = ask.ids[s, None] != vid
     lim = lim if exact else reachable(lim)
+    fresh = acc.shape[1] > k and not np.isfinite(lim).all()
     at, slack = 0, 0.0 if exact else 1e-9 * float(qm[0].max()) * float(mass[0].max())
     while at < len(cols):
         acc += q[:, at * ask.width : (at + 1) * ask.width] @ cols[at]
         at += 1
         bound = qm[at][:, None] * mass[at] + slack
-        if acc.shape[1] > k and not np.isfinite(lim).all():
-            # The first tile has no k-th best yet: it comes from lower bounds.
+        if fresh:
+            # The first tile has no k-th best yet: it comes from lower bounds, which rise with every block.
             low = np.where(alive, (acc - bound).astype(np.float64), -np.inf)
             lim = np.maximum(lim, np.partition(low, len(vid) - k, axis=1)[:, len(vid) - k])
             lim = lim if exact else reachable(lim)
@@ -106,14 +107,15 @@ def scan(batches: Iterator[pa.RecordBatch], ask: Asked, k: int, span: int = 64)
     best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     lim = np.full(len(ask.ids), -np.inf)
     for batch in batches:
-        for t in batch.to_pylist():
+        for t in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
             vid, mass = np.frombuffer(t["ids"], np.int64), np.frombuffer(t["mass"], np.float64).reshape(-1, t["rows"])
             tile = [np.frombuffer(c, f"i{t['bytes']}").reshape(-1, t["rows"]) for c in t["blocks"]]
             found = [best]
             for f in range(0, len(ask.ids), span):
                 s = slice(f, f + span)
                 a, b, score = search(tile, vid, mass, ask, s, lim[s], k)
-                found.append((a + f, score.astype(np.int64), vid[b]))
+                # At once k a query: a tile's ties, of all queries together, are more than memory holds.
+                found.append(first(a + f, score.astype(np.int64), vid[b], k))
             best = first(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
             held = np.bincount(best[0], minlength=len(ask.ids)) >= k
             worst = np.full(len(ask.ids), np.inf)
@@ -133,7 +135,8 @@ def layout(ok: DataFrame, dim: int, times: int, width: int, order: list[int]) ->
 
         def out(part: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             ids, v = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])[:, order].T
-            size = 4 if not v.size or np.abs(v.astype(np.float64)).max() < 2**31 else 8
+            most = np.abs(v.astype(np.float64)).max(initial=0)
+            size = 2 if most < 2**15 else 4 if most < 2**31 else 8
             blocks = [np.ascontiguousarray(v[e : e + width], f"i{size}").tobytes() for e in edges] if dim else []
             return pa.RecordBatch.from_pylist([{"rows": len(ids), "bytes": size, "ids": ids.tobytes(), "mass": masses(v, edges).tobytes(), "blocks": blocks}], pa.schema([("rows", pa.int32()), ("bytes", pa.int32()), ("ids", pa.binary()), ("mass", pa.binary()), ("blocks", pa.list_(pa.binary()))]))
 
@@ -197,7 +200,7 @@ def _top(ok: DataFrame, dim: int, n: int, k: int, every: int, times: int, width:
         return
     order = by_energy(ok, dim, times) if dim else []
     # The work is rows times queries, so rows are dealt evenly however few files they come in.
-    index = materialize(layout(ok.repartition(max(spark.sparkContext.defaultParallelism, n >> 17)), dim, times, width, order), "topk-index")
+    index = materialize(layout(ok.repartition(max(spark.sparkContext.defaultParallelism, n * max(dim, 64) >> 23)), dim, times, width, order), "topk-index")
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
         if rows:
