@@ -190,3 +190,78 @@ def test_large_blocks_of_sets(spark):
         got.setdefault(r["component_id"], set()).add(r["doc_id"])
     assert links and len(want) > 100
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def near_copies(n=300, words=150, seed=11):
+    """Copies of one text, each with up to 14 other words, so that many pairs are too far apart."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in rng.integers(0, 10**7, words)]
+    docs = []
+    for d in range(n):
+        w = list(base)
+        for i in rng.choice(words, rng.integers(0, 14), replace=False):
+            w[i] = f"n{rng.integers(0, 10**7)}"
+        docs.append((d, " ".join(w)))
+    return docs
+
+
+def similar_by_hand(docs):
+    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for _, t in docs]
+    root = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
+def grouped(pairs):
+    out = {}
+    for d, r in pairs:
+        out.setdefault(r, set()).add(d)
+    return sorted(map(sorted, out.values()))
+
+
+def test_near_copies_make_few_pairs(spark, monkeypatch):
+    """Sets are fetched for pairs that can be similar: before, a group's members met others in 120 blocks of two bands."""
+    docs, seen, write = near_copies(), {}, simhash.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        if label.startswith(("shingle-pairs", "shingle-more")):
+            seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    got = simhash.similar(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert grouped((r["doc_id"], r["component_id"]) for r in got) == grouped(zip(range(len(docs)), similar_by_hand(docs), strict=True))
+    assert sum(seen.values()) < 40 * len(docs), seen
+
+
+def test_blocks_beyond_the_comparison_bound(spark, monkeypatch):
+    """Blocks too large for sketches are split by a second band and lose nothing here."""
+    monkeypatch.setattr(simhash, "COMPARED", 0)
+    docs = near_copies(120, seed=12)
+    got = simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert grouped((r["doc_id"], r["component_id"]) for r in got) == grouped(zip(range(len(docs)), similar_by_hand(docs), strict=True))
+
+
+def test_simhash_links_stand_without_bands(spark, monkeypatch):
+    """Near-dedup goes through fingerprints: their links, counted exactly, hold where no band brings anything."""
+    none = "select cast(null as long) a, cast(null as long) b, cast(null as long) sa, cast(null as long) sb where false"
+    monkeypatch.setattr(simhash, "meetings", lambda members, *_: (spark.sql(none), members.where("false").select("node", "size", "m", "key")))
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 4000)]
+    docs = [(0, " ".join(base)), (1, " ".join([*base[:-1], "end"])), (2, " ".join(f"v{i}" for i in range(4000)))]
+    docs += [(3, "a b c d e f g a b c d e f g"), (4, "a b c d e f g a b c d e f g a b c d e f g")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == 0 and got[2] == 2 and got[3] == got[4]
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 50, 3000):
+        x, more = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, rng.integers(0, 200)))
+        x, y = np.unique(x), np.unique(np.r_[x[n // 10 :], more])
+        bits = np.unpackbits((simhash.sketch(x) ^ simhash.sketch(y)).view(np.uint8)).sum()
+        assert bits <= len(np.setxor1d(x, y))

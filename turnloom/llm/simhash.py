@@ -21,20 +21,19 @@ PAIRS_MOST = 32
 LEADERS = 2
 #: Bands of a MinHash signature and hashes a band: 0.9998 of pairs of sets with a similarity of 0.8 agree on a band.
 BANDS, ROWS = 16, 4
+#: Longs of a set's sketch; sets of more shingles than SKETCHED fill it, so that it tells them apart no more.
+SKETCH, SKETCHED = 16, 2000
+#: Pairs of sketches that a block compares at most; beyond, it is split. And pairs where sketches tell nothing.
+COMPARED, UNTOLD = 1 << 26, 1 << 12
 
 
 def fingerprint(text: str | None, width: int) -> int:
     """Bit b is 1 if set in over half of the XXH64 of the text's word shingles; 0 for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    line = b" ".join(words)
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(line, SEED)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    h = xxhash.xxh64_intdigest
-    hashes = np.array([h(line[s:e], SEED) for s, e in zip((end - size)[: len(words) - width + 1].tolist(), end[width - 1 :].tolist(), strict=True)], np.uint64)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is 1 if set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -159,8 +158,8 @@ def _first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     return out.drop("_own")
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The different XXH64 of the text's word shingles, in order; a text of fewer words is one shingle, one without words has none."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The XXH64 of the text's word shingles; a text of fewer words is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -169,7 +168,18 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     start = np.r_[0, end[:-1] + 1]
     n = max(1, len(words) - width + 1)
     h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(line[s:e], SEED) for s, e in zip(start[:n].tolist(), end[min(width, len(words)) - 1 :].tolist(), strict=True)], np.uint64))
+    return np.array([h(line[s:e], SEED) for s, e in zip(start[:n].tolist(), end[min(width, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The different ones of the text's shingle hashes, in order."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bit b is 1 if an odd number of the set's shingles fall on it. So sketches differ in no more bits than sets in shingles."""
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -177,7 +187,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, size, bands): the shingle set's hash and size, and its MinHash bands."""
+    """(doc_id, fp, node, size, bands, sketch): the text's fingerprint; the shingle set's hash, size, MinHash bands and sketch."""
     rng = np.random.default_rng(SEED)
     a = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -191,15 +201,28 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            node, size, keys = [], [], []
+            fps, node, size, keys, marks = [], [], [], [], []
             for t in pdf["text"]:
-                x = shingle_set(t, width)
+                every = shingle_hashes(t, width)
+                x = np.unique(every)
+                fps.append(_signed(majority(every)))
+                marks.append(sketch(x))
                 node.append(_signed(set_id(x)))
                 size.append(len(x))
                 keys.append(np.array(bands(x), np.uint64).view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": np.array(node, np.int64), "size": np.array(size, np.int64), "bands": keys})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array(fps, np.int64), "node": np.array(node, np.int64), "size": np.array(size, np.int64), "bands": keys, "sketch": marks})
 
-    return docs.mapInPandas(run, "doc_id long, node long, size long, bands array<long>")
+    return docs.mapInPandas(run, "doc_id long, fp long, node long, size long, bands array<long>, sketch array<long>")
+
+
+def fingerprinted(sig: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b, sa, sb) of different sets that SimHash links: each fingerprint's first set with its others, and with the
+    first sets of the fingerprints linked to it."""
+    fps = materialize(sig.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("x")), "shingle-fp")
+    ends = links(fps.select("fp"), radius).join(fps.select(F.col("fp").alias("a"), "x"), "a").join(fps.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
+    same = sig.select("fp", "node", "size").distinct().join(fps, "fp").select("x", F.struct("node", "size").alias("y"))
+    both = ends.unionByName(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x.node < y.node")
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("sa"), F.col("y.size").alias("sb")).distinct()
 
 
 def meetings(members: DataFrame, by: list[str], least: float, salt: int) -> tuple[DataFrame, DataFrame]:
@@ -221,6 +244,27 @@ def meetings(members: DataFrame, by: list[str], least: float, salt: int) -> tupl
     return pairs.unionByName(led).where(F.least("sa", "sb") >= F.lit(least) * F.greatest("sa", "sb") - 1e-9).distinct(), large.select("node", "size", *by)
 
 
+def unlike(large: DataFrame, nodes: DataFrame, roots: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rest) of members (node, size, m, key) of large blocks: all pairs (a, b, sa, sb) of a block with different roots,
+    but for those whose sketches differ in more bits than sets of that similarity can in shingles; and the members of the
+    blocks where that would be more than COMPARED pairs of sketches, or more than UNTOLD of sets too large for them."""
+    rooted = large.join(roots.select("node", "root"), "node")
+    by = rooted.groupBy("m", "key", "root").agg(F.count("*").alias("k"), F.max("size").alias("most")).groupBy("m", "key")
+    blocks = by.agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("roots"), F.max("most").alias("most")).where("roots > 1")
+    work = (F.col("n") - F.col("main.k")) * F.col("n")
+    blocks = blocks.select("m", "key", F.col("main.root").alias("main"), ((work <= COMPARED) & ((F.col("most") <= SKETCHED) | (work <= UNTOLD))).alias("told"))
+    members = materialize(rooted.join(blocks, ["m", "key"]).join(nodes.select("node", "sketch"), "node"), "shingle-unlike")
+    told = members.where("told").select("m", "key", "main", "node", "size", "root", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+    left, right = (told.select("m", "key", "main", *[F.col(c).alias(f"{x}_{c}") for c in told.columns[3:]]) for x in "ab")
+    bits = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SKETCH)), F.lit(0))
+    near = (bits <= F.lit((1 - least) / (1 + least)) * (F.col("a_size") + F.col("b_size")) + 1e-9) & (F.least("a_size", "b_size") >= F.lit(least) * F.greatest("a_size", "b_size") - 1e-9)
+    # Those outside a block's most frequent root meet all others; two of them once.
+    met = left.where("a_root <> main").join(right.drop("main"), ["m", "key"]).where((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("main")) | (F.col("a_node") < F.col("b_node"))) & near)
+    x, y = (f(F.struct(F.col("a_node").alias("node"), F.col("a_size").alias("size")), F.struct(F.col("b_node").alias("node"), F.col("b_size").alias("size"))) for f in (F.least, F.greatest))
+    pairs = met.select(x["node"].alias("a"), y["node"].alias("b"), x["size"].alias("sa"), y["size"].alias("sb")).distinct()
+    return pairs, members.where("not told").select("node", "size", "m", "key")
+
+
 def split_blocks(large: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Members (node, size, root, lo, hi) of large blocks (m, key) whose members still have different roots, and of the
     blocks that a second band makes of them. Pairs with a similarity of 0.8 agree on two bands in 0.997 of cases."""
@@ -231,19 +275,22 @@ def split_blocks(large: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFr
     return both.select("node", "size", "root", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
 
 
-def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, component_id) for documents (doc_id, text): linked are those whose sets of word shingles have a Jaccard
     similarity of `least` or more, counted exactly for all candidates. component_id is the smallest doc_id reachable.
 
-    Candidates share a MinHash band. In blocks too large for all pairs each set meets leaders; blocks that then still
-    hold several components are split by a second band, and what is unlinked meets there, until a round links nothing.
+    Candidates are the links of SimHash fingerprints, and what shares a MinHash band: sets of that similarity differ in more bits
+    than pigeonhole blocks can hold. In blocks too large for all pairs each set meets leaders; in those that then still hold
+    several components all sets that are outside the largest one meet all others by sketches. Where even that is too much, blocks
+    are split by a second band, and what is unlinked meets leaders there, until a round links nothing.
     Texts without words have one empty set and are linked; equal texts are one node; an empty table gives no rows.
     """
     sig = materialize(signatures(docs, width), "shingle-signatures")
-    nodes = materialize(sig.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "shingle-nodes")
+    nodes = materialize(sig.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "shingle-nodes")
     keyed = nodes.select("node", "size", F.col("node").alias("root"), F.posexplode("bands").alias("m", "key"))
     pairs, large = meetings(keyed, ["m", "key"], least, 0)
-    pairs = materialize(pairs, "shingle-pairs")
+    pairs = materialize(pairs.unionByName(fingerprinted(sig, radius)).distinct(), "shingle-pairs")
+    large = materialize(large, "shingle-large")
     asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct(), "shingle-asked")
     ids = nodes.join(asked, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
 
@@ -266,7 +313,13 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
         return materialize(roots.join(comp, F.col("root") == F.col("_n"), "left").select("node", "least", F.coalesce("_r", "root").alias("root")), label)
 
     roots = reached(nodes.select("node", "least", F.col("node").alias("root")), verified(pairs), "shingle-roots")
-    for salt in count_from(1):
+    of = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+    more, large = unlike(large, nodes, roots, least)
+    more = materialize(more, "shingle-more-0")
+    edges = materialize(verified(more).join(of[0], "a").join(of[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "shingle-links-0")
+    if edges.limit(1).count():
+        roots = reached(roots, edges, "shingle-roots-0")
+    for salt in count_from(1) if large.limit(1).count() else ():
         more = materialize(meetings(split_blocks(large, nodes, roots), ["lo", "hi"], least, salt)[0], f"shingle-more-{salt}")
         of = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
         edges = materialize(verified(more).join(of[0], "a").join(of[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), f"shingle-links-{salt}")
