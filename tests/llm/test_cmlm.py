@@ -192,3 +192,37 @@ def test_tables_are_summed_in_a_tree(spark):
         assert (got.packed == want.packed).all()
     big = np.array([3 * 2**31, 2**31, 5, 7])
     assert cmlm.unpacked(cmlm.packed(big)).tolist() == [3 * 2**29, 2**29, 5, 7]
+
+
+def test_slopes_do_not_depend_on_texts_judged_together(pairs):
+    """Each decision leaves out what it added to the counts, whatever else is in its batch."""
+    rng = np.random.default_rng(12)
+    parts = [encoded(pairs.v, [" ".join(f"a{x} b{x}" for x in rng.integers(0, 200, n))]) for n in (30, 1, 700, 30)]
+    sym, ends = encoded(pairs.v, [" ".join(f"a{x} b{x}" for x in np.random.default_rng(13).integers(0, 200, 5))])
+    parts += [(sym, ends)] * 3
+    alone = sum(pairs.word.slopes(s, pairs.v.word_contexts(s, e)) for s, e in parts)
+    flat = np.concatenate([s for s, _ in parts])
+    together = pairs.word.slopes(flat, pairs.v.word_contexts(flat, np.cumsum([len(s) for s, _ in parts])))
+    assert np.allclose(alone, together, rtol=1e-4, atol=1e-2)
+
+
+def test_nodes_of_four_levels_are_numbered_together():
+    code = cmlm.Code([int(1e6 / (i + 1)) for i in range(3000)])
+    seen = {}
+    for nodes, bits in code.paths:
+        for i, node in enumerate(nodes):
+            assert seen.setdefault(node, (nodes[:i], bits[:i])) == (nodes[:i], bits[:i])
+            assert node // 16 == nodes[i - i % 4] // 16
+    assert max(seen) < len(code.ones)
+
+
+def test_texts_are_encoded_together_as_alone():
+    v = cmlm.Vocabulary([(cmlm.END, 9), (b"the", 5), (b"a", 3)], 2)
+    texts = ["", None, " ", " a  the\tZq\n", "x\x0bY\x0cx\r ", "the \x1ca\x85b", "zq zq ÄÖ the"]
+    s, w, k = v.encoded_all(cmlm.pa.array([None, *texts], cmlm.pa.string()).slice(1))
+    for i, t in enumerate(texts):
+        got = np.frombuffer(s[i].as_py(), v.kind).tolist()
+        own = [x.encode().lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [cmlm.END]
+        assert got == [v.ids.get(x, v.escape) for x in own]
+        assert dict(zip(w[i].as_py(), k[i].as_py(), strict=True)) == Counter(x for x in own if x not in v.ids)
+        assert v.encoded(t) == (s[i].as_py(), Counter(dict(zip(w[i].as_py(), k[i].as_py(), strict=True))))

@@ -12,12 +12,14 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,17 +42,34 @@ DEPTH, DIMS, ANCHORS = 5, 8, 512
 BYTE_SLOTS = (1 << 16, 1 << 20, 1 << 20)
 #: Weight of the shorter context's prediction, in counts.
 PRIOR = np.float32(8.0)
+#: The shorter context's parts below which a context was seen often: more than 30 times, more than 1,000.
+OFTEN = (PRIOR / (PRIOR + np.float32(30.5)), PRIOR / (PRIOR + np.float32(1000.5)))
+#: Symbols that are predicted at a time.
+PIECE = 2048
 #: Symbols of a segment: refinement starts afresh with each. Decisions that are mixed with one set of weights.
 SEGMENT, BLOCK = 256, 32
 
 
-def words(text: str | None) -> list[bytes]:
-    """Maximal runs without 0x20 or 0x09-0x0D, A-Z lowered."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Maximal runs without 0x20 or 0x09-0x0D, A-Z lowered, of one text after another, and where each text ends."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    ends, flat = np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py(), lists.flatten().cast(pa.binary())
+    there = np.asarray(pc.binary_length(flat)) > 0  # around a text's outer white space there are empty ones
+    if there.all():
+        return flat, ends.astype(np.int64)
+    return flat.filter(pa.array(there)), np.r_[0, np.cumsum(there)][ends]
+
+
+def runs(b: pa.RecordBatch, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Rows with about `most` bytes of text together, or one."""
+    at = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column("text")), 0)).astype(np.int64)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), b.num_rows]
+    return (b.slice(lo, hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi > lo)
 
 
 class Code:
-    """A binary code with nodes numbered breadth first: each symbol's nodes and bits, and each node's share of ones.
+    """A binary code: each symbol's nodes and bits, and each node's share of ones. Nodes of four levels under one are
+    numbered together, 1 to 15 from a multiple of 16, so that what a path looks up lies side by side.
 
     `tree` is a pair of trees, or the symbols of a leaf, which get a Huffman code there. As nodes have exact
     probabilities, any tree gives the symbols theirs; its shape decides what contexts can predict.
@@ -77,9 +96,9 @@ class Code:
             return heap[0] if heap else None
 
         root = build(list(range(k)) if tree is None else tree)
-        self.ones = np.full(max(1, len(kids)), 0.5)
         self.paths: list[tuple[tuple[int, ...], tuple[int, ...]]] = [((), ())] * k
-        level, number = [(root[1], (), ())] if root else [], 0
+        ones: list[np.ndarray] = []
+        level = [(root[1], (), ())] if root else []
         while level:
             after = []
             for x, nodes, bits in level:
@@ -87,10 +106,15 @@ class Code:
                     self.paths[x] = (nodes, bits)
                     continue
                 a, b = kids[x - k]
-                self.ones[number] = (weight[b - k] if b >= k else max(1, counts[b])) / weight[x - k]
+                if len(nodes) % 4:
+                    number = nodes[-1] + nodes[-1] % 16 + bits[-1]
+                else:
+                    number = 16 * len(ones) + 1
+                    ones.append(np.full(16, 0.5))
+                ones[number // 16][number % 16] = (weight[b - k] if b >= k else max(1, counts[b])) / weight[x - k]
                 after += [(a, (*nodes, number), (*bits, 0)), (b, (*nodes, number), (*bits, 1))]
-                number += 1
             level = after
+        self.ones = np.concatenate(ones) if ones else np.full(1, 0.5)
 
     def decisions(self) -> Decisions:
         return Decisions([len(p) for p, _ in self.paths], [n for p, _ in self.paths for n in p], [b for _, bits in self.paths for b in bits])
@@ -102,15 +126,16 @@ class Decisions:
     def __init__(self, size: list[int], node: list[int], bit: list[int]):
         self.size, self.step = np.array(size, np.int64), 2 * np.array(node, np.uint32) + np.array(bit, np.uint32)
         self.first = np.cumsum(self.size) - self.size
+        #: Twice the node's hash, and the bit.
+        self.key = hashed(self.step >> np.uint32(1)) << np.uint32(1) | self.step & np.uint32(1)
 
-    def of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The symbols' decisions one after another: how many each has, nodes, bits."""
+    def of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols' decisions one after another: how many each has, and their places in `step` and `key`."""
         n = self.size.take(symbols, mode="wrap")
         ends = np.cumsum(n)
         flat = np.repeat(self.first.take(symbols, mode="wrap") - (ends - n), n)
         flat += np.arange(len(flat))
-        step = self.step.take(flat, mode="wrap")
-        return n, (step >> np.uint32(1)).astype(np.int64), (step & np.uint32(1)).astype(np.uint8)
+        return n, flat
 
 
 def clusters(symbols: np.ndarray, vectors: np.ndarray, weight: np.ndarray, depth: int) -> tuple | list:
@@ -144,16 +169,39 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
-def slots(node: np.ndarray, context: np.ndarray, size: int) -> np.ndarray:
-    """The table slot of each decision by a hash of node and context, `size` slots (a power of two) in all."""
-    h = node.astype(np.uint32) * np.uint32(0x85EBCA6B)
-    h ^= context
-    h *= np.uint32(0x9E3779B1)
+def hashed(node: np.ndarray) -> np.ndarray:
+    """Nodes that are numbered together differ in the last four bits only, and meet in a cache line of a table."""
+    node = node.astype(np.uint32)
+    h = (node >> np.uint32(4)) * np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     h ^= h >> np.uint32(13)
-    h &= np.uint32(size - 1)
-    return h.astype(np.int64)
+    h *= np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(16)
+    return h ^ node & np.uint32(15)
+
+
+def slots(node: np.ndarray, context: np.ndarray, size: int) -> np.ndarray:
+    """The table slot of each decision by hashes of node and context, `size` slots (a power of two) in all."""
+    return ((hashed(node) ^ context) & np.uint32(size - 1)).astype(np.int64)
+
+
+def keyed_slots(key: np.ndarray, context: np.ndarray, size: int) -> np.ndarray:
+    """Twice these slots, and the decision's bit, by its key."""
+    h = context << np.uint32(1)
+    h ^= key
+    h &= np.uint32(2 * size - 1)
+    return h
+
+
+def logistic(s: np.ndarray) -> np.ndarray:
+    """In place, of -14 to 14; by tanh, which numpy has vector code for."""
+    np.clip(s, -14, 14, out=s)
+    s *= np.float32(0.5)
+    np.tanh(s, out=s)
+    s *= np.float32(0.5)
+    s += np.float32(0.5)
+    return s
 
 
 def probable(p: np.ndarray) -> np.ndarray:
@@ -170,22 +218,32 @@ class Counts:
         self.packed <<= np.uint32(16)
         self.packed |= np.rint(share, out=share).astype(np.uint32)
 
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        """By slot, its ones' and the shorter context's part in a probability, side by side; made where it is used."""
+        out = np.empty(len(self.packed), np.complex64)
+        for lo in range(0, len(out), 1 << 16):
+            v, part = self.packed[lo : lo + (1 << 16)], out[lo : lo + (1 << 16)]
+            n = (v >> np.uint32(16)).astype(np.float32)
+            part.real = (v & np.uint32(0xFFFF)).astype(np.float32) * np.float32(1 / 65_535) * n / (n + PRIOR)
+            part.imag = PRIOR / (n + PRIOR)
+        return out
+
     def predict(self, at: np.ndarray, before: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of a one, smoothed by the shorter context's, their stretched values, and counts; the bits
-        `own` of these decisions are left out."""
-        v = self.packed.take(at, mode="wrap")
-        n = (v >> np.uint32(16)).astype(np.float32)
-        v &= np.uint32(0xFFFF)
-        ones = v.astype(np.float32)
-        ones *= np.float32(1 / 65_535)
-        ones *= n
-        if own is not None:
-            n, ones = np.maximum(0, n - np.bincount(at).take(at).astype(np.float32)), ones - np.bincount(at, own).take(at).astype(np.float32)
-            ones = np.clip(ones, 0, n)
-        ones += PRIOR * before
-        total = n + PRIOR
-        p = probable(ones / total)
-        return p, np.log(p / (1 - p)), n
+        """Probabilities of a one, smoothed by the shorter context's, their stretched values, and gates; of each decision
+        its bit in `own` is left out."""
+        pair = self.pairs.take(at, mode="wrap")
+        p, weight = pair.real, pair.imag
+        if own is None:
+            p = weight * before + p
+        else:
+            left = 1 - weight * (1 / PRIOR)
+            p = (weight * (before - own * (1 / PRIOR)) + p) / left
+            weight = weight / left
+        np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p)
+        st = 1 - p
+        np.divide(p, st, out=st)
+        return p, np.log(st, out=st), (weight < OFTEN[0]).view(np.uint8) + (weight < OFTEN[1]).view(np.uint8)
 
 
 def refined(st: np.ndarray, z: np.ndarray, bit: np.ndarray, size: np.ndarray, rate: float = 0.5, block: int = BLOCK) -> np.ndarray:
@@ -195,32 +253,42 @@ def refined(st: np.ndarray, z: np.ndarray, bit: np.ndarray, size: np.ndarray, ra
     each segment, one segment after another. A segment adds to those weights and to their sum corrections of its own,
     0 at first; they stand still within a block of decisions and then move along its gradient. Segments go side by side.
     """
+    rows = sliding_window_view(np.pad(signed(st, z, bit), ((0, 0), (0, block))), block, axis=1)
+    return refined_blocks(lambda at: rows[:, at], len(st) + 1, size, rate, block)
+
+
+def signed(st: np.ndarray, z: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Predictors, a one for what is added to their sum, and that sum, each turned about where the bit is 0: so they speak of the bit that came."""
+    out = np.empty((len(st) + 2, *z.shape), np.float32)
+    way = np.subtract(bit * np.float32(2), 1, out=out[-2])
+    np.multiply(st, way, out=out[:-2])
+    np.multiply(z, way, out=out[-1])
+    return out
+
+
+def refined_blocks(rows: Callable[[np.ndarray], np.ndarray], k: int, size: np.ndarray, rate: float = 0.5, block: int = BLOCK) -> np.ndarray:
+    """`refined` by `rows`, which makes the k + 1 rows of `signed` of the blocks of decisions that begin at given places."""
     m = len(size)
     order = np.argsort(-size, kind="stable")  # segments that still go on come first
     first, size = (np.cumsum(size) - size)[order], size[order]
-    delta = np.zeros((len(st) + 1, m), np.float32)
+    delta = np.zeros((k, m, 1), np.float32)
     total, reach, step = np.zeros(m), np.arange(block), np.float32(rate / (block + 64))
     for at in range(0, int(size[0]) if m else 0, block):
-        a = int(np.searchsorted(-size, -at, side="left"))
-        left = size[:a] - at
-        whole = left[-1] >= block
-        idx = first[:a, None] + (at + reach if whole else at + np.minimum(reach, left[:, None] - 1))
-        s = z.take(idx, mode="wrap") + delta[-1, :a, None]
-        x = [row.take(idx, mode="wrap") for row in st]
-        for d, row in zip(delta, x, strict=False):
-            s += d[:a, None] * row
-        np.clip(s, -14, 14, out=s)
-        y = bit.take(idx, mode="wrap")
-        p = 1 / (1 + np.exp(-s))
-        e = y - p
-        cost = np.log(1 - np.abs(e))
-        if not whole:
-            there = reach < left[:, None]
-            e, cost = e * there, cost * there
-        total[:a] += cost.sum(axis=1)
-        delta[-1, :a] += step * e.sum(axis=1)
-        for d, row in zip(delta, x, strict=False):
-            d[:a] += step * np.einsum("ij,ij->i", e, row)
+        a, whole = int(np.searchsorted(-size, -at, side="left")), int(np.searchsorted(-size, -at - block, side="right"))
+        x = rows(first[:a] + at)
+        s = x[-1]
+        for d, row in zip(delta, x[:-1], strict=True):
+            s += d[:a] * row
+        e = logistic(np.negative(s, out=s))  # what the bit that came lacks of certainty
+        if whole < a:
+            e[whole:] *= reach < (size[whole:a] - at)[:, None]
+        for d, row in zip(delta, x[:-1], strict=True):
+            d[:a, 0] += step * np.einsum("ij,ij->i", e, row)
+        p = np.subtract(1, e, out=e)
+        if block % 4 == 0:  # four of them, at least 1e-25, share a logarithm
+            p = p[:, : block // 2] * p[:, block // 2 :]
+            p = p[:, : block // 4] * p[:, block // 4 :]
+        total[:a] += np.log(p).sum(axis=1)
     out = np.empty(m)
     out[order] = total
     return out
@@ -238,16 +306,31 @@ class Mixer:
         self.gates = 3 ** len(counts)
         self.start = np.full((1 + len(counts), self.gates), 1 / (1 + len(counts)))
 
-    def inputs(self, symbols: np.ndarray, contexts: list[np.ndarray], learnt: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Decisions a symbol, bits, predictors' stretched probabilities (a row each) and gates; if these are
-        `learnt` symbols, by the counts of all others."""
-        n, node, bit = self.d.of(symbols)
-        st, gate = np.empty((1 + len(contexts), len(node)), np.float32), np.zeros(len(node), np.uint8)
-        st[0], p = self.first.take(node, mode="wrap"), self.ones.take(node, mode="wrap")
+    @cached_property
+    def alone(self) -> np.ndarray:
+        """Of each place in the decisions, the probability of a one without contexts and, beside it, stretched."""
+        node = self.d.step >> np.uint32(1)
+        return self.ones[node] + self.first[node] * np.complex64(1j)
+
+    def inputs(self, symbols: np.ndarray, contexts: list[np.ndarray], learnt: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of the symbols' decisions, predictors' stretched probabilities (a row each) and gates; if these are
+        `learnt` symbols, each decision by the counts of all others."""
+        n, flat = self.d.of(symbols)
+        return self.inputs_at(flat, [np.repeat(c, n) for c in contexts], learnt)
+
+    def inputs_at(self, flat: np.ndarray, contexts: list[np.ndarray], learnt: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """These of decisions by their places and contexts."""
+        key, alone = self.d.key.take(flat, mode="wrap"), self.alone.take(flat, mode="wrap")
+        bit = (key & np.uint32(1)).astype(np.float32)
+        st, gate = np.empty((1 + len(contexts), len(key)), np.float32), np.zeros(len(key), np.uint8)
+        p, st[0] = alone.real, alone.imag
         for i, (c, ctx) in enumerate(zip(self.counts, contexts, strict=True)):
-            p, st[i + 1], seen = c.predict(slots(node, np.repeat(ctx, n), len(c.packed)), p, bit if learnt else None)
-            gate += np.uint8(3**i) * ((seen > 30).view(np.uint8) + (seen > 1000).view(np.uint8))
-        return n, bit, st, gate
+            at = keyed_slots(key, ctx, len(c.packed))
+            at >>= np.uint32(1)
+            p, st[i + 1], seen = c.predict(at.astype(np.int64), p, bit if learnt else None)
+            seen *= np.uint8(3**i)
+            gate += seen
+        return bit, st, gate
 
     def weighed(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
         w, gate = self.start.astype(np.float32), gate.astype(np.int64)
@@ -256,18 +339,6 @@ class Mixer:
             z += w[i].take(gate, mode="wrap") * st[i]
         return z
 
-    def predicted(self, symbols: np.ndarray, contexts: list[np.ndarray], step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Decisions a symbol, bits, stretched probabilities and their weighted sums, made in pieces that a core's cache holds."""
-        n = self.d.size.take(symbols, mode="wrap")
-        ends = np.r_[0, np.cumsum(n)]
-        bit, st, z = np.empty(ends[-1], np.uint8), np.empty((len(self.start), ends[-1]), np.float32), np.empty(ends[-1], np.float32)
-        for lo in range(0, len(symbols), step):
-            hi = min(lo + step, len(symbols))
-            at = slice(ends[lo], ends[hi])
-            _, bit[at], part, gate = self.inputs(symbols[lo:hi], [c[lo:hi] for c in contexts])
-            st[:, at], z[at] = part, self.weighed(part, gate)
-        return n, bit, st, z
-
     def score(self, symbols: np.ndarray, ends: np.ndarray, contexts: list[np.ndarray], together: int = 100_000) -> np.ndarray:
         """Natural log probability of each text (that ends at `ends`), about `together` symbols in memory at a time."""
         begin = np.r_[0, ends[:-1]]
@@ -281,18 +352,35 @@ class Mixer:
         cuts = np.r_[0, np.flatnonzero(np.diff(lo // together)) + 1, len(text)] if len(text) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             run = slice(lo[a], hi[b - 1])
-            n, bit, st, z = self.predicted(symbols[run], [c[run] for c in contexts])
+            n, flat = self.d.of(symbols[run])
             size = np.diff(np.r_[0, np.cumsum(n)][np.r_[lo[a:b] - lo[a], hi[b - 1] - lo[a]]])
-            cost[a:b] = refined(st, z, bit, size)
+            which = np.repeat(np.arange(run.start, run.stop, dtype=np.int32), n)
+            places = [sliding_window_view(np.r_[x, np.zeros(BLOCK, np.int32)], BLOCK) for x in (flat.astype(np.int32), which)]
+
+            def rows(at: np.ndarray, places: list[np.ndarray] = places) -> np.ndarray:
+                flat, which = (x[at].astype(np.int64).ravel() for x in places)
+                bit, st, gate = self.inputs_at(flat, [c.take(which, mode="wrap") for c in contexts])
+                return signed(st, self.weighed(st, gate), bit).reshape(-1, len(at), BLOCK)
+
+            cost[a:b] = refined_blocks(rows, len(self.start) + 1, size)
         return np.bincount(text, cost, len(ends))
 
     def slopes(self, symbols: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """Gradient and Hessian, by gate, of the log probability of learnt symbols' decisions in the weights; flat."""
-        _, bit, st, gate = self.inputs(symbols, contexts, learnt=True)
-        p = 1 / (1 + np.exp(-np.clip(self.weighed(st, gate), -14, 14)))
-        e, v = bit - p, p * (1 - p)
-        by = lambda x: np.bincount(gate, x, self.gates)
-        return np.concatenate([np.stack([by(e * x) for x in st], 1).ravel(), np.stack([np.stack([by(v * x * y) for y in st], 1) for x in st], 1).ravel()])
+        k = len(self.start)
+        gradient, hessian = np.zeros((self.gates, k)), np.zeros((self.gates, k, k))
+        for lo in range(0, len(symbols), PIECE):
+            bit, st, gate = self.inputs(symbols[lo : lo + PIECE], [c[lo : lo + PIECE] for c in contexts], learnt=True)
+            p = logistic(self.weighed(st, gate))
+            order = np.argsort(gate, kind="stable")
+            x, p, e = st.take(order, axis=1), p.take(order), (bit - p).take(order)
+            weighted = x * (p * (1 - p))
+            ends = np.cumsum(np.bincount(gate, minlength=self.gates)).tolist()
+            for g, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+                if a < b:
+                    gradient[g] += x[:, a:b] @ e[a:b]
+                    hessian[g] += weighted[:, a:b] @ x[:, a:b].T
+        return np.concatenate([gradient.ravel(), hessian.ravel()])
 
     def quadratic(self, slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each gate, the terms linear and quadratic in the weights of those decisions' log probability, from its slopes here."""
@@ -336,12 +424,32 @@ class Vocabulary:
         code = Code(byte_counts)
         self.byte, self.byte_ones = code.decisions(), code.ones
 
+    @cached_property
+    def coded(self) -> pa.Array:
+        return pa.array(list(self.ids), pa.binary())
+
     def encoded(self, text: str | None) -> tuple[bytes, Counter]:
         """The text's symbols with its end, packed, and its escaped words."""
-        w = words(text)
-        w.append(END)
-        ids = np.fromiter(map(self.ids.get, w, repeat(self.escape)), self.kind, len(w))
-        return ids.tobytes(), Counter([w[i] for i in np.flatnonzero(ids == self.escape).tolist()])
+        symbols, w, k = (x[0].as_py() for x in self.encoded_all(pa.array([text], pa.string())))
+        return symbols, Counter(dict(zip(w, k, strict=True)))
+
+    def encoded_all(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Of each text, its symbols with its end, packed; its different escaped words, and how often each stands there."""
+        flat, ends = words(texts)
+        m = len(texts)
+        ids = pc.index_in(flat, value_set=self.coded).fill_null(self.escape).to_numpy(zero_copy_only=False)
+        last = ends + np.arange(m)  # an end follows each text's words
+        symbols, inner = np.full(len(ids) + m, self.ids.get(END, self.escape), self.kind), np.ones(len(ids) + m, bool)
+        inner[last] = False
+        symbols[inner] = ids
+        escaped = np.flatnonzero(symbols == self.escape)
+        text = np.searchsorted(last, escaped)
+        w = flat.take(pa.array(np.where(inner[escaped], escaped - text, 0), mask=~inner[escaped])).fill_null(END).dictionary_encode()
+        pair, k = np.unique(text * max(1, len(w.dictionary)) + w.indices.to_numpy(), return_counts=True)
+        first = pa.array(np.searchsorted(pair, np.arange(m + 1) * max(1, len(w.dictionary))).astype(np.int32))
+        offset = np.r_[0, last + 1].astype(np.int64) * self.kind.itemsize
+        packed = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(symbols)])
+        return packed, pa.ListArray.from_arrays(first, w.dictionary.take(pa.array(pair % max(1, len(w.dictionary))))), pa.ListArray.from_arrays(first, pa.array(k.astype(np.int64)))
 
     def word_contexts(self, symbols: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         """Hashes of the coded word before, and of the branches of the three before; fewer at a text's start."""
@@ -376,12 +484,13 @@ class Tally:
         self.one = np.ones(0, np.int32)
 
     def add(self, d: Decisions, symbols: np.ndarray, contexts: list[np.ndarray]) -> None:
-        n, node, bit = d.of(symbols)
-        if len(self.one) < len(node):
-            self.one = np.ones(2 * len(node), np.int32)
+        n, flat = d.of(symbols)
+        key = d.key.take(flat, mode="wrap")
+        if len(self.one) < len(key):
+            self.one = np.ones(2 * len(key), np.int32)
         for table, ctx in zip(self.table, contexts, strict=True):
             # An array of ones takes a path of add.at that a single one doesn't, nearly 20 times as fast.
-            np.add.at(table, 2 * slots(node, np.repeat(ctx, n), len(table) // 2) + bit, self.one[: len(node)])
+            np.add.at(table, keyed_slots(key, np.repeat(ctx, n), len(table) // 2).astype(np.int64), self.one[: len(key)])
 
     def strips(self) -> Iterator[pa.RecordBatch]:
         """(table, strip, counts): slots that were hit, STRIP together."""
@@ -435,22 +544,15 @@ def _summed(parts: DataFrame, sizes: list[int], fan: int = FAN) -> list[Counts]:
     return [Counts(*tables.pop(0)) for _ in sizes]
 
 
-def token_counts(train: DataFrame, most: int = 400_000) -> DataFrame:
+def token_counts(train: DataFrame) -> DataFrame:
     """(w, c) of all tokens of texts, ends included (as the empty word)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
-        flush = lambda: pd.DataFrame({"w": list(c.keys()), "c": list(c.values())})
-        for pdf in batches:
-            for t in pdf["text"]:
-                c.update(words(t))
-                c[END] += 1
-                if len(c) > most:
-                    yield flush()
-                    c.clear()
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in runs(whole, 1 << 25)):
+            c = pc.value_counts(words(b.column("text"))[0])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.field(0), pa.array([END], pa.binary())]), pa.concat_arrays([c.field(1), pa.array([b.num_rows], pa.int64())])], ["w", "c"])
 
-    return train.select("text").mapInPandas(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame, coded: int, least: int) -> Vocabulary:
@@ -483,10 +585,8 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):  # so many texts' words in memory
-            got = [shared.value.encoded(t) for t in b.column("text").to_pylist()]
-            w, k = pa.array([list(e.keys()) for _, e in got], pa.list_(pa.binary())), pa.array([list(e.values()) for _, e in got], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array([s for s, _ in got], pa.binary()), w, k], ["doc_id", "n_bytes", "symbols", "w", "k"])
+        for b in (x for whole in batches for x in runs(whole)):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *shared.value.encoded_all(b.column("text"))], ["doc_id", "n_bytes", "symbols", "w", "k"])
 
     src = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     rows = src.mapInArrow(run, "doc_id long, n_bytes long, symbols binary, w array<binary>, k array<long>")
@@ -588,7 +688,7 @@ def fit_gates(train: DataFrame, counts: DataFrame, model: Model, shared: Broadca
     """The weights that mixing starts from, of words and of bytes: a logistic regression for each gate over all training
     texts, and all their different words, in one pass. Each is judged in one of GATE_STEPS steps, chosen by hash, of which the
     first are small; a step goes to the weights that are best by the quadratic terms of all texts judged so far, so
-    every text counts once and alike. What they added to the counts is left out. `shared` holds the model, if it was sent already."""
+    every text counts once and alike. What a decision added to the counts is left out when it is judged. `shared` holds the model, if it was sent already."""
     shared = shared or train.sparkSession.sparkContext.broadcast(model)
     texts = train.select("symbols", F.pmod(F.xxhash64("doc_id"), F.lit(4 ** (GATE_STEPS - 1))).alias("part"))
     spelled = counts.where(F.col("w") != F.lit(END)).select("w", F.pmod(F.xxhash64("w"), F.lit(4 ** (GATE_STEPS - 1))).alias("part"))
